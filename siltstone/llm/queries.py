@@ -6,6 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.quality import quality
+
+    return quality(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), keep=["doc_id"])
+
+
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.embedding_dedup import near_vectors
+
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.mixing import mix
+
+    documents, _ = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.warc import round_trip
 
@@ -13,6 +32,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.language_id import language_id
+
+    return language_id(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.url_filter import url_filter
 
@@ -27,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_warc, op8_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op4_mixing, op5_warc, op7_language_id, op8_url_filter, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
