@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -149,14 +150,30 @@ class Links:
         return True
 
 
-def components(edges: DataFrame, path: str, most_rounds: int = 60) -> DataFrame:
+def _finish(batches):
+    """Union-find over all edges that one task gets."""
+    ids, pairs = {}, []
+    for batch in batches:
+        pairs += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+    order = sorted({x for p in pairs for x in p})
+    ids = {x: i for i, x in enumerate(order)}
+    links = Links(len(order))
+    for x, y in pairs:
+        links.join(ids[x], ids[y])
+    yield pa.RecordBatch.from_arrays([pa.array(order, pa.int64()), pa.array([order[links.root(i)] for i in range(len(order))], pa.int64())], names=["id", "component"])
+
+
+def components(edges: DataFrame, path: str, most_rounds: int = 60, few: int = 200_000) -> DataFrame:
     """(id, component): the smallest id that each id of the edges (a, b: long) reaches, itself included.
 
     Alternating large-star and small-star rounds (Kiveris and others, 2014), each written to the shared folder: nothing is
     collected, and a vertex with many neighbours is only a key of a partial aggregate and of a join that AQE can split.
+    As soon as no more than `few` edges are left (a bound of one task's memory, counted first), a single task ends it by union-find.
     Edges from a vertex to itself and repeated edges do no harm; no edges give no rows."""
     e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     e, last = saved(e, f"{path}/0"), None
+    if e.count() <= few:
+        return saved(e.repartition(1).mapInArrow(_finish, "id long, component long"), f"{path}/ended")
     for i in range(1, most_rounds):
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))

@@ -18,6 +18,13 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.sentencepiece_codec import encode, model_bytes
+
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return encode(documents.select("doc_id", "text"), model_bytes(), keep=["doc_id"], check=True)
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.mixing import mix
 
@@ -52,7 +59,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op4_mixing, op5_warc, op7_language_id, op8_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op7_language_id, op8_url_filter, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
