@@ -52,6 +52,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.hmm_lm import lm_scores
+
+    return lm_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.exact_dedup import exact_dedup
 
@@ -59,7 +65,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op7_language_id, op8_url_filter, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op7_language_id, op8_url_filter, op9_lm_scoring, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
