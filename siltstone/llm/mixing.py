@@ -134,7 +134,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, cap: int = 2, bloc
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard), pa.int32()), pa.array(np.full(n, no), pa.int32()), pa.array(turn, pa.int32()), pa.array(b, pa.int64()), pa.array(words, pa.int64())], names=["shard", "source_no", "pass", "block", "words"])
 
     plan = spark.createDataFrame(pd.DataFrame(rows, columns=["shard", "source_no", "first", "n"]), "shard int, source_no int, first long, n long").repartition("shard")
-    slot_table = plan.mapInArrow(fill, "shard int, source_no int, pass int, block long, words long")
+    slot_table = saved(plan.mapInArrow(fill, "shard int, source_no int, pass int, block long, words long"), f"{path}/slots")  # a table, so that its true size rules out a broadcast
     known = spark.createDataFrame([(s, i, w, t) for i, ((s, w), t) in enumerate(zip(sources, target, strict=True))], "source string, source_no int, source_size long, target double")
     start = Window.partitionBy("source").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     base = by_task.withColumn("base", F.coalesce(F.sum("words").over(start), F.lit(0))).alias("b").join(known.alias("k"), F.col("b.source").eqNullSafe(F.col("k.source"))).select(F.col("b.source").alias("s"), F.col("task").alias("t"), "base", "source_no", "source_size", "target")
