@@ -39,6 +39,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(spark, pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.ngram_join import near_texts
+
+    return near_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltstone.llm.language_id import language_id
 
@@ -65,7 +71,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op7_language_id, op8_url_filter, op9_lm_scoring, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op6_ngram_join, op7_language_id, op8_url_filter, op9_lm_scoring, op10_exact_dedup)}
 
 SQL = {
     "op10_exact_dedup": """
