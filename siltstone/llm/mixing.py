@@ -142,7 +142,7 @@ def mix(docs: DataFrame, share: float = 1.5, weights=WEIGHTS, cap: int = 2, bloc
     placed = saved(placed.select("row", "doc_id", "source", "size", "source_no", "source_size", "target", "at"), f"{path}/placed")
     pieces = placed.where("size > 0").select("row", "source_no", "at", "size", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")).alias("block"))
     part = F.greatest(F.lit(0), F.least(F.expr("at + size"), F.expr(f"block * {block} + words")) - F.greatest(F.col("at"), F.expr(f"block * {block}")))
-    taken = pieces.join(slot_table.select("source_no", "block", "words"), ["source_no", "block"]).groupBy("row").agg(F.sum(part).alias("taken"))
+    taken = pieces.join(slot_table.select("source_no", "block", "words").hint("merge"), ["source_no", "block"]).groupBy("row").agg(F.sum(part).alias("taken"))
     out = placed.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "row")
     return out, slot_table
 
