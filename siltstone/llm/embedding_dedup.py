@@ -126,27 +126,37 @@ def _forest(hit: np.ndarray) -> np.ndarray:
 
 
 def _join(t: float):
+    """Links of block pairs: the rows of a pair (two, or one for a block with itself) come one after the other."""
+
+    def pair(rows):
+        d = rows[0]["dim"]
+        load = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d))
+        ids, n, x = load(rows[0])
+        if len(rows) == 1:
+            hit = _hits(x, x, t)
+            np.fill_diagonal(hit, False)
+            links = hit @ n
+        else:
+            more, m, y = load(rows[1])
+            h = _hits(x, y, t)
+            links = np.concatenate((h @ m, n @ h))
+            hit = np.zeros((len(ids) + len(more),) * 2, bool)
+            hit[: len(ids), len(ids) :], hit[len(ids) :, : len(ids)] = h, h.T
+            ids = np.concatenate((ids, more))
+        some = np.flatnonzero(links)
+        root = _forest(hit[np.ix_(some, some)])
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[some][root])], names=["cid", "links", "other"])
+
     def run(batches):
+        rows: list = []
         for batch in batches:
             for r in batch.to_pylist():
-                d = r["dim"]
-                load = lambda s: (np.frombuffer(r[f"ids_{s}"], np.int64), np.frombuffer(r[f"ns_{s}"], np.int64), np.frombuffer(r[f"vectors_{s}"]).reshape(-1, d))  # noqa: B023, E731
-                ids, n, a = load("a")
-                if r["a"] == r["b"]:
-                    hit = _hits(a, a, t)
-                    np.fill_diagonal(hit, False)
-                    links = hit @ n
-                else:
-                    more, m, b = load("b")
-                    h = _hits(a, b, t)
-                    links = np.concatenate((h @ m, n @ h))
-                    hit = np.zeros((len(ids) + len(more),) * 2, bool)
-                    hit[: len(ids), len(ids) :], hit[len(ids) :, : len(ids)] = h, h.T
-                    ids = np.concatenate((ids, more))
-                some = np.flatnonzero(links)
-                if len(some):
-                    root = _forest(hit[np.ix_(some, some)])
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[some][root])], names=["cid", "links", "other"])
+                if rows and (rows[0]["a"], rows[0]["b"]) != (r["a"], r["b"]):
+                    yield pair(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield pair(rows)
 
     return run
 
@@ -194,9 +204,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
     blocks = saved(ordered.mapInArrow(cut, "block long, label int, dim int, c_lo int, c_hi int, lo array<double>, hi array<double>, ids binary, ns binary, vectors binary"), f"{path}/blocks")
     side = lambda s, wider: blocks.select("label", "dim", F.col("block").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.explode(F.sequence(F.col("c_lo") - wider, F.col("c_hi") + wider)).alias("cell"))
     gap = F.expr("aggregate(zip_with(zip_with(lo_a, hi_b, (x, y) -> x - y), zip_with(lo_b, hi_a, (x, y) -> x - y), (x, y) -> pow(greatest(0D, x, y), 2)), 0D, (s, x) -> s + x)")
-    pairs = side("a", 0).join(side("b", 1), ["label", "dim", "cell"]).where("a <= b").where(gap <= width * width + _SLACK).select("a", "b", "dim").distinct()
-    data = lambda s: blocks.select(F.col("block").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("ids", "ns", "vectors")))
-    found = saved(pairs.join(data("a"), "a").join(data("b"), "b").mapInArrow(_join(threshold), "cid long, links long, other long"), f"{path}/links")
+    pairs = side("a", 0).join(side("b", 1), ["label", "dim", "cell"]).where("a <= b").where(gap <= width * width + _SLACK).select("a", "b").distinct()
+    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
+    both = sides.join(blocks.select("block", "dim", "ids", "ns", "vectors"), "block").repartition("a", "b").sortWithinPartitions("a", "b", "block")
+    found = saved(both.mapInArrow(_join(threshold), "cid long, links long, other long"), f"{path}/links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("cid").alias("a"), F.col("other").alias("b")), f"{path}/components").withColumnRenamed("id", "cid")
     least = parts.join(classes.select("cid", "rep"), "cid").groupBy("component").agg(F.min("rep").alias("first"))

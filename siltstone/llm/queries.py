@@ -73,7 +73,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op6_ngram_join, op7_language_id, op8_url_filter, op9_lm_scoring, op10_exact_dedup)}
 
+_CLOSED = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b), part AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
 SQL = {
+    "op2_embedding_dedup": f"""
+        WITH RECURSIVE v AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS x FROM embeddings), nodes AS (SELECT id FROM v),
+        edges AS (SELECT p.id AS a, q.id AS b FROM v p JOIN v q ON p.label = q.label AND p.id <> q.id WHERE list_cosine_similarity(p.x, q.x) >= 0.93), {_CLOSED}
+        SELECT id AS vec_id, count(b) AS n_links, any_value(component_id) AS component_id, id = any_value(component_id) AS kept FROM part LEFT JOIN edges ON a = id GROUP BY id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, h, octet_length(encode(h)) AS n, sha1(h) AS s, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+        b AS (SELECT *, array_to_string(list_transform(string_split(s, ''), lambda c: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', c)]), '') AS bits FROM d)
+        SELECT page_id, n AS payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT)::INT, 1)), '') AS payload_digest,
+        CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM b""",
+    "op6_ngram_join": f"""
+        WITH RECURSIVE w AS (SELECT doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents), nodes AS (SELECT id FROM w),
+        s AS (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+        n AS (SELECT id, count(*) AS n FROM s GROUP BY id), common AS (SELECT p.id AS a, q.id AS b, count(*) AS c FROM s p JOIN s q ON p.g = q.g AND p.id <> q.id GROUP BY ALL),
+        edges AS (SELECT a, b FROM common JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 100 * c >= 80 * (x.n + y.n - c)), {_CLOSED}
+        SELECT id AS doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM part LEFT JOIN n USING (id)""",
     "op10_exact_dedup": """
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
