@@ -7,10 +7,11 @@ large buckets. Classes that share such a shingle, and whose sizes allow it, form
 leaf entry holds a bitmap of a whole set and its size, a node the OR of the bitmaps below and their range of sizes. A traversal of
 node pairs drops those whose sizes or whose maximum possible overlap (common bits, and the shingles that share a bit) rule out a link.
 
-The first traversal keeps a spanning forest of what is left in each bucket; its pairs are verified on the full sets. The second one passes
-over pairs and node pairs that verified links already connect, and verifies every other pair that the bounds leave. So no link
-between two components is missed, and a large group of near copies is never expanded into all its pairs. Links are put together in
-distributed rounds.
+A first traversal finds the classes that have any partner the bounds leave; only their full sets are fetched, with finer bitmaps. A
+second one, over the buckets of each set's first shingles (rare and frequent ones), keeps a spanning forest of what is left in each task; its pairs are verified on
+the full sets. A third one, over all buckets that hold several components, passes over pairs and nodes of one component and has every other
+pair that the bounds leave verified. So no link between two components is missed, and a large group of near copies is never
+expanded into all its pairs. Links are put together in distributed rounds.
 
 Shingles are 64-bit hashes: with n shingles in two sets, the chance that a hash collision changes a decision is about n**2 / 2**64.
 A bucket of more than BUCKET classes is cut by size into blocks, and pairs of blocks are buckets.
@@ -38,6 +39,7 @@ HEAVY = 1 << 16
 OWNED = 100_000
 FILTER = 1 << 22
 FANOUT = 4
+EARLY = 8
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -67,10 +69,10 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def bitmap(s: np.ndarray) -> bytes:
-    """Bits at the low bits of the hashes; two to four bits a shingle, so a half can be laid over the other to compare widths."""
+def bitmap(s: np.ndarray, each: int = 2) -> bytes:
+    """Bits at the low bits of the hashes (so a half can be laid over the other to compare widths); `each` to 2 * `each` bits a shingle."""
     width = 64
-    while width < 2 * len(s):
+    while width < each * len(s):
         width *= 2
     bits = np.zeros(width, np.uint8)
     bits[(s & np.uint64(width - 1)).astype(np.int64)] = 1
@@ -112,58 +114,66 @@ def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _prefixes(heavy, bits: int):
-    """(owner, tokens, places, fps, sizes): the prefixes of a batch's distinct sets by hash range, packed."""
+    """(owner, tokens, places, early, fps, sizes): the prefixes of a batch's distinct sets by hash range, packed."""
 
     def run(batches):
         last = heavy.value
         for batch in batches:
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             seen: dict[bytes, int] = {}
-            tokens, sizes = [], []
+            tokens, sizes, first = [], [], []
             for a, b in slices(texts):
                 for s in shingle_sets(texts[a:b]):
                     if len(s) and (fp := fingerprint(s)) not in seen:
                         seen[fp] = len(seen)
                         if len(last):
                             late = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+                            rare = int(len(s) - late.sum())
                             s = np.concatenate((s[~late], s[late])) if late.any() else s
-                        tokens.append(s[: prefix_size(len(s))])
+                        else:
+                            rare = len(s)
+                        at = np.arange(prefix_size(len(s)))
+                        first.append(np.where(at < rare, at, at - rare) < EARLY)
+                        tokens.append(s[: len(at)])
                         sizes.append(len(s))
             if not seen:
                 continue
             place = np.repeat(np.arange(len(tokens), dtype=np.uint32), [len(t) for t in tokens])
+            early = np.concatenate(first)
             t = np.concatenate(tokens)
             order = np.argsort(t)
-            t, place = t[order], place[order]
+            t, place, early = t[order], place[order], early[order]
             owner = (t >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(t), np.int64)
             fps, n = np.frombuffer(b"".join(seen), "V16"), np.array(sizes, np.int32)
             at = np.flatnonzero(np.diff(owner, prepend=-1))
             for i, j in zip(at, np.append(at[1:], len(t)), strict=True):
                 used, back = np.unique(place[i:j], return_inverse=True)
-                yield pa.RecordBatch.from_arrays([pa.array([int(owner[i])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (t[i:j], back.astype(np.uint32), fps[used], n[used]))], names=["owner", "tokens", "places", "fps", "sizes"])
+                yield pa.RecordBatch.from_arrays([pa.array([int(owner[i])], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (t[i:j], back.astype(np.uint32), early[i:j], fps[used], n[used]))], names=["owner", "tokens", "places", "early", "fps", "sizes"])
 
     return run
 
 
 def _buckets(batches):
-    """(bucket, fp): classes that share a prefix token and whose sizes allow a link."""
+    """(bucket, fp, early): classes that share a prefix token and whose sizes allow a link; early: it is among a class's first."""
     state = {"next": TaskContext.get().partitionId() << 36}
 
     def answer(rows):
         tokens = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-        fps = np.concatenate([np.frombuffer(r[2], "V16") for r in rows])
-        sizes = np.concatenate([np.frombuffer(r[3], np.int32) for r in rows])
-        base = np.cumsum([0] + [len(r[3]) // 4 for r in rows])
+        fps = np.concatenate([np.frombuffer(r[3], "V16") for r in rows])
+        sizes = np.concatenate([np.frombuffer(r[4], np.int32) for r in rows])
+        early = np.concatenate([np.frombuffer(r[2], bool) for r in rows])
+        base = np.cumsum([0] + [len(r[4]) // 4 for r in rows])
         place = np.concatenate([np.frombuffer(r[1], np.uint32).astype(np.int64) + b for r, b in zip(rows, base[:-1], strict=True)])
         kinds, first, back = np.unique(fps, return_index=True, return_inverse=True)
         n = sizes[first].astype(np.int64)
         node = back[place]
         order = np.lexsort((node, n[node], tokens))
-        tokens, node = tokens[order], node[order]
+        tokens, node, early = tokens[order], node[order], early[order]
         keep = np.ones(len(tokens), bool)
         keep[1:] = (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])
-        tokens, node = tokens[keep], node[keep]
+        tokens, node, early = tokens[keep], node[keep], early[keep]
         size = n[node]
+        size_of = size.__getitem__
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (5 * size[:-1] < 4 * size[1:])  # sizes too far apart for any pair across
         start = np.flatnonzero(new)
@@ -171,33 +181,37 @@ def _buckets(batches):
         start, count = start[count > 1], count[count > 1]
         # Runs of the same classes come from every shingle that copies with few changes share; one of them is enough.
         code = np.concatenate(([np.uint64(0)], np.cumsum(mix(node.astype(np.uint64) + np.uint64(77)))))
+        soon = np.concatenate(([0], np.cumsum(early)))
+        order = np.argsort(soon[start] - soon[start + count], kind="stable")  # of equal runs the one with most early places stays
+        start, count = start[order], count[order]
         runs = np.unique(np.stack((code[start + count] - code[start], count.astype(np.uint64)), 1), axis=0, return_index=True)[1] if len(start) else []
-        out_b, out_f = [], []
+        out_b, out_f, out_e = [], [], []
 
-        def put(members):
-            out_b.append(np.full(len(members), state["next"]))
-            out_f.append(kinds[members])
+        def put(at):
+            out_b.append(np.full(len(at), state["next"]))
+            out_f.append(kinds[node[at]])
+            out_e.append(early[at])
             state["next"] += 1
 
         for r in runs:
-            members = node[start[r] : start[r] + count[r]]
-            if len(members) <= BUCKET:
-                put(members)
+            at = np.arange(start[r], start[r] + count[r])
+            if len(at) <= BUCKET:
+                put(at)
                 continue
-            blocks = [members[i : i + BUCKET // 2] for i in range(0, len(members), BUCKET // 2)]
+            blocks = [at[i : i + BUCKET // 2] for i in range(0, len(at), BUCKET // 2)]
             for i, a in enumerate(blocks):
                 for b in blocks[i + 1 :]:
-                    if 5 * n[a[-1]] < 4 * n[b[0]]:
+                    if 5 * size_of(a[-1]) < 4 * size_of(b[0]):
                         break
                     put(np.concatenate((a, b)))
         if out_b:
             fp = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), sum(map(len, out_f)), [None, pa.py_buffer(np.concatenate(out_f).tobytes())]).cast(pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), fp], names=["bucket", "fp"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), fp, pa.array(np.concatenate(out_e))], names=["bucket", "fp", "early"])
         return None
 
     owner, rows = None, []
     for batch in batches:
-        for o, *r in zip(*(batch.column(c).to_pylist() for c in ("owner", "tokens", "places", "fps", "sizes")), strict=True):
+        for o, *r in zip(*(batch.column(c).to_pylist() for c in ("owner", "tokens", "places", "early", "fps", "sizes")), strict=True):
             if o != owner and rows:
                 if (found := answer(rows)) is not None:
                     yield found
@@ -228,7 +242,7 @@ def _folded(bits: int, width: int, to: int) -> int:
 def tree(items: list[tuple]) -> Node:
     """Of (fp, n, bitmap bytes, part), at least one."""
     level = []
-    for i, (_, n, raw, part) in sorted(enumerate(items), key=lambda x: (x[1][1], x[1][2])):
+    for i, (_, n, raw, part) in sorted(enumerate(items), key=lambda x: (x[1][3] or 0, x[1][1], x[1][2])):
         bits = int.from_bytes(raw, "little")
         level.append(Node(bits, 8 * len(raw), n, n, n - bits.bit_count(), (), i, part))
     while len(level) > 1:
@@ -242,7 +256,7 @@ def tree(items: list[tuple]) -> Node:
                 bits |= b
                 excess = max(excess, x.excess if x.width == width else x.hi - (b.bit_count() if not x.below else 0))
             part = below[0].part if all(x.part is not None and x.part == below[0].part for x in below) else None
-            above.append(Node(bits, width, below[0].lo, max(x.hi for x in below), excess, below, -1, part))
+            above.append(Node(bits, width, min(x.lo for x in below), max(x.hi for x in below), excess, below, -1, part))
         level = above
     return level[0]
 
@@ -263,19 +277,19 @@ def possible(x: Node, y: Node) -> bool:
     return 9 * most >= 4 * (x.lo + y.lo)
 
 
-def traverse(root: Node):
-    """Pairs of entries that the bounds leave, by a traversal of node pairs; a pair of entries or nodes of one component is passed over."""
+def traverse(root: Node, skip=None):
+    """Pairs of entries that the bounds leave, by a traversal of node pairs. A pair of nodes of one component is passed over, and one
+    that skip(x, y) tells to."""
     todo = [(root, root)]
     while todo:
         x, y = todo.pop()
-        if x.part is not None and x.part == y.part:
+        if (x.part is not None and x.part == y.part) or (skip and skip(x, y)):
             continue
         if x is y:
             below = x.below
             for i, a in enumerate(below):
-                if a.below:
-                    todo.append((a, a))
                 todo += [(a, b) for b in below[i + 1 :]]
+            todo += [(a, a) for a in below if a.below]  # the nearest first
         elif possible(x, y):
             if not x.below and not y.below:
                 yield x.item, y.item
@@ -285,57 +299,76 @@ def traverse(root: Node):
                 todo += [(x, b) for b in y.below]
 
 
+def _by_bucket(batches, columns):
+    """Lists of a bucket's rows."""
+    bucket, items = None, []
+    for batch in batches:
+        for b, *item in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns)), strict=True):
+            if b != bucket and items:
+                yield items
+                items = []
+            bucket = b
+            items.append(tuple(item))
+    if items:
+        yield items
+
+
+def _active(batches):
+    """fps that have a partner which the bounds leave. A pair of nodes whose entries all have one already tells nothing new."""
+    active, sent = set(), set()
+    for items in _by_bucket(batches, ("fp", "n", "bits")):
+        if len(items) < 2 or all(i[0] in active for i in items):
+            continue
+
+        def done(x, items=items):
+            if x.part is None and (all(map(done, x.below)) if x.below else items[x.item][0] in active):
+                x.part = True  # stays so
+            return x.part is True
+
+        for i, j in traverse(tree([(*i, None) for i in items]), lambda x, y: done(x) and done(y)):
+            active.update((items[i][0], items[j][0]))
+        if len(active) - len(sent) > 50_000:
+            yield pa.RecordBatch.from_arrays([pa.array(list(active - sent), pa.binary())], names=["fp"])
+            sent |= active
+    yield pa.RecordBatch.from_arrays([pa.array(list(active - sent), pa.binary())], names=["fp"])
+
+
 def _search(forest: bool):
-    """(a, b): fps of pairs to verify in each bucket; forest: those that do not close a circle in the bucket."""
-
-    def pairs(items):
-        if len(items) == 2:
-            (_, n, raw, p), (_, m, other, q) = items
-            x, y = (Node(b := int.from_bytes(r, "little"), 8 * len(r), k, k, k - b.bit_count(), (), 0, None) for k, r in ((n, raw), (m, other)))
-            if (p is None or p != q) and possible(x, y):
-                yield items[0][0], items[1][0]
-            return
-        up = list(range(len(items)))
-
-        def root(i):
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
-
-        for i, j in traverse(tree(items)):
-            if forest:
-                if (a := root(i)) == (b := root(j)):
-                    continue
-                up[a] = b
-            yield items[i][0], items[j][0]
+    """(a, b): fps of pairs to verify; forest: those that do not close a circle in the task."""
 
     def run(batches):
-        bucket, items, out = None, [], set()
+        out, up = set(), {}
+
+        def root(x):
+            while (y := up.get(x, x)) != x:
+                up[x] = up.get(y, y)
+                x = y
+            return x
 
         def flush():
             rows = list(out)
             out.clear()
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
-        for batch in batches:
-            for b, *item in zip(*(batch.column(c).to_pylist() for c in ("bucket", "fp", "n", "bits", "part")), strict=True):
-                if b != bucket and items:
-                    out.update((min(p), max(p)) for p in pairs(items))
-                    items = []
-                    if len(out) > 50_000:
-                        yield flush()
-                bucket = b
-                items.append(tuple(item))
-        if items:
-            out.update((min(p), max(p)) for p in pairs(items))
+        for items in _by_bucket(batches, ("fp", "n", "bits", "part")):
+            if len(items) < 2:
+                continue
+            fps = [i[0] for i in items]
+            known = forest and (lambda x, y: not x.below and not y.below and root(fps[x.item]) == root(fps[y.item]))  # noqa: B023
+            for i, j in traverse(tree(items), known):
+                a, b = fps[i], fps[j]
+                if forest:
+                    up[root(a)] = root(b)
+                out.add((a, b) if a < b else (b, a))
+            if len(out) > 200_000:
+                yield flush()
         yield flush()
 
     return run
 
 
 def _wanted(chosen):
-    """(fp, hashes) of the sets that the filter lets through."""
+    """(fp, n, bits, hashes) of the sets that the filter lets through, with finer bitmaps."""
 
     def run(batches):
         bits = chosen.value
@@ -343,7 +376,7 @@ def _wanted(chosen):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             seen = set()
             for a, b in slices(texts):
-                fps, sets = [], []
+                fps, sets, wide = [], [], []
                 for s in shingle_sets(texts[a:b]):
                     if len(s):
                         fp = fingerprint(s)
@@ -352,8 +385,9 @@ def _wanted(chosen):
                             seen.add(fp)
                             fps.append(fp)
                             sets.append(s.tobytes())
+                            wide.append(bitmap(s, 8))
                 if fps:
-                    yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "hashes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int32()), pa.array(wide, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "n", "bits", "hashes"])
 
     return run
 
@@ -383,21 +417,20 @@ def near_texts(docs: DataFrame) -> DataFrame:
     classes = saved(classes, f"{path}/classes")
     entries = classes.agg(F.coalesce(F.sum(F.expr("n div 5 + 1")), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, entries / OWNED))))
-    dealt = texts.mapInArrow(_prefixes(heavy, bits), "owner int, tokens binary, places binary, fps binary, sizes binary").repartition(max(1, min(1 << bits, 100_000)), "owner").sortWithinPartitions("owner")
-    buckets = saved(dealt.mapInArrow(_buckets, "bucket long, fp binary"), f"{path}/buckets")
-
-    def search(forest: bool, parts: DataFrame) -> DataFrame:
-        members = buckets.join(parts, "fp").repartition("bucket").sortWithinPartitions("bucket")
-        return members.mapInArrow(_search(forest), "a binary, b binary").distinct()
+    dealt = texts.mapInArrow(_prefixes(heavy, bits), "owner int, tokens binary, places binary, early binary, fps binary, sizes binary").repartition(max(1, min(1 << bits, 100_000)), "owner").sortWithinPartitions("owner")
+    buckets = saved(dealt.mapInArrow(_buckets, "bucket long, fp binary, early boolean"), f"{path}/buckets")
+
+    together = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
+    active = saved(together(buckets.join(classes.select("fp", "n", "bits"), "fp")).mapInArrow(_active, "fp binary").distinct(), f"{path}/active")
+    slot = F.expr(f"pmod(cast(conv(hex(substring(fp, 1, 4)), 16, 10) as long), {FILTER})")
+    slots = active.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FILTER numbers at most
+    chosen = np.zeros(FILTER // 8, np.uint8)
+    np.bitwise_or.at(chosen, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
+    full = texts.mapInArrow(_wanted(spark.sparkContext.broadcast(chosen.tobytes())), "fp binary, n int, bits binary, hashes binary")
+    full = saved(full.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "hashes"))).join(active, "fp", "left_semi"), f"{path}/full")
+    live = saved(buckets.join(active, "fp", "left_semi"), f"{path}/live")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = saved(pairs, f"{path}/{name}-pairs")
-        slot = F.expr(f"pmod(cast(conv(hex(substring(fp, 1, 4)), 16, 10) as long), {FILTER})")
-        slots = pairs.select(F.explode(F.array("a", "b")).alias("fp")).select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FILTER numbers at most
-        chosen = np.zeros(FILTER // 8, np.uint8)
-        np.bitwise_or.at(chosen, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-        full = texts.mapInArrow(_wanted(spark.sparkContext.broadcast(chosen.tobytes())), "fp binary, hashes binary").groupBy("fp").agg(F.first("hashes").alias("hashes"))
-        full = saved(full, f"{path}/{name}-full")
         side = lambda s: full.select(F.col("fp").alias(s), F.col("hashes").alias(f"hashes_{s}"))
         return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "a binary, b binary"), f"{path}/{name}-links")
 
@@ -406,11 +439,16 @@ def near_texts(docs: DataFrame) -> DataFrame:
         edges = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         return components(edges, f"{path}/{name}-components")
 
-    first = verify(search(True, classes.select("fp", "n", "bits", F.lit(None).cast("long").alias("part"))), "first")
+    pair, sizes = "a binary, b binary", full.select("fp", "n", "bits")
+    found = together(live.where("early").select("bucket", "fp").join(sizes, "fp")).withColumn("part", F.lit(None).cast("long"))
+    tested = saved(found.mapInArrow(_search(True), pair).distinct(), f"{path}/first-pairs")
+    first = verify(tested, "first")
     parts = connected(first, "first")
-    known = classes.join(parts, classes["rep"] == parts["id"], "left").select("fp", "n", "bits", F.coalesce("component", "rep").alias("part"))
-    tested = spark.read.schema("a binary, b binary").parquet(f"{path}/first-pairs")
-    rest = saved(search(False, known).join(tested, ["a", "b"], "left_anti"), f"{path}/rest")
+    known = active.join(classes.select("fp", "rep"), "fp").join(parts, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("part"))
+    marked = live.select("bucket", "fp").join(known, "fp")
+    several = marked.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
+    found = together(marked.join(several, "bucket", "left_semi").join(sizes, "fp")).select("bucket", "fp", "n", "bits", "part")
+    rest = saved(found.mapInArrow(_search(False), pair).distinct().join(tested, ["a", "b"], "left_anti"), f"{path}/rest")
     if not rest.isEmpty():
         parts = connected(first.union(verify(rest, "second")), "second")
     whole = classes.select("fp", "rep").join(parts, classes["rep"] == parts["id"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
