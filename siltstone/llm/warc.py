@@ -86,7 +86,7 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compress
             for page_id, url, payload, sha1, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers")), strict=True):
                 data = record(page_id, url, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), refers)
                 data = member(data) if compressed else data
-                out = out or fs.open_output_stream(aside)
+                out = out or fs.open_output_stream(aside, compression=None)
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out:
@@ -239,7 +239,7 @@ def read_archives(files: DataFrame, gaps: bool = False, payloads: bool = True) -
     def rows(names: list[str], out: list, most: int):
         for name in names:
             fs, path = opened(name)
-            with fs.open_input_stream(path) as f:
+            with fs.open_input_stream(path, compression=None) as f:
                 size = 0
                 for kind, at, *x in read_archive(f):
                     if gaps:
