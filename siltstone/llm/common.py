@@ -8,11 +8,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that are turned into numpy arrays at once (each such byte costs about 40 bytes meanwhile).
 SLICE = 2 << 20
+PIECE = 1 << 20
 
 
 # --- work folders -------------------------------------------------------------------------------
@@ -66,7 +68,7 @@ def _power(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse (modulo 2**64), up to n."""
     if len(_powers[0]) < n:
         for i, x in enumerate((_BASE, _INVERSE)):
-            a = np.full(max(n, SLICE + 4096), x, np.uint64)
+            a = np.full(max(n, PIECE + 4096), x, np.uint64)
             a[0] = 1
             _powers[i] = np.multiply.accumulate(a)
     return _powers
@@ -92,6 +94,17 @@ def slices(texts: list[bytes | None]):
         yield first, len(texts)
 
 
+def text_runs(column: pa.Array, most: int = SLICE):
+    """(first, last + 1, texts as bytes) of runs of a column's texts that hold about `most` bytes; only one run at a time is in Python."""
+    column = column.cast(pa.binary())
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    a = before = 0
+    while a < len(column):
+        b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield a, b, column.slice(a, b - a).to_pylist()
+        a, before = b, int(ends[b - 1])
+
+
 def hashed_words(texts: list[bytes | None], lower: bool = True, ends: bool = False):
     """(hashes, offsets[, last three bytes]): 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, A-Z lower-cased;
     those of text i are hashes[offsets[i]:offsets[i + 1]]. A hash is a polynomial over random values of the bytes, mixed."""
@@ -101,7 +114,7 @@ def hashed_words(texts: list[bytes | None], lower: bool = True, ends: bool = Fal
     hashes, starts, tails = [], [], []
     at = 0
     while at < len(whole):
-        end = min(at + 2 * SLICE, len(whole))
+        end = min(at + PIECE, len(whole))
         if end < len(whole):  # cut at white space; a longer word makes a longer piece
             while end < len(whole) and not _SPACE[whole[end - 1]]:
                 end += 1

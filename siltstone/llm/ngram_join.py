@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, hashed_words, mix, saved, slices, work_dir
+from siltstone.llm.common import components, hashed_words, mix, saved, text_runs, work_dir
 
 SHINGLE = 5
 BUCKET = 2048
@@ -86,9 +86,9 @@ def _sets(batches):
     """A row for each document (kind 0), and for shingles that several of a task's documents hold (kind 1)."""
     many, docs = [], 0
     for batch in batches:
-        ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()
-        for a, b in slices(texts):
-            sets = shingle_sets(texts[a:b])
+        ids = batch.column("doc_id").to_pylist()
+        for a, b, texts in text_runs(batch.column("text")):
+            sets = shingle_sets(texts)
             docs += b - a
             n = [len(s) for s in sets]
             none = pa.nulls(b - a, pa.int64())
@@ -119,11 +119,10 @@ def _prefixes(heavy, bits: int):
     def run(batches):
         last = heavy.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
             seen: dict[bytes, int] = {}
             tokens, sizes, first = [], [], []
-            for a, b in slices(texts):
-                for s in shingle_sets(texts[a:b]):
+            for _, _, texts in text_runs(batch.column("text")):
+                for s in shingle_sets(texts):
                     if len(s) and (fp := fingerprint(s)) not in seen:
                         seen[fp] = len(seen)
                         if len(last):
@@ -134,7 +133,7 @@ def _prefixes(heavy, bits: int):
                             rare = len(s)
                         at = np.arange(prefix_size(len(s)))
                         first.append(np.where(at < rare, at, at - rare) < EARLY)
-                        tokens.append(s[: len(at)])
+                        tokens.append(s[: len(at)].copy())
                         sizes.append(len(s))
             if not seen:
                 continue
@@ -373,11 +372,10 @@ def _wanted(chosen):
     def run(batches):
         bits = chosen.value
         for batch in batches:
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
             seen = set()
-            for a, b in slices(texts):
+            for _, _, texts in text_runs(batch.column("text")):
                 fps, sets, wide = [], [], []
-                for s in shingle_sets(texts[a:b]):
+                for s in shingle_sets(texts):
                     if len(s):
                         fp = fingerprint(s)
                         slot = int.from_bytes(fp[:4], "big") % FILTER

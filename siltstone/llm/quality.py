@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import _SPACE, hashed_words, mix, slices
+from siltstone.llm.common import _SPACE, hashed_words, mix, slices, text_runs
 
 #: Documents that the scorer is trained on, about (twice as many at most).
 SAMPLE = 4000
@@ -90,16 +90,16 @@ class Words:
         columns = (self.hashes, mix(shape + np.uint64(1 << 40)), mix(shape * np.uint64(4096) + before + np.uint64(1 << 41)), mix(self.again.astype(np.uint64) + np.uint64(1 << 42)))
         return np.stack([(c & np.uint64(FEATURES - 1)).astype(np.int32) for c in columns], 1)
 
-
-def _bytes(column) -> list[bytes | None]:
-    return column.cast(pa.binary()).to_pylist()
+    def scores(self, w: np.ndarray, bias: float) -> np.ndarray:
+        """Probability of good for each text; 0 without words."""
+        z = self.total(w[self.features()].sum(1)) / np.maximum(self.n, 1) + bias
+        return np.where(self.n > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0)
 
 
 def _patterns(batches):
     """(pattern, n): the base-3 number of a document's votes, counted by batch."""
     for batch in batches:
-        texts = _bytes(batch.column(0))
-        found = [Words(texts[a:b]).votes() @ 3 ** np.arange(len(LABELLERS)) for a, b in slices(texts)]
+        found = [Words(texts).votes() @ 3 ** np.arange(len(LABELLERS)) for _, _, texts in text_runs(batch.column(0))]
         p, n = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(n, pa.int64())], names=["pattern", "n"])
 
@@ -151,15 +151,6 @@ def train(texts: list[bytes | None], goodness: np.ndarray) -> tuple[np.ndarray,
     return w, bias
 
 
-def scored(texts: list[bytes | None], w: np.ndarray, bias: float) -> np.ndarray:
-    out = np.zeros(len(texts))
-    for a, b in slices(texts):
-        x = Words(texts[a:b])
-        z = x.total(w[x.features()].sum(1)) / np.maximum(x.n, 1) + bias
-        out[a:b] = np.where(x.n > 0, 1 / (1 + np.exp(-np.clip(z, -60, 60))), 0)
-    return out
-
-
 def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None, sample: int = SAMPLE) -> DataFrame:
     """docs (of their columns those in keep, all by default) with weak_good (posterior of good by the labellers' votes), quality (the scorer's
     probability of good) and kept (quality >= 0.5)."""
@@ -182,10 +173,12 @@ def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     def judge(batches):
         of, w, bias = model.value
         for batch in batches:
-            texts = _bytes(batch.column(at_text))
-            found = [Words(texts[a:b]).votes() @ 3 ** np.arange(len(LABELLERS)) for a, b in slices(texts)]
-            weak = [of.get(p, 0.5) for p in np.concatenate(found).tolist()] if found else []
-            q = scored(texts, w, bias)
+            weak, q = [], []
+            for _, _, texts in text_runs(batch.column(at_text)):
+                x = Words(texts)
+                weak += [of.get(p, 0.5) for p in (x.votes() @ 3 ** np.arange(len(LABELLERS))).tolist()]
+                q.append(x.scores(w, bias))
+            q = np.concatenate(q) if q else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), pa.array(weak, pa.float64()), pa.array(q, pa.float64()), pa.array(q >= 0.5, pa.bool_())], names=[*(batch.schema.names[i] for i in kept), "weak_good", "quality", "kept"])
 
     more = [T.StructField("weak_good", T.DoubleType()), T.StructField("quality", T.DoubleType()), T.StructField("kept", T.BooleanType())]
