@@ -66,12 +66,19 @@ WITH_UNIT = r"(\d+(?:[.,]\d+)?)\s*(?:điểm|%)"
 NUMBER = r"(\d+(?:[.,]\d+)?)"
 SECRETS = ("api_key", "password", "token", "secret", "bearer ")
 FORBIDDEN = ("<script", "javascript:", "data:text", "\\x00")
+CITATION_WARNING = "\n\n_(Lưu ý: một số trích dẫn không khớp với nguồn được truy xuất và đã được xóa.)_"
+VALUE_MISSING = "Đã xác định tiêu chí liên quan (%s) nhưng không trích xuất được số liệu cụ thể từ câu hỏi. Vui lòng nêu rõ con số (ví dụ điểm số, phần trăm)."
+VERDICT_PREFIX = {"pass": "✅ **Đạt điều kiện.**", "fail": "❌ **Không đạt điều kiện.**"}
+REDACTED = "[REDACTED — contains sensitive data]"
+LINE_CUT = "…[cắt bớt]"
 # --------------------------------------------------------------------------------------------------
 
 
-@F.pandas_udf("string")
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+def _nfc(text: Column) -> Column:
+    def compose(s: pd.Series) -> pd.Series:
+        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+    return F.pandas_udf(compose, "string")(text)
 
 
 def nfc(text: Column) -> Column:
@@ -111,7 +118,7 @@ def cleaned(text: Column) -> Column:
 
 
 def markdown_cleaned(text: Column, most: int = 2000) -> Column:
-    lines = F.transform(F.split(F.regexp_replace(text, "(?s)<!--.*?-->", ""), "\n"), lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit("…[cắt bớt]"))).otherwise(x))
+    lines = F.transform(F.split(F.regexp_replace(text, "(?s)<!--.*?-->", ""), "\n"), lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(LINE_CUT))).otherwise(x))
     return stripped(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
@@ -213,9 +220,6 @@ def cited_indices(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.filter(F.transform(parts, stripped), lambda p: p.rlike(r"^\d+$")), lambda p: p.cast("int"))))
 
 
-CITATION_WARNING = "\n\n_(Lưu ý: một số trích dẫn không khớp với nguồn được truy xuất và đã được xóa.)_"
-
-
 def invalid_citations(answer: Column, n: Column) -> Column:
     return F.when((answer != "") & (n > 0), F.array_sort(F.array_distinct(F.filter(citation_numbers(answer), lambda x: (x < 1) | (x > n))))).otherwise(F.array().cast("array<int>"))
 
@@ -278,7 +282,7 @@ def redacted(message: Column) -> Column:
     hit = F.lit(False)
     for word in SECRETS:
         hit = hit | F.lower(message).contains(word)
-    return F.when(hit, "[REDACTED — contains sensitive data]").otherwise(message)
+    return F.when(hit, REDACTED).otherwise(message)
 
 
 def rejection(query: Column, session: Column) -> Column:

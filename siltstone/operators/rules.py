@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from siltstone.functions import text as T
 
 SCHEMA = "id string, topic string, keywords array<string>, so_hieu string, dieu_khoan string, source_url string, condition struct<type: string, field: string, operator: string, value: double, unit: string>, verdict_template struct<pass: string, fail: string>"
-MISSING = "Đã xác định tiêu chí liên quan (%s) nhưng không trích xuất được số liệu cụ thể từ câu hỏi. Vui lòng nêu rõ con số (ví dụ điểm số, phần trăm)."
-PREFIX = {"pass": "✅ **Đạt điều kiện.**", "fail": "❌ **Không đạt điều kiện.**"}
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
@@ -56,12 +54,12 @@ def verdicts(situations: DataFrame, criteria: DataFrame, vectors: bool = False)
     found = rows.join(c, "id", "left").withColumn("value", F.when(F.col("id").isNotNull(), T.situation_value(F.col("text"))))
     verdict = F.when(F.col("id").isNull(), "no_match").when(v.isNull(), "insufficient_info").otherwise(F.when(ok, "pass").otherwise("fail"))
     filled = F.replace(F.replace(F.when(F.col("verdict") == "pass", F.col("verdict_template.pass")).otherwise(F.col("verdict_template.fail")), F.lit("{dieu_khoan}"), F.col("dieu_khoan")), F.lit("{so_hieu}"), F.col("so_hieu"))
-    text = F.when(F.col("verdict") == "no_match", "").when(F.col("verdict") == "insufficient_info", F.format_string(MISSING, F.col("topic"))).otherwise(filled)
+    text = F.when(F.col("verdict") == "no_match", "").when(F.col("verdict") == "insufficient_info", F.format_string(T.VALUE_MISSING, F.col("topic"))).otherwise(filled)
     return found.withColumn("verdict", verdict).select("sit_id", F.coalesce("id", F.lit("")).alias("criterion_id"), "verdict", "value", text.alias("explanation"), "so_hieu", "dieu_khoan")
 
 
 def rendered(rows: DataFrame) -> DataFrame:
     """verdicts with answer: prefix, explanation and source line."""
     source = F.concat(F.lit("\n\n**Nguồn:** "), "so_hieu", F.lit(" — "), "dieu_khoan")
-    prefix = F.when(F.col("verdict") == "pass", PREFIX["pass"]).when(F.col("verdict") == "fail", PREFIX["fail"])
+    prefix = F.when(F.col("verdict") == "pass", T.VERDICT_PREFIX["pass"]).when(F.col("verdict") == "fail", T.VERDICT_PREFIX["fail"])
     return rows.withColumn("answer", F.when(prefix.isNotNull(), F.concat(prefix, F.lit(" "), "explanation", source)).otherwise(F.col("explanation")))

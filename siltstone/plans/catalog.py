@@ -411,7 +411,7 @@ _OK = "CASE op WHEN '>=' THEN value >= least WHEN '>' THEN value > least WHEN '<
 
 @query(f"""WITH {X.SITUATIONS_SQL}, v AS (SELECT sit_id, m.id, c.*, CASE WHEN m.id IS NOT NULL THEN {_VALUE.replace('text', 'm.text')} END AS value FROM matched m LEFT JOIN criteria c USING (id)), w AS (SELECT *, {_OK} AS ok FROM v)
 SELECT sit_id, coalesce(id, '') AS criterion_id, CASE WHEN id IS NULL THEN 'no_match' WHEN value IS NULL THEN 'insufficient_info' WHEN ok THEN 'pass' ELSE 'fail' END AS verdict, value,
-CASE WHEN id IS NULL THEN '' WHEN value IS NULL THEN replace('{rules.MISSING}', '%s', topic) ELSE replace(replace(CASE WHEN ok THEN yes ELSE no END, '{{dieu_khoan}}', dieu_khoan), '{{so_hieu}}', so_hieu) END AS explanation FROM w""")
+CASE WHEN id IS NULL THEN '' WHEN value IS NULL THEN replace('{T.VALUE_MISSING}', '%s', topic) ELSE replace(replace(CASE WHEN ok THEN yes ELSE no END, '{{dieu_khoan}}', dieu_khoan), '{{so_hieu}}', so_hieu) END AS explanation FROM w""")
 def compliance_verdict(spark, d):
     return rules.verdicts(X.situations(spark, d), X.criteria(spark)).drop("so_hieu", "dieu_khoan")
 
