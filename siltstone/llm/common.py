@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 #: Bytes of text that are turned into numpy arrays at once (each such byte costs about 40 bytes meanwhile).
 SLICE = 2 << 20
 PIECE = 1 << 20
+#: Rows of an Arrow batch while a table is written here.
+ROWS = 2048
 
 
 # --- work folders -------------------------------------------------------------------------------
@@ -47,7 +49,13 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def saved(df: DataFrame, path: str) -> DataFrame:
     """Writes df as Parquet and reads it again: lineage ends there and a lost executor loses nothing."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(min(int(before), ROWS)) if int(before) > 0 else str(ROWS))
+    try:
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    finally:
+        conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -94,17 +102,22 @@ def slices(texts: list[bytes | None]):
         yield first, len(texts)
 
 
-def text_runs(column: pa.Array, most: int = SLICE):
-    """(first, last + 1, texts as bytes) of runs of a column's texts that hold about `most` bytes; only one run at a time is in Python."""
-    column = column.cast(pa.binary())
-    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+def text_places(column: pa.Array, most: int = SLICE):
+    """(first, last + 1) of runs of a column's texts that hold about `most` bytes."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
     a = before = 0
     while a < len(column):
         b = max(a + 1, int(np.searchsorted(ends, before + most, "right")))
-        yield a, b, column.slice(a, b - a).to_pylist()
+        yield a, b
         a, before = b, int(ends[b - 1])
 
 
+def text_runs(column: pa.Array, most: int = SLICE):
+    """The same with the texts as bytes; only one run at a time is in Python."""
+    for a, b in text_places(column, most):
+        yield a, b, column.slice(a, b - a).cast(pa.binary()).to_pylist()
+
+
 def hashed_words(texts: list[bytes | None], lower: bool = True, ends: bool = False):
     """(hashes, offsets[, last three bytes]): 64-bit hashes of the words `[^\\x20\\x09-\\x0D]+` of all texts, A-Z lower-cased;
     those of text i are hashes[offsets[i]:offsets[i + 1]]. A hash is a polynomial over random values of the bytes, mixed."""

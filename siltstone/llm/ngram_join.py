@@ -1,9 +1,10 @@
 """N-gram Jaccard join by signature trees.
 
 A document's set holds the hashes of its distinct five-word shingles. Equal sets are one class (by a 128-bit sum), so copies are
-never compared. Two sets with Jaccard >= 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each in any order common
-to all; the order here is by hash, with the corpus's most frequent shingles last, so passages that many documents share open no
-large buckets. Classes that share such a shingle, and whose sizes allow it, form a bucket. In a bucket a signature tree is built: a
+never compared. Two sets with Jaccard >= 0.8 share three shingles (COMMON; all, if one has fewer) among the first
+n - ceil(0.8 n) + 3 of each in any order common to all; the order here is by hash, with the corpus's most frequent shingles last, so
+passages that many documents share open no large buckets. Classes that share such a shingle, and whose sizes allow it, form a
+bucket. Pairs in small buckets (SMALL) are counted: one that no large bucket holds must come up three times. In a large bucket a signature tree is built: a
 leaf entry holds a bitmap of a whole set and its size, a node the OR of the bitmaps below and their range of sizes. A traversal of
 node pairs drops those whose sizes or whose maximum possible overlap (common bits, and the shingles that share a bit) rule out a link.
 
@@ -40,6 +41,8 @@ OWNED = 100_000
 FILTER = 1 << 22
 FANOUT = 4
 EARLY = 8
+COMMON = 3
+SMALL = 4
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
 
@@ -66,7 +69,8 @@ def fingerprint(s: np.ndarray) -> bytes:
 
 
 def prefix_size(n: int) -> int:
-    return n - (4 * n + 4) // 5 + 1
+    """Two sets that are linked share at least min(n, COMMON) of each one's first so many shingles, in any order common to all."""
+    return min(n, n - (4 * n + 4) // 5 + COMMON)
 
 
 def bitmap(s: np.ndarray, each: int = 2) -> bytes:
@@ -153,7 +157,8 @@ def _prefixes(heavy, bits: int):
 
 
 def _buckets(batches):
-    """(bucket, fp, early): classes that share a prefix token and whose sizes allow a link; early: it is among a class's first."""
+    """Classes that share a prefix token and whose sizes allow a link: (bucket, fp, early) of large buckets, early telling that the token is
+    among a class's first; (fp, other, times) of the pairs in small ones."""
     state = {"next": TaskContext.get().partitionId() << 36}
 
     def answer(rows):
@@ -183,8 +188,9 @@ def _buckets(batches):
         soon = np.concatenate(([0], np.cumsum(early)))
         order = np.argsort(soon[start] - soon[start + count], kind="stable")  # of equal runs the one with most early places stays
         start, count = start[order], count[order]
-        runs = np.unique(np.stack((code[start + count] - code[start], count.astype(np.uint64)), 1), axis=0, return_index=True)[1] if len(start) else []
+        runs, times = np.unique(np.stack((code[start + count] - code[start], count.astype(np.uint64)), 1), axis=0, return_index=True, return_counts=True)[1:] if len(start) else ([], [])
         out_b, out_f, out_e = [], [], []
+        out_p, out_q, out_t = [], [], []
 
         def put(at):
             out_b.append(np.full(len(at), state["next"]))
@@ -192,8 +198,16 @@ def _buckets(batches):
             out_e.append(early[at])
             state["next"] += 1
 
-        for r in runs:
+        for r, w in zip(runs, times, strict=True):
             at = np.arange(start[r], start[r] + count[r])
+            if len(at) <= SMALL:
+                for i, j in ((i, j) for i in range(len(at)) for j in range(i + 1, len(at))):
+                    if 5 * size[at[i]] >= 4 * size[at[j]]:
+                        p, q = sorted((node[at[i]], node[at[j]]))  # nodes are in the order of their fps
+                        out_p.append(p)
+                        out_q.append(q)
+                        out_t.append(w)
+                continue
             if len(at) <= BUCKET:
                 put(at)
                 continue
@@ -203,22 +217,26 @@ def _buckets(batches):
                     if 5 * size_of(a[-1]) < 4 * size_of(b[0]):
                         break
                     put(np.concatenate((a, b)))
+        fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
+        out = []
         if out_b:
-            fp = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), sum(map(len, out_f)), [None, pa.py_buffer(np.concatenate(out_f).tobytes())]).cast(pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_b)), fp, pa.array(np.concatenate(out_e))], names=["bucket", "fp", "early"])
-        return None
+            fp = np.concatenate(out_f)
+            out.append([pa.array(np.concatenate(out_b)), fixed(fp), pa.array(np.concatenate(out_e)), pa.nulls(len(fp), pa.binary()), pa.nulls(len(fp), pa.int64())])
+        if out_p:
+            m = len(out_p)
+            out.append([pa.nulls(m, pa.int64()), fixed(kinds[out_p]), pa.nulls(m, pa.bool_()), fixed(kinds[out_q]), pa.array(out_t, pa.int64())])
+        return [pa.RecordBatch.from_arrays(x, names=["bucket", "fp", "early", "other", "times"]) for x in out]
 
     owner, rows = None, []
     for batch in batches:
         for o, *r in zip(*(batch.column(c).to_pylist() for c in ("owner", "tokens", "places", "early", "fps", "sizes")), strict=True):
             if o != owner and rows:
-                if (found := answer(rows)) is not None:
-                    yield found
+                yield from answer(rows)
                 rows = []
             owner = o
             rows.append(r)
-    if rows and (found := answer(rows)) is not None:
-        yield found
+    if rows:
+        yield from answer(rows)
 
 
 class Node:
@@ -416,10 +434,13 @@ def near_texts(docs: DataFrame) -> DataFrame:
     entries = classes.agg(F.coalesce(F.sum(F.expr("n div 5 + 1")), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, entries / OWNED))))
     dealt = texts.mapInArrow(_prefixes(heavy, bits), "owner int, tokens binary, places binary, early binary, fps binary, sizes binary").repartition(max(1, min(1 << bits, 100_000)), "owner").sortWithinPartitions("owner")
-    buckets = saved(dealt.mapInArrow(_buckets, "bucket long, fp binary, early boolean"), f"{path}/buckets")
+    shared = saved(dealt.mapInArrow(_buckets, "bucket long, fp binary, early boolean, other binary, times long"), f"{path}/buckets")
+    buckets = shared.where("bucket is not null").select("bucket", "fp", "early")
+    often = shared.where("bucket is null").groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(F.sum("times").alias("times"))
+    often = saved(often.where(F.col("times") >= COMMON).select("a", "b"), f"{path}/often")  # different sets of fewer shingles have no link
 
     together = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    active = saved(together(buckets.join(classes.select("fp", "n", "bits"), "fp")).mapInArrow(_active, "fp binary").distinct(), f"{path}/active")
+    active = saved(together(buckets.join(classes.select("fp", "n", "bits"), "fp")).mapInArrow(_active, "fp binary").union(often.select(F.explode(F.array("a", "b")))).distinct(), f"{path}/active")
     slot = F.expr(f"pmod(cast(conv(hex(substring(fp, 1, 4)), 16, 10) as long), {FILTER})")
     slots = active.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FILTER numbers at most
     chosen = np.zeros(FILTER // 8, np.uint8)
@@ -439,7 +460,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
 
     pair, sizes = "a binary, b binary", full.select("fp", "n", "bits")
     found = together(live.where("early").select("bucket", "fp").join(sizes, "fp")).withColumn("part", F.lit(None).cast("long"))
-    tested = saved(found.mapInArrow(_search(True), pair).distinct(), f"{path}/first-pairs")
+    tested = saved(found.mapInArrow(_search(True), pair).union(often).distinct(), f"{path}/first-pairs")
     first = verify(tested, "first")
     parts = connected(first, "first")
     known = active.join(classes.select("fp", "rep"), "fp").join(parts, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("part"))
