@@ -82,8 +82,9 @@ def _nfc(text: Column) -> Column:
 
 
 def nfc(text: Column) -> Column:
-    """Canonical composition; Python sees the rows that hold combining or compatibility characters only."""
-    return F.when(text.rlike(r"[^\u0000-˿Ḁ-ỿ‐-‧​﻿─]"), _nfc(text)).otherwise(text)
+    """Canonical composition; only the texts with combining or compatibility characters are sent to Python (it gets null for others)."""
+    odd = text.rlike(r"[^\u0000-\u02ff\u1e00-\u1eff\u2010-\u2027\u200b\ufeff\u2500]")
+    return F.coalesce(_nfc(F.when(odd, text)), text)
 
 
 def normalized(text: Column) -> Column:
@@ -156,7 +157,7 @@ def packed(parts: Column, most: int, joint: str = "") -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-case words of letters, digits and underscores, in order."""
-    return F.filter(F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}_\s]", " "), r"\s+"), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
 def token_f1(a: Column, b: Column) -> Column:

@@ -120,10 +120,13 @@ STRATEGIES = {"bm25_only": lambda q, d: bm25(q, d, SINGLE), "dense_only": lambda
 
 
 def ablation(questions: DataFrame, docs: DataFrame, strategies=tuple(STRATEGIES)) -> DataFrame:
-    """(strategy, item_id, doc_id, rank, score) of all strategies."""
+    """(strategy, item_id, doc_id, rank, score) of all strategies. The two ranked lists, POOL rows a question, are made once."""
+    sparse, near = bm25(questions, docs, POOL).persist(), dense(questions, docs, POOL).persist()
+    both = fused([sparse, near], POOL)
+    runs = {"bm25_only": sparse.where(F.col("rank") <= SINGLE), "dense_only": near.where(F.col("rank") <= SINGLE), "hybrid": both.where(F.col("rank") <= TOP), "hybrid_rerank": reranked(both, questions, docs)}
     out = None
     for name in strategies:
-        rows = STRATEGIES[name](questions, docs).withColumn("strategy", F.lit(name))
+        rows = runs[name].withColumn("strategy", F.lit(name))
         out = rows if out is None else out.unionByName(rows)
     return out
 
