@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -31,9 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_watched: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def watched():
+    """Collects the work folders that are made meanwhile."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.remove(made)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the driver ends."""
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(path)
     atexit.register(remove, spark, path)
     return path
 

@@ -8,7 +8,7 @@ bucket. Pairs in small buckets (SMALL) are counted: one that no large bucket hol
 leaf entry holds a bitmap of a whole set and its size, a node the OR of the bitmaps below and their range of sizes. A traversal of
 node pairs drops those whose sizes or whose maximum possible overlap (common bits, and the shingles that share a bit) rule out a link.
 
-A first traversal finds the classes that have any partner the bounds leave; only their full sets are fetched, with finer bitmaps. A
+A first traversal finds the entries that have any partner in their bucket which the bounds leave; only their full sets are fetched, with finer bitmaps. A
 second one, over the buckets of each set's first shingles (rare and frequent ones), keeps a spanning forest of what is left in each task; its pairs are verified on
 the full sets. A third one, over all buckets that hold several components, passes over pairs and nodes of one component and has every other
 pair that the bounds leave verified. So no link between two components is missed, and a large group of near copies is never
@@ -320,7 +320,7 @@ def _by_bucket(batches, columns):
     """Lists of a bucket's rows."""
     bucket, items = None, []
     for batch in batches:
-        for b, *item in zip(*(batch.column(c).to_pylist() for c in ("bucket", *columns)), strict=True):
+        for b, *item in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
             if b != bucket and items:
                 yield items
                 items = []
@@ -330,24 +330,23 @@ def _by_bucket(batches, columns):
         yield items
 
 
-def _active(batches):
-    """fps that have a partner which the bounds leave. A pair of nodes whose entries all have one already tells nothing new."""
-    active, sent = set(), set()
-    for items in _by_bucket(batches, ("fp", "n", "bits")):
-        if len(items) < 2 or all(i[0] in active for i in items):
-            continue
+def _live(batches):
+    """(bucket, fp, early) of the entries that have a partner in the bucket which the bounds leave. A pair of nodes whose entries all
+    have one already tells nothing new."""
+    for items in _by_bucket(batches, ("fp", "n", "bits", "early", "bucket")):
+        found: set[int] = set()
 
-        def done(x, items=items):
-            if x.part is None and (all(map(done, x.below)) if x.below else items[x.item][0] in active):
+        def done(x, found=found):
+            if x.part is None and (all(map(done, x.below)) if x.below else x.item in found):
                 x.part = True  # stays so
             return x.part is True
 
-        for i, j in traverse(tree([(*i, None) for i in items]), lambda x, y: done(x) and done(y)):
-            active.update((items[i][0], items[j][0]))
-        if len(active) - len(sent) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(active - sent), pa.binary())], names=["fp"])
-            sent |= active
-    yield pa.RecordBatch.from_arrays([pa.array(list(active - sent), pa.binary())], names=["fp"])
+        if len(items) > 1:
+            for pair in traverse(tree([(*i[:3], None) for i in items]), lambda x, y: done(x) and done(y)):
+                found.update(pair)
+        if found:
+            kept = [items[i] for i in sorted(found)]
+            yield pa.RecordBatch.from_arrays([pa.array([i[4] for i in kept], pa.int64()), pa.array([i[0] for i in kept], pa.binary()), pa.array([i[3] for i in kept], pa.bool_())], names=["bucket", "fp", "early"])
 
 
 def _search(forest: bool):
@@ -401,7 +400,7 @@ def _wanted(chosen):
                             seen.add(fp)
                             fps.append(fp)
                             sets.append(s.tobytes())
-                            wide.append(bitmap(s, 8))
+                            wide.append(bitmap(s, 4))
                 if fps:
                     yield pa.RecordBatch.from_arrays([pa.array(fps, pa.binary()), pa.array([len(x) // 8 for x in sets], pa.int32()), pa.array(wide, pa.binary()), pa.array(sets, pa.binary())], names=["fp", "n", "bits", "hashes"])
 
@@ -440,14 +439,15 @@ def near_texts(docs: DataFrame) -> DataFrame:
     often = saved(often.where(F.col("times") >= COMMON).select("a", "b"), f"{path}/often")  # different sets of fewer shingles have no link
 
     together = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    active = saved(together(buckets.join(classes.select("fp", "n", "bits"), "fp")).mapInArrow(_active, "fp binary").union(often.select(F.explode(F.array("a", "b")))).distinct(), f"{path}/active")
+    counted = often.withColumn("bucket", F.expr("-1 - monotonically_increasing_id()")).select("bucket", F.explode(F.array("a", "b")).alias("fp"), F.lit(True).alias("early"))  # a bucket for each pair
+    live = saved(together(buckets.union(counted).join(classes.select("fp", "n", "bits"), "fp")).mapInArrow(_live, "bucket long, fp binary, early boolean"), f"{path}/live")
+    active = saved(live.select("fp").distinct(), f"{path}/active")
     slot = F.expr(f"pmod(cast(conv(hex(substring(fp, 1, 4)), 16, 10) as long), {FILTER})")
     slots = active.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FILTER numbers at most
     chosen = np.zeros(FILTER // 8, np.uint8)
     np.bitwise_or.at(chosen, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
     full = texts.mapInArrow(_wanted(spark.sparkContext.broadcast(chosen.tobytes())), "fp binary, n int, bits binary, hashes binary")
     full = saved(full.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "hashes"))).join(active, "fp", "left_semi"), f"{path}/full")
-    live = saved(buckets.join(active, "fp", "left_semi"), f"{path}/live")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda s: full.select(F.col("fp").alias(s), F.col("hashes").alias(f"hashes_{s}"))
@@ -460,7 +460,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
 
     pair, sizes = "a binary, b binary", full.select("fp", "n", "bits")
     found = together(live.where("early").select("bucket", "fp").join(sizes, "fp")).withColumn("part", F.lit(None).cast("long"))
-    tested = saved(found.mapInArrow(_search(True), pair).union(often).distinct(), f"{path}/first-pairs")
+    tested = saved(found.mapInArrow(_search(True), pair).distinct(), f"{path}/first-pairs")
     first = verify(tested, "first")
     parts = connected(first, "first")
     known = active.join(classes.select("fp", "rep"), "fp").join(parts, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("part"))
