@@ -1,14 +1,17 @@
 """A corpus from raw documents: languages, copies, near copies, a mix of sources, token ids.
 
-Every stage takes the rows its predecessor kept and returns the columns of documents, the last one token ids. run() writes what a
-stage returns as Parquet in the shared folder and reads it again.
+Every stage takes the rows its predecessor kept and returns the columns of documents, the last one token ids. What a stage returns is
+written as Parquet and read again before the next one is called (run() does it in the shared folder), so a stage first removes the work
+folders that its predecessor left.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.llm.common import saved, work_dir
+from siltstone.llm.common import remove, saved, watched, work_dir
 from siltstone.llm.exact_dedup import exact_deduplicated
 from siltstone.llm.language_id import known_language
 from siltstone.llm.mixing import mixed
@@ -16,26 +19,47 @@ from siltstone.llm.ngram_join import near_deduplicated
 from siltstone.llm.sentencepiece_codec import encode, model_bytes
 
 
+_left: list[str] = []
+
+
+def _stage(f):
+    @functools.wraps(f)
+    def run_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _left:
+            remove(spark, _left.pop())
+        with watched() as made:
+            out = f(spark, docs, sf_dir)
+        _left.extend(made)
+        return out
+
+    return run_one
+
+
+@_stage
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the models accept."""
     return known_language(docs)
 
 
+@_stage
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that are equal without white space, the longest."""
     return exact_deduplicated(docs)
 
 
+@_stage
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of near copies, linked directly or over others, the one with the smallest doc_id."""
     return near_deduplicated(docs)
 
 
+@_stage
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of the sources takes them, whole."""
     return mixed(docs)
 
 
+@_stage
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, lang, ids and n_tokens; round_trip tells that the ids decode to the text."""
     return encode(docs.select("doc_id", "source", "lang", "text"), model_bytes(), keep=["doc_id", "source", "lang"], check=True)
