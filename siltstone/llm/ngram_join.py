@@ -40,7 +40,7 @@ HEAVY = 1 << 16
 OWNED = 100_000
 FILTER = 1 << 22
 FANOUT = 4
-EARLY = 8
+EARLY = 3
 COMMON = 3
 SMALL = 4
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
