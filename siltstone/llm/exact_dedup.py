@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import saved, work_dir
+from siltstone.llm.common import saved, trimmed, work_dir
 
 _WHITE = b" \t\n\x0b\x0c\r"
 _SEGMENT = "sha binary, doc_id long, n_points long, mark long, tag long, text binary, n long, best_points long, best_id long, best_tag long"
@@ -125,7 +125,7 @@ def build_index(docs: DataFrame, capacity: int = 512, most_bits: int = 18) -> tu
     """(segments, index), both tables in the shared folder. capacity: distinct keys of a bucket; most_bits bounds the directory."""
     spark = docs.sparkSession
     path = work_dir(spark, "exact")
-    segments = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("mark")).mapInArrow(_segments, _SEGMENT), f"{path}/segments")
+    segments = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("mark")).mapInArrow(trimmed(_segments), _SEGMENT), f"{path}/segments")
     prefix = F.expr(f"cast(conv(hex(substring(sha, 1, 3)), 16, 10) as int) div {1 << (24 - most_bits)}")
     found = segments.select("sha").distinct().groupBy(prefix.alias("p")).count().toPandas()  # at most 2**most_bits rows
     counts = np.zeros(1 << most_bits, np.int64)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, hashed_words, mix, saved, text_runs, work_dir
+from siltstone.llm.common import components, hashed_words, mix, saved, text_runs, trimmed, work_dir
 
 SHINGLE = 5
 BUCKET = 2048
@@ -425,14 +425,14 @@ def near_texts(docs: DataFrame) -> DataFrame:
     path = work_dir(spark, "ngrams")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = rows.select("text").where("text is not null")
-    sets = saved(rows.mapInArrow(_sets, _SETS), f"{path}/sets")
+    sets = saved(rows.mapInArrow(trimmed(_sets), _SETS), f"{path}/sets")
     found = sets.where("kind = 1").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(HEAVY).select("token").toPandas()
     heavy = spark.sparkContext.broadcast(np.sort(found["token"].to_numpy(np.int64).view(np.uint64)))  # HEAVY numbers at most; any list gives the same links
     classes = sets.where("kind = 0 and fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"))
     classes = saved(classes, f"{path}/classes")
     entries = classes.agg(F.coalesce(F.sum(F.expr("n div 5 + 1")), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, entries / OWNED))))
-    dealt = texts.mapInArrow(_prefixes(heavy, bits), "owner int, tokens binary, places binary, early binary, fps binary, sizes binary").repartition(max(1, min(1 << bits, 100_000)), "owner").sortWithinPartitions("owner")
+    dealt = texts.mapInArrow(trimmed(_prefixes(heavy, bits)), "owner int, tokens binary, places binary, early binary, fps binary, sizes binary").repartition(max(1, min(1 << bits, 100_000)), "owner").sortWithinPartitions("owner")
     shared = saved(dealt.mapInArrow(_buckets, "bucket long, fp binary, early boolean, other binary, times long"), f"{path}/buckets")
     buckets = shared.where("bucket is not null").select("bucket", "fp", "early")
     often = shared.where("bucket is null").groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(F.sum("times").alias("times"))
@@ -446,7 +446,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
     slots = active.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FILTER numbers at most
     chosen = np.zeros(FILTER // 8, np.uint8)
     np.bitwise_or.at(chosen, slots >> 3, (1 << (slots & 7)).astype(np.uint8))
-    full = texts.mapInArrow(_wanted(spark.sparkContext.broadcast(chosen.tobytes())), "fp binary, n int, bits binary, hashes binary")
+    full = texts.mapInArrow(trimmed(_wanted(spark.sparkContext.broadcast(chosen.tobytes()))), "fp binary, n int, bits binary, hashes binary")
     full = saved(full.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "hashes"))).join(active, "fp", "left_semi"), f"{path}/full")
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:

@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import SLICE
+from siltstone.llm.common import SLICE, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHED = 600_000
+CACHED = 250_000
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
@@ -243,7 +243,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "ids",
                     out.append(pa.array([None if t is None else p.decode(x.tolist()) == t.replace(MARK, " ") for t, x in zip(texts, found, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(trimmed(run), schema)
 
 
 def decode(docs: DataFrame, model: bytes, ids: str = "ids", text: str = "text") -> DataFrame:
