@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import retrieval
+from siltstone.operators import retrieval, tables
 
 CHUNK_CHARS, TOTAL_CHARS = 3000, 15000
 JUDGE_CHUNKS, JUDGE_CHARS, JUDGE_TOTAL = 12, 250, 2500
@@ -72,7 +72,7 @@ def retried(questions: DataFrame, docs: DataFrame, retrieve=retrieval.bm25, gate
             unsure = state.join(graded.where("grade = 'judge'"), "item_id", "left_semi")
             said = judge(unsure).select("item_id", F.when(F.col("relevant"), "relevant").otherwise("irrelevant").alias("said"))
             graded = graded.join(said, "item_id", "left").select("item_id", F.coalesce("said", "grade").alias("grade"))
-        graded = state.join(graded, "item_id").withColumn("grade", F.when(F.col("grade") == "judge", "relevant").otherwise(F.col("grade")))
+        graded = tables.cut(state.join(graded, "item_id").withColumn("grade", F.when(F.col("grade") == "judge", "relevant").otherwise(F.col("grade"))))  # a row a question
         ended = graded if turn == RETRIES else graded.where("grade = 'relevant'")
         rows = ended.select("item_id", "query", F.lit(turn).alias("retries"), "grade")
         out = rows if out is None else out.unionByName(rows)
