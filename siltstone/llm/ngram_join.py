@@ -408,7 +408,8 @@ def _wanted(chosen):
 
 
 def _verified(batches):
-    for batch in batches:
+    """Pairs that are linked, on the full sets; a few rows at a time are in Python."""
+    for batch in (whole.slice(i, 32) for whole in batches for i in range(0, len(whole), 32)):
         a, b = [], []
         for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "hashes_a", "hashes_b")), strict=True):
             s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
@@ -416,7 +417,8 @@ def _verified(batches):
             if 100 * common >= 80 * (len(s) + len(t) - common):
                 a.append(x)
                 b.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
 def near_texts(docs: DataFrame) -> DataFrame:
@@ -451,7 +453,7 @@ def near_texts(docs: DataFrame) -> DataFrame:
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
         side = lambda s: full.select(F.col("fp").alias(s), F.col("hashes").alias(f"hashes_{s}"))
-        return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_verified, "a binary, b binary"), f"{path}/{name}-links")
+        return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(trimmed(_verified), "a binary, b binary"), f"{path}/{name}-links")
 
     def connected(links: DataFrame, name: str) -> DataFrame:
         rep = lambda s: classes.select(F.col("fp").alias(s), F.col("rep").alias(f"rep_{s}"))
