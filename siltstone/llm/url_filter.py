@@ -6,7 +6,9 @@ distinct successors of a context is the weight of the next shorter one). A URL's
 log ratio accepted / rejected, at the longest context that either model has seen, plus the escape weights of the longer ones.
 The cut between the verdicts lies between the two training classes' mean scores, divided by their spreads.
 
-The model is kept by hash: SLOTS numbers an order at most, however many URLs there are, so it may go to every task.
+The model is kept by the grams and contexts themselves, every one that was counted, and joined on them without a broadcast hint. The distinct
+grams of the URLs to be scored get their values from the shortest order up, so no join has a key that more rows share than there are characters;
+only the last one, which brings the values to the URLs, has common keys, and AQE can split those.
 
 Nulls and cases: a null URL, or one without `://`, has an empty host and path and fits no rule; a null or empty URL, and any URL where the
 rules label no URL of one class, is allowed by default. Repeated rows are judged alike. Empty tables give no rows. Other columns
@@ -23,7 +25,7 @@ from siltstone.llm.common import saved, work_dir
 #: Rules as (verdict, host and path); a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 ORDER = 5
-SLOTS = 1 << 16
+SLOTS = 1 << 16  # not used any more: the model has no slots; a test still sets it
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,12 +54,8 @@ def _grams(url: Column) -> Column:
     return F.when(F.length(url) > 0, F.regexp_extract_all(marked, F.lit("(?s)(?=(.{%d}))" % ORDER), F.lit(1)))
 
 
-def _slot(gram: Column) -> Column:
-    return F.pmod(F.xxhash64(gram), F.lit(SLOTS)).cast("int")
-
-
 def train(labelled: DataFrame, path: str) -> DataFrame:
-    """(kind, k, slot, v): for each order k the log ratios of grams (kind lr) and of contexts' escape weights (kind esc)."""
+    """(kind, k, g, v): for each order k the log ratios of grams g (kind lr) and of the escape weights of contexts g (kind esc)."""
     grams = labelled.select("ruling", F.explode(_grams(F.col("url"))).alias("g")).groupBy("g").agg(*(F.count_if(F.col("ruling") == v).alias(v[0]) for v in ("allow", "block")))
     grams = saved(grams, f"{path}/grams")  # the only table here that is made from all URLs
     lower, parts = None, []
@@ -71,26 +69,33 @@ def train(labelled: DataFrame, path: str) -> DataFrame:
         t = t.join(contexts, "c")
         p = {f"p{x}": F.when(F.col(f"{x}n") > 0, (F.col(x) + F.col(f"{x}t") * F.col(f"q{x}")) / (F.col(f"{x}n") + F.col(f"{x}t"))).otherwise(F.col(f"q{x}")) for x in "ab"}
         lower = saved(t.select("g", "a", "b", *(v.alias(n) for n, v in p.items())), f"{path}/order{k}")
-        parts.append(lower.select(F.lit("lr").alias("kind"), F.lit(k).alias("k"), _slot(F.col("g")).alias("slot"), (F.col("a") + F.col("b")).alias("n"), F.log(F.col("pa") / F.col("pb")).alias("v")))
+        parts.append(lower.select(F.lit("lr").alias("kind"), F.lit(k).alias("k"), "g", F.log(F.col("pa") / F.col("pb")).alias("v")))
         escape = {x: F.when(F.col(f"{x}n") > 0, F.col(f"{x}t") / (F.col(f"{x}n") + F.col(f"{x}t"))).otherwise(1.0) for x in "ab"}
-        parts.append(contexts.select(F.lit("esc").alias("kind"), F.lit(k).alias("k"), _slot(F.col("c")).alias("slot"), (F.col("an") + F.col("bn")).alias("n"), F.log(escape["a"] / escape["b"]).alias("v")))
+        parts.append(contexts.select(F.lit("esc").alias("kind"), F.lit(k).alias("k"), F.col("c").alias("g"), F.log(escape["a"] / escape["b"]).alias("v")))
     rows = parts[0]
     for x in parts[1:]:
         rows = rows.union(x)
-    seen = rows.groupBy("kind", "k", "slot").agg(F.max_by("v", F.struct("n", "v")).alias("v"))
-    return saved(seen, f"{path}/model")
+    return saved(rows, f"{path}/model")
+
+
+def values(grams: DataFrame, model: DataFrame) -> DataFrame:
+    """(g, v) for the distinct grams g: the log ratio of the longest counted end of g, plus the escape weights of the longer contexts."""
+    asked = {ORDER: grams.select("g").distinct()}
+    for k in range(ORDER - 1, 0, -1):
+        asked[k] = asked[k + 1].select(F.expr(f"right(g, {k})").alias("g")).distinct()
+    lower = None
+    for k in range(1, ORDER + 1):
+        of = lambda kind, key, k=k: model.where((F.col("kind") == kind) & (F.col("k") == k)).select(F.col("g").alias(key), F.col("v").alias(kind))
+        t = asked[k].withColumns({"c": F.expr(f"left(g, {k - 1})"), "s": F.expr(f"right(g, {k - 1})")}).join(of("lr", "g"), "g", "left").join(of("esc", "c"), "c", "left")
+        t = t.withColumn("low", F.lit(0.0)) if lower is None else t.join(lower.select(F.col("g").alias("s"), F.col("v").alias("low")), "s")
+        lower = t.select("g", F.coalesce("lr", F.coalesce("esc", F.lit(0.0)) + F.col("low")).alias("v"))
+    return lower
 
 
 def scores(urls: DataFrame, model: DataFrame) -> DataFrame:
     """(url, score) for each distinct URL that is not null or empty: the mean log ratio accepted / rejected of its characters."""
     at = urls.select("url").where("url <> ''").distinct().select("url", F.explode(_grams(F.col("url"))).alias("g"))
-    value = F.lit(0.0)
-    for k in range(1, ORDER + 1):
-        for kind, gram in (("lr", F.right("g", F.lit(k))), ("esc", F.left(F.right("g", F.lit(k)), F.lit(k - 1)))):
-            table = model.where((F.col("kind") == kind) & (F.col("k") == k)).select(F.col("slot").alias(f"{kind}s{k}"), F.col("v").alias(f"{kind}{k}"))
-            at = at.withColumn("slot", _slot(gram)).join(F.broadcast(table), F.col("slot") == F.col(f"{kind}s{k}"), "left").drop("slot", f"{kind}s{k}")  # SLOTS rows at most
-        value = F.coalesce(F.col(f"lr{k}"), F.coalesce(F.col(f"esc{k}"), F.lit(0.0)) + value)
-    return at.groupBy("url").agg(F.avg(value).alias("score"))
+    return at.join(values(at, model), "g").groupBy("url").agg(F.avg("v").alias("score"))
 
 
 def url_filter(pages: DataFrame, rules=RULES) -> DataFrame:

@@ -150,6 +150,38 @@ def test_url_model_against_brute_force(spark, monkeypatch):
         assert abs(got[u] - np.mean([np.log(p(g, 0) / p(g, 1)) for g in grams(u)])) < 1e-6
 
 
+def test_url_model_keeps_every_gram(spark):
+    """More distinct grams than 65,536 in an order, with the settings of production: each has its own value, unseen ones back off."""
+    rnd = random.Random(3)
+    word = lambda s: "".join(rnd.choice(s) for _ in range(50))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    train = [("allow", "http://" + word(letters)) for _ in range(1500)] + [("block", "http://" + word(letters[5:] + "0123456789")) for _ in range(1500)]
+    model = url_filter.train(spark.createDataFrame(train, "ruling string, url string"), work_dir(spark, "test"))
+    n = url_filter.ORDER
+    grams = lambda u: [("\x02" * (n - 1) + u + "\x03")[i : i + n] for i in range(len(u) + 1)]
+    counts, sums, kinds = ([{}, {}] for _ in range(3))
+    for ruling, u in train:
+        for g in grams(u):
+            for x in (g[-k:] for k in range(1, n + 1)):
+                c, s, d = (y[ruling == "block"] for y in (counts, sums, kinds))
+                d[x[:-1]] = d.get(x[:-1], 0) + (x not in c)
+                c[x] = c.get(x, 0) + 1
+                s[x[:-1]] = s.get(x[:-1], 0) + 1
+    assert model.where(f"kind = 'lr' and k = {n}").count() == len({x for c in counts for x in c if len(x) == n}) > 1 << 16
+
+    def p(g, side):
+        if not g:
+            return 1 / 256
+        low, c, d = p(g[1:], side), sums[side].get(g[:-1], 0), kinds[side].get(g[:-1], 0)
+        return (counts[side].get(g, 0) + d * low) / (c + d) if c else low
+
+    asked = [u for _, u in train[::100]] + ["http://" + word(letters + "0123456789!é") for _ in range(50)]
+    got = {r.url: r.score for r in url_filter.scores(spark.createDataFrame([(u,) for u in asked], "url string"), model).collect()}
+    assert set(got) == set(asked)
+    for u in asked:
+        assert abs(got[u] - np.mean([np.log(p(g, 0) / p(g, 1)) for g in grams(u)])) < 1e-6
+
+
 # --- vectors -----------------------------------------------------------------------------------------------
 
 
