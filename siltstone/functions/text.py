@@ -316,3 +316,33 @@ def judge_reply(raw: Column) -> Column:
     """struct(relevant, reason) of a judge's JSON reply; null where there is none."""
     reply = F.from_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")), "relevant boolean, reason string")
     return F.when(reply.isNotNull(), F.struct(F.coalesce(reply["relevant"], F.lit(False)).alias("relevant"), F.substring(F.coalesce(reply["reason"], F.lit("")), 1, 200).alias("reason")))
+
+
+# --- stored rows ------------------------------------------------------------------------------------
+
+#: Where the second chunker cuts.
+ANY_ARTICLE = r"(?iU)(?=Điều\s+\d+[.:])"
+#: Keys of a stored payload that are the store's own, besides those that begin with an underscore.
+INTERNAL = ("document_id", "doc_id", "ref_doc_id")
+
+
+def short_timestamp(stamp: Column) -> Column:
+    """dd/MM HH:mm:ss of an ISO timestamp's text; the first 19 characters where it has another form."""
+    return F.regexp_replace(F.substring(stamp, 1, 19), r"(?s)^([^T-]*)-([^T-]*)-([^T-]*)T([^T]*)\z", "$3/$2 $4")
+
+
+def public_metadata(metadata: Column, internal=()) -> Column:
+    """A map without keys that begin with an underscore and those in internal; null counts as empty."""
+    kept = F.map_filter(metadata, lambda k, v: ~k.startswith("_") & ~k.isin(*internal))
+    return F.coalesce(kept, F.create_map().cast("map<string,string>"))
+
+
+def payload_text(payload: Column) -> Column:
+    """The text in a payload's node, which is JSON; empty where it has none or is not JSON."""
+    return F.coalesce(F.from_json(payload["_node_content"], "text string")["text"], F.lit(""))
+
+
+def score_scales(cosine: Column) -> dict[str, Column]:
+    """The scales of the two stores and of the ablation, from a cosine: distance is 1 - cosine."""
+    distance = 1 - cosine
+    return {"similarity": cosine, "inverse_distance": 1 / (1 + distance), "one_less_distance": 1 - distance}

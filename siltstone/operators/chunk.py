@@ -9,6 +9,7 @@ from siltstone.functions import text as T
 
 SHORTEST, LONGEST, WINDOW = 50, 4000, 800
 ARTICLE_HEADER, WINDOW_HEADER = 120, 80
+SECOND_SHORTEST = 30
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -26,6 +27,15 @@ def chunks(docs: DataFrame) -> DataFrame:
     return one.unionByName(two).select("doc_id", (F.col("n") * 10000 + F.col("m")).cast("long").alias("chunk_index"), "strategy", "text", "header", F.col("clause_count").cast("long").alias("clause_count"), F.col("char_count").cast("long").alias("char_count"))
 
 
+def second_chunks(docs: DataFrame) -> DataFrame:
+    """(doc_id, chunk_index, text, header) of docs (doc_id, text) by the corpus expander's chunker: cut before every article in any case,
+    what stands before the first one is kept. An index counts the pieces that are not blank, also those too short to be kept. The
+    reference's window of words is only for texts without such a piece, which have no words either."""
+    parts = F.filter(F.transform(F.split("text", T.ANY_ARTICLE), T.stripped), lambda p: p != "")
+    rows = docs.select("doc_id", F.posexplode(parts).alias("chunk_index", "text")).where(F.length("text") >= SECOND_SHORTEST)
+    return rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "text", F.substring(F.split("text", "\n")[0], 1, ARTICLE_HEADER).alias("header"))
+
+
 def valid(rows: DataFrame) -> DataFrame:
     return rows.where(F.length("text") >= SHORTEST)
 

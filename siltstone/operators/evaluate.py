@@ -27,6 +27,20 @@ def hit_rate_and_mrr(judged: DataFrame, questions: DataFrame, by: str = "strateg
     return found.groupBy(by).agg(F.count("*").alias("n_items"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 
+def context_counts(found: DataFrame, questions: DataFrame, by: str = "strategy") -> DataFrame:
+    """(by, avg_chunks, items_with_context) over all questions asked; one without any result counts as 0 chunks."""
+    sizes = found.groupBy(by, "item_id").agg(F.count("*").alias("n"))
+    every = found.select(by).distinct().join(questions.select("item_id").distinct())
+    rows = every.join(sizes, [by, "item_id"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return rows.groupBy(by).agg(F.round(F.avg("n"), 1).alias("avg_chunks"), F.count_if(F.col("n") > 0).alias("items_with_context"))
+
+
+def judge_means(judged: DataFrame, metrics: list[str]) -> DataFrame:
+    """One row: the mean of each metric over the rows where it is neither null nor NaN; NaN where there is none."""
+    scored = lambda m: F.round(F.nanvl(F.col(m), F.lit(None).cast("double")), 4)
+    return judged.agg(*(F.coalesce(F.round(F.avg(scored(m)), 4), F.lit(float("nan"))).alias(m) for m in metrics))
+
+
 def deltas(metrics: DataFrame, value: str, by: str = "strategy") -> DataFrame:
     """(delta, pct): percent from one strategy to another; null where either is missing or 0."""
     at = lambda s: F.max(F.when(F.col(by) == s, F.col(value)))

@@ -33,12 +33,13 @@ def matched(situations: DataFrame, criteria: DataFrame) -> DataFrame:
 
 
 def by_vector(situations: DataFrame, criteria: DataFrame, least: float = 0.45) -> DataFrame:
-    """(sit_id, id): the rule whose topic is nearest by hashed vectors, at a cosine of at least `least`."""
+    """(sit_id, id): the rule whose topic is nearest by hashed vectors (the first of equals), at a cosine of at least `least`."""
     from siltstone.operators.retrieval import embedded
 
     topics = embedded(criteria.select("id", F.col("topic").alias("text")), "id").withColumnRenamed("w", "v")
     near = embedded(situations.select("sit_id", "text"), "sit_id").join(topics, "dim").groupBy("sit_id", "id").agg(F.round(F.sum(F.col("w") * F.col("v")), 8).alias("score")).where(F.col("score") >= least)
-    order = Window.partitionBy("sit_id").orderBy(F.desc("score"), "id")
+    near = near.join(criteria.select("id", "position"), "id")
+    order = Window.partitionBy("sit_id").orderBy(F.desc("score"), "position")
     return near.withColumn("r", F.row_number().over(order)).where("r = 1").select("sit_id", "id")
 
 

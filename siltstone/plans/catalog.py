@@ -174,6 +174,12 @@ def chunk_fallback_pack(spark, d):
     return chunk.chunks(docs)
 
 
+@query(f"""WITH {X.MIXED_DOCS}, parts AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '(?i)(Điều\\s+\\d+[.:])', chr(1) || '\\1', 'g'), chr(1)), lambda x: {_STRIP.format('x')}), lambda x: x <> '') AS p FROM mixed_docs),
+rows AS (SELECT doc_id, unnest(p) AS text, unnest(range(len(p))) AS chunk_index FROM parts) SELECT doc_id, chunk_index, text, string_split(text, chr(10))[1][1:120] AS header FROM rows WHERE length(text) >= 30""")
+def chunk_second(spark, d):
+    return chunk.second_chunks(X.mixed_docs(spark, d))
+
+
 @query(f"WITH {X.ARTICLE_DOCS}, {_PIECES} SELECT doc_id, count(*) AS n_articles, sum(len(regexp_extract_all(article, '\\n\\d+\\.\\s')))::BIGINT AS n_clauses FROM kept GROUP BY doc_id")
 def clause_counts(spark, d):
     rows = X.article_docs(spark, d).select("doc_id", F.explode(T.articles(F.col("text"))).alias("a")).select("doc_id", T.stripped(F.col("a")).alias("a")).where(F.length("a") >= 50)
@@ -284,6 +290,33 @@ def registry_counts(spark, d):
     return tables.registry(rows.join(X.table(spark, d, "documents").select("doc_id", "source"), "doc_id"))
 
 
+_PUBLIC = "['a_b=_kept', 'source=' || coalesce(source, '~')]"
+
+
+def _pairs(metadata):
+    """A map as sorted texts key=value."""
+    return F.array_sort(F.transform(F.map_entries(metadata), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("~")))))
+
+
+@query(f"SELECT doc_id, text, CASE WHEN doc_id % 3 <> 0 THEN n_chars / 1000 ELSE 0.0 END::DOUBLE AS score, list_sort(['doc_id=' || doc_id, 'document_id=' || doc_id, 'ref_doc_id=r'] || {_PUBLIC}) AS metadata FROM documents")
+def node_chunks(spark, d):
+    """Nodes as chunks: a missing score is 0, keys that begin with an underscore go."""
+    return X.payloads(spark, d).select("doc_id", "text", F.coalesce("score", F.lit(0.0)).alias("score"), _pairs(T.public_metadata(F.col("payload"))).alias("metadata"))
+
+
+@query(f"SELECT doc_id, text, {_PUBLIC} AS metadata FROM documents WHERE doc_id % 5 NOT IN (0, 1) AND text <> ''")
+def payload_flatten(spark, d):
+    """Stored points with a text, without the store's own keys."""
+    rows = X.payloads(spark, d).select("doc_id", T.payload_text(F.col("payload")).alias("text"), _pairs(T.public_metadata(F.col("payload"), T.INTERNAL)).alias("metadata"))
+    return rows.where("text <> ''")
+
+
+@query(f"WITH {_BASE} SELECT item_id, doc_id, round(score, 6) AS similarity, round(1 / (2 - score), 6) AS inverse_distance, round(score, 6) AS one_less_distance FROM dense WHERE rank <= 5")
+def score_scales_top5(spark, d):
+    """Dense results on the scales of the two stores and of the ablation."""
+    return retrieval.dense(*_asked(spark, d), 5).select("item_id", "doc_id", *(F.round(v, 6).alias(n) for n, v in T.score_scales(F.col("score")).items()))
+
+
 # --- guards and requests ----------------------------------------------------------------------------------
 
 _hit = lambda p, c="query": f"regexp_matches({c}, '(?i){p}')"
@@ -416,6 +449,17 @@ def compliance_verdict(spark, d):
     return rules.verdicts(X.situations(spark, d), X.criteria(spark)).drop("so_hieu", "dieu_khoan")
 
 
+@query(f"""WITH {X.NEAR_SQL}, words AS (SELECT 's' AS side, sit_id::VARCHAR AS id, unnest({_TOKENS}) AS term FROM matched WHERE id IS NULL UNION ALL SELECT 'c', id, unnest({_TOKENS.replace("coalesce(text", "coalesce(topic")}) FROM criteria),
+{_BASE[_BASE.index("hashed AS"):_BASE.index("dense AS")]}
+near AS (SELECT *, row_number() OVER (PARTITION BY sit_id ORDER BY score DESC, position) AS r FROM (SELECT x.id::BIGINT AS sit_id, y.id, round(sum(x.w * y.w), 8) AS score FROM unit x JOIN unit y ON x.side = 's' AND y.side = 'c' AND x.dim = y.dim GROUP BY ALL) JOIN (SELECT id, position FROM criteria) USING (id) WHERE score >= 0.45),
+chosen AS (SELECT m.sit_id, m.text, coalesce(m.id, n.id) AS id FROM matched m LEFT JOIN near n ON n.sit_id = m.sit_id AND n.r = 1),
+v AS (SELECT sit_id, m.id, c.*, CASE WHEN m.id IS NOT NULL THEN {_VALUE.replace('text', 'm.text')} END AS value FROM chosen m LEFT JOIN criteria c USING (id)), w AS (SELECT *, {_OK} AS ok FROM v)
+SELECT sit_id, coalesce(id, '') AS criterion_id, CASE WHEN id IS NULL THEN 'no_match' WHEN value IS NULL THEN 'insufficient_info' WHEN ok THEN 'pass' ELSE 'fail' END AS verdict, value FROM w""")
+def compliance_vectors(spark, d):
+    """Situations without a rule's keywords get the rule whose topic is near."""
+    return rules.verdicts(X.near_situations(spark, d), X.criteria(spark), vectors=True).select("sit_id", "criterion_id", "verdict", "value")
+
+
 # --- evaluation -------------------------------------------------------------------------------------------
 
 _ABLATION = f"""{_BASE}, runs AS (SELECT 'bm25_only' AS strategy, item_id, doc_id, rank FROM bm25 WHERE rank <= 5 UNION ALL SELECT 'dense_only', item_id, doc_id, rank FROM dense WHERE rank <= 5
@@ -443,6 +487,21 @@ def eval_ablation_delta(spark, d):
     return evaluate.deltas(_metrics(spark, d), "mrr")
 
 
+@query(f"""WITH {_ABLATION}, n AS (SELECT strategy, item_id, count(*) AS n FROM runs GROUP BY ALL) SELECT s.strategy, round(avg(coalesce(n, 0)), 1) AS avg_chunks, count(*) FILTER (coalesce(n, 0) > 0) AS items_with_context
+FROM (SELECT DISTINCT strategy FROM runs) s CROSS JOIN (SELECT item_id FROM q) i LEFT JOIN n ON n.strategy = s.strategy AND n.item_id = i.item_id GROUP BY s.strategy""")
+def eval_context_counts(spark, d):
+    q, docs = _asked(spark, d)
+    return evaluate.context_counts(retrieval.ablation(q, docs), q)
+
+
+_JUDGED = ", ".join(f"{x} AS {m}" for m, x in X.JUDGED.items())
+
+
+@query(f"WITH j AS (SELECT {_JUDGED} FROM benchmark) SELECT " + ", ".join(f"coalesce(round(avg(round({m}, 4)) FILTER (NOT isnan({m})), 4), 'NaN'::DOUBLE) AS {m}" for m in X.JUDGED) + " FROM j")
+def eval_judge_means(spark, d):
+    return evaluate.judge_means(X.judged(spark, d), list(X.JUDGED))
+
+
 _AT = _TOKENS.replace("coalesce(text", "coalesce(answer")
 _TT = _TOKENS.replace("coalesce(text", "coalesce(truth")
 
@@ -471,6 +530,14 @@ def log_metrics(spark, d):
     return logs.metrics(X.table(spark, d, "events"))
 
 
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN (ts::VARCHAR)[1:19] ELSE strftime(ts, '%d/%m %H:%M:%S') END AS shown FROM events")
+def short_timestamps(spark, d):
+    """Events' times as the history shows them; those of errors are not in ISO form."""
+    stamp = F.col("ts").cast("timestamp_ntz").cast("string")
+    rows = X.table(spark, d, "events").select("event_id", F.when(F.col("event_type") == "error", stamp).otherwise(F.replace(stamp, F.lit(" "), F.lit("T"))).alias("stamp"))
+    return rows.select("event_id", T.short_timestamp(F.col("stamp")).alias("shown"))
+
+
 @query("SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type <> 'error') AS queries, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error'), 6) ELSE 0.0 END AS error_rate FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE")
 def error_rate_trailing(spark, d):
     return logs.error_rate(X.table(spark, d, "events"))

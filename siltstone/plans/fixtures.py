@@ -125,3 +125,45 @@ criteria AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{c[0]}', {_list(c[2])}, '
 scored AS (SELECT sit_id, id, position, count(*) AS score FROM situations JOIN (SELECT id, position, unnest(keywords) AS k FROM criteria) ON contains(lower(text), lower(k)) GROUP BY ALL),
 ordered AS (SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nxt FROM scored WINDOW w AS (PARTITION BY sit_id ORDER BY score DESC, position)),
 matched AS (SELECT s.sit_id, s.text, o.id FROM situations s LEFT JOIN (SELECT sit_id, id FROM ordered WHERE r = 1 AND score > coalesce(nxt, 0)) o USING (sit_id))"""
+
+#: Situations without the rules' keywords, some of which are near a rule's topic.
+NEAR = ("mức điểm để nhận 2,7", "điểm tích lũy để làm 2.4", "tỷ lệ tối đa 15 %", "điểm rèn 70", "mức điểm để nhận", "xin chào", "trời mưa 3 ngày", "vắng mặt 25% số buổi")
+
+
+def near_situations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.element_at(F.array(*(F.lit(x) for x in NEAR)), (F.col("doc_id") % len(NEAR) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("sit_id"), s.alias("text"))
+
+
+NEAR_SQL = SITUATIONS_SQL.replace(SITUATIONS_SQL[: SITUATIONS_SQL.index("criteria AS")], f"situations AS (SELECT doc_id AS sit_id, ({_list(NEAR)})[doc_id % {len(NEAR)} + 1] AS text FROM documents),\n")
+
+
+def mixed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles behind a preamble that is too short for every third document, in capitals where doc_id is even."""
+    k = F.col("doc_id")
+    text = F.when(k % 2 == 0, F.replace("text", F.lit("Điều"), F.lit("ĐIỀU"))).otherwise(F.col("text"))
+    start = F.when(k % 3 == 0, "Mở đầu\n\n").otherwise("Căn cứ các quy định hiện hành về văn bản\n\n")
+    return article_docs(spark, sf_dir).select("doc_id", F.concat(start, text, F.lit("\n\nđiều 7: ")).alias("text"))
+
+
+MIXED_DOCS = (
+    ARTICLE_DOCS
+    + """, mixed_docs AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Mở đầu' ELSE 'Căn cứ các quy định hiện hành về văn bản' END || chr(10) || chr(10)
+    || CASE WHEN doc_id % 2 = 0 THEN replace(text, 'Điều', 'ĐIỀU') ELSE text END || chr(10) || chr(10) || 'điều 7: ' AS text FROM article_docs)"""
+)
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored points of documents: doc_id, score (null for every third) and payload; some nodes are no JSON or have no text."""
+    k = F.col("doc_id")
+    node = F.when(k % 5 == 0, "{no json").when(k % 5 == 1, '{"id": "x"}').otherwise(F.to_json(F.struct("text")))
+    payload = F.create_map(F.lit("_node_content"), node, F.lit("_node_type"), F.lit("TextNode"), F.lit("document_id"), k.cast("string"), F.lit("doc_id"), k.cast("string"), F.lit("ref_doc_id"), F.lit("r"), F.lit("source"), F.col("source"), F.lit("a_b"), F.lit("_kept"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(k % 3 != 0, F.col("n_chars") / 1000).alias("score"), payload.alias("payload"), "text")
+
+
+#: Judge metrics of the questions: NaN and null where the judge gave none, the last one never given.
+JUDGED = {"faithfulness": "CASE item_id % 5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WHEN 1 THEN NULL ELSE CAST(item_id % 11 AS DOUBLE) / 7 END", "answer_relevancy": "CASE WHEN item_id % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE CAST(item_id % 4 AS DOUBLE) / 3 END", "context_recall": "CASE WHEN item_id % 2 = 0 THEN CAST('NaN' AS DOUBLE) END"}
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select("item_id", *(F.expr(x).alias(m) for m, x in JUDGED.items()))
