@@ -280,6 +280,31 @@ def test_lm_counts_and_base_scores(spark, docs, empty):
     assert hmm_lm.lm_scores(empty).count() == 0
 
 
+def test_lm_learns_where_the_first_chunk_has_no_training_text(spark):
+    """The chunk that comes first by hash holds null texts only; identical states would score words in any order alike."""
+    first = spark.range(4).orderBy(F.xxhash64(F.col("id") * (1 << 24))).first()["id"]
+    for each in (40, 600):  # with fewer training words than ENOUGH in all chunks, and with more
+        rows = [[(1000 * p + i, None if p == first else "ab " * 20 + "xy " * 20) for i in range(each)] for p in range(4)]
+        rows[(first + 1) % 4] += [(5000, "ab xy " * 10), (5001, "ab " * 10 + "xy " * 10)]
+        docs = spark.createDataFrame(spark.sparkContext.parallelize(rows, 4).flatMap(lambda x: x), "doc_id long, text string")
+        got = {r.doc_id: r.score for r in hmm_lm.lm_scores(docs).where("doc_id >= 5000").collect()}
+        assert got[5001] > got[5000] + 1
+
+
+def test_lm_start_chunk_has_training_words(spark):
+    chunks = spark.createDataFrame([(i, b"", i, b"", b"", b"", hmm_lm.ENOUGH if i == 7 else i) for i in range(16)], "chunk long, tokens binary, n_tokens long, sizes binary, held binary, vocabulary binary, train_tokens long")
+    assert [r["n_tokens"] for r in hmm_lm.start_chunk(chunks)] == [7]
+    assert hmm_lm.start_chunk(chunks.where("chunk <> 7")) == []
+
+
+def test_lm_likelihood_is_that_of_the_windows():
+    rnd = np.random.default_rng(6)
+    h = hmm_lm.Hmm(np.zeros(0, np.uint64), np.full(1025, 1 / 1025))
+    sizes = np.array([1, 5, 60])  # a window each
+    k = rnd.integers(0, 1025, sizes.sum())
+    assert abs(h.expected(k, sizes)[-1] - h.scores(k, sizes).sum() * math.log(10)) < 1e-3
+
+
 def test_forward_recursion_is_exact():
     rnd = np.random.default_rng(4)
     h = hmm_lm.Hmm(np.zeros(0, np.uint64), np.full(1025, 1 / 1025))
