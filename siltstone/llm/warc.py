@@ -138,7 +138,7 @@ class Bad(ValueError):
 
 def _parse(data: bytes, exact: bool) -> tuple[dict, bytes, int]:
     """(headers, block, bytes used) of the record that data begins with; exact: data must hold nothing else."""
-    end = data.find(b"\r\n\r\n", 0, 1 << 20)
+    end = data.find(b"\r\n\r\n")
     if not data.startswith(b"WARC/") or end < 0:
         raise Bad("no record header")
     head = {}
@@ -176,10 +176,12 @@ def _member(w: Window, at: int) -> tuple[bytes, int]:
 
 def _plain(w: Window, at: int) -> tuple[dict, bytes, int]:
     """The uncompressed record at `at`."""
-    while (end := w.data.find(b"\r\n\r\n", at - w.start)) < 0 and len(w.data) - (at - w.start) < 1 << 20:
+    seen = at - w.start
+    while (end := w.data.find(b"\r\n\r\n", seen)) < 0:
+        seen = max(seen, len(w.data) - 3)
         if not w.more():
             raise Bad("file ends within a header")
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", bytes(w.data[at - w.start : end + 4])) if end >= 0 else None
+    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", bytes(w.data[at - w.start : end + 4]))
     if not m:
         raise Bad("no content length")
     need = end + 4 + int(m[1]) + 4

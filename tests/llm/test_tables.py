@@ -85,6 +85,15 @@ def test_salvage(compressed, block):
     assert read(b"") == ([], [])
 
 
+@pytest.mark.parametrize("compressed", [True, False])
+def test_headers_of_any_length_are_read(spark, compressed):
+    """A url of more than 1 MiB stands in its record's header."""
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "data:," + "% " * 700_000, "<p>b</p>"), (3, "v", "<p>c</p>")], "page_id long, url string, html string").repartition(1)
+    files = warc.write_archives(pages, work_dir(spark, "test"), compressed=compressed).select("file").localCheckpoint()
+    assert {r["page_id"]: (r["url"], bytes(r["payload"])) for r in warc.read_archives(files).collect()} == {r["page_id"]: (r["url"], r["html"].encode()) for r in pages.collect()}
+    assert warc.read_archives(files, gaps=True).count() == 0
+
+
 def test_gaps_are_logged(spark):
     folder = work_dir(spark, "test")
     pages = spark.createDataFrame([(i, "u", f"page {i} " * 50) for i in range(20)], "page_id long, url string, html string").repartition(1)
