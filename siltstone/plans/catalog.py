@@ -93,6 +93,21 @@ def direct_fallback_top5(spark, d):
     return retrieval.with_fallback(retrieval.bm25(q.where("item_id % 4 <> 0"), docs, 5), q, docs)
 
 
+_ALL = f"{X.QUESTIONS_SQL}, {_BASE.replace('FROM benchmark)', 'FROM questions)')}"
+
+
+def _all_asked(spark, d):
+    """Questions, among them some that find nothing, and corpus."""
+    return X.questions(spark, d), retrieval.corpus(X.table(spark, d, "documents"))
+
+
+@query(f"WITH {_ALL} SELECT item_id, doc_id, rank, score FROM bm25 WHERE rank <= 5 UNION ALL SELECT item_id, doc_id, rank, score FROM dense WHERE rank <= 5 AND item_id NOT IN (SELECT item_id FROM bm25)")
+def fallback_all_top5(spark, d):
+    """All questions are asked; those that find nothing are asked again by vectors."""
+    q, docs = _all_asked(spark, d)
+    return retrieval.with_fallback(retrieval.bm25(q, docs, 5), q, docs)
+
+
 @query(f"""WITH {_BASE}, n AS (SELECT max(item_id) + 1 AS n FROM q)
 SELECT item_id % 2 AS side, item_id // 2 AS pair, rank, doc_id, score FROM bm25 WHERE rank <= 5""")
 def compare_two_sided(spark, d):
@@ -382,6 +397,13 @@ def grade_rows(spark, d):
     return answer.grade(q, retrieval.hybrid_reranked(q, docs).where("item_id % 9 <> 0"))
 
 
+@query(f"WITH {_ALL}, g AS (SELECT item_id, count(*) AS n, max(score) AS best FROM reranked WHERE rank <= 8 GROUP BY item_id) SELECT q.item_id, coalesce(n, 0) AS n, best, CASE WHEN n IS NULL THEN 'irrelevant' WHEN best >= 0.1 THEN 'relevant' ELSE 'judge' END AS grade FROM q LEFT JOIN g USING (item_id)")
+def grade_all_rows(spark, d):
+    """Grades of all questions, also of those that find nothing."""
+    q, docs = _all_asked(spark, d)
+    return answer.grade(q, retrieval.hybrid_reranked(q, docs))
+
+
 @query(f"""WITH {_BASE}, x AS (SELECT f.item_id, f.rank, {_STRIP.format("regexp_replace(d.text, '\\s+', ' ', 'g')")} AS t FROM fused f JOIN d USING (doc_id) WHERE f.rank <= 5)
 SELECT item_id, string_agg('**[' || rank || '] Doc**' || chr(10) || CASE WHEN length(t) > 700 THEN regexp_replace(t[1:700], '\\s+$', '') || '...' ELSE t END, chr(10) || chr(10) ORDER BY rank) AS answer FROM x GROUP BY item_id""")
 def extractive_answers(spark, d):

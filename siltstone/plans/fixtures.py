@@ -167,3 +167,13 @@ JUDGED = {"faithfulness": "CASE item_id % 5 WHEN 0 THEN CAST('NaN' AS DOUBLE) WH
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select("item_id", *(F.expr(x).alias(m) for m, x in JUDGED.items()))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark's questions, and for each one with a word that no document has and one without any word."""
+    asked = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    unknown = asked.select((-2 * F.col("item_id") - 1).alias("item_id"), F.concat(F.lit("zzqx"), "item_id").alias("text"))
+    return asked.unionByName(unknown).unionByName(asked.select((-2 * F.col("item_id") - 2).alias("item_id"), F.lit("?! …").alias("text")))
+
+
+QUESTIONS_SQL = "questions AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -2 * item_id - 1, 'zzqx' || item_id FROM benchmark UNION ALL SELECT -2 * item_id - 2, '?! …' FROM benchmark)"
