@@ -8,14 +8,17 @@ bucket. Pairs in small buckets (SMALL) are counted: one that no large bucket hol
 leaf entry holds a bitmap of a whole set and its size, a node the OR of the bitmaps below and their range of sizes. A traversal of
 node pairs drops those whose sizes or whose maximum possible overlap (common bits, and the shingles that share a bit) rule out a link.
 
-A first traversal finds the entries that have any partner in their bucket which the bounds leave; only their full sets are fetched, with finer bitmaps. A
-second one, over the buckets of each set's first shingles (rare and frequent ones), keeps a spanning forest of what is left in each task; its pairs are verified on
-the full sets. A third one, over all buckets that hold several components, passes over pairs and nodes of one component and has every other
-pair that the bounds leave verified. So no link between two components is missed, and a large group of near copies is never
-expanded into all its pairs. Links are put together in distributed rounds.
+A first traversal finds the entries that have any partner in their bucket which the bounds leave; only their full sets are fetched. Units
+of the same entries are one from then on. The next pass, over the units of each set's first shingles (rare and frequent ones), builds trees of finer bitmaps from the
+full sets and checks a pair on them as soon as the traversal comes to it, so a task passes on true links alone, and of those a spanning forest; that
+joins most copies. The third, over all units that hold several components, finds the entries with a partner of another component that the
+bounds leave, and the last checks those on their full sets, again at the leaf. Pairs and nodes of one component are passed over. So no link
+between two components is missed, and a large group of near copies is never expanded into its pairs. Links are put together in distributed rounds.
+
+A bucket of more than BUCKET classes or SHINGLES shingles is cut by size into blocks. Its entries all count as live; the first pass looks into
+each block, the second at those pairs of blocks, each a unit of its own, whose sizes allow a link and that hold several components.
 
 Shingles are 64-bit hashes: with n shingles in two sets, the chance that a hash collision changes a decision is about n**2 / 2**64.
-A bucket of more than BUCKET classes is cut by size into blocks, and pairs of blocks are buckets.
 
 Nulls and cases: null, empty and blank texts have empty sets and link with nothing (own component); texts of fewer than five words have one
 shingle, the whole sequence. Rows that share a doc_id are one vertex; a null doc_id links nothing (component null). Texts are taken
@@ -35,12 +38,13 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import components, hashed_words, mix, saved, text_runs, trimmed, work_dir
 
 SHINGLE = 5
-BUCKET = 2048
+BUCKET = 512
+SHINGLES = 1 << 20
 HEAVY = 1 << 16
 OWNED = 100_000
 FILTER = 1 << 22
 FANOUT = 4
-EARLY = 3
+EARLY = 2
 COMMON = 3
 SMALL = 4
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -157,8 +161,8 @@ def _prefixes(heavy, bits: int):
 
 
 def _buckets(batches):
-    """Classes that share a prefix token and whose sizes allow a link: (bucket, fp, early) of large buckets, early telling that the token is
-    among a class's first; (fp, other, times) of the pairs in small ones."""
+    """Classes that share a prefix token and whose sizes allow a link: (bucket, block, fp, early) of large buckets, early telling that the token is
+    among a class's first (block null where the bucket isn't cut); (fp, other, times) of the pairs in small ones."""
     state = {"next": TaskContext.get().partitionId() << 36}
 
     def answer(rows):
@@ -177,7 +181,6 @@ def _buckets(batches):
         keep[1:] = (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])
         tokens, node, early = tokens[keep], node[keep], early[keep]
         size = n[node]
-        size_of = size.__getitem__
         new = np.ones(len(tokens), bool)
         new[1:] = (tokens[1:] != tokens[:-1]) | (5 * size[:-1] < 4 * size[1:])  # sizes too far apart for any pair across
         start = np.flatnonzero(new)
@@ -189,15 +192,8 @@ def _buckets(batches):
         order = np.argsort(soon[start] - soon[start + count], kind="stable")  # of equal runs the one with most early places stays
         start, count = start[order], count[order]
         runs, times = np.unique(np.stack((code[start + count] - code[start], count.astype(np.uint64)), 1), axis=0, return_index=True, return_counts=True)[1:] if len(start) else ([], [])
-        out_b, out_f, out_e = [], [], []
+        out_b, out_c, out_f, out_e = [], [], [], []
         out_p, out_q, out_t = [], [], []
-
-        def put(at):
-            out_b.append(np.full(len(at), state["next"]))
-            out_f.append(kinds[node[at]])
-            out_e.append(early[at])
-            state["next"] += 1
-
         for r, w in zip(runs, times, strict=True):
             at = np.arange(start[r], start[r] + count[r])
             if len(at) <= SMALL:
@@ -208,24 +204,22 @@ def _buckets(batches):
                         out_q.append(q)
                         out_t.append(w)
                 continue
-            if len(at) <= BUCKET:
-                put(at)
-                continue
-            blocks = [at[i : i + BUCKET // 2] for i in range(0, len(at), BUCKET // 2)]
-            for i, a in enumerate(blocks):
-                for b in blocks[i + 1 :]:
-                    if 5 * size_of(a[-1]) < 4 * size_of(b[0]):
-                        break
-                    put(np.concatenate((a, b)))
+            block = np.maximum(np.arange(len(at)) // BUCKET, (np.cumsum(size[at]) - size[at]) // SHINGLES) if len(at) > BUCKET or size[at].sum() > SHINGLES else np.full(len(at), -1)
+            out_b.append(np.full(len(at), state["next"]))
+            out_c.append(block)
+            out_f.append(kinds[node[at]])
+            out_e.append(early[at])
+            state["next"] += 1
         fixed = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), len(x), [None, pa.py_buffer(x.tobytes())]).cast(pa.binary())
         out = []
         if out_b:
             fp = np.concatenate(out_f)
-            out.append([pa.array(np.concatenate(out_b)), fixed(fp), pa.array(np.concatenate(out_e)), pa.nulls(len(fp), pa.binary()), pa.nulls(len(fp), pa.int64())])
+            cut = np.concatenate(out_c)
+            out.append([pa.array(np.concatenate(out_b)), pa.array(cut, pa.int64(), mask=cut < 0), fixed(fp), pa.array(np.concatenate(out_e)), pa.nulls(len(fp), pa.binary()), pa.nulls(len(fp), pa.int64())])
         if out_p:
             m = len(out_p)
-            out.append([pa.nulls(m, pa.int64()), fixed(kinds[out_p]), pa.nulls(m, pa.bool_()), fixed(kinds[out_q]), pa.array(out_t, pa.int64())])
-        return [pa.RecordBatch.from_arrays(x, names=["bucket", "fp", "early", "other", "times"]) for x in out]
+            out.append([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), fixed(kinds[out_p]), pa.nulls(m, pa.bool_()), fixed(kinds[out_q]), pa.array(out_t, pa.int64())])
+        return [pa.RecordBatch.from_arrays(x, names=["bucket", "block", "fp", "early", "other", "times"]) for x in out]
 
     owner, rows = None, []
     for batch in batches:
@@ -240,13 +234,13 @@ def _buckets(batches):
 
 
 class Node:
-    """Bitmap (an integer) of `width` bits, sizes from lo to hi, most shingles that share a bit with another, what lies below, and
-    the component of all that lies below if it is one."""
+    """Bitmap (an integer) of `width` bits, sizes from lo to hi, most shingles that share a bit with another, what lies below, an entry
+    below (its own, if it is a leaf), and whether all entries below are known to be alike in what a traversal asks (its own mark)."""
 
-    __slots__ = ("bits", "width", "lo", "hi", "excess", "below", "item", "part")
+    __slots__ = ("bits", "width", "lo", "hi", "excess", "below", "item", "alike")
 
-    def __init__(self, bits, width, lo, hi, excess, below, item, part):
-        self.bits, self.width, self.lo, self.hi, self.excess, self.below, self.item, self.part = bits, width, lo, hi, excess, below, item, part
+    def __init__(self, bits, width, lo, hi, excess, below, item):
+        self.bits, self.width, self.lo, self.hi, self.excess, self.below, self.item, self.alike = bits, width, lo, hi, excess, below, item, False
 
 
 def _folded(bits: int, width: int, to: int) -> int:
@@ -256,12 +250,13 @@ def _folded(bits: int, width: int, to: int) -> int:
     return bits
 
 
-def tree(items: list[tuple]) -> Node:
-    """Of (fp, n, bitmap bytes, part), at least one."""
+def tree(items: list[tuple], parts: list | None = None) -> Node:
+    """Of (n, bitmap bytes), at least one; entries of equal parts stand side by side."""
     level = []
-    for i, (_, n, raw, part) in sorted(enumerate(items), key=lambda x: (x[1][3] or 0, x[1][1], x[1][2])):
+    for i in sorted(range(len(items)), key=lambda i: (str(parts[i]) if parts else "", items[i])):
+        n, raw = items[i]
         bits = int.from_bytes(raw, "little")
-        level.append(Node(bits, 8 * len(raw), n, n, n - bits.bit_count(), (), i, part))
+        level.append(Node(bits, 8 * len(raw), n, n, n - bits.bit_count(), (), i))
     while len(level) > 1:
         above = []
         for i in range(0, len(level), FANOUT):
@@ -272,8 +267,7 @@ def tree(items: list[tuple]) -> Node:
                 b = _folded(x.bits, x.width, width)
                 bits |= b
                 excess = max(excess, x.excess if x.width == width else x.hi - (b.bit_count() if not x.below else 0))
-            part = below[0].part if all(x.part is not None and x.part == below[0].part for x in below) else None
-            above.append(Node(bits, width, min(x.lo for x in below), max(x.hi for x in below), excess, below, -1, part))
+            above.append(Node(bits, width, min(x.lo for x in below), max(x.hi for x in below), excess, below, below[0].item))
         level = above
     return level[0]
 
@@ -294,13 +288,12 @@ def possible(x: Node, y: Node) -> bool:
     return 9 * most >= 4 * (x.lo + y.lo)
 
 
-def traverse(root: Node, skip=None):
-    """Pairs of entries that the bounds leave, by a traversal of node pairs. A pair of nodes of one component is passed over, and one
-    that skip(x, y) tells to."""
-    todo = [(root, root)]
+def traverse(root: Node, other: Node, skip=None):
+    """Pairs of entries of two trees (or of one) that the bounds leave, by a traversal of node pairs without those that skip(x, y) tells to pass over."""
+    todo = [(root, other)]
     while todo:
         x, y = todo.pop()
-        if (x.part is not None and x.part == y.part) or (skip and skip(x, y)):
+        if skip and skip(x, y):
             continue
         if x is y:
             below = x.below
@@ -316,71 +309,134 @@ def traverse(root: Node, skip=None):
                 todo += [(x, b) for b in y.below]
 
 
-def _by_bucket(batches, columns):
-    """Lists of a bucket's rows."""
-    bucket, items = None, []
+def _by(batches, keys, columns):
+    """Lists of the rows that agree in the keys, which stand one after the other."""
+    last, items = None, []
     for batch in batches:
-        for b, *item in zip(batch.column("bucket").to_pylist(), *(batch.column(c).to_pylist() for c in columns), strict=True):
-            if b != bucket and items:
-                yield items
+        for key, *item in zip(zip(*(batch.column(c).to_pylist() for c in keys), strict=True), *(batch.column(c).to_pylist() for c in columns), strict=True):
+            if key != last and items:
+                yield last, items
                 items = []
-            bucket = b
+            last = key
             items.append(tuple(item))
     if items:
-        yield items
+        yield last, items
+
+
+def _code(fps: list[bytes]) -> int:
+    """A number for a set of classes: units of the same classes are one, and two sets that share a number do no harm."""
+    a = np.frombuffer(b"".join(fps), np.uint64).reshape(-1, 2)
+    return int(mix(mix(a[:, 0]) + a[:, 1]).sum(dtype=np.uint64).astype(np.int64))
 
 
 def _live(batches):
-    """(bucket, fp, early) of the entries that have a partner in the bucket which the bounds leave. A pair of nodes whose entries all
-    have one already tells nothing new."""
-    for items in _by_bucket(batches, ("fp", "n", "bits", "early", "bucket")):
+    """(bucket, fp, early) of the entries that have a partner in the bucket which the bounds leave, by the number of their set. A pair of
+    nodes whose entries all have one already tells nothing new."""
+    for _, items in _by(batches, ("bucket",), ("fp", "n", "bits", "early")):
         found: set[int] = set()
 
         def done(x, found=found):
-            if x.part is None and (all(map(done, x.below)) if x.below else x.item in found):
-                x.part = True  # stays so
-            return x.part is True
+            if not x.alike:
+                x.alike = all(map(done, x.below)) if x.below else x.item in found  # once true it stays so
+            return x.alike
 
         if len(items) > 1:
-            for pair in traverse(tree([(*i[:3], None) for i in items]), lambda x, y: done(x) and done(y)):
+            root = tree([i[1:3] for i in items])
+            for pair in traverse(root, root, lambda x, y: done(x) and done(y)):
                 found.update(pair)
         if found:
             kept = [items[i] for i in sorted(found)]
-            yield pa.RecordBatch.from_arrays([pa.array([i[4] for i in kept], pa.int64()), pa.array([i[0] for i in kept], pa.binary()), pa.array([i[3] for i in kept], pa.bool_())], names=["bucket", "fp", "early"])
+            yield pa.RecordBatch.from_arrays([pa.array([_code([i[0] for i in kept])] * len(kept), pa.int64()), pa.array([i[0] for i in kept], pa.binary()), pa.array([i[3] for i in kept], pa.bool_())], names=["bucket", "fp", "early"])
 
 
-def _search(forest: bool):
-    """(a, b): fps of pairs to verify; forest: those that do not close a circle in the task."""
+def _grown(items: list[tuple], x: int, y: int, sized: list[tuple], parts: list) -> list[Node]:
+    """The trees of a unit's one or two blocks over (n, bitmap) of its items, whose first column is the block."""
+    out = []
+    for block in dict.fromkeys((x, y)):
+        if at := [i for i, r in enumerate(items) if r[0] == block]:
+            out.append(tree([sized[i] for i in at], [parts[i] for i in at]))
+            todo = [out[-1]]
+            while todo:
+                node = todo.pop()
+                node.item = at[node.item]
+                todo += node.below
+    return [out[0], out[-1]] if out and (x == y or len(out) == 2) else []
+
+
+def _crossing(batches):
+    """(unit, x, y, block, fp, part) of the entries that have a partner of another component which the bounds leave, by the number of their set."""
+    for (_, x, y), items in _by(batches, ("bucket", "x", "y"), ("block", "fp", "part", "n", "bits")):
+        found: set[int] = set()
 
-    def run(batches):
-        out, up = set(), {}
+        def alone(node, items=items):
+            """The component of all entries below, None if there are several."""
+            if not node.below:
+                return items[node.item][2]
+            if node.alike is False:
+                parts = {alone(b) for b in node.below}
+                node.alike = parts.pop() if len(parts) == 1 else None
+            return node.alike
 
-        def root(x):
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
+        def done(node, found=found):
+            return all(map(done, node.below)) if node.below else node.item in found
 
-        def flush():
-            rows = list(out)
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        def skip(a, b, alone=alone, done=done):
+            return ((p := alone(a)) is not None and p == alone(b)) or (done(a) and done(b))
 
-        for items in _by_bucket(batches, ("fp", "n", "bits", "part")):
-            if len(items) < 2:
-                continue
-            fps = [i[0] for i in items]
-            known = forest and (lambda x, y: not x.below and not y.below and root(fps[x.item]) == root(fps[y.item]))  # noqa: B023
-            for i, j in traverse(tree(items), known):
-                a, b = fps[i], fps[j]
-                if forest:
-                    up[root(a)] = root(b)
-                out.add((a, b) if a < b else (b, a))
-            if len(out) > 200_000:
-                yield flush()
-        yield flush()
+        if trees := _grown(items, x, y, [i[3:] for i in items], [i[2] for i in items]):
+            for pair in traverse(*trees, skip):
+                found.update(pair)
+        if found:
+            kept = [items[i] for i in sorted(found)]
+            code = _code([i[1] for i in kept])
+            column = lambda k, kind, kept=kept: pa.array([i[k] for i in kept], kind)
+            same = lambda v, kept=kept: pa.array([v] * len(kept), pa.int64())
+            yield pa.RecordBatch.from_arrays([same(code), same(x), same(y), column(0, pa.int64()), column(1, pa.binary()), column(2, pa.int64())], names=["bucket", "x", "y", "block", "fp", "part"])
+
+
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """Jaccard similarity of two sorted sets of 0.8 or more, in integers."""
+    if len(s) > len(t):
+        s, t = t, s
+    common = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
+    return 100 * common >= 80 * (len(s) + len(t) - common)
+
+
+def _search(batches):
+    """(a, b): fps of linked pairs that join two components, checked on the full sets; a task passes on a spanning forest of them. Rows
+    of a unit (bucket, x, y) stand one after the other: of one block (x = y), or of two, between which pairs are looked for."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    for (_, x, y), items in _by(batches, ("bucket", "x", "y"), ("block", "fp", "part", "hashes")):
+        of = [root(i[1] if i[2] is None else i[2]) for i in items]  # by the class, or the component that is known
+        sets = [np.frombuffer(i[3], np.uint64) for i in items]
+
+        def one(node, of=of):
+            """The component of all entries below, None if there are several."""
+            if node.alike or not node.below:
+                return root(of[node.item])
+            parts = (one(b) for b in node.below)
+            first = next(parts)
+            node.alike = first is not None and all(p == first for p in parts)  # components only grow
+            return first if node.alike else None
+
+        def same(p, q, one=one):
+            return (a := one(p)) is not None and a == one(q)
 
-    return run
+        out = []
+        if trees := _grown(items, x, y, [(len(v), bitmap(v, 4)) for v in sets], of):
+            for i, j in traverse(*trees, same):
+                if linked(sets[i], sets[j]):
+                    up[root(of[i])] = root(of[j])
+                    out.append((items[i][1], items[j][1]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def _wanted(chosen):
@@ -407,20 +463,6 @@ def _wanted(chosen):
     return run
 
 
-def _verified(batches):
-    """Pairs that are linked, on the full sets; a few rows at a time are in Python."""
-    for batch in (whole.slice(i, 32) for whole in batches for i in range(0, len(whole), 32)):
-        a, b = [], []
-        for x, y, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "hashes_a", "hashes_b")), strict=True):
-            s, t = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            if 100 * common >= 80 * (len(s) + len(t) - common):
-                a.append(x)
-                b.append(y)
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-
-
 def near_texts(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     spark = docs.sparkSession
@@ -435,14 +477,17 @@ def near_texts(docs: DataFrame) -> DataFrame:
     entries = classes.agg(F.coalesce(F.sum(F.expr("n div 5 + 1")), F.lit(0))).first()[0]
     bits = max(0, math.ceil(math.log2(max(1, entries / OWNED))))
     dealt = texts.mapInArrow(trimmed(_prefixes(heavy, bits)), "owner int, tokens binary, places binary, early binary, fps binary, sizes binary").repartition(max(1, min(1 << bits, 100_000)), "owner").sortWithinPartitions("owner")
-    shared = saved(dealt.mapInArrow(_buckets, "bucket long, fp binary, early boolean, other binary, times long"), f"{path}/buckets")
-    buckets = shared.where("bucket is not null").select("bucket", "fp", "early")
+    shared = saved(dealt.mapInArrow(_buckets, "bucket long, block long, fp binary, early boolean, other binary, times long"), f"{path}/buckets")
+    buckets = shared.where("bucket is not null").select("bucket", "block", "fp", "early")
     often = shared.where("bucket is null").groupBy(F.col("fp").alias("a"), F.col("other").alias("b")).agg(F.sum("times").alias("times"))
-    often = saved(often.where(F.col("times") >= COMMON).select("a", "b"), f"{path}/often")  # different sets of fewer shingles have no link
-
-    together = lambda rows: rows.repartition("bucket").sortWithinPartitions("bucket")
-    counted = often.withColumn("bucket", F.expr("-1 - monotonically_increasing_id()")).select("bucket", F.explode(F.array("a", "b")).alias("fp"), F.lit(True).alias("early"))  # a bucket for each pair
-    live = saved(together(buckets.union(counted).join(classes.select("fp", "n", "bits"), "fp")).mapInArrow(_live, "bucket long, fp binary, early boolean"), f"{path}/live")
+    often = often.where(F.col("times") >= COMMON)  # different sets of fewer shingles have no link
+    star = F.expr(f"-1 - pmod(xxhash64(a), {1 << 62})")  # a bucket for a class and all it was counted with; two that share a number do no harm
+    counted = often.select(star.alias("bucket"), F.explode(F.array("a", "b")).alias("fp"), F.lit(True).alias("early")).distinct()
+
+    whole = buckets.where("block is null").select("bucket", "fp", "early").union(counted)
+    whole = whole.join(classes.select("fp", "n", "bits"), "fp").repartition("bucket").sortWithinPartitions("bucket")
+    live = whole.mapInArrow(_live, "bucket long, fp binary, early boolean").groupBy("bucket", "fp").agg(F.max("early").alias("early"))
+    live = saved(live.withColumn("block", F.lit(0).cast("long")).unionByName(buckets.where("block is not null")), f"{path}/live")
     active = saved(live.select("fp").distinct(), f"{path}/active")
     slot = F.expr(f"pmod(cast(conv(hex(substring(fp, 1, 4)), 16, 10) as long), {FILTER})")
     slots = active.select(slot.alias("slot")).distinct().toPandas()["slot"].to_numpy(np.int64)  # FILTER numbers at most
@@ -451,27 +496,31 @@ def near_texts(docs: DataFrame) -> DataFrame:
     full = texts.mapInArrow(trimmed(_wanted(spark.sparkContext.broadcast(chosen.tobytes()))), "fp binary, n int, bits binary, hashes binary")
     full = saved(full.groupBy("fp").agg(*(F.first(c).alias(c) for c in ("n", "bits", "hashes"))).join(active, "fp", "left_semi"), f"{path}/full")
 
-    def verify(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda s: full.select(F.col("fp").alias(s), F.col("hashes").alias(f"hashes_{s}"))
-        return saved(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(trimmed(_verified), "a binary, b binary"), f"{path}/{name}-links")
+    together = lambda rows: rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+
+    def searched(units: DataFrame, name: str) -> DataFrame:
+        """Links of (bucket, x, y, block, fp, part)."""
+        dealt = together(units.join(full.select("fp", "hashes"), "fp"))
+        return saved(dealt.mapInArrow(trimmed(_search), "a binary, b binary"), f"{path}/{name}-links")
 
     def connected(links: DataFrame, name: str) -> DataFrame:
         rep = lambda s: classes.select(F.col("fp").alias(s), F.col("rep").alias(f"rep_{s}"))
         edges = links.join(rep("a"), "a").join(rep("b"), "b").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         return components(edges, f"{path}/{name}-components")
 
-    pair, sizes = "a binary, b binary", full.select("fp", "n", "bits")
-    found = together(live.where("early").select("bucket", "fp").join(sizes, "fp")).withColumn("part", F.lit(None).cast("long"))
-    tested = saved(found.mapInArrow(_search(True), pair).distinct(), f"{path}/first-pairs")
-    first = verify(tested, "first")
+    first = searched(live.where("early").select("bucket", F.col("block").alias("x"), F.col("block").alias("y"), "block", "fp", F.lit(None).cast("long").alias("part")), "first")
     parts = connected(first, "first")
-    known = active.join(classes.select("fp", "rep"), "fp").join(parts, F.col("rep") == F.col("id"), "left").select("fp", F.coalesce("component", "rep").alias("part"))
-    marked = live.select("bucket", "fp").join(known, "fp")
-    several = marked.groupBy("bucket").agg(F.min("part").alias("x"), F.max("part").alias("y")).where("x <> y").select("bucket")
-    found = together(marked.join(several, "bucket", "left_semi").join(sizes, "fp")).select("bucket", "fp", "n", "bits", "part")
-    rest = saved(found.mapInArrow(_search(False), pair).distinct().join(tested, ["a", "b"], "left_anti"), f"{path}/rest")
-    if not rest.isEmpty():
-        parts = connected(first.union(verify(rest, "second")), "second")
+    known = full.select("fp", "n", "bits").join(classes.select("fp", "rep"), "fp").join(parts, F.col("rep") == F.col("id"), "left").select("fp", "n", "bits", F.coalesce("component", "rep").alias("part"))
+    marked = live.select("bucket", "block", "fp").join(known.drop("bits"), "fp")
+    block = marked.groupBy("bucket", "block").agg(*(f(c).alias(f"{c}_{f.__name__}") for c in ("n", "part") for f in (F.min, F.max)))
+    left, right = block.alias("l"), block.alias("r")
+    unit = left.join(right, "bucket").where("l.block <= r.block and 5 * l.n_max >= 4 * r.n_min and 5 * r.n_max >= 4 * l.n_min")
+    unit = unit.where("least(l.part_min, r.part_min) <> greatest(l.part_max, r.part_max)").select("bucket", F.col("l.block").alias("x"), F.col("r.block").alias("y"))
+    unit = unit.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+    crossing = together(marked.join(unit, ["bucket", "block"]).select("bucket", "x", "y", "block", "fp").join(known, "fp")).mapInArrow(_crossing, "bucket long, x long, y long, block long, fp binary, part long")
+    second = searched(saved(crossing.distinct(), f"{path}/crossing"), "second")
+    if not second.isEmpty():
+        parts = connected(first.union(second), "second")
     whole = classes.select("fp", "rep").join(parts, classes["rep"] == parts["id"], "left").select("fp", F.coalesce("component", "rep").alias("component"))
     own = sets.where("kind = 0").select("doc_id", F.col("n").cast("long").alias("n_shingles"), "fp")
     linked = own.where("fp is not null and doc_id is not null").join(whole, "fp").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
