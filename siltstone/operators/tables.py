@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import shared_dir
+
 
 def cut(rows: DataFrame) -> DataFrame:
-    """rows as a checkpoint in the folder of spark.checkpoint.dir (a temporary one only where it is unset): plans that use them again and
-    again start there."""
+    """rows as a checkpoint in the shared folder: plans that use them again and again start there."""
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="siltstone-"))
+        context.setCheckpointDir(shared_dir(rows.sparkSession))
     return rows.checkpoint()
 
 

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siltstone.sources.shared import shared_dir
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """A new folder for a stream's state below the cluster's checkpoint folder; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}" if named else "file://" + tempfile.mkdtemp(prefix="siltstone-stream-")
+    """A new folder for a stream's state below the shared one."""
+    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def source(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
