@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import contextvars
 import ctypes
 import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siltstone.sources.shared import shared_dir
+
 #: Bytes of text that are turned into numpy arrays at once (each such byte costs about 40 bytes meanwhile).
 SLICE = 2 << 20
 PIECE = 1 << 20
@@ -25,33 +27,24 @@ ROWS = 2048
 # --- work folders -------------------------------------------------------------------------------
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="siltstone-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-_watched: list[list[str]] = []
+_watched: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("watched", default=())
 
 
 @contextlib.contextmanager
 def watched():
-    """Collects the work folders that are made meanwhile."""
+    """Collects the work folders that this thread makes meanwhile."""
     made: list[str] = []
-    _watched.append(made)
+    before = _watched.set((*_watched.get(), made))
     try:
         yield made
     finally:
-        _watched.remove(made)
+        _watched.reset(before)
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one, removed when the driver ends."""
     path = f"{shared_dir(spark)}/siltstone-{name}-{uuid.uuid4().hex}"
-    for made in _watched:
+    for made in _watched.get():
         made.append(path)
     atexit.register(remove, spark, path)
     return path
@@ -123,19 +116,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def slices(texts: list[bytes | None]):
-    """(first, last + 1) of runs of texts that hold about SLICE bytes."""
-    first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if i > first and size + n > SLICE:
-            yield first, i
-            first, size = i, 0
-        size += n
-    if first < len(texts):
-        yield first, len(texts)
-
-
 def text_places(column: pa.Array, most: int = SLICE):
     """(first, last + 1) of runs of a column's texts that hold about `most` bytes."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(column.cast(pa.binary())), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
