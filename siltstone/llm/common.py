@@ -59,13 +59,14 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def saved(df: DataFrame, path: str) -> DataFrame:
-    """Writes df as Parquet and reads it again: lineage ends there and a lost executor loses nothing."""
+def saved(df: DataFrame, path: str, large: bool = False) -> DataFrame:
+    """Writes df as Parquet and reads it again: lineage ends there and a lost executor loses nothing. large: each row is megabytes, so that
+    tasks may read them one by one."""
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = conf.get(name)
     conf.set(name, str(min(int(before), ROWS)) if int(before) > 0 else str(ROWS))
     try:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        df.write.mode("overwrite").options(compression="zstd", **({"parquet.block.row.count.limit": "1"} if large else {})).parquet(path)
     finally:
         conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
