@@ -1,10 +1,13 @@
 """Near-duplicate vectors by an epsilon grid order join (Boehm and others, 2001).
 
 Unit vectors with cosine >= t lie at most e = sqrt(2 - 2t) apart. They are rotated to the principal dimensions of all vectors, and
-sorted within their label by grid cells of width e on the leading dimensions (the epsilon grid order). Runs of the sequence are
-blocks with bounding boxes. Block pairs whose leading cells touch and whose boxes are at most e apart are joined: a recursion halves the two sequence
-intervals, skips those that are provably distant, and compares the rest in double precision. Equal vectors are one vector with
-a count throughout, links inside a block pair are counted there, and only a spanning forest of them is passed on to find the components.
+sorted within their label by grid cells of width e on the leading dimensions (the epsilon grid order). Runs of BLOCK vectors of the sequence are
+blocks with bounding boxes, eight (FANOUT_BITS) neighbouring intervals make one above them, and so on up to the whole sequence of a label. From there pairs of
+intervals are joined recursively: those whose boxes are more than e apart are provably distant and are skipped, the others are replaced by the pairs of
+what they hold, down to blocks; each level is one join by interval. Within a pair of blocks the recursion goes on, halves the two
+sequence intervals, skips again, and compares the rest in double precision. Blocks go to their comparisons by tiles of four by four blocks (TILE_BITS), so a block is
+shipped once for each tile and not for each partner. Equal vectors are one vector with
+a count throughout, links inside a tile are counted there, and only a spanning forest of them is passed on to find the components.
 
 Nulls and cases: a null label, a null vector, one with null or non-finite elements, of length 0 or norm 0 links with nothing (n_links
 0, its own component, kept). Vectors of different dimensions never link. A null vec_id takes no part (component null, not kept).
@@ -22,12 +25,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import components, saved, work_dir
+from siltstone.llm.common import Links, components, saved, work_dir
 
 THRESHOLD = 0.93
 BLOCK = 1024
 LEADING = 8
 LEAF = 128
+FANOUT_BITS = 3
+TILE_BITS = 2
 _SLACK = 1e-9
 
 
@@ -108,65 +113,98 @@ def _hits(a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
     return out
 
 
-def _forest(hit: np.ndarray) -> np.ndarray:
-    """Component (smallest member) of each node of a symmetric matrix of links."""
-    n = len(hit)
-    root = np.full(n, -1)
-    some = hit.any(1)
-    for i in range(n):
-        if root[i] >= 0 or not some[i]:
+def _forest(hit: np.ndarray, own: bool) -> list[tuple[int, int]]:
+    """Links (row, column) that span the components of a matrix of links, between two blocks or, own, within one."""
+    out, rows, columns = [], np.zeros(len(hit), bool), np.zeros(hit.shape[1], bool)
+    for i in np.flatnonzero(hit.any(1)).tolist():
+        if rows[i]:
             continue
-        root[i] = i
-        edge = [i]
+        rows[i], edge = True, [i]
         while len(edge):
-            new = hit[edge].any(0) & (root < 0)
-            edge = np.flatnonzero(new)
-            root[edge] = i
-    return np.where(root < 0, np.arange(n), root)
+            found = hit[edge] & ~columns
+            new = np.flatnonzero(found.any(0))
+            if not len(new):
+                break
+            out += [(edge[r], c) for r, c in zip(found[:, new].argmax(0).tolist(), new.tolist(), strict=True)]
+            columns[new] = True
+            if own:
+                edge = new[~rows[new]].tolist()
+            else:
+                back = hit[:, new] & ~rows[:, None]
+                edge = np.flatnonzero(back.any(1)).tolist()
+                out += [(r, int(new[c])) for r, c in zip(edge, back[edge].argmax(1).tolist(), strict=True)]
+            rows[edge] = True
+    return out
 
 
 def _join(t: float):
-    """Links of block pairs: the rows of a pair (two, or one for a block with itself) come one after the other."""
+    """Links between the blocks of a tile: its rows, the blocks with those they are compared with, come one after the other."""
 
-    def pair(rows):
+    def tile(rows):
         d = rows[0]["dim"]
         load = lambda r: (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["ns"], np.int64), np.frombuffer(r["vectors"]).reshape(-1, d))
-        ids, n, x = load(rows[0])
-        if len(rows) == 1:
-            hit = _hits(x, x, t)
-            np.fill_diagonal(hit, False)
-            links = hit @ n
-        else:
-            more, m, y = load(rows[1])
-            h = _hits(x, y, t)
-            links = np.concatenate((h @ m, n @ h))
-            hit = np.zeros((len(ids) + len(more),) * 2, bool)
-            hit[: len(ids), len(ids) :], hit[len(ids) :, : len(ids)] = h, h.T
-            ids = np.concatenate((ids, more))
+        blocks = {r["block"]: load(r) for r in rows}
+        size = {b: len(x[0]) for b, x in blocks.items()}
+        first = dict(zip(size, np.cumsum([0, *size.values()]).tolist(), strict=False))
+        ids, n = (np.concatenate([x[k] for x in blocks.values()]) for k in (0, 1))
+        links, up = np.zeros(len(ids), np.int64), Links(len(ids))
+        for r in rows:
+            for other in r["others"] or []:
+                a, b = first[r["block"]], first[other]
+                h = _hits(blocks[r["block"]][2], blocks[other][2], t)
+                if a == b:
+                    np.fill_diagonal(h, False)
+                else:
+                    links[b : b + size[other]] += n[a : a + len(h)] @ h
+                links[a : a + len(h)] += h @ n[b : b + size[other]]
+                for i, j in _forest(h, a == b):
+                    up.join(a + i, b + j)
         some = np.flatnonzero(links)
-        root = _forest(hit[np.ix_(some, some)])
-        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[some][root])], names=["cid", "links", "other"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some]), pa.array(ids[[up.root(i) for i in some.tolist()]] if len(some) else ids[some])], names=["cid", "links", "other"])
 
     def run(batches):
         rows: list = []
         for batch in batches:
             for r in batch.to_pylist():
-                if rows and (rows[0]["a"], rows[0]["b"]) != (r["a"], r["b"]):
-                    yield pair(rows)
+                if rows and any(rows[0][c] != r[c] for c in ("label", "dim", "x", "y")):
+                    yield tile(rows)
                     rows = []
                 rows.append(r)
         if rows:
-            yield pair(rows)
+            yield tile(rows)
 
     return run
 
 
+def block_pairs(blocks: DataFrame, path: str, width: float) -> DataFrame:
+    """(label, dim, a, b, block_a, block_b): pairs of blocks whose boxes are at most width apart, a <= b being their places in the sequence, by the
+    recursion over intervals of it."""
+    top, low = (x or 0 for x in blocks.agg(F.max(F.expr("block >> 32")), F.max(F.expr("block & 4294967295"))).first())
+    low_bits = -(-int(low).bit_length() // FANOUT_BITS) * FANOUT_BITS  # numbers without gaps between the tasks' blocks, so that levels shrink
+    dense = F.expr(f"(block >> 32 << {low_bits}) | (block & 4294967295)")
+    levels = -(-(int(top).bit_length() + low_bits) // FANOUT_BITS)
+    boxes = [saved(blocks.select("label", "dim", dense.alias("node"), "block", "lo", "hi"), f"{path}/level-0")]
+    each = lambda f, c, d: F.array(*(f(F.get(c, F.lit(i))) for i in range(d)))
+    for k in range(1, levels + 1):
+        above = boxes[-1].groupBy("label", "dim", F.shiftright("node", FANOUT_BITS).alias("node"))
+        boxes.append(saved(above.agg(each(F.min, "lo", LEADING).alias("lo"), each(F.max, "hi", LEADING).alias("hi")), f"{path}/level-{k}"))
+    gap = F.expr("aggregate(zip_with(zip_with(lo_a, hi_b, (x, y) -> x - y), zip_with(lo_b, hi_a, (x, y) -> x - y), (x, y) -> pow(greatest(0D, x, y), 2)), 0D, (s, x) -> s + coalesce(x, 0D))")
+    pairs = boxes[-1].select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b"))
+    for k in range(levels - 1, -1, -1):
+        side = lambda s, k=k: boxes[k].select("label", "dim", F.shiftright("node", FANOUT_BITS).alias(f"up_{s}"), F.col("node").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), *([F.col("block").alias(f"block_{s}")] if k == 0 else []))
+        pairs = pairs.withColumnsRenamed({"a": "up_a", "b": "up_b"}).join(side("a"), ["label", "dim", "up_a"]).join(side("b"), ["label", "dim", "up_b"]).where("a <= b").where(gap <= width * width + _SLACK)
+        pairs = saved(pairs.select("label", "dim", "a", "b", *(["block_a", "block_b"] if k == 0 else [])), f"{path}/pairs-{k}")
+    if not levels:  # a single block a label
+        pairs = boxes[0].select("label", "dim", F.col("node").alias("a"), F.col("node").alias("b"), F.col("block").alias("block_a"), F.col("block").alias("block_b"))
+    return pairs
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for each row of vectors (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     path = work_dir(spark, "vectors")
-    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("int"), F.col("embedding").cast("array<double>"))
-    rows = saved(rows.mapInArrow(_prepared, "vec_id long, label int, dim int, fp binary, unit binary"), f"{path}/rows")
+    rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
+    rows = saved(rows.mapInArrow(_prepared, "vec_id long, label string, dim int, fp binary, unit binary"), f"{path}/rows")
     valid = rows.where("fp is not null and vec_id is not null")
     classes = valid.groupBy("label", "dim", "fp").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("unit").alias("unit"))
     classes = saved(classes.withColumn("cid", F.monotonically_increasing_id()), f"{path}/classes")
@@ -186,8 +224,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         def done():
             v = np.stack([np.frombuffer(x[2]) for x in run])
             lead = v[:, :LEADING]
-            cells = np.floor(np.array([lead[:, 0].min(), lead[:, 0].max()]) / width).astype(int)
-            return pa.RecordBatch.from_pydict({"block": pa.array([base], pa.int64()), "label": pa.array([of[0]], pa.int32()), "dim": pa.array([of[1]], pa.int32()), "c_lo": pa.array([cells[0]], pa.int32()), "c_hi": pa.array([cells[1]], pa.int32()), "lo": pa.array([lead.min(0).tolist()], pa.list_(pa.float64())), "hi": pa.array([lead.max(0).tolist()], pa.list_(pa.float64())), "ids": pa.array([np.array([x[0] for x in run], np.int64).tobytes()], pa.binary()), "ns": pa.array([np.array([x[1] for x in run], np.int64).tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"block": pa.array([base], pa.int64()), "label": pa.array([of[0]], pa.string()), "dim": pa.array([of[1]], pa.int32()), "lo": pa.array([lead.min(0).tolist()], pa.list_(pa.float64())), "hi": pa.array([lead.max(0).tolist()], pa.list_(pa.float64())), "ids": pa.array([np.array([x[0] for x in run], np.int64).tobytes()], pa.binary()), "ns": pa.array([np.array([x[1] for x in run], np.int64).tobytes()], pa.binary()), "vectors": pa.array([v.tobytes()], pa.binary())})
 
         for batch in batches:
             for label, dim, *x in zip(*(batch.column(c).to_pylist() for c in ("label", "dim", "cid", "n", "y")), strict=True):
@@ -199,14 +236,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, block: int =
         if run:
             yield done()
 
-    placed = classes.select("label", "dim", "cid", "n", "unit").mapInArrow(place, "label int, dim int, cid long, n long, key binary, y binary")
+    placed = classes.select("label", "dim", "cid", "n", "unit").mapInArrow(place, "label string, dim int, cid long, n long, key binary, y binary")
     ordered = placed.repartitionByRange("label", "dim", "key", "cid").sortWithinPartitions("label", "dim", "key", "cid")
-    blocks = saved(ordered.mapInArrow(cut, "block long, label int, dim int, c_lo int, c_hi int, lo array<double>, hi array<double>, ids binary, ns binary, vectors binary"), f"{path}/blocks")
-    side = lambda s, wider: blocks.select("label", "dim", F.col("block").alias(s), F.col("lo").alias(f"lo_{s}"), F.col("hi").alias(f"hi_{s}"), F.explode(F.sequence(F.col("c_lo") - wider, F.col("c_hi") + wider)).alias("cell"))
-    gap = F.expr("aggregate(zip_with(zip_with(lo_a, hi_b, (x, y) -> x - y), zip_with(lo_b, hi_a, (x, y) -> x - y), (x, y) -> pow(greatest(0D, x, y), 2)), 0D, (s, x) -> s + x)")
-    pairs = side("a", 0).join(side("b", 1), ["label", "dim", "cell"]).where("a <= b").where(gap <= width * width + _SLACK).select("a", "b").distinct()
-    sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
-    both = sides.join(blocks.select("block", "dim", "ids", "ns", "vectors"), "block").repartition("a", "b").sortWithinPartitions("a", "b", "block")
+    blocks = saved(ordered.mapInArrow(cut, "block long, label string, dim int, lo array<double>, hi array<double>, ids binary, ns binary, vectors binary"), f"{path}/blocks")
+    pairs = block_pairs(blocks, path, width)
+    tiled = pairs.select("label", "dim", F.shiftright("a", TILE_BITS).alias("x"), F.shiftright("b", TILE_BITS).alias("y"), "block_a", "block_b")
+    tiled = tiled.groupBy("label", "dim", "x", "y", F.col("block_a").alias("block")).agg(F.collect_list("block_b").alias("others"))  # at most as many as a side of a tile
+    needed = tiled.unionByName(tiled.select("label", "dim", "x", "y", F.explode("others").alias("block"), F.lit(None).cast("array<long>").alias("others")))
+    needed = needed.groupBy("label", "dim", "x", "y", "block").agg(F.max("others").alias("others"))
+    both = needed.join(blocks.select("block", "ids", "ns", "vectors"), "block").repartition("label", "dim", "x", "y").sortWithinPartitions("label", "dim", "x", "y", "block")
     found = saved(both.mapInArrow(_join(threshold), "cid long, links long, other long"), f"{path}/links")
     links = found.groupBy("cid").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("cid").alias("a"), F.col("other").alias("b")), f"{path}/components").withColumnRenamed("id", "cid")
