@@ -1,10 +1,14 @@
 """Exact dedup by an extendible-hash index on shared files.
 
-One scan writes segments: every row's SHA-256 of the text without white space, and, once per Arrow batch and distinct text, the
-text itself with the number of its rows and the best of them (rows of a batch are compared by their bytes, so a group of copies
-is pre-aggregated before any shuffle). The directory is built from counts of distinct keys by prefix: a bucket over capacity
-splits on its next bit, and the directory doubles when a split needs more bits than it has. Owner tasks get whole buckets (key
-ranges), chain the texts that share a 64-bit key, compare bytes, and write the index; the rows then look their group up.
+One scan writes segments: a row for every document with the SHA-256 of its text without white space, and leads: each distinct text with the
+number of its rows and the best of them. A task holds HELD bytes of distinct texts, compares every row with them by its bytes, and writes a
+lead for each when it lets go of them, so a group of copies is pre-aggregated before any shuffle. Leads of several rows are put together again in
+SALT parts of the tasks before their owner gets them, so no owner reads a text once for each task.
+
+The directory is built from counts of distinct keys by prefix: a bucket over capacity splits on its next bit, and the directory doubles when a
+split needs more bits than it has, up to 2**MOST_BITS slots; beyond four distinct keys for each slot and unit of capacity the capacity grows with the number of keys.
+The directory is a table in the shared folder. Owner tasks get whole buckets (key ranges), chain the texts that share a 64-bit key,
+compare bytes, and write the index; the rows find their bucket in the directory and their group in the bucket's part of the index.
 
 Nulls: a null text counts as empty; a null doc_id stays only where all of its group's are null. Of repeated rows (equal
 doc_id and text) exactly one is kept. Empty tables give no rows. Other columns are ignored.
@@ -15,16 +19,22 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import saved, trimmed, work_dir
+from siltstone.llm.common import saved, text_runs, trimmed, work_dir
 
 _WHITE = b" \t\n\x0b\x0c\r"
+#: Bytes of distinct texts that a task holds; parts that the leads of large groups are put together in first; bits of the directory.
+HELD = 8 << 20
+SALT = 64
+MOST_BITS = 18
 _SEGMENT = "sha binary, doc_id long, n_points long, mark long, tag long, text binary, n long, best_points long, best_id long, best_tag long"
+_LEAD = ("sha binary", "text binary", "n long", "best_points long", "best_id long", "best_tag long")
 _INDEX = "bucket int, chain int, sha binary, group_size long, best_points long, best_id long, best_tag long"
 
 
@@ -35,33 +45,48 @@ def _better(a: tuple, b: tuple) -> tuple:
 
 
 def _segments(batches):
-    base = TaskContext.get().partitionId() << 40
+    base, held, size = TaskContext.get().partitionId() << 40, {}, 0
+    names = [c.split()[0] for c in _SEGMENT.split(", ")]
+
+    def leads():
+        groups = [(sha, t, n, *best) for t, (sha, n, best) in held.items()]
+        held.clear()
+        for a, b in runs([len(g[1]) for g in groups]):
+            none = pa.nulls(b - a, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups[a:b]], pa.binary()), none, none, none, none, pa.array([g[1] for g in groups[a:b]], pa.binary()), *(pa.array([g[i] for g in groups[a:b]], pa.int64()) for i in range(2, 6))], names=names)
+
     for batch in batches:
-        texts = batch.column("text")
-        points = pc.utf8_length(texts).fill_null(0).to_pylist()
-        ids = batch.column("doc_id").to_pylist()
-        plain = [t.translate(None, _WHITE) if t else b"" for t in texts.cast(pa.binary()).to_pylist()]
-        groups: dict[bytes, list] = {}
-        for i, t in enumerate(plain):
-            row = (points[i], ids[i], base + i)
-            g = groups.get(t)
-            if g is None:
-                groups[t] = [i, 1, row, hashlib.sha256(t).digest()]
-            else:
-                g[1], g[2] = g[1] + 1, _better(g[2], row)
-        lead = {g[0]: g for g in groups.values()}
-        sha = [groups[t][3] for t in plain]
-        n = len(plain)
-        of = lambda f: [f(lead[i]) if i in lead else None for i in range(n)]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(sha, pa.binary()), pa.array(ids, pa.int64()), pa.array(points, pa.int64()), batch.column("mark"), pa.array(range(base, base + n), pa.int64()),
-                pa.array([t if i in lead else None for i, t in enumerate(plain)], pa.binary()),
-                *(pa.array(of(f), pa.int64()) for f in (lambda g: g[1], lambda g: g[2][0], lambda g: g[2][1], lambda g: g[2][2])),
-            ],
-            names=["sha", "doc_id", "n_points", "mark", "tag", "text", "n", "best_points", "best_id", "best_tag"],
-        )
-        base += n
+        points, ids = pc.utf8_length(batch.column("text")).fill_null(0).to_pylist(), batch.column("doc_id").to_pylist()
+        for a, b, texts in text_runs(batch.column("text")):
+            sha = []
+            for i, t in enumerate(texts, a):
+                t = t.translate(None, _WHITE) if t else b""
+                row, g = (points[i], ids[i], base + i), held.get(t)
+                if g is None:
+                    g = held[t] = [hashlib.sha256(t).digest(), 1, row]
+                    size += len(t) + 300
+                else:
+                    g[1], g[2] = g[1] + 1, _better(g[2], row)
+                sha.append(g[0])
+            none = pa.nulls(b - a, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(sha, pa.binary()), pa.array(ids[a:b], pa.int64()), pa.array(points[a:b], pa.int64()), batch.column("mark").slice(a, b - a), pa.array(range(base + a, base + b), pa.int64()), pa.nulls(b - a, pa.binary()), none, none, none, none], names=names)
+            if size > HELD:
+                yield from leads()
+                size = 0
+        base += len(batch)
+    yield from leads()
+
+
+def runs(sizes: list[int], most: int = 4 << 20):
+    """(first, last + 1) of runs of about `most` bytes."""
+    a = total = 0
+    for i, n in enumerate(sizes):
+        if i > a and total + n > most:
+            yield a, i
+            a, total = i, 0
+        total += n
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
 def build_directory(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -88,66 +113,76 @@ def build_directory(counts: np.ndarray, capacity: int) -> tuple[np.ndarray, list
     return directory, buckets
 
 
-def _own(batches):
-    """Rows sorted by key: chains the distinct texts of a 64-bit key and compares bytes. Holds one key's chain."""
-    key, chain, out = None, [], []
-
-    def done():
-        out.extend((bucket, i, s, n, *best) for i, (s, _, n, best) in enumerate(chain))
-
-    bucket = None
+def _chains(batches):
+    """Of rows sorted by key, for each key the chain of its distinct texts, told apart by their bytes: [bucket, sha, text, n, best]. Holds one key's chain."""
+    key, chain = None, []
     for batch in batches:
         for r in batch.to_pylist():
             k = r["sha"][:8]
-            if k != key:
-                done()
-                key, bucket, chain = k, r["bucket"], []
-            row = (r["best_points"], r["best_id"], r["best_tag"])
+            if k != key and chain:
+                yield chain
+                chain = []
+            key, row = k, (r["best_points"], r["best_id"], r["best_tag"])
             for c in chain:
-                if c[1] == r["text"]:
-                    c[2], c[3] = c[2] + r["n"], _better(c[3], row)
+                if c[2] == r["text"]:
+                    c[3], c[4] = c[3] + r["n"], _better(c[4], row)
                     break
             else:
-                chain.append([r["sha"], r["text"], r["n"], row])
+                chain.append([r["bucket"], r["sha"], r["text"], r["n"], row])
+    if chain:
+        yield chain
+
+
+def _own(batches):
+    """The index of an owner's buckets."""
+    out = []
+
+    def packed():
+        kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _INDEX.split(", ")])
+
+    for chain in _chains(batches):
+        out += [(bucket, i, sha, n, *best) for i, (bucket, sha, _, n, best) in enumerate(chain)]
         if len(out) > 20000:
-            yield _index_batch(out)
+            yield packed()
             out.clear()
-    done()
-    yield _index_batch(out)
+    yield packed()
 
 
-def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["bucket", "chain", "sha", "group_size", "best_points", "best_id", "best_tag"])
+def _put_together(batches):
+    """Leads of the same text as one."""
+    for chain in _chains(batches):
+        for bucket, sha, text, n, best in chain:
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array([bucket], pa.int32()), "sha": pa.array([sha], pa.binary()), "text": pa.array([text], pa.binary()), "n": [n], "best_points": [best[0]], "best_id": pa.array([best[1]], pa.int64()), "best_tag": [best[2]]})
 
 
-def build_index(docs: DataFrame, capacity: int = 512, most_bits: int = 18) -> tuple[DataFrame, DataFrame]:
-    """(segments, index), both tables in the shared folder. capacity: distinct keys of a bucket; most_bits bounds the directory."""
+def build_index(docs: DataFrame, capacity: int = 512, most_bits: int = MOST_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows, index), tables in the shared folder; rows have their bucket. capacity: distinct keys of a bucket; most_bits bounds the directory."""
     spark = docs.sparkSession
     path = work_dir(spark, "exact")
     segments = saved(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64("text").alias("mark")).mapInArrow(trimmed(_segments), _SEGMENT), f"{path}/segments")
-    prefix = F.expr(f"cast(conv(hex(substring(sha, 1, 3)), 16, 10) as int) div {1 << (24 - most_bits)}")
-    found = segments.select("sha").distinct().groupBy(prefix.alias("p")).count().toPandas()  # at most 2**most_bits rows
+    slot = lambda bits: F.expr(f"cast(conv(hex(substring(sha, 1, 3)), 16, 10) as int) div {1 << (24 - bits)}")
+    found = segments.where("n is not null").select("sha").distinct().groupBy(slot(most_bits).alias("p")).count().toPandas()  # at most 2**most_bits rows
     counts = np.zeros(1 << most_bits, np.int64)
     counts[found["p"].to_numpy(np.int64)] = found["count"].to_numpy(np.int64)
-    directory, _ = build_directory(counts, capacity)
+    directory, _ = build_directory(counts, max(capacity, -(-4 * int(counts.sum()) // len(counts))))
+    table = pd.DataFrame({"slot": np.arange(len(directory), dtype=np.int32), "bucket": directory.astype(np.int32)})
+    table = saved(spark.createDataFrame(table, "slot int, bucket int"), f"{path}/directory")
     depth = len(directory).bit_length() - 1
+    placed = segments.withColumn("slot", slot(depth)).join(F.broadcast(table), "slot")  # 2**most_bits rows of two numbers at most
 
-    def place(batches):
-        for batch in batches:
-            head = np.array([int.from_bytes(s[:3], "big") >> (24 - depth) for s in batch.column("sha").to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(directory[head], pa.int32()), *batch.columns], names=["bucket", *batch.schema.names])
-
-    leads = segments.where("n is not null").select("sha", "text", "n", "best_points", "best_id", "best_tag")
-    placed = leads.mapInArrow(place, "bucket int, sha binary, text binary, n long, best_points long, best_id long, best_tag long")
-    index = placed.repartition("bucket").sortWithinPartitions("sha").mapInArrow(_own, _INDEX)
-    return segments, saved(index, f"{path}/index")
+    names = [c.split()[0] for c in _LEAD]
+    leads = placed.where("n is not null").select("bucket", *names)
+    several = leads.where("n > 1").repartition("bucket", F.expr(f"pmod(shiftright(best_tag, 40), {SALT})")).sortWithinPartitions("sha")
+    leads = leads.where("n = 1").unionByName(several.mapInArrow(_put_together, "bucket int, " + ", ".join(_LEAD)))
+    index = leads.repartition("bucket").sortWithinPartitions("sha").mapInArrow(_own, _INDEX)
+    return placed.where("n is null").select("bucket", "sha", "doc_id", "n_points", "mark", "tag"), saved(index, f"{path}/index")
 
 
 def exact_dedup(docs: DataFrame, capacity: int = 512) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_points, mark (xxhash64 of the text), tag for each row of docs (doc_id, text)."""
-    segments, index = build_index(docs, capacity)
-    rows = segments.select("sha", "doc_id", "n_points", "mark", "tag").join(index.select("sha", "group_size", "best_id", "best_tag"), "sha")
+    rows, index = build_index(docs, capacity)
+    rows = rows.join(index.select("bucket", "sha", "group_size", "best_id", "best_tag"), ["bucket", "sha"])
     return rows.select("doc_id", F.col("best_id").alias("keep_id"), "group_size", (F.col("tag") == F.col("best_tag")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "n_points", "mark", "tag")
 
 
