@@ -60,7 +60,38 @@ DOC_TYPES = (
     ("thong-tu-", "thong_tu"), ("quyet-dinh-", "quyet_dinh"), ("chi-thi-", "chi_thi"), ("luat-", "luat"), ("van-ban-hop-nhat-", "hop_nhat"),
 )
 #: Document number patterns in order.
-DOC_NUMBERS = (r"(\d+/\d{4}/[\w\-Đđ]+)", r"(\d+/NQ\-CP)", *(rf"(\d+/[\w\-]+\-{x})" for x in ("CP", "TTg", "NHNN", "BCT", "BTC", "BGDĐT", "BXD", "BKHCN", r"QH\d+")))
+DOC_NUMBERS = (
+    r"(\d+/\d{4}/[\w\-Đđ]+)",
+    r"(\d+/NQ\-CP)",
+    r"(\d+/[\w\-]+\-CP)",
+    r"(\d+/[\w\-]+\-TTg)",
+    r"(\d+/[\w\-]+\-NHNN)",
+    r"(\d+/[\w\-]+\-BCT)",
+    r"(\d+/[\w\-]+\-BTC)",
+    r"(\d+/[\w\-]+\-BGDĐT)",
+    r"(\d+/[\w\-]+\-BXD)",
+    r"(\d+/[\w\-]+\-BKHCN)",
+    r"(\d+/[\w\-]+\-QH\d+)",
+)
+SIMPLE_NUMBER = r"\d+/\d{4}/[A-Z0-9-]+"
+DATE = r"ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+SIGNED = r"Hà\s+Nội[,\s]+"
+SIDES = r"\s+(?:và|with|vs\.?)\s+"
+ABOUT = r"\s+(?:về|on|regarding)\s+"
+#: Passes of the cleaner in order: pattern and what stands in its place.
+NOISE = (
+    (r"(?U)\s{3,}", "  "),
+    (r"\n{3,}", "\n\n"),
+    (r"\.{4,}", ""),
+    ("[-─]{10,}", ""),
+    (r"(?U)Trang\s+\d+\s*/\s*\d+", ""),
+    (r"(?Umd)^\s*\d+\s*$", ""),
+)
+#: What headers are followed by, how an article begins, and where a clause does.
+HEADERS = ((ARTICLE, r"\d+"), (CHAPTER, "[IVXLCDM]+"), (SECTION, r"\d+"))
+ARTICLE_HEAD = rf"{ARTICLE}\s+\d+[a-z]?[.:]"
+CLAUSE = r"\n\d+\.\s"
+COMMENT = "(?s)<!--.*?-->"
 NEAR_LABEL = r"(?:điểm rèn luyện|điểm trung bình chung tích lũy|điểm trung bình chung|gpa|đtb|điểm)\D{0,20}?(\d+(?:[.,]\d+)?)"
 WITH_UNIT = r"(\d+(?:[.,]\d+)?)\s*(?:điểm|%)"
 NUMBER = r"(\d+(?:[.,]\d+)?)"
@@ -94,7 +125,7 @@ def normalized(text: Column) -> Column:
 
 def without_noise(text: Column) -> Column:
     """Six passes in their order; the second one never finds anything after the first."""
-    for pattern, by in ((r"(?U)\s{3,}", "  "), (r"\n{3,}", "\n\n"), (r"\.{4,}", ""), ("[-─]{10,}", ""), (r"(?U)Trang\s+\d+\s*/\s*\d+", ""), (r"(?Umd)^\s*\d+\s*$", "")):
+    for pattern, by in NOISE:
         text = F.regexp_replace(text, pattern, by)
     return stripped(text)
 
@@ -105,7 +136,7 @@ def stripped(text: Column) -> Column:
 
 def with_header_breaks(text: Column) -> Column:
     """Two line breaks before articles, chapters and sections that follow anything but one."""
-    for head, number in ((ARTICLE, r"\d+"), (CHAPTER, "[IVXLCDM]+"), (SECTION, r"\d+")):
+    for head, number in HEADERS:
         text = F.regexp_replace(text, rf"(?U)(?<!\n)({head}\s+{number})", "\n\n$1")
         text = F.regexp_replace(text, rf"(?U)\n{{3,}}({head}\s+{number})", "\n\n$1")
     return text
@@ -119,22 +150,21 @@ def cleaned(text: Column) -> Column:
 
 
 def markdown_cleaned(text: Column, most: int = 2000) -> Column:
-    lines = F.transform(F.split(F.regexp_replace(text, "(?s)<!--.*?-->", ""), "\n"), lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(LINE_CUT))).otherwise(x))
+    lines = F.transform(F.split(F.regexp_replace(text, COMMENT, ""), "\n"), lambda x: F.when(F.length(x) > most, F.concat(F.substring(x, 1, most), F.lit(LINE_CUT))).otherwise(x))
     return stripped(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
 def articles(text: Column) -> Column:
     """Articles of a text in order, as an array: from a header up to the next one or the end."""
-    head = rf"{ARTICLE}\s+\d+[a-z]?[.:]"
-    return F.regexp_extract_all(text, F.lit(rf"(?sU)({head}\s+.*?)(?={head}|\z)"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(rf"(?sU)({ARTICLE_HEAD}\s+.*?)(?={ARTICLE_HEAD}|\z)"), F.lit(1))
 
 
 def clauses(article: Column) -> Column:
-    return F.split(article, r"(?U)(?=\n\d+\.\s)")
+    return F.split(article, f"(?U)(?={CLAUSE})")
 
 
 def clause_count(article: Column) -> Column:
-    return F.regexp_count(article, F.lit(r"(?U)\n\d+\.\s"))
+    return F.regexp_count(article, F.lit("(?U)" + CLAUSE))
 
 
 def paragraphs(text: Column) -> Column:
@@ -172,14 +202,14 @@ def document_number(title: Column) -> Column:
 
 
 def simple_number(title: Column) -> Column:
-    return F.regexp_extract(title, r"\d+/\d{4}/[A-Z0-9-]+", 0)
+    return F.regexp_extract(title, SIMPLE_NUMBER, 0)
 
 
 def signing_date(text: Column) -> Column:
     """ISO date of the signing line, else of the last date; empty without any."""
-    date = r"ngày\s+(\d{1,2})\s+tháng\s+(\d{1,2})\s+năm\s+(\d{4})"
+    date = DATE
     at = lambda s, p: F.concat_ws("-", F.regexp_extract(s, p, 3), F.lpad(F.regexp_extract(s, p, 2), 2, "0"), F.lpad(F.regexp_extract(s, p, 1), 2, "0"))
-    line = rf"(?U)Hà\s+Nội[,\s]+{date}"
+    line = "(?U)" + SIGNED + date
     last = F.element_at(F.regexp_extract_all(text, F.lit("(?U)" + date), F.lit(0)), -1)
     return F.when(text.rlike(line), at(text, line)).when(text.rlike("(?U)" + date), at(last, "(?U)" + date)).otherwise("")
 
@@ -260,8 +290,8 @@ def word_count(text: Column) -> Column:
 
 def compare_arguments(query: Column) -> Column:
     """struct(a, b, aspect): the sides of a comparison and what it is about; the query itself where it has no two sides."""
-    sides = F.split(query, r"(?iuU)\s+(?:và|with|vs\.?)\s+", 2)
-    right = F.split(stripped(F.element_at(sides, 2)), r"(?iuU)\s+(?:về|on|regarding)\s+", 2)
+    sides = F.split(query, "(?iuU)" + SIDES, 2)
+    right = F.split(stripped(F.element_at(sides, 2)), "(?iuU)" + ABOUT, 2)
     two = F.size(sides) == 2
     aspect = F.when(F.size(right) > 1, F.nullif(stripped(F.get(right, F.lit(1))), F.lit("")))
     return F.struct(F.when(two, stripped(sides[0])).otherwise(query).alias("a"), F.when(two, stripped(right[0])).otherwise(query).alias("b"), F.when(two, F.coalesce(aspect, query)).otherwise(query).alias("aspect"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators.retrieval import cosine, embedded
 
 RELEVANT = 0.15
 #: (name, from, to): deltas that the report holds.
@@ -24,7 +27,7 @@ def hit_rate_and_mrr(judged: DataFrame, questions: DataFrame, by: str = "strateg
     first = judged.groupBy(by, "item_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
     every = judged.select(by).distinct().join(questions.select("item_id").distinct())
     found = every.join(first, [by, "item_id"], "left")
-    return found.groupBy(by).agg(F.count("*").alias("n_items"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 6).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
+    return found.groupBy(by).agg(F.count("*").alias("n_items"), F.round(F.avg(F.col("first").isNotNull().cast("double")), 4).alias("hit_rate"), F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 4).alias("mrr"))
 
 
 def context_counts(found: DataFrame, questions: DataFrame, by: str = "strategy") -> DataFrame:
@@ -46,7 +49,7 @@ def deltas(metrics: DataFrame, value: str, by: str = "strategy") -> DataFrame:
     at = lambda s: F.max(F.when(F.col(by) == s, F.col(value)))
     pairs = metrics.agg(*(F.struct(at(a).alias("a"), at(b).alias("b")).alias(n) for n, a, b in DELTAS))
     rows = pairs.select(F.explode(F.array(*(F.struct(F.lit(n).alias("delta"), F.col(f"{n}.a").alias("a"), F.col(f"{n}.b").alias("b")) for n, _, _ in DELTAS))).alias("x")).select("x.*")
-    return rows.select("delta", F.when((F.col("a") != 0) & (F.col("b") != 0), F.round((F.col("b") - F.col("a")) / F.col("a") * 100, 6)).alias("pct"))
+    return rows.select("delta", F.when((F.col("a") != 0) & (F.col("b") != 0), F.round((F.col("b") - F.col("a")) / F.col("a") * 100, 1)).alias("pct"))
 
 
 def latency(rows: DataFrame, value: str, by: str) -> DataFrame:
@@ -55,7 +58,7 @@ def latency(rows: DataFrame, value: str, by: str) -> DataFrame:
     ranked = rows.where(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.row_number().over(order).alias("i"), F.count("*").over(Window.partitionBy(by)).alias("n"))
     place = F.least(F.floor(F.col("n") * 0.95), F.col("n") - 1) + 1
     return ranked.groupBy(by).agg(
-        F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.round(F.median("v"), 6).alias("median"), F.max(F.when(F.col("i") == place, F.col("v"))).alias("p95"), F.min("v").alias("least"), F.max("v").alias("most")
+        F.count("*").alias("n"), F.round(F.avg("v"), 1).alias("mean"), F.round(F.median("v"), 1).alias("median"), F.round(F.max(F.when(F.col("i") == place, F.col("v"))), 1).alias("p95"), F.round(F.min("v"), 1).alias("least"), F.round(F.max("v"), 1).alias("most")
     )
 
 
@@ -63,17 +66,42 @@ def answer_rates(answers: DataFrame) -> DataFrame:
     """Of (answer, truth): citation rate of non-blank answers, and refusal rate of questions outside the corpus (null without any)."""
     filled = F.coalesce(F.col("answer"), F.lit("")).rlike(r"(?U)\S")
     return answers.agg(
-        F.round(F.coalesce(F.avg(F.when(filled, T.is_cited(F.col("answer")).cast("double"))), F.lit(0.0)), 6).alias("citation_rate"),
-        F.round(F.avg(F.when(T.is_out_of_corpus(F.col("truth")), T.is_refusal(F.col("answer")).cast("double"))), 6).alias("refusal_rate"),
+        F.round(F.coalesce(F.avg(F.when(filled, T.is_cited(F.col("answer")).cast("double"))), F.lit(0.0)), 4).alias("citation_rate"),
+        F.round(F.avg(F.when(T.is_out_of_corpus(F.col("truth")), T.is_refusal(F.col("answer")).cast("double"))), 4).alias("refusal_rate"),
         F.count(F.when(filled, 1)).alias("n_answers"), F.count(F.when(T.is_out_of_corpus(F.col("truth")), 1)).alias("n_outside"),
     )
 
 
-def correctness(pairs: DataFrame) -> DataFrame:
-    """Mean token F1 of (answer, truth), without questions outside the corpus and empty texts."""
+def correctness(pairs: DataFrame, embed: Callable = embedded) -> DataFrame:
+    """n, token_f1 and semantic: mean token F1 and mean cosine of (answer, truth), without questions outside the corpus and empty texts. Pairs of
+    which a vector has no length count for the first mean only; 0 without any."""
     words = lambda c: F.array_distinct(T.tokens(F.col(c)))
     kept = pairs.where(~T.is_out_of_corpus(F.col("truth"))).where("answer <> '' and truth <> ''")
-    return kept.agg(F.count("*").alias("n"), F.round(F.avg(T.token_f1(words("answer"), words("truth"))), 6).alias("token_f1"))
+    vector = lambda c, name: embed(kept.select("item_id", F.col(c).alias("text")), "item_id").select("item_id", F.col("vector").alias(name))
+    both = vector("answer", "a").join(vector("truth", "b"), "item_id").where("a is not null and b is not null")
+    means = kept.agg(F.count("*").alias("n"), F.round(F.coalesce(F.avg(T.token_f1(words("answer"), words("truth"))), F.lit(0.0)), 4).alias("token_f1"))
+    near = both.agg(F.round(F.coalesce(F.avg(cosine(F.col("a"), F.col("b"))), F.lit(0.0)), 4).alias("semantic"))
+    return means.withColumn("semantic", near.scalar())
+
+
+def with_context(answers: DataFrame) -> DataFrame:
+    """The rows that judge metrics are asked for: those with any context."""
+    return answers.where(F.size(F.coalesce("contexts", F.array().cast("array<string>"))) > 0)
+
+
+def by_tier(judged: DataFrame, questions: DataFrame, tier: str = "tier") -> DataFrame:
+    """hit_rate_and_mrr of each strategy by a column of the questions."""
+    rows = judged.join(questions.select("item_id", tier), "item_id")
+    first = rows.groupBy("strategy", tier, "item_id").agg(F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"))
+    sizes = questions.groupBy(tier).agg(F.count_distinct("item_id").alias("n_items"))
+    sums = first.groupBy("strategy", tier).agg(F.count("first").alias("hits"), F.sum(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("ranks")).join(sizes, tier)
+    return sums.select("strategy", tier, "n_items", F.round(F.col("hits") / F.col("n_items"), 4).alias("hit_rate"), F.round(F.col("ranks") / F.col("n_items"), 4).alias("mrr"))
+
+
+def zipped(questions: Column, answers: Column, truths: Column) -> Column:
+    """Parallel lists as one list of structs, as long as the shortest."""
+    n = F.least(F.size(questions), F.size(answers), F.size(truths))
+    return F.slice(F.arrays_zip(questions.alias("question"), answers.alias("answer"), truths.alias("truth")), F.lit(1), n)
 
 
 def targets_met(metrics: DataFrame, targets: dict[str, float]) -> Column:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ERROR = "error"
@@ -12,7 +13,7 @@ def metrics(events: DataFrame) -> DataFrame:
     """total_queries, avg_latency_ms (of latencies above 0, one digit, 0 without any), active_sessions, in one pass."""
     q = F.col("event_type") != ERROR
     return events.agg(
-        F.count(F.when(q, 1)).alias("total_queries"), F.round(F.coalesce(F.avg(F.when(q & (F.col("value") > 0), F.col("value"))), F.lit(0.0)), 6).alias("avg_latency_ms"), F.countDistinct(F.when(q, F.col("user_id"))).alias("active_sessions")
+        F.count(F.when(q, 1)).alias("total_queries"), F.round(F.coalesce(F.avg(F.when(q & (F.col("value") > 0), F.col("value"))), F.lit(0.0)), 1).alias("avg_latency_ms"), F.countDistinct(F.when(q, F.col("user_id"))).alias("active_sessions")
     )
 
 
@@ -21,7 +22,7 @@ def error_rate(events: DataFrame, minutes: int = 60, now=None) -> DataFrame:
     end = events.agg(F.max("ts").alias("m")).select("m").scalar() if now is None else F.lit(now)
     rows = events.where(F.col("ts") >= end - F.make_interval(mins=F.lit(minutes)))
     errors, queries = F.count(F.when(F.col("event_type") == ERROR, 1)), F.count(F.when(F.col("event_type") != ERROR, 1))
-    return rows.agg(errors.alias("errors"), queries.alias("queries"), F.when(queries > 0, F.round(errors / queries, 6)).otherwise(0.0).alias("error_rate"))
+    return rows.agg(errors.alias("errors"), queries.alias("queries"), F.when(queries > 0, F.round(errors / queries, 4)).otherwise(0.0).alias("error_rate"))
 
 
 def _recent(seconds: int, key: str):
@@ -34,21 +35,39 @@ def rate_limited(events: DataFrame, most: int = 10, seconds: int = 60, key: str
     return events.withColumn("recent", _recent(seconds, key)).withColumn("limited", F.col("recent") > most)
 
 
-def admitted(events: DataFrame, most: int = 10, seconds: int = 61, failures: int = 3, key: str = "user_id") -> DataFrame:
-    """events with recent, failed_run (failures on end up to the row) and admitted: recent within most and fewer than failures in a row before it."""
-    order = Window.partitionBy(key).orderBy("ts", "event_id")
-    bad = (F.col("event_type") == ERROR).cast("int")
-    rows = events.withColumn("recent", _recent(seconds, key)).withColumn("streak", F.sum(1 - bad).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(key, "streak").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("failed_run", F.sum(bad).over(run))
-    dead = F.max(F.when(F.col("failed_run") >= failures, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("admitted", (F.col("recent") <= most) & (F.coalesce(dead, F.lit(0)) == 0)).drop("streak")
+def admitted(events: DataFrame, most: int = 10, seconds: int = 61, failures: int = 3, key: str = "user_id", pairs: int = 1) -> DataFrame:
+    """(event_id, pair, recent, failed_run): calls let through by a round robin over `pairs` of a key, in the order of ts and event_id. A pair takes
+    a call when it isn't dead and has fewer than `most` calls let through in the last seconds; pair is its number, null where none takes it (a
+    refused call fills no window). recent counts the window's calls with this one, failed_run a pair's failed calls on end; from
+    `failures` on it is dead. The rows of a key come to one task in order, which holds `most` times for each pair and no rows."""
+
+    def run(batches):
+        last, windows, failed, cursor = object(), [], [], 0
+        for batch in batches:
+            out = []
+            for k, event, at, bad in zip(*(batch.column(c).to_pylist() for c in ("k", "event_id", "at", "bad")), strict=True):
+                if k != last:
+                    last, windows, failed, cursor = k, [[] for _ in range(pairs)], [0] * pairs, 0
+                live, taken = [p for p in range(pairs) if failed[p] < failures], None
+                for p in (live[(cursor + i) % len(live)] for i in range(len(live))):
+                    windows[p] = [t for t in windows[p] if t > at - seconds * 1_000_000]
+                    if len(windows[p]) < most:
+                        windows[p].append(at)
+                        cursor, taken = (live.index(p) + 1) % len(live), p
+                        failed[p] = failed[p] + 1 if bad else 0
+                        break
+                out.append((event, taken, None if taken is None else len(windows[taken]), None if taken is None else failed[taken]))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["event_id", "pair", "recent", "failed_run"])
+
+    rows = events.select(F.col(key).alias("k"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == ERROR).alias("bad"))
+    return rows.repartition("k").sortWithinPartitions("k", "at", "event_id").mapInArrow(run, "event_id long, pair int, recent int, failed_run int")
 
 
 def error_windows(events: DataFrame, width: str = "60 minutes", slide: str = "30 minutes") -> DataFrame:
     """Errors and queries by sliding window, batch or stream."""
     by = events.groupBy(F.window("ts", width, slide).alias("w")).agg(F.count(F.when(F.col("event_type") == ERROR, 1)).alias("errors"), F.count(F.when(F.col("event_type") != ERROR, 1)).alias("queries"))
-    return by.select(F.col("w.start").alias("window_start"), "errors", "queries", F.when(F.col("queries") > 0, F.round(F.col("errors") / F.col("queries"), 6)).otherwise(0.0).alias("error_rate"))
+    return by.select(F.col("w.start").alias("window_start"), "errors", "queries", F.when(F.col("queries") > 0, F.round(F.col("errors") / F.col("queries"), 4)).otherwise(0.0).alias("error_rate"))
 
 
 def last_messages(turns: DataFrame, n: int = 20) -> DataFrame:
@@ -82,3 +101,19 @@ def health(services: DataFrame) -> DataFrame:
 def query_log(rows: DataFrame) -> DataFrame:
     """Rows as they are logged: query cut to 500 characters, answer to 300."""
     return rows.withColumns({"query": F.substring("query", 1, 500), "answer_snippet": F.substring("answer_snippet", 1, 300)})
+
+
+def upload_log(rows: DataFrame) -> DataFrame:
+    """Uploads as they are logged: the filename cut to 260 characters."""
+    return rows.withColumn("filename", F.substring("filename", 1, 260))
+
+
+def shown_sources(sources: Column, most: int = 5) -> Column:
+    """The first sources of an answer, cited or not."""
+    return F.slice(F.coalesce(sources, F.array()), 1, most)
+
+
+def source_titles(found: DataFrame, names: DataFrame, most: int = 3) -> DataFrame:
+    """(item_id, titles): the titles of a question's first hits, as the chat log has them."""
+    rows = found.where(F.col("rank") <= most).join(names, "doc_id")
+    return rows.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "name"))), lambda x: x["name"]).alias("titles"))

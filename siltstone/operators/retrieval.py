@@ -2,20 +2,34 @@
 
 Questions are (item_id, text), the corpus (doc_id, text). Results are (item_id, doc_id, rank, score); texts are joined last, for the
 rows that are left. Scores are rounded to SCORE_DIGITS before ranking, so that equal texts tie, and ties go to the smaller doc_id.
+
+Models are ports: `embed` gives (key, vector) of (key, text) rows, `rerank` ranks candidates as `reranked` does. The index of words (`postings`) may be
+a stored table; without one it is made of the corpus.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
+from siltstone.operators import tables
 
 K1, B = 1.5, 0.75
 RRF = 60
 POOL, TOP, SINGLE = 20, 8, 5
 DIMENSIONS = 384
 SCORE_DIGITS = 8
+#: Question vectors that are sent to all tasks at once, as 64-bit numbers; more questions go in blocks of so many.
+MATRIX_BYTES = 32 << 20
+#: Words whose places a task keeps, and rows that a task multiplies at once.
+KNOWN = 1 << 20
+ROWS = 1024
 
 
 def corpus(docs: DataFrame, most: int | None = None) -> DataFrame:
@@ -36,12 +50,19 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, k: int = POOL) -> DataFrame:
-    """Okapi scores over distinct question words. Words that no question has are dropped before anything is counted."""
+def bm25(questions: DataFrame, docs: DataFrame, k: int = POOL, index: DataFrame | None = None) -> DataFrame:
+    """Okapi scores over distinct question words. Words that no question has are dropped before anything is counted; of a stored index
+    (postings, best cut by term) only those words' rows are joined, and texts aren't read at all."""
     asked = questions.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    words = docs.select("doc_id", T.tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-    size = words.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    found = words.select("doc_id", "dl", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    terms = asked.select("term").distinct()
+    if index is None:
+        words = docs.select("doc_id", T.tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
+        sizes = words.select("dl")
+        found = words.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
+    else:
+        sizes = index.groupBy("doc_id").agg(F.max("dl").alias("dl"))
+        found = index.join(terms, "term", "left_semi")
+    size = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = size.select("n").scalar(), size.select("mean").scalar()
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -50,25 +71,94 @@ def bm25(questions: DataFrame, docs: DataFrame, k: int = POOL) -> DataFrame:
     return top(scored, k)
 
 
-
-
-
-
 def embedded(rows: DataFrame, key: str) -> DataFrame:
-    """(key, dim, w): sparse unit vectors of a hashing embedder (bucket and sign of a word from its md5)."""
-    words = rows.select(key, F.explode(T.tokens(F.col("text"))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    digest = F.md5(F.col("term").cast("binary"))
-    value = F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 5, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
-    sums = words.select(key, (value % DIMENSIONS).alias("dim"), (F.col("tf") * sign).alias("w")).groupBy(key, "dim").agg(F.sum("w").cast("double").alias("w")).where("w <> 0")
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return sums.select(key, "dim", (F.col("w") / norm).alias("w"))
-
-
-def dense(questions: DataFrame, docs: DataFrame, k: int = POOL) -> DataFrame:
-    """Cosine of hashed vectors, by a join on the dimensions that a question has."""
-    q, d = embedded(questions, "item_id"), embedded(docs, "doc_id").withColumnRenamed("w", "v")
-    return top(d.join(q, "dim").groupBy("item_id", "doc_id").agg(F.sum(F.col("w") * F.col("v")).alias("score")), k)
+    """(key, vector): unit vectors of a hashing embedder (bucket and sign of a word from its md5), null without words; the default of the
+    embedding port. A task keeps the words it has seen, KNOWN at most."""
+
+    def run(batches):
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            out = []
+            for words in batch.column(1).to_pylist():
+                v = np.zeros(DIMENSIONS)
+                for w in words:
+                    if (at := known.get(w)) is None:
+                        digest = hashlib.md5(w.encode()).hexdigest()
+                        at = known[w] = (int(digest[:4], 16) % DIMENSIONS, 1 if int(digest[4], 16) < 8 else -1)
+                    v[at[0]] += at[1]
+                norm = np.sqrt(v @ v)
+                out.append(v / norm if norm else None)
+                if len(known) > KNOWN:
+                    known.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "vector"])
+
+    keyed = rows.select(F.col(key).cast("long").alias(key), T.tokens(F.col("text")).alias("words"))
+    return keyed.mapInArrow(run, f"{key} long, vector array<double>")
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int, own: bool = True) -> DataFrame:
+    """(query, id, score): of (query, vector) rows each one's k highest dot products with (id, vector) rows, rounded, ties to the smaller id; only
+    pairs that share a dimension other than 0. Query vectors go to all tasks as a matrix, in blocks of MATRIX_BYTES, each block over one
+    scan; a task keeps k rows a query, and those of all tasks are merged. own=False leaves a vector out that has the query's number."""
+    queries = tables.cut(queries.where("vector is not null"))
+    n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
+    blocks = max(1, -(-n * 8 * (width or 1) // MATRIX_BYTES))
+    out = None
+    for i in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).orderBy("query").toArrow() if n else queries.limit(0).toArrow()
+        found = _scan(rows, vectors, k, digits, own)
+        out = found if out is None else out.unionByName(found)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "score")
+
+
+def _scan(queries: pa.Table, vectors: DataFrame, k: int, digits: int, own: bool) -> DataFrame:
+    numbers = queries.column("query").to_numpy()
+    width = max([0, *(len(v) for v in queries.column("vector").to_pylist())])
+    matrix = np.zeros((len(numbers), width))
+    for i, v in enumerate(queries.column("vector").to_pylist()):
+        matrix[i, : len(v)] = v
+    shared = vectors.sparkSession.sparkContext.broadcast((numbers, matrix))  # MATRIX_BYTES, or one query's vector
+
+    def best(q, d, s, ids):
+        """The k first of each query among pairs of places, sorted."""
+        order = np.lexsort((ids, -s, q))
+        q, d, s, ids = q[order], d[order], s[order], ids[order]
+        start = np.flatnonzero(np.diff(q, prepend=-1))
+        keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k
+        return q[keep], d[keep], s[keep], ids[keep]
+
+    def run(batches):
+        names, m = shared.value
+        least = np.full(len(names), -np.inf)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v and i is not None and None not in v]
+            if not rows or not len(names):
+                continue
+            ids, x = np.array([i for i, _ in rows], np.int64), np.zeros((len(rows), m.shape[1]))
+            for j, (_, v) in enumerate(rows):
+                x[j, : len(v)] = v[: m.shape[1]]
+            s = np.round(m @ x.T, digits)
+            q, d = np.nonzero(s >= least[:, None])
+            some = s[q, d] != 0
+            some[~some] = ((m[q[~some]] != 0) & (x[d[~some]] != 0)).any(1)
+            some &= own | (names[q] != ids[d])
+            q, d = q[some], d[some]
+            held = best(*(np.concatenate(p) for p in zip(held, (q, d, s[q, d], ids[d]), strict=True)))
+            full, count = np.unique(held[0], return_counts=True)
+            full = full[count == k]
+            least[full] = held[2][np.searchsorted(held[0], full, "right") - 1]
+        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]], pa.int64()), pa.array(held[3]), pa.array(held[2])], names=["query", "id", "score"])
+
+    return vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query long, id long, score double")
+
+
+def dense(questions: DataFrame, docs: DataFrame, k: int = POOL, embed: Callable = embedded) -> DataFrame:
+    """Cosine of unit vectors."""
+    q, d = embed(questions.select("item_id", "text"), "item_id"), embed(docs.select("doc_id", "text"), "doc_id")
+    found = nearest(q.select(F.col("item_id").alias("query"), "vector"), d.select(F.col("doc_id").alias("id"), "vector"), k, SCORE_DIGITS)
+    return top(found.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "score"), k)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -78,12 +168,19 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm).otherwise(0.0)
 
 
+def unit(vector: Column) -> Column:
+    """A vector of length 1; null where it has none."""
+    x = vector.cast("array<double>")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return F.when(norm > 0, F.transform(x, lambda v: v / norm))
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int = SINGLE) -> DataFrame:
-    """(query_id, vec_id, rank, score): the k nearest by cosine, itself left out. Queries are a stated set, sent to all rows."""
-    q = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = vectors.select("vec_id", "embedding").join(q, F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    """(query_id, vec_id, rank, score): the k nearest by cosine, itself left out. Queries are a stated set, compared with all rows in blocks."""
+    q, v = (rows.select(F.col("vec_id").alias(name), unit(F.col("embedding")).alias("vector")) for rows, name in ((queries, "query"), (vectors, "id")))
+    found = nearest(q, v, k, 6, own=False).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def fused(lists: list[DataFrame], k: int = POOL) -> DataFrame:
@@ -94,8 +191,15 @@ def fused(lists: list[DataFrame], k: int = POOL) -> DataFrame:
     return top(both.groupBy("item_id", "doc_id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score")), k, 12)
 
 
-def hybrid(questions: DataFrame, docs: DataFrame, k: int = TOP, pool: int = POOL) -> DataFrame:
-    return fused([bm25(questions, docs, pool), dense(questions, docs, pool)], k)
+def hybrid(questions: DataFrame, docs: DataFrame, k: int = TOP, pool: int = POOL, embed: Callable = embedded, index: DataFrame | None = None, mode: str = "hybrid") -> DataFrame:
+    """mode: hybrid fuses both lists; dense and bm25 degrade to one of them, for a store without words or without vectors."""
+    if mode == "dense":
+        return dense(questions, docs, k, embed)
+    if mode == "bm25":
+        return bm25(questions, docs, k, index)
+    if mode != "hybrid":
+        raise ValueError(f"unknown mode: {mode}")
+    return fused([bm25(questions, docs, pool, index), dense(questions, docs, pool, embed)], k)
 
 
 def reranked(candidates: DataFrame, questions: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
@@ -106,8 +210,10 @@ def reranked(candidates: DataFrame, questions: DataFrame, docs: DataFrame, k: in
     return top(scored, k)
 
 
-def hybrid_reranked(questions: DataFrame, docs: DataFrame, k: int = TOP) -> DataFrame:
-    return reranked(hybrid(questions, docs, POOL), questions, docs, k)
+def hybrid_reranked(questions: DataFrame, docs: DataFrame, k: int = TOP, rerank: Callable | None = reranked, **options) -> DataFrame:
+    """rerank=None, where no reranker is there, keeps the first k in the order of fusion."""
+    found = hybrid(questions, docs, POOL, **options)
+    return rerank(found, questions, docs, k) if rerank else found.where(F.col("rank") <= k)
 
 
 def with_fallback(found: DataFrame, questions: DataFrame, docs: DataFrame, k: int = SINGLE) -> DataFrame:
@@ -121,7 +227,7 @@ STRATEGIES = {"bm25_only": lambda q, d: bm25(q, d, SINGLE), "dense_only": lambda
 
 def ablation(questions: DataFrame, docs: DataFrame, strategies=tuple(STRATEGIES)) -> DataFrame:
     """(strategy, item_id, doc_id, rank, score) of all strategies. The two ranked lists, POOL rows a question, are made once."""
-    sparse, near = bm25(questions, docs, POOL).persist(), dense(questions, docs, POOL).persist()
+    sparse, near = tables.cut(bm25(questions, docs, POOL)), tables.cut(dense(questions, docs, POOL))
     both = fused([sparse, near], POOL)
     runs = {"bm25_only": sparse.where(F.col("rank") <= SINGLE), "dense_only": near.where(F.col("rank") <= SINGLE), "hybrid": both.where(F.col("rank") <= TOP), "hybrid_rerank": reranked(both, questions, docs)}
     out = None
@@ -131,6 +237,14 @@ def ablation(questions: DataFrame, docs: DataFrame, strategies=tuple(STRATEGIES)
     return out
 
 
+def compared(pairs: DataFrame, docs: DataFrame, k: int = SINGLE, retrieve: Callable = bm25) -> DataFrame:
+    """(item_id, side, doc_id, rank, score): two independent retrievals for (item_id, a, b, aspect) rows, of `a aspect` and `b aspect`, in one pass."""
+    sides = pairs.select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("name")), F.struct(F.lit(1).alias("side"), F.col("b").alias("name")))).alias("s"), "aspect")
+    asked = sides.select((F.col("item_id") * 2 + F.col("s.side")).alias("item_id"), F.concat_ws(" ", "s.name", "aspect").alias("text"))
+    found = retrieve(asked, docs, k)
+    return found.select(F.floor(F.col("item_id") / 2).alias("item_id"), F.pmod("item_id", F.lit(2)).cast("int").alias("side"), "doc_id", "rank", "score")
+
+
 def hits(found: DataFrame, docs: DataFrame, most: int = 500) -> DataFrame:
     """Results with the beginning of their texts and the score rounded to four digits."""
     return found.join(docs.select("doc_id", F.substring("text", 1, most).alias("excerpt")), "doc_id").select("item_id", "rank", "doc_id", F.round("score", 4).alias("score"), "excerpt")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 
+#: Keywords that are sent to all situations at once; more go in blocks.
+BLOCK = 10_000
+
 SCHEMA = "id string, topic string, keywords array<string>, so_hieu string, dieu_khoan string, source_url string, condition struct<type: string, field: string, operator: string, value: double, unit: string>, verdict_template struct<pass: string, fail: string>"
 
 
@@ -22,37 +27,48 @@ def load(spark: SparkSession, path: str) -> DataFrame:
 
 
 def matched(situations: DataFrame, criteria: DataFrame) -> DataFrame:
-    """(sit_id, text, id): the rule with strictly most keywords in a situation, null where there is no such rule. Rules are few and
-    are sent to all situations; every keyword is looked up once."""
+    """(sit_id, text, id): the rule with strictly most keywords in a situation, null where there is no such rule. Keywords are counted, and sent
+    to all situations in blocks of about BLOCK; every keyword is looked up once."""
     rules = criteria.select("id", "position", F.explode("keywords").alias("keyword"))
     texts = situations.select("sit_id", F.lower("text").alias("low"))
-    counted = texts.join(F.broadcast(rules), F.col("low").contains(F.lower("keyword"))).groupBy("sit_id", "id", "position").agg(F.count("*").alias("score"))
+    blocks, found = max(1, -(-rules.count() // BLOCK)), None
+    for i in range(blocks):
+        part = rules.where(F.pmod(F.xxhash64("id", "keyword"), F.lit(blocks)) == i)
+        rows = texts.join(F.broadcast(part), F.col("low").contains(F.lower("keyword"))).select("sit_id", "id", "position")
+        found = rows if found is None else found.unionByName(rows)
+    counted = found.groupBy("sit_id", "id", "position").agg(F.count("*").alias("score"))
     order = Window.partitionBy("sit_id").orderBy(F.desc("score"), "position")
     best = counted.select("sit_id", "id", "score", F.row_number().over(order).alias("r"), F.lead("score").over(order).alias("next")).where((F.col("r") == 1) & (F.col("score") > F.coalesce("next", F.lit(0))))
     return situations.select("sit_id", "text").join(best.select("sit_id", "id"), "sit_id", "left")
 
 
-def by_vector(situations: DataFrame, criteria: DataFrame, least: float = 0.45) -> DataFrame:
+def by_vector(situations: DataFrame, criteria: DataFrame, least: float = 0.45, embed: Callable | None = None) -> DataFrame:
     """(sit_id, id): the rule whose topic is nearest by hashed vectors (the first of equals), at a cosine of at least `least`."""
     from siltstone.operators.retrieval import embedded
 
-    topics = embedded(criteria.select("id", F.col("topic").alias("text")), "id").withColumnRenamed("w", "v")
-    near = embedded(situations.select("sit_id", "text"), "sit_id").join(topics, "dim").groupBy("sit_id", "id").agg(F.round(F.sum(F.col("w") * F.col("v")), 8).alias("score")).where(F.col("score") >= least)
-    near = near.join(criteria.select("id", "position"), "id")
+    embed = embed or embedded
+    flat = lambda rows, key, w: embed(rows, key).select(key, F.posexplode("vector").alias("dim", w)).where(F.col(w) != 0)
+    topics = flat(criteria.select("position", F.col("topic").alias("text")), "position", "v")
+    near = flat(situations.select("sit_id", "text"), "sit_id", "w").join(topics, "dim").groupBy("sit_id", "position").agg(F.round(F.sum(F.col("w") * F.col("v")), 8).alias("score")).where(F.col("score") >= least)
+    near = near.join(criteria.select("id", "position"), "position")
     order = Window.partitionBy("sit_id").orderBy(F.desc("score"), "position")
     return near.withColumn("r", F.row_number().over(order)).where("r = 1").select("sit_id", "id")
 
 
-def verdicts(situations: DataFrame, criteria: DataFrame, vectors: bool = False) -> DataFrame:
-    """(sit_id, criterion_id, verdict, value, explanation): pass, fail, insufficient_info or no_match."""
+def verdicts(situations: DataFrame, criteria: DataFrame, vectors: bool = False, embed: Callable | None = None, extract: Callable | None = None) -> DataFrame:
+    """(sit_id, criterion_id, verdict, value, explanation): pass, fail, insufficient_info or no_match. extract, a port, gives (sit_id, value) of
+    the (sit_id, text, topic) rows of which no pattern finds a number; without one they stay without a value."""
     rows = matched(situations, criteria)
     if vectors:
-        rest = by_vector(rows.where("id is null"), criteria).withColumnRenamed("id", "near")
+        rest = by_vector(rows.where("id is null"), criteria, embed=embed).withColumnRenamed("id", "near")
         rows = rows.join(rest, "sit_id", "left").select("sit_id", "text", F.coalesce("id", "near").alias("id"))
-    c = F.broadcast(criteria.select("id", "topic", "so_hieu", "dieu_khoan", "condition", "verdict_template"))
+    c = criteria.select("id", "topic", "so_hieu", "dieu_khoan", "condition", "verdict_template")
     v, least, op = F.col("value"), F.col("condition.value"), F.col("condition.operator")
     ok = F.when(op == "<=", v <= least).when(op == "<", v < least).when(op == ">=", v >= least).when(op == ">", v > least).when(op == "==", v == least).otherwise(F.raise_error(F.concat(F.lit("unsupported operator: "), op)))
     found = rows.join(c, "id", "left").withColumn("value", F.when(F.col("id").isNotNull(), T.situation_value(F.col("text"))))
+    if extract is not None:
+        said = extract(found.where("id is not null and value is null").select("sit_id", "text", "topic")).select("sit_id", F.col("value").cast("double").alias("said"))
+        found = found.join(said, "sit_id", "left").withColumn("value", F.coalesce("value", "said")).drop("said")
     verdict = F.when(F.col("id").isNull(), "no_match").when(v.isNull(), "insufficient_info").otherwise(F.when(ok, "pass").otherwise("fail"))
     filled = F.replace(F.replace(F.when(F.col("verdict") == "pass", F.col("verdict_template.pass")).otherwise(F.col("verdict_template.fail")), F.lit("{dieu_khoan}"), F.col("dieu_khoan")), F.lit("{so_hieu}"), F.col("so_hieu"))
     text = F.when(F.col("verdict") == "no_match", "").when(F.col("verdict") == "insufficient_info", F.format_string(T.VALUE_MISSING, F.col("topic"))).otherwise(filled)

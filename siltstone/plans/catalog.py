@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import answer, chunk, evaluate, logs, retrieval, rules, tables
+from siltstone.operators import answer, chunk, evaluate, logs, retrieval, rules, tables, tools
 from siltstone.plans import fixtures as X
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,13 +86,6 @@ def hybrid_rerank_top8(spark, d):
     return retrieval.hybrid_reranked(*_asked(spark, d))
 
 
-@query(f"WITH {_BASE} SELECT item_id, doc_id, rank, score FROM dense WHERE rank <= 5 AND item_id % 4 = 0 UNION ALL SELECT item_id, doc_id, rank, score FROM bm25 WHERE rank <= 5 AND item_id % 4 <> 0")
-def direct_fallback_top5(spark, d):
-    """Every fourth question finds nothing at first."""
-    q, docs = _asked(spark, d)
-    return retrieval.with_fallback(retrieval.bm25(q.where("item_id % 4 <> 0"), docs, 5), q, docs)
-
-
 _ALL = f"{X.QUESTIONS_SQL}, {_BASE.replace('FROM benchmark)', 'FROM questions)')}"
 
 
@@ -102,24 +95,58 @@ def _all_asked(spark, d):
 
 
 @query(f"WITH {_ALL} SELECT item_id, doc_id, rank, score FROM bm25 WHERE rank <= 5 UNION ALL SELECT item_id, doc_id, rank, score FROM dense WHERE rank <= 5 AND item_id NOT IN (SELECT item_id FROM bm25)")
-def fallback_all_top5(spark, d):
+def direct_fallback_top5(spark, d):
     """All questions are asked; those that find nothing are asked again by vectors."""
     q, docs = _all_asked(spark, d)
     return retrieval.with_fallback(retrieval.bm25(q, docs, 5), q, docs)
 
 
-@query(f"""WITH {_BASE}, n AS (SELECT max(item_id) + 1 AS n FROM q)
-SELECT item_id % 2 AS side, item_id // 2 AS pair, rank, doc_id, score FROM bm25 WHERE rank <= 5""")
+_SIDES = f"""sides AS (SELECT item_id * 2 + n AS item_id, array_to_string(list_filter([array_to_string(string_split(text, ' ')[1 + 3 * n:3 + 3 * n], ' '), array_to_string(string_split(text, ' ')[7:8], ' ')], lambda x: true), ' ') AS text FROM benchmark, (VALUES (0), (1)) AS v(n))"""
+
+
+@query(f"WITH {_SIDES}, {_BASE.replace('FROM benchmark)', 'FROM sides)')} SELECT item_id // 2 AS item_id, (item_id % 2)::INT AS side, rank, doc_id, score FROM bm25 WHERE rank <= 5")
 def compare_two_sided(spark, d):
-    """Neighbouring questions are the two sides of a comparison: one retrieval, marked by side."""
-    found = retrieval.bm25(*_asked(spark, d), 5)
-    return found.select((F.col("item_id") % 2).alias("side"), F.floor(F.col("item_id") / 2).alias("pair"), "rank", "doc_id", "score")
+    """Two independent retrievals for each comparison, in one pass."""
+    return retrieval.compared(X.comparisons(spark, d), retrieval.corpus(X.table(spark, d, "documents")))
+
 
+_HIT = "round(f.score, 4) AS score, o.source AS title, CASE WHEN o.doc_id % 3 = 0 THEN '' ELSE 'Điều ' || o.doc_id END AS header, o.lang AS url"
 
-@query(f"WITH {_BASE} SELECT f.item_id, f.rank, f.doc_id, round(f.score, 4) AS score, d.text[1:200] AS excerpt FROM fused f JOIN d USING (doc_id) WHERE f.rank <= 8")
+
+def _tools(spark, d):
+    """Questions and chunks with titles, headers and addresses."""
+    return X.table(spark, d, "benchmark").select("item_id", "text"), X.sourced(X.table(spark, d, "documents").where("text <> ''"))
+
+
+@query(f"WITH {_BASE} SELECT f.item_id, f.rank, o.text[1:500] AS text, {_HIT} FROM fused f JOIN documents o USING (doc_id) WHERE f.rank <= 5")
+def tool_search_top5(spark, d):
+    return tools.search(*_tools(spark, d))
+
+
+@query(f"WITH {_BASE} SELECT * FROM (SELECT f.item_id, f.rank, {_HIT}, o.text[1:200] AS excerpt FROM fused f JOIN documents o USING (doc_id) WHERE f.rank <= 8) WHERE header <> ''")
 def article_extract_top8(spark, d):
+    return tools.extract(*_tools(spark, d))
+
+
+@query(f"WITH {_BASE}, s AS (SELECT f.item_id, string_agg(o.text[1:500], chr(10) || chr(10) ORDER BY f.rank) AS answer FROM fused f JOIN documents o USING (doc_id) WHERE f.rank <= 8 GROUP BY f.item_id) SELECT item_id, coalesce(answer, 'Không tìm thấy văn bản: ' || text) AS answer FROM q LEFT JOIN s USING (item_id)")
+def tool_summarize(spark, d):
+    """The default retriever gives eight results, fewer than the ten that a summary takes."""
+    return tools.summarize(*_tools(spark, d))
+
+
+@query(f"WITH {_BASE}, s AS (SELECT f.item_id, list({{'rank': f.rank, 'title': o.source}} ORDER BY f.rank) AS x FROM fused f JOIN documents o USING (doc_id) WHERE f.rank <= 8 GROUP BY f.item_id) SELECT item_id, list_transform(x[1:5], lambda y: y.title) AS shown, list_transform(x[1:3], lambda y: y.title) AS titles FROM s")
+def shown_sources(spark, d):
+    """The first five sources of an answer, cited or not, and the first three titles."""
+    found = retrieval.hybrid(*_asked(spark, d))
+    names = X.table(spark, d, "documents").select("doc_id", F.col("source").alias("name"))
+    every = logs.source_titles(found, names, 8)
+    return every.select("item_id", logs.shown_sources(F.col("titles")).alias("shown")).join(logs.source_titles(found, names), "item_id")
+
+
+@query(f"WITH {_BASE} SELECT f.item_id, f.rank, o.source, o.lang, o.n_chars, round(f.score, 4) AS score FROM fused f JOIN documents o USING (doc_id) WHERE f.rank <= 8")
+def source_projection(spark, d):
     q, docs = _asked(spark, d)
-    return retrieval.hits(retrieval.hybrid(q, docs), docs, 200)
+    return retrieval.hits(retrieval.hybrid(q, docs), docs).select("item_id", "rank", "doc_id", "score").join(X.table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id").drop("doc_id")
 
 
 @query(f"WITH {_BASE} SELECT f.item_id, f.doc_id, o.source, o.lang, o.n_chars FROM fused f JOIN documents o USING (doc_id) WHERE f.rank = 1")
@@ -245,6 +272,46 @@ def html_links_allowlisted(spark, d):
     return links(X.table(spark, d, "pages"), ("example.com", "example.net"))
 
 
+@query(f"""WITH {X.ANCHORS_SQL}, l AS (SELECT page_id % 4 AS type_no, page_id // 4 + 1 AS page, page_id FROM pages), n AS (SELECT type_no, page, l.page_id, pos, url FROM l JOIN anchors a ON a.page_id = l.page_id AND l.page_id % 11 <> 0),
+e AS (SELECT type_no, min(page) AS stop FROM (SELECT l.type_no, l.page, count(n.url) AS links FROM l LEFT JOIN n ON n.page_id = l.page_id WHERE l.page <= 5 GROUP BY ALL) WHERE links = 0 GROUP BY type_no)
+SELECT row_number() OVER (ORDER BY n.type_no, page, pos) AS place, url FROM n LEFT JOIN e USING (type_no) WHERE page <= 5 AND page < coalesce(stop, 6) AND length(url) % 3 <> 0 ORDER BY n.type_no, page, pos LIMIT 100""")
+def crawl_plan(spark, d):
+    """A crawl over captured pages, of which some links can't be fetched; it stops at 100 documents."""
+    from siltstone.sources import crawl, html
+
+    brought = html.anchors(X.table(spark, d, "pages")).where(F.length("url") % 3 != 0)
+    return crawl.crawled(X.listings(spark, d), brought)
+
+
+@query(f"""WITH {X.ANCHORS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS r FROM (SELECT page_id, pos, 'https://h.example' || regexp_replace(url, '^https?://[^/]*', '') AS url, CASE WHEN pos % 4 = 0 THEN '' ELSE text END AS text FROM anchors))
+SELECT page_id, url, coalesce(nullif(text[1:200], ''), string_split(url, '/')[-1]) AS title, {_TYPE} AS doc_type, pos FROM h WHERE r = 1""")
+def issue_documents(spark, d):
+    """Documents of an issue's page, titled by their links or addresses."""
+    from siltstone.sources import crawl, html
+
+    rows = html.anchors(X.table(spark, d, "pages")).withColumn("url", F.concat(F.lit("https://h.example"), F.regexp_replace("url", "^https?://[^/]*", ""))).withColumn("text", F.when(F.col("pos") % 4 == 0, "").otherwise(F.col("text")))
+    return crawl.issue_documents(rows, "h.example")
+
+
+@query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY keyword_no, pos) AS place FROM (SELECT event_type AS category, user_id % 5 AS keyword_no, event_id AS pos, 'u' || user_id % 40 AS url FROM events)),
+f AS (SELECT *, row_number() OVER (PARTITION BY category, url ORDER BY place) AS r FROM r WHERE place <= 50) SELECT category, url, place FROM f WHERE r = 1""")
+def discovered_urls(spark, d):
+    """The first 50 results of each category, then each address once."""
+    from siltstone.sources import crawl
+
+    rows = X.table(spark, d, "events").select(F.col("event_type").alias("category"), (F.col("user_id") % 5).alias("keyword_no"), F.col("event_id").alias("pos"), F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")).alias("url"))
+    return crawl.discovered(rows, 50).select("category", "url", "place")
+
+
+@query("SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN d.doc_id % 7 = 0 THEN 'failed' WHEN length(text) < 100 THEN 'short' ELSE 'saved' END AS status, count(*) AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY ALL")
+def crawl_counters(spark, d):
+    from siltstone.sources import crawl
+
+    known = X.table(spark, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
+    rows = X.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("content")).join(known, "doc_id", "left")
+    return crawl.counters(rows.withColumn("known", F.coalesce("known", F.lit(False))))
+
+
 _TEXT = "regexp_replace(html, '(?is)<(script|style|nav|header|footer)\\b.*?</(script|style|nav|header|footer)>', '', 'g')"
 _TEXT = f"regexp_replace(regexp_replace({_TEXT}, '(?s)<!--.*?-->', '', 'g'), '<[^>]*>', chr(10), 'g')"
 _TEXT = _STRIP.format(f"regexp_replace(regexp_replace({_TEXT}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
@@ -391,14 +458,8 @@ def judge_budget(spark, d):
     return answer.judge_excerpts(retrieval.hybrid(q, docs, 20), docs).select("item_id", "rank", "doc_id", "chars")
 
 
-@query(f"WITH {_BASE}, g AS (SELECT item_id, count(*) AS n, max(score) AS best FROM reranked WHERE rank <= 8 AND item_id % 9 <> 0 GROUP BY item_id) SELECT q.item_id, coalesce(n, 0) AS n, best, CASE WHEN n IS NULL THEN 'irrelevant' WHEN best >= 0.1 THEN 'relevant' ELSE 'judge' END AS grade FROM q LEFT JOIN g USING (item_id)")
-def grade_rows(spark, d):
-    q, docs = _asked(spark, d)
-    return answer.grade(q, retrieval.hybrid_reranked(q, docs).where("item_id % 9 <> 0"))
-
-
 @query(f"WITH {_ALL}, g AS (SELECT item_id, count(*) AS n, max(score) AS best FROM reranked WHERE rank <= 8 GROUP BY item_id) SELECT q.item_id, coalesce(n, 0) AS n, best, CASE WHEN n IS NULL THEN 'irrelevant' WHEN best >= 0.1 THEN 'relevant' ELSE 'judge' END AS grade FROM q LEFT JOIN g USING (item_id)")
-def grade_all_rows(spark, d):
+def grade_rows(spark, d):
     """Grades of all questions, also of those that find nothing."""
     q, docs = _all_asked(spark, d)
     return answer.grade(q, retrieval.hybrid_reranked(q, docs))
@@ -431,6 +492,24 @@ def intent_keyword(spark, d):
     return rows.select("conv_id", "turn", "intent", ((F.col("intent") != "simple_qa") | F.col("short")).alias("fast"))
 
 
+_ROUTE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in tools.ROUTES.items()) + " ELSE 'retrieve' END"
+
+
+@query(f"WITH {_QUESTIONS}, i AS (SELECT conv_id, turn, CASE WHEN turn = 1 THEN 'nonsense' WHEN turn = 2 THEN NULL ELSE {_INTENT} END AS intent FROM qs) SELECT conv_id, turn, {_ROUTE.format('intent')} AS node FROM i")
+def intent_routes(spark, d):
+    """The node of every question; labels that aren't known and missing ones go to retrieval."""
+    said = F.when(F.col("turn") == 1, "nonsense").when(F.col("turn") != 2, T.intent(F.col("query")))
+    return _questions(spark, d).select("conv_id", "turn", tools.route(said).alias("node"))
+
+
+@query(f"""WITH {_QUESTIONS}, i AS (SELECT conv_id, turn, {_INTENT} AS own, len(list_filter(regexp_split_to_array(query, '\\s+'), lambda w: w <> '')) AS n, CASE turn % 3 WHEN 0 THEN ' Compare ' WHEN 1 THEN 'odd' END AS said FROM qs)
+SELECT conv_id, turn, CASE WHEN own <> 'simple_qa' OR n <= 6 OR said IS NULL THEN own WHEN lower(trim(said)) IN ('simple_qa', 'compare', 'summarize', 'report', 'compliance_check') THEN lower(trim(said)) ELSE 'simple_qa' END AS intent FROM i""")
+def intent_labelled(spark, d):
+    """Keywords first, then a model's label, then simple_qa."""
+    said = F.when(F.col("turn") % 3 == 0, " Compare ").when(F.col("turn") % 3 == 1, "odd")
+    return _questions(spark, d).select("conv_id", "turn", tools.labelled(said, F.col("query")).alias("intent"))
+
+
 _CUT = "regexp_replace(query, '(?i)\\s+(?:và|with|vs\\.?)\\s+', chr(1))"
 _RIGHT = f"regexp_replace({_STRIP.format('string_split(c, chr(1))[2]')}, '(?i)\\s+(?:về|on|regarding)\\s+', chr(1))"
 
@@ -484,17 +563,26 @@ def compliance_vectors(spark, d):
 
 # --- evaluation -------------------------------------------------------------------------------------------
 
-_ABLATION = f"""{_BASE}, runs AS (SELECT 'bm25_only' AS strategy, item_id, doc_id, rank FROM bm25 WHERE rank <= 5 UNION ALL SELECT 'dense_only', item_id, doc_id, rank FROM dense WHERE rank <= 5
+_ABLATION = f"""{X.HALVES_SQL}, {_BASE.replace("SELECT item_id, text, list_distinct", "SELECT item_id, text, truth, tier, list_distinct").replace("FROM benchmark)", "FROM halves)")}, runs AS (SELECT 'bm25_only' AS strategy, item_id, doc_id, rank FROM bm25 WHERE rank <= 5 UNION ALL SELECT 'dense_only', item_id, doc_id, rank FROM dense WHERE rank <= 5
 UNION ALL SELECT 'hybrid', item_id, doc_id, rank FROM fused WHERE rank <= 8 UNION ALL SELECT 'hybrid_rerank', item_id, doc_id, rank FROM reranked WHERE rank <= 8),
-judged AS (SELECT strategy, item_id, rank, {_F1} >= 0.15 AS relevant FROM (SELECT r.*, q.words AS a, list_distinct(d.tokens) AS b FROM runs r JOIN q USING (item_id) JOIN d USING (doc_id))),
+judged AS (SELECT strategy, item_id, rank, {_F1} >= 0.15 AS relevant FROM (SELECT r.*, list_distinct({_TOKENS.replace("coalesce(text", "coalesce(q.truth")}) AS a, list_distinct(d.tokens) AS b FROM runs r JOIN q USING (item_id) JOIN d USING (doc_id))),
 firsts AS (SELECT strategy, item_id, min(rank) FILTER (relevant) AS first FROM judged GROUP BY ALL),
-metrics AS (SELECT s.strategy, count(*) AS n_items, round(avg(CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr FROM (SELECT DISTINCT strategy FROM judged) s CROSS JOIN (SELECT item_id FROM q) i LEFT JOIN firsts f ON f.strategy = s.strategy AND f.item_id = i.item_id GROUP BY s.strategy)"""
+metrics AS (SELECT s.strategy, count(*) AS n_items, round(avg(CASE WHEN first IS NOT NULL THEN 1.0::DOUBLE ELSE 0 END), 4) AS hit_rate, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr FROM (SELECT DISTINCT strategy FROM judged) s CROSS JOIN (SELECT item_id FROM q) i LEFT JOIN firsts f ON f.strategy = s.strategy AND f.item_id = i.item_id GROUP BY s.strategy)"""
+
+
+def _judged(spark, d):
+    """Questions that are the beginning of a passage, results judged by the rest of it."""
+    q, docs = X.halves(spark, d), retrieval.corpus(X.table(spark, d, "documents"))
+    return evaluate.relevance(retrieval.ablation(q.select("item_id", "text"), docs), q.select("item_id", "truth"), docs), q
 
 
 def _metrics(spark, d):
-    q, docs = _asked(spark, d)
-    judged = evaluate.relevance(retrieval.ablation(q, docs), q.withColumnRenamed("text", "truth"), docs)
-    return evaluate.hit_rate_and_mrr(judged, q)
+    return evaluate.hit_rate_and_mrr(*_judged(spark, d))
+
+
+@query(f"WITH {_ABLATION}, t AS (SELECT strategy, tier, count(first) AS hits, sum(coalesce(1.0::DOUBLE / first, 0)) AS ranks FROM firsts JOIN q USING (item_id) GROUP BY ALL) SELECT strategy, tier, n_items, round(hits / n_items, 4) AS hit_rate, round(ranks / n_items, 4) AS mrr FROM t JOIN (SELECT tier, count(*) AS n_items FROM q GROUP BY tier) USING (tier)")
+def eval_by_tier(spark, d):
+    return evaluate.by_tier(*_judged(spark, d))
 
 
 @query(f"WITH {_ABLATION} SELECT strategy, n_items, hit_rate, mrr FROM metrics")
@@ -504,7 +592,7 @@ def eval_hit_rate_mrr(spark, d):
 
 @query(f"""WITH {_ABLATION}, v AS (SELECT max(mrr) FILTER (strategy = 'bm25_only') AS b, max(mrr) FILTER (strategy = 'dense_only') AS e, max(mrr) FILTER (strategy = 'hybrid') AS h, max(mrr) FILTER (strategy = 'hybrid_rerank') AS r FROM metrics),
 p AS (SELECT unnest(['dense_vs_bm25', 'hybrid_vs_dense', 'rerank_vs_hybrid', 'rerank_vs_dense']) AS delta, unnest([b, e, h, e]) AS x, unnest([e, h, r, r]) AS y FROM v)
-SELECT delta, CASE WHEN x <> 0 AND y <> 0 THEN round((y - x) / x * 100, 6) END AS pct FROM p""")
+SELECT delta, CASE WHEN x <> 0 AND y <> 0 THEN round((y - x) / x * 100, 1) END AS pct FROM p""")
 def eval_ablation_delta(spark, d):
     return evaluate.deltas(_metrics(spark, d), "mrr")
 
@@ -512,7 +600,7 @@ def eval_ablation_delta(spark, d):
 @query(f"""WITH {_ABLATION}, n AS (SELECT strategy, item_id, count(*) AS n FROM runs GROUP BY ALL) SELECT s.strategy, round(avg(coalesce(n, 0)), 1) AS avg_chunks, count(*) FILTER (coalesce(n, 0) > 0) AS items_with_context
 FROM (SELECT DISTINCT strategy FROM runs) s CROSS JOIN (SELECT item_id FROM q) i LEFT JOIN n ON n.strategy = s.strategy AND n.item_id = i.item_id GROUP BY s.strategy""")
 def eval_context_counts(spark, d):
-    q, docs = _asked(spark, d)
+    q, docs = X.halves(spark, d).select("item_id", "text"), retrieval.corpus(X.table(spark, d, "documents"))
     return evaluate.context_counts(retrieval.ablation(q, docs), q)
 
 
@@ -528,18 +616,32 @@ _AT = _TOKENS.replace("coalesce(text", "coalesce(answer")
 _TT = _TOKENS.replace("coalesce(text", "coalesce(truth")
 
 
-@query(f"WITH {X.ANSWERS_SQL}, p AS (SELECT list_distinct({_AT}) AS a, list_distinct({_TT}) AS b FROM answers WHERE NOT starts_with(lower(truth), 'câu hỏi') AND answer <> '' AND truth <> '') SELECT count(*) AS n, round(avg({_F1}), 6) AS token_f1 FROM p")
+_UNIT = _BASE[_BASE.index("hashed AS"):_BASE.index(",\ndense AS")]
+
+
+@query(f"""WITH {X.ANSWERS_SQL}, k AS (SELECT * FROM answers WHERE NOT starts_with(lower(truth), 'câu hỏi') AND answer <> '' AND truth <> ''), p AS (SELECT list_distinct({_AT}) AS a, list_distinct({_TT}) AS b FROM k),
+words AS (SELECT 'a' AS side, item_id AS id, unnest({_AT}) AS term FROM k UNION ALL SELECT 't', item_id, unnest({_TT}) FROM k), {_UNIT},
+n AS (SELECT id FROM unit GROUP BY id HAVING count(DISTINCT side) = 2), c AS (SELECT n.id, coalesce(sum(x.w * y.w), 0) AS c FROM n LEFT JOIN unit x ON x.id = n.id AND x.side = 'a' LEFT JOIN unit y ON y.id = n.id AND y.side = 't' AND y.dim = x.dim GROUP BY n.id)
+SELECT count(*) AS n, round(avg({_F1}), 4) AS token_f1, (SELECT round(avg(c), 4) FROM c) AS semantic FROM p""")
 def eval_token_f1(spark, d):
+    """Mean token F1 and mean cosine of answers and truths."""
     return evaluate.correctness(X.answers(spark, d))
 
 
+@query(f"WITH {X.ANSWERS_SQL} SELECT item_id, list_filter([answer, truth], lambda c: regexp_matches(c, '\\[1\\]')) AS contexts FROM answers WHERE len(list_filter([answer, truth], lambda c: regexp_matches(c, '\\[1\\]'))) > 0")
+def judged_rows(spark, d):
+    """The rows that judge metrics are asked for: those with any context."""
+    rows = X.answers(spark, d).select("item_id", F.filter(F.array("answer", "truth"), lambda c: c.contains("[1]")).alias("contexts"))
+    return evaluate.with_context(rows)
+
+
 @query(f"""WITH {X.ANSWERS_SQL}, r AS (SELECT regexp_matches(answer, '\\S') AS filled, regexp_matches(answer, '{T.CITED}') AS cited, starts_with(lower(truth), 'câu hỏi') AS outside, regexp_matches(answer, '(?i){"|".join(T.REFUSALS)}') AS refused FROM answers)
-SELECT round(coalesce(avg(cited::INT) FILTER (filled), 0), 6) AS citation_rate, round(avg(refused::INT) FILTER (outside), 6) AS refusal_rate, count(*) FILTER (filled) AS n_answers, count(*) FILTER (outside) AS n_outside FROM r""")
+SELECT round(coalesce(avg(cited::INT) FILTER (filled), 0), 4) AS citation_rate, round(avg(refused::INT) FILTER (outside), 4) AS refusal_rate, count(*) FILTER (filled) AS n_answers, count(*) FILTER (outside) AS n_outside FROM r""")
 def eval_answer_rates(spark, d):
     return evaluate.answer_rates(X.answers(spark, d))
 
 
-@query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median, list_sort(list(value))[least(floor(count(*) * 0.95), count(*) - 1)::INT + 1] AS p95, min(value) AS least, max(value) AS most FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) AS n, round(avg(value), 1) AS mean, round(median(value), 1) AS median, round(list_sort(list(value))[least(floor(count(*) * 0.95), count(*) - 1)::INT + 1], 1) AS p95, round(min(value), 1) AS least, round(max(value), 1) AS most FROM events GROUP BY event_type""")
 def eval_latency_stats(spark, d):
     return evaluate.latency(X.table(spark, d, "events"), "value", "event_type")
 
@@ -547,7 +649,7 @@ def eval_latency_stats(spark, d):
 # --- logs and sessions ----------------------------------------------------------------------------------------
 
 
-@query("SELECT count(*) FILTER (event_type <> 'error') AS total_queries, round(coalesce(avg(value) FILTER (event_type <> 'error' AND value > 0), 0), 6) AS avg_latency_ms, count(DISTINCT user_id) FILTER (event_type <> 'error') AS active_sessions FROM events")
+@query("SELECT count(*) FILTER (event_type <> 'error') AS total_queries, round(coalesce(avg(value) FILTER (event_type <> 'error' AND value > 0), 0), 1) AS avg_latency_ms, count(DISTINCT user_id) FILTER (event_type <> 'error') AS active_sessions FROM events")
 def log_metrics(spark, d):
     return logs.metrics(X.table(spark, d, "events"))
 
@@ -560,7 +662,7 @@ def short_timestamps(spark, d):
     return rows.select("event_id", T.short_timestamp(F.col("stamp")).alias("shown"))
 
 
-@query("SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type <> 'error') AS queries, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error'), 6) ELSE 0.0 END AS error_rate FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE")
+@query("SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type <> 'error') AS queries, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error'), 4) ELSE 0.0 END AS error_rate FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE")
 def error_rate_trailing(spark, d):
     return logs.error_rate(X.table(spark, d, "events"))
 
@@ -571,12 +673,28 @@ def rate_limit_flags(spark, d):
     return logs.rate_limited(X.table(spark, d, "events"), 2, 3600).select("event_id", "recent", "limited")
 
 
-@query("""WITH a AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 61 SECONDS PRECEDING AND CURRENT ROW) AS recent, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS streak FROM events),
-b AS (SELECT *, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, streak ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS failed_run FROM a),
-c AS (SELECT *, max(CASE WHEN failed_run >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS dead FROM b)
-SELECT event_id, recent, failed_run, recent <= 10 AND coalesce(dead, 0) = 0 AS admitted FROM c""")
+_ADMIT = """WITH e AS (SELECT user_id, list({{'event_id': event_id, 't': epoch_us(ts), 'bad': event_type = 'error', 'win': []::BIGINT[], 'failed': 0, 'out': []::STRUCT(event_id BIGINT, pair INT, recent INT, failed_run INT)[]}} ORDER BY ts, event_id) AS es FROM events GROUP BY user_id),
+r AS (SELECT list_reduce(list_prepend({{'event_id': -1::BIGINT, 't': 0::BIGINT, 'bad': false, 'win': []::BIGINT[], 'failed': 0, 'out': []::STRUCT(event_id BIGINT, pair INT, recent INT, failed_run INT)[]}}, es), lambda a, x: {{'event_id': x.event_id, 't': x.t, 'bad': x.bad,
+'win': CASE WHEN {ok} THEN list_append({kept}, x.t) ELSE {kept} END, 'failed': CASE WHEN NOT ({ok}) THEN a.failed WHEN x.bad THEN a.failed + 1 ELSE 0 END,
+'out': list_append(a.out, {{'event_id': x.event_id, 'pair': CASE WHEN {ok} THEN 0 END, 'recent': CASE WHEN {ok} THEN len({kept})::INT + 1 END, 'failed_run': CASE WHEN {ok} THEN CASE WHEN x.bad THEN a.failed + 1 ELSE 0 END END}})}}) AS s FROM e)
+SELECT unnest(s.out, recursive := true) FROM r"""
+_KEPT = "list_filter(a.win, lambda t: t > x.t - {seconds} * 1000000::BIGINT)"
+
+
+def _admit(most: int, seconds: int) -> str:
+    kept = _KEPT.format(seconds=seconds)
+    return _ADMIT.format(kept=kept, ok=f"a.failed < 3 AND len({kept}) < {most}")
+
+
+@query(_admit(10, 61))
 def admission_sliding_61s(spark, d):
-    return logs.admitted(X.table(spark, d, "events")).select("event_id", "recent", "failed_run", "admitted")
+    return logs.admitted(X.table(spark, d, "events"))
+
+
+@query(_admit(2, 2_592_000))
+def admission_sliding_month(spark, d):
+    """Two calls in 30 days, since the events lie far apart: refused calls fill no window."""
+    return logs.admitted(X.table(spark, d, "events"), 2, 2_592_000)
 
 
 @query("SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations) WHERE r <= 20")
@@ -607,7 +725,7 @@ def query_log_rows(spark, d):
 
 
 _WINDOWS = """WITH w AS (SELECT ts, event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') - INTERVAL 30 MINUTE]) AS window_start FROM events)
-SELECT window_start, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type <> 'error') AS queries, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error'), 6) ELSE 0.0 END AS error_rate FROM w GROUP BY window_start"""
+SELECT window_start, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type <> 'error') AS queries, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error'), 4) ELSE 0.0 END AS error_rate FROM w GROUP BY window_start"""
 
 
 @query(_WINDOWS)

@@ -177,3 +177,38 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUESTIONS_SQL = "questions AS (SELECT item_id, text FROM benchmark UNION ALL SELECT -2 * item_id - 1, 'zzqx' || item_id FROM benchmark UNION ALL SELECT -2 * item_id - 2, '?! …' FROM benchmark)"
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, text (the first twelve words of a passage, the question), truth (its other words) and tier."""
+    words = F.split("text", " ")
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(words, 1, 12), " ").alias("text"), F.array_join(F.slice(words, 13, 1 << 20), " ").alias("truth"), F.concat(F.lit("tier"), (F.col("item_id") % 3).cast("string")).alias("tier"))
+
+
+HALVES_SQL = "halves AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS text, array_to_string(string_split(text, ' ')[13:], ' ') AS truth, 'tier' || (item_id % 3) AS tier FROM benchmark)"
+
+
+def comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, a, b, aspect: words of a passage."""
+    words = F.split("text", " ")
+    part = lambda a, n, c: F.array_join(F.slice(words, a, n), " ").alias(c)
+    return table(spark, sf_dir, "benchmark").select("item_id", part(1, 3, "a"), part(4, 3, "b"), part(7, 2, "aspect"))
+
+
+def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(type_no, page, links): the links of captured pages as result pages of four types; every eleventh has none."""
+    from siltstone.sources.html import anchors
+
+    links = anchors(table(spark, sf_dir, "pages")).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "url"))).alias("a"))
+    rows = table(spark, sf_dir, "pages").select("page_id").join(links, "page_id", "left")
+    shown = F.when(F.col("page_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.coalesce(F.transform("a", lambda x: x["url"]), F.array().cast("array<string>")))
+    return rows.select((F.col("page_id") % 4).alias("type_no"), (F.floor(F.col("page_id") / 4) + 1).alias("page"), shown.alias("links"))
+
+
+ANCHORS_SQL = """anchors AS (SELECT page_id, pos, CASE WHEN starts_with(href, '/') THEN base || href ELSE href END AS url, text FROM (SELECT page_id, 'https://' || split_part(split_part(url, '://', 2), '/', 1) AS base,
+unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)', 1)) AS href, unnest(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)', 2)) AS text, unnest(range(len(regexp_extract_all(html, '<a href="([^"]+)">([^<]*)', 1)))) AS pos FROM pages))"""
+
+
+def sourced(docs: DataFrame) -> DataFrame:
+    """Chunks with a title, an address and a header, which every third has none of."""
+    return docs.select("doc_id", "text", F.col("source").alias("title"), F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("Điều "), F.col("doc_id").cast("string"))).alias("header"), F.col("lang").alias("url"))

@@ -110,7 +110,7 @@ def test_answer_rates(spark):
 
 def test_logs(spark):
     events = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "error", 0.0), (2, "2024-01-01 00:00:30", 1, "error", 0.0), (3, "2024-01-01 00:01:00", 1, "error", 0.0), (4, "2024-01-01 00:05:00", 1, "view", 7.0)], "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-    assert [r.admitted for r in logs.admitted(events).orderBy("event_id").collect()] == [True, True, True, False]
+    assert [r.pair for r in logs.admitted(events).orderBy("event_id").collect()] == [0, 0, 0, None]
     assert [r.recent for r in logs.rate_limited(events).orderBy("event_id").collect()] == [1, 2, 3, 1]
     none = logs.error_rate(events.where("event_type = 'error'")).first()
     assert none.errors == 3 and none.error_rate == 0.0
