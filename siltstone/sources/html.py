@@ -23,6 +23,15 @@ def links(pages: DataFrame, hosts: tuple[str, ...]) -> DataFrame:
     return rows.groupBy("page_id", F.when(own, F.concat("base", "href")).otherwise(F.col("href")).alias("link")).agg(F.min("pos").cast("long").alias("pos"))
 
 
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, pos, url, text) of all links with their text, relative ones made absolute."""
+    base = F.concat(F.lit("https://"), F.split(F.split("url", "://")[1], "/")[0])
+    pattern = r'<a href="([^"]+)">([^<]*)'
+    pairs = F.arrays_zip(*(F.regexp_extract_all("html", F.lit(pattern), F.lit(i)).alias(n) for i, n in ((1, "href"), (2, "text"))))
+    rows = pages.select("page_id", base.alias("base"), F.posexplode(pairs).alias("pos", "a"))
+    return rows.select("page_id", F.col("pos").cast("long").alias("pos"), F.when(F.col("a.href").startswith("/"), F.concat("base", "a.href")).otherwise(F.col("a.href")).alias("url"), F.col("a.text").alias("text"))
+
+
 def stripped(html: Column) -> Column:
     """Text of a page without hidden elements, comments and tags; blanks and line breaks collapsed."""
     text = F.regexp_replace(html, rf"(?is)<({'|'.join(HIDDEN)})\b.*?</({'|'.join(HIDDEN)})>", "")
@@ -37,18 +46,20 @@ def main_text(pages: DataFrame, shortest: int = 200) -> DataFrame:
     return rows.where(F.length("text") >= shortest)
 
 
-class _Reader(HTMLParser):
-    """Title, text of the first container found, and label-value pairs of table rows."""
+class Reader(HTMLParser):
+    """Title, text and links of the containers found, and label-value pairs of table rows."""
 
     def __init__(self, containers: tuple[str, ...]):
         super().__init__()
-        self.containers, self.hidden, self.inside, self.title, self.parts, self.all, self.cells, self.row, self.pairs, self.stack = containers, 0, 0, "", [], [], None, [], {}, []
+        self.containers, self.hidden, self.inside, self.title, self.parts, self.all, self.cells, self.row, self.pairs, self.stack, self.links, self.anchor = containers, 0, 0, "", [], [], None, [], {}, [], [], None
 
     def handle_starttag(self, tag, attrs):
         marks = {tag, *(f".{c}" for k, v in attrs if k == "class" for c in (v or "").split()), *(f"#{v}" for k, v in attrs if k == "id")}
         self.stack.append((tag, bool(marks & set(self.containers))))
         self.hidden += tag in HIDDEN
         self.inside += self.stack[-1][1]
+        if tag == "a" and self.inside:
+            self.anchor = (dict(attrs).get("href") or "", [])
         if tag == "tr":
             self.row = []
         if tag in ("td", "th"):
@@ -61,6 +72,10 @@ class _Reader(HTMLParser):
             self.inside -= container
             if t == tag:
                 break
+        if tag == "a" and self.anchor:
+            if self.anchor[0]:
+                self.links.append((self.anchor[0], "".join(self.anchor[1]).strip()))
+            self.anchor = None
         if tag in ("td", "th") and self.cells is not None:
             self.row.append(" ".join(self.cells).strip())
             self.cells = None
@@ -74,6 +89,8 @@ class _Reader(HTMLParser):
             self.all.append(data.strip())
             if self.inside:
                 self.parts.append(data.strip())
+            if self.anchor:
+                self.anchor[1].append(data.strip())
             if self.cells is not None:
                 self.cells.append(data.strip())
 
@@ -85,7 +102,7 @@ def parsed(pages: DataFrame, containers: tuple[str, ...] = ("article", "main", "
         for batch in batches:
             out = []
             for page, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True):
-                r = _Reader(containers)
+                r = Reader(containers)
                 r.feed(html or "")
                 text = "\n".join(r.parts or r.all)
                 if len(text) >= shortest:
@@ -94,5 +111,3 @@ def parsed(pages: DataFrame, containers: tuple[str, ...] = ("article", "main", "
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=["page_id", "url", "title", "text", "pairs"])
 
     return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(run, "page_id long, url string, title string, text string, pairs map<string,string>")
-
-

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Callable
 from xml.etree import ElementTree
 
@@ -22,19 +23,19 @@ NAMES = {"content": ("text", "content", "body"), "title": ("title", "name"), "ur
 
 
 def documents(rows: DataFrame, most: int | None = None, clean: bool = True) -> DataFrame:
-    """Documents of a table with some of the known names; blank ones are dropped, before the first `most` are taken."""
+    """Documents of a table with some of the known names; blank ones are dropped, before the first `most` by url and title are taken."""
     have = {c.lower(): c for c in rows.columns}
     pick = lambda k: F.coalesce(*(F.nullif(F.col(f"`{have[n]}`").cast("string"), F.lit("")) for n in NAMES[k] if n in have), F.lit(""))
     out = rows.select(*(pick(k).alias(k) for k in (x.split()[0] for x in DOCUMENT.split(", ")))).where(F.col("content").rlike(r"(?U)\S"))
     out = out.withColumn("content", T.cleaned(F.col("content"))) if clean else out
-    return out.limit(most) if most else out
+    return out.orderBy("url", "title", F.xxhash64("content")).limit(most) if most else out
 
 
-def json_files(spark: SparkSession, path: str) -> DataFrame:
-    """One document a file, in the order of their paths; malformed and blank ones are left out."""
+def json_files(spark: SparkSession, path: str, shortest: int = 1) -> DataFrame:
+    """One document a file, in the order of their paths; malformed, blank and (100 for a rebuild) too short ones are left out."""
     rows = spark.read.schema(DOCUMENT + ", _corrupt_record string").option("multiLine", True).json(path).withColumn("path", F.col("_metadata.file_path"))
     rows = rows.where(F.col("_corrupt_record").isNull() & F.coalesce("content", F.lit("")).rlike(r"(?U)\S"))
-    return rows.withColumn("content", T.cleaned(F.col("content"))).drop("_corrupt_record").orderBy("path")
+    return rows.withColumn("content", T.cleaned(F.col("content"))).where(F.length("content") >= shortest).drop("_corrupt_record").orderBy("path")
 
 
 def text_files(spark: SparkSession, path: str, markdown: bool = False) -> DataFrame:
@@ -101,6 +102,81 @@ def preferred_link(links, cdn: str):
     return F.coalesce(F.get(F.filter(docx, lambda x: x.contains(cdn)), F.lit(0)), F.get(docx, F.lit(0)))
 
 
+def uploads(files: DataFrame, most: int = PDF_MOST) -> DataFrame:
+    """(filename, mime, length) with refusal: not_a_pdf by type and name, too_large; null for those let in."""
+    named = F.lower("filename").endswith(".pdf") | (F.col("mime") == "application/pdf")
+    return files.withColumn("refusal", F.when(~F.coalesce(named, F.lit(False)), "not_a_pdf").when(F.col("length") > most, "too_large"))
+
+
+def is_download(name):
+    """Whether a report's file name may be asked for: letters, digits, `_` and `-` before .pdf, so no other folder either."""
+    return F.coalesce(name, F.lit("")).rlike(r"^[a-zA-Z0-9_-]+\.pdf\z")
+
+
+def pdf_text(data: bytes) -> str:
+    """Text of a PDF's content streams in the order of the file, a line for each text line; fonts with a map to Unicode are read by it, others as
+    Latin-1. Encrypted files and compressed object tables that hold fonts give what can be read without them."""
+    streams, maps = [], {}
+    for m in re.finditer(rb"<<(.{0,4096}?)>>\s*stream\r?\n", data, re.S):
+        end = data.find(b"endstream", m.end())
+        body = data[m.end() : end if end >= 0 else len(data)]
+        if b"FlateDecode" in m.group(1):
+            try:
+                body = zlib.decompressobj().decompress(body)
+            except zlib.error:
+                continue
+        if b"begincmap" in body:
+            for block in re.findall(rb"beginbfchar(.*?)endbfchar", body, re.S):
+                maps |= {a.lower(): bytes.fromhex(b.decode()).decode("utf-16-be", "replace") for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
+            for block in re.findall(rb"beginbfrange(.*?)endbfrange", body, re.S):
+                for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+                    maps |= {b"%0*x" % (len(a), int(a, 16) + i): chr(int(c, 16) + i) for i in range(min(int(b, 16) - int(a, 16) + 1, 65536))}
+        elif re.search(rb"\bBT\b", body):
+            streams.append(body)
+    width = max(map(len, maps), default=2)
+
+    def shown(token: bytes) -> str:
+        if token.startswith(b"<"):
+            digits = re.sub(rb"\s", b"", token[1:-1]).lower()
+            digits += b"0" * (-len(digits) % 2)
+            step = width if maps else 2
+            return "".join(maps.get(digits[i : i + step], "" if maps else bytes.fromhex(digits[i : i + 2].decode()).decode("latin-1")) for i in range(0, len(digits), step))
+        plain = re.sub(rb"\\([0-7]{1,3}|\r?\n|.)", lambda e: _ESCAPES.get(e.group(1)) if e.group(1) in _ESCAPES else bytes([int(e.group(1), 8) & 255]) if e.group(1).isdigit() else e.group(1).strip(b"\r\n"), token[1:-1], flags=re.S)
+        return plain.decode("utf-16-be", "replace")[1:] if plain.startswith(b"\xfe\xff") else plain.decode("latin-1")
+
+    out = []
+    for body in streams:
+        line, operands = "", []
+        for m in re.finditer(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+.\d]+|[A-Za-z'\"*]+", body, re.S):
+            token = m.group()
+            if token[:1] in b"(<":
+                operands.append(shown(token))
+            elif re.fullmatch(rb"[-+.\d]+", token):
+                operands.append(" " if token.startswith(b"-") and len(token) > 3 and operands and isinstance(operands[-1], str) else 0)
+            elif token in (b"Tj", b"TJ", b"'", b'"'):
+                if token in (b"'", b'"') and line:
+                    out.append(line)
+                    line = ""
+                line, operands = line + "".join(x for x in operands if isinstance(x, str)), []
+            elif token in (b"Td", b"TD", b"T*", b"Tm", b"ET"):
+                if line.strip():
+                    out.append(line)
+                line, operands = "", []
+            elif token not in (b"[", b"]"):
+                operands = []
+        if line.strip():
+            out.append(line)
+    return "\n".join(" ".join(x.split()) for x in out)
+
+
+_ESCAPES = {b"n": b"\n", b"r": b"\r", b"t": b"\t", b"b": b"\b", b"f": b"\f"}
+
+
+def pdf_files(spark: SparkSession, path: str, extract: Callable[[bytes], str] = pdf_text) -> DataFrame:
+    """Documents of PDF files; the extractor is a port."""
+    return extracted(binary_files(spark, path).where("refusal is null"), extract, "pdf")
+
+
 def questions(spark: SparkSession, path: str) -> DataFrame:
     """An evaluation set; an empty one is an error."""
     rows = spark.read.schema("question string, ground_truth string, contexts array<string>, category string").option("multiLine", True).json(path)
