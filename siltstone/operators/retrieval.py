@@ -10,6 +10,7 @@ a stored table; without one it is made of the corpus.
 from __future__ import annotations
 
 import hashlib
+import warnings
 from collections.abc import Callable
 
 import numpy as np
@@ -33,9 +34,19 @@ ROWS = 1024
 
 
 def corpus(docs: DataFrame, most: int | None = None) -> DataFrame:
-    """doc_id and text of the rows with text; most: the first so many by doc_id."""
+    """doc_id and text of the rows with text; most: the first so many by doc_id, with a warning if that leaves any out."""
     rows = docs.select("doc_id", "text").where("text <> ''")
-    return rows.orderBy("doc_id").limit(most) if most else rows
+    if not most:
+        return rows
+    if (n := rows.count()) > most:
+        warnings.warn(f"the corpus has {n} chunks, the first {most} are taken", stacklevel=2)
+    return rows.orderBy("doc_id").limit(most)
+
+
+def stored(points: DataFrame, most: int | None = None) -> DataFrame:
+    """The corpus of stored points (doc_id, payload): the text of each payload's node, those without one left out, and its public metadata."""
+    rows = points.select("doc_id", T.payload_text(F.col("payload")).alias("text"), T.public_metadata(F.col("payload"), T.INTERNAL).alias("metadata"))
+    return corpus(rows, most).join(rows.select("doc_id", "metadata"), "doc_id")
 
 
 def top(scored: DataFrame, k: int, digits: int = SCORE_DIGITS) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -155,6 +156,18 @@ def metadata_top1(spark, d):
     return retrieval.hybrid(q, docs, 1).select("item_id", "doc_id").join(X.table(spark, d, "documents").select("doc_id", "source", "lang", "n_chars"), "doc_id")
 
 
+@query()
+def knn_index_top5(spark, d):
+    """The same from the index of cells, approximately."""
+    from siltstone.operators import ann
+    from siltstone.sources.shared import shared_dir
+
+    v = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = f"{shared_dir(spark)}/knn-index-{uuid.uuid4().hex}"
+    c = ann.build(v, path)
+    return ann.search(v.where("id % 100 = 0").withColumnRenamed("id", "query"), spark.read.parquet(path), c).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score", "rank")
+
+
 @query("""SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM
 (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 5""")
 def knn_embeddings_top5(spark, d):
@@ -748,3 +761,11 @@ def stream_session_state(spark, d):
     from siltstone.streaming.sessions import session_state
 
     return session_state(spark, f"{d}/conversations.parquet")
+
+
+@query("SELECT event_id, least(recent, 3)::INT AS recent, recent > 2 AS limited FROM (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECONDS PRECEDING AND CURRENT ROW) AS recent FROM events)")
+def stream_rate_limit(spark, d):
+    """The rate limiter as a stream; its state holds two requests and the one at hand."""
+    from siltstone.streaming.limits import limits
+
+    return limits(spark, f"{d}/events.parquet", 2, 3600)

@@ -152,3 +152,38 @@ def test_engine_sends_questions_where_their_intents_go(spark, tmp_path):
         got = e.evaluate(items, ("bm25_only", "hybrid"), generate, str(tmp_path / "cache")).collect()
         assert {r.strategy for r in got} == {"bm25_only", "hybrid"} and all(r.hit_rate == 1.0 and r.token_f1 > 0 and r.semantic > 0 for r in got)
     assert len(calls) == 2
+
+
+def test_index_has_every_row_and_finds_most(spark):
+    """Recall of the index against brute force on the embeddings, every row of which is in one cell; with all cells nothing is missed."""
+    from siltstone.operators import ann
+    from siltstone.plans import catalog
+
+    d = "/root/testdata/sf0.1"
+    exact = {(r.query_id, r.vec_id) for r in catalog.queries()["knn_embeddings_top5"](spark, d).collect()}
+    got = {(r.query_id, r.vec_id) for r in catalog.queries()["knn_index_top5"](spark, d).collect()}
+    assert len(exact & got) / len(exact) >= 0.9
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 11), 1.0]) for i in range(300)] + [(300, None), (301, [0.0, 0.0, 0.0])], "id long, embedding array<double>")
+    with_path = __import__("tempfile").mkdtemp()
+    c = ann.build(rows, with_path)
+    index = spark.read.parquet(with_path)
+    assert index.count() == 300 and index.select("id").distinct().count() == 300
+    queries = rows.where("id % 50 = 0").withColumnRenamed("id", "query")
+    a = {(r["query"], r["id"]) for r in ann.search(queries, index, c, 5, len(c)).collect()}
+    b = {(r.query_id, r.vec_id) for r in retrieval.knn(rows.where("id % 50 = 0").withColumnRenamed("id", "vec_id"), rows.withColumnRenamed("id", "vec_id")).collect()}
+    assert a == b
+    assert ann.centres(rows.limit(0).withColumnRenamed("embedding", "vector")).shape == (0, 0)
+
+
+def test_limiter_as_a_stream_and_capped_corpus(spark, tmp_path):
+    from siltstone.streaming.limits import limits
+
+    rows = spark.range(30).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"), (F.col("id") % 2).alias("user_id"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = {r.event_id: (r.recent, r.limited) for r in limits(spark, str(tmp_path / "events.parquet"), 3, 10).collect()}
+    assert got[0] == (1, False) and got[4] == (3, False) and got[6] == (4, True) and got[29] == (4, True)
+    docs = spark.createDataFrame([(2, "b"), (1, "a"), (3, "")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="2 chunks"):
+        assert [r.doc_id for r in retrieval.corpus(docs, 1).collect()] == [1]
+    points = spark.createDataFrame([(1, {"_node_content": '{"text": "t"}', "_x": "y", "k": "v"}), (2, {"k": "v"})], "doc_id long, payload map<string,string>")
+    assert [(r.doc_id, r.text, r.metadata) for r in retrieval.stored(points).collect()] == [(1, "t", {"k": "v"})]
