@@ -3,10 +3,12 @@
 Nine overlapping heuristic labellers vote good, bad or nothing on every document. Votes are counted by pattern over all documents (3**9
 patterns at most), and expectation-maximisation (Dawid and Skene, 1979) estimates from the pattern counts how often each labeller, where it votes, votes what on
 good and on bad documents; no true label is used. The posteriors of the patterns then train a linear scorer over hashed features of
-the words (word, shape, pair of shapes, repetition), on at most 2 * SAMPLE documents drawn by hash; the scorer judges every whole document.
+the words (word, shape, pair of shapes, repetition), on at most 2 * SAMPLE documents, the first by a hash of doc_id and text; executors turn them into counts
+of features (FEATURES numbers a document at most, however long its text), and the scorer judges every whole document.
 
 Nulls and cases: null, empty and blank texts have no words, score 0 and are not kept. Ties cannot arise: equal documents get equal
-scores. Repeated rows are judged alike; a null doc_id is drawn and judged as any other. Empty tables give no rows. Where all
+scores. Repeated rows are judged alike; a null doc_id is drawn and judged as any other. Copies with doc_ids of their own are drawn like other documents;
+rows that are equal in doc_id and text tie in the draw, where any of them gives the same sample. Empty tables give no rows. Where all
 documents get the same posterior the scorer learns a constant. Other columns are kept unless their names are those of the results.
 """
 
@@ -18,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.common import _SPACE, hashed_words, mix, slices, text_runs
+from siltstone.llm.common import _SPACE, hashed_words, mix, text_runs, trimmed
 
 #: Documents that the scorer is trained on, about (twice as many at most).
 SAMPLE = 4000
@@ -87,6 +89,7 @@ class Words:
         shape = np.minimum(self.length, 15) + 16 * (self.first_upper + 2 * (self.upper == self.letter) * (self.letter > 1) + 4 * symbols + 12 * self.last)
         shape = shape.astype(np.uint64)
         before = np.concatenate((np.zeros(1, np.uint64), shape[:-1])) if len(shape) else shape
+        before[self.offsets[:-1][self.n > 0]] = 0  # a text's first word has none before it
         columns = (self.hashes, mix(shape + np.uint64(1 << 40)), mix(shape * np.uint64(4096) + before + np.uint64(1 << 41)), mix(self.again.astype(np.uint64) + np.uint64(1 << 42)))
         return np.stack([(c & np.uint64(FEATURES - 1)).astype(np.int32) for c in columns], 1)
 
@@ -126,24 +129,33 @@ def estimate(patterns: np.ndarray, n: np.ndarray, rounds: int = 200) -> tuple[np
     return q, p, float(prior[1])
 
 
-def train(texts: list[bytes | None], goodness: np.ndarray) -> tuple[np.ndarray, float]:
-    """(weights, bias) of the logistic scorer for soft labels, by Adam over the whole sample."""
+def _counted(batches):
+    """(draw, pattern, n, features, counts) of a sample's documents: their numbers of words, and how often each feature stands in them."""
+    for batch in batches:
+        for a, b, texts in text_runs(batch.column(1)):
+            x = Words(texts)
+            f, patterns = x.features(), (x.votes() @ 3 ** np.arange(len(LABELLERS))).astype(np.int64)
+            kinds, counts = [], []
+            for i, j in zip(x.offsets[:-1].tolist(), x.offsets[1:].tolist(), strict=True):
+                k, c = np.unique(f[i:j], return_counts=True)
+                kinds.append(k.astype(np.uint16).tobytes())
+                counts.append(c.astype(np.float32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(patterns), pa.array(x.n.astype(np.int64)), pa.array(kinds, pa.binary()), pa.array(counts, pa.binary())], names=["draw", "pattern", "n", "features", "counts"])
+
+
+def train(features: list[np.ndarray], counts: list[np.ndarray], n: np.ndarray, goodness: np.ndarray) -> tuple[np.ndarray, float]:
+    """(weights, bias) of the logistic scorer for soft labels, by Adam over the whole sample: of each document the features, their counts
+    and the number of words."""
     w, bias = np.zeros(FEATURES), 0.0
-    parts = [(Words(texts[a:b]), goodness[a:b]) for a, b in slices(texts)]
-    parts = [(x.features(), x.offsets, x.n, y) for x, y in parts]
-    parts = [(f, np.repeat(np.arange(len(n)), n), n, y) for f, _, n, y in parts]
+    f = np.concatenate([*features, np.zeros(0, np.int64)]).astype(np.int64)
+    owner = np.repeat(np.arange(len(n)), [len(x) for x in features]).astype(np.int64)
+    share = np.concatenate([*counts, np.zeros(0)]) / np.maximum(n, 1)[owner]
     m, v = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
-    total = max(1, sum((n > 0).sum() for _, _, n, _ in parts))
+    total = max(1, int((n > 0).sum()))
     for step in range(1, ROUNDS + 1):
-        g = np.zeros(FEATURES + 1)
-        for f, owner, n, y in parts:
-            z = np.bincount(owner, w[f].sum(1), len(n)) / np.maximum(n, 1) + bias
-            d = np.where(n > 0, 1 / (1 + np.exp(-z)) - y, 0) / total
-            each = (d / np.maximum(n, 1))[owner]
-            for k in range(f.shape[1]):
-                g[:-1] += np.bincount(f[:, k], each, FEATURES)
-            g[-1] += d.sum()
-        g[:-1] += 1e-7 * w
+        z = np.bincount(owner, w[f] * share, len(n)) + bias
+        d = np.where(n > 0, 1 / (1 + np.exp(-z)) - goodness, 0) / total
+        g = np.append(np.bincount(f, d[owner] * share, FEATURES) + 1e-7 * w, d.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w -= move[:-1]
@@ -155,15 +167,16 @@ def quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     """docs (of their columns those in keep, all by default) with weak_good (posterior of good by the labellers' votes), quality (the scorer's
     probability of good) and kept (quality >= 0.5)."""
     only = docs.select(F.col(text).cast("string").alias("text"))
-    counts = only.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas()
+    counts = only.mapInArrow(_patterns, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).toPandas().sort_values("pattern")  # sums in one order give the same model every time
     patterns, n = counts["pattern"].to_numpy(np.int64), counts["n"].to_numpy(np.int64)
     posterior, _, _ = estimate(patterns, n)
     of = dict(zip(patterns.tolist(), posterior.tolist(), strict=True))
     share = min(1.0, sample / max(1, n.sum()))
-    drawn = only.where(F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample).toPandas()["text"]
-    drawn = [t.encode() if t else None for t in drawn]
-    votes = [Words(drawn[a:b]).votes() @ 3 ** np.arange(len(LABELLERS)) for a, b in slices(drawn)]
-    w, bias = train(drawn, np.array([of.get(p, 0.5) for p in np.concatenate(votes).tolist()] if votes else []))
+    key = [F.col(f"`{c}`") for c in docs.columns if c.lower() in ("doc_id", text.lower())]
+    draw = F.pmod(F.xxhash64(*key, F.lit(11)), F.lit(1 << 62))
+    drawn = docs.select(draw.alias("draw"), F.col(text).cast("string").alias("text")).where(F.col("draw") < int(share * (1 << 62)))
+    drawn = drawn.mapInArrow(trimmed(_counted), "draw long, pattern long, n long, features binary, counts binary").orderBy("draw", "pattern", "n", "features", "counts").limit(2 * sample).toPandas()
+    w, bias = train([np.frombuffer(x, np.uint16) for x in drawn["features"]], [np.frombuffer(x, np.float32) for x in drawn["counts"]], drawn["n"].to_numpy(np.int64), np.array([of.get(p, 0.5) for p in drawn["pattern"].tolist()]))
     model = docs.sparkSession.sparkContext.broadcast((of, w.astype(np.float32), bias))
     taken = {"weak_good", "quality", "kept"}
     rows = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken))
