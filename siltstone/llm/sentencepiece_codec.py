@@ -2,11 +2,15 @@
 
 The text, with blanks as marks and one mark in front, falls apart into marked words, which no piece of the model crosses (that is checked
 when a model is read). The distinct words of a run of texts are sorted, which lays them out as a trie, and traversed depth-first:
-the forward state of every prefix is computed once and shared by all words that begin with it. For a BPE model the state of a prefix is
-the last piece of its segmentation: among the pieces that end there only one is compatible with the state before it (the two, merged
-by themselves, stay as they are), and that sequence is the one that merging by rank gives, so ids equal those of the
-sentencepiece library. Characters outside the vocabulary become byte pieces. Decoding joins the pieces, decodes bytes as UTF-8 and takes
-the first mark away.
+the forward state of every prefix is computed once and shared by all words that begin with it.
+
+For a Unigram model the state of a prefix is its best score and the last piece of the path that has it (of equal scores the longest last piece). For a
+BPE model, the one at hand, the best path by scores is not the tokenizer's answer, and the state is
+the last piece of the prefix's segmentation: among the pieces that end there only one is compatible with the state before it (the two, merged
+by themselves, stay as they are), and that sequence is the one that merging by rank gives. Ids equal those of the
+sentencepiece library (for a Unigram model up to paths of equal scores, between which its rounding over the whole text decides); a model of any other type
+is refused. Characters outside the vocabulary become byte pieces. Decoding joins the pieces, decodes
+bytes as UTF-8 and takes the first mark away.
 
 A worker keeps at most CACHED words between runs of texts; each text is encoded whole, in runs of about a slice.
 
@@ -34,12 +38,49 @@ CACHED = 250_000
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
+UNIGRAM, BPE = 1, 2
+_PENALTY = 10.0  # of a character outside the vocabulary, below the lowest score
+
+
+def _fields(data: bytes):
+    """(number, value) of a serialised message's fields: numbers, or bytes."""
+    at = 0
+
+    def number():
+        nonlocal at
+        out = shift = 0
+        while True:
+            byte = data[at]
+            at, out, shift = at + 1, out | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return out
+
+    while at < len(data):
+        key = number()
+        size = {1: 8, 5: 4}.get(key & 7)
+        if key & 7 == 0:
+            yield key >> 3, number()
+            continue
+        size = number() if size is None else size
+        yield key >> 3, data[at : at + size]
+        at += size
+
+
+def model_type(model: bytes) -> int:
+    """1 Unigram (where nothing is said), 2 BPE, 3 words, 4 characters."""
+    trainer = next((v for k, v in _fields(model) if k == 2), b"")
+    return next((v for k, v in _fields(trainer) if k == 3), UNIGRAM)
+
+
 class Pieces:
-    """A BPE model with byte fallback, without a normaliser of its own."""
+    """A BPE or Unigram model with byte fallback, without a normaliser of its own."""
 
     def __init__(self, model: bytes):
         import sentencepiece
 
+        self.kind = model_type(model)
+        if self.kind not in (UNIGRAM, BPE):
+            raise ValueError("the model is neither BPE nor Unigram")
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         n = sp.get_piece_size()
         self.rank: dict[str, float] = {}
@@ -53,6 +94,8 @@ class Pieces:
                 self.byte_id[int(piece[3:5], 16)] = i
             elif sp.is_control(i) or sp.is_unknown(i):
                 self.bytes.append(b"" if sp.is_control(i) else " ⁇ ".encode())
+            elif sp.is_unused(i):
+                self.bytes.append(piece.replace(MARK, " ").encode())
             else:
                 self.id[piece], self.rank[piece] = i, sp.get_score(i)
                 self.bytes.append(piece.replace(MARK, " ").encode())
@@ -120,7 +163,52 @@ class Pieces:
         return ok
 
     def search(self, words: list[str]):
-        """(word, ids as bytes) of sorted distinct words: a depth-first walk of their trie."""
+        return self._viterbi(words) if self.kind == UNIGRAM else self._merges(words)
+
+    def _viterbi(self, words: list[str]):
+        """(word, ids as bytes) of sorted distinct words by a Unigram model: a depth-first walk of their trie that keeps the forward scores of
+        the prefixes of the word at hand."""
+        score, last = [0.0], [-1]
+        before, ends, sizes, vocabulary = "", self.ends.get, self.sizes, len(self.bytes)
+        rank = {i: self.rank[piece] for piece, i in self.id.items()}
+        unknown = min(rank.values(), default=0.0) - _PENALTY
+        for w in words:
+            n, depth = len(w), 0
+            most = min(n, len(before))
+            while depth < most and w[depth] == before[depth]:
+                depth += 1
+            del score[depth + 1 :], last[depth + 1 :]
+            for i in range(depth + 1, n + 1):
+                best, piece = float("-inf"), -1
+                if w[i - 1] not in self.id:
+                    best, piece = score[i - 1] + unknown, vocabulary + ord(w[i - 1])
+                for start in range(i - 1, -1, -1):
+                    k = ends(w[start:i])
+                    if k is None:
+                        break
+                    if k >= 0 and (s := score[start] + rank[k]) >= best:  # of equals the longest
+                        best, piece = s, k
+                score.append(best)
+                last.append(piece)
+            before = w
+            yield w, self._path(w, last, sizes, vocabulary)
+
+    def _path(self, w: str, last: list[int], sizes: list[int], vocabulary: int) -> bytes:
+        """Ids of a word from the last pieces of its prefixes."""
+        out, i = [], len(w)
+        while i:
+            k = last[i]
+            if k < vocabulary:
+                out.append(k)
+                i -= sizes[k]
+            else:
+                i -= 1
+                out.extend(self.byte_id[b] for b in reversed(w[i].encode("utf-8", "surrogatepass")))
+        out.reverse()
+        return array("i", out).tobytes()
+
+    def _merges(self, words: list[str]):
+        """The same by a BPE model; the walk keeps the last pieces of the prefixes' segmentations."""
         last = [-1]  # the last piece of the segmentation of every prefix of the word at hand
         before, ends, fits, sizes, vocabulary = "", self.ends.get, self.fits.get, self.sizes, len(self.bytes)
         for w in words:
@@ -148,17 +236,8 @@ class Pieces:
                 else:  # a character outside the vocabulary
                     k = vocabulary + ord(w[i - 1])
                 last.append(k)
-            before, out, i = w, [], n
-            while i:
-                k = last[i]
-                if k < vocabulary:
-                    out.append(k)
-                    i -= sizes[k]
-                else:
-                    i -= 1
-                    out.extend(self.byte_id[b] for b in reversed(w[i].encode("utf-8", "surrogatepass")))
-            out.reverse()
-            yield w, array("i", out).tobytes()
+            before = w
+            yield w, self._path(w, last, sizes, vocabulary)
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         """Ids of each text."""
