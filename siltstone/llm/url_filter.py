@@ -25,7 +25,6 @@ from siltstone.llm.common import saved, work_dir
 #: Rules as (verdict, host and path); a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
 ORDER = 5
-SLOTS = 1 << 16  # not used any more: the model has no slots; a test still sets it
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

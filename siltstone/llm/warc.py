@@ -69,11 +69,13 @@ def member(data: bytes, level: int = 1) -> bytes:
 
 def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compressed: bool = True) -> DataFrame:
     """Writes pages (page_id, url, html) and returns the manifest (file, records, bytes). The decisions who is a response are a
-    narrow table (digest, length, smallest page_id); only that is aggregated, and AQE can split a digest that many rows share."""
+    narrow table (SHA-1, length and SHA-256 of the payload, smallest page_id), so a payload made to have another's SHA-1 is not taken for it; only that is
+    aggregated, and AQE can split a digest that many rows share."""
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    pages = pages.withColumn("sha1", F.sha1("payload"))
-    first = pages.where(F.length("payload") >= least_bytes).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    rows = pages.join(first, "sha1", "left").withColumn("refers", F.expr(f"if(length(payload) < {least_bytes} or page_id <=> first, null, first)"))
+    same = ["sha1", "sha256", "size"]
+    pages = pages.withColumns({"sha1": F.sha1("payload"), "sha256": F.unhex(F.sha2("payload", 256)), "size": F.length("payload")})
+    first = pages.where(F.col("size") >= least_bytes).groupBy(*same).agg(F.min("page_id").alias("first"))
+    rows = pages.join(first, same, "left").withColumn("refers", F.expr(f"if(size < {least_bytes} or page_id <=> first, null, first)"))
 
     def write(batches):
         fs, root = opened(folder)
