@@ -130,9 +130,8 @@ def test_url_rules_and_parts(spark):
     assert {(r.page_id, r.verdict) for r in one_class} == {(1, "block"), (6, "allow")}
 
 
-def test_url_model_against_brute_force(spark, monkeypatch):
+def test_url_model_against_brute_force(spark):
     """Scores of the variable-order model, counted and smoothed again in Python."""
-    monkeypatch.setattr(url_filter, "SLOTS", 1 << 24)  # no two grams share a slot
     rnd = random.Random(2)
     word = lambda s: "".join(rnd.choice(s) for _ in range(6))
     train = [("allow", f"http://{word('abcd')}.net/{word('abcd')}") for _ in range(40)] + [("block", f"http://{word('wxyz')}.com/{word('wxyz')}") for _ in range(40)]
@@ -159,6 +158,19 @@ def test_url_model_against_brute_force(spark, monkeypatch):
         assert abs(got[u] - np.mean([np.log(p(g, 0) / p(g, 1)) for g in grams(u)])) < 1e-6
 
 
+def test_urls_that_repeat_and_tie(spark):
+    """Repeated rows are judged alike; a URL whose score is the cut is allowed."""
+    from unittest import mock
+
+    pages = spark.createDataFrame([(1, "http://a.com/en/1"), (2, "http://a.com/en/1"), (3, "http://b.net/de/1"), (4, "zz"), (4, "zz"), (None, "zz")], "page_id long, url string")
+    got = url_filter.url_filter(pages).collect()
+    assert len(got) == 6 and len({(r.url, r.verdict, r.score) for r in got}) == 3
+    cut = got[0].cut
+    with mock.patch.object(url_filter, "scores", lambda urls, model: urls.select("url").where("url <> ''").distinct().withColumn("score", F.lit(1.0))):
+        got = {r.url: r for r in url_filter.url_filter(pages).collect()}
+    assert got["zz"].score == got["zz"].cut and got["zz"].verdict == "allow" and cut is not None
+
+
 def test_url_model_keeps_every_gram(spark):
     """More distinct grams than 65,536 in an order, with the settings of production: each has its own value, unseen ones back off."""
     rnd = random.Random(3)
@@ -210,7 +222,7 @@ def brute_vectors(rows, t=0.93):
     return sorted((rows[k][0], len(links.get(k, ())), part[k], rows[k][0] == part[k]) for k in part)
 
 
-@pytest.mark.parametrize("block", [4, 1024])
+@pytest.mark.parametrize("block", [1, 4, 1024])
 def test_vectors_against_brute_force(spark, block):
     rnd = np.random.default_rng(8)
     centres = rnd.normal(size=(12, 6))
@@ -238,8 +250,35 @@ def test_permutations_and_draws():
         assert sorted(mixing.permuted(np.arange(n), n, 3).tolist()) == list(range(n))
     assert mixing.permuted(np.arange(1000), 1000, 3).tolist() != mixing.permuted(np.arange(1000), 1000, 4).tolist()
     slots = np.array([500, 3, 0, 70])
-    draws = mixing.draw_shards(slots, 64, 1)
-    assert sum(draws).tolist() == slots.tolist() and [int(d.sum()) for d in draws] == [64] * 8 + [61]
+    counts, before = mixing.subtree(slots, 64, 1, 0, 9)
+    assert counts.sum(0).tolist() == slots.tolist() and counts.sum(1).tolist() == [64] * 8 + [61] and not before.any()
+    for lo, hi in ((0, 3), (3, 4), (4, 9)):  # a task's part of the tree is that of the whole
+        part, start = mixing.subtree(slots, 64, 1, lo, hi)
+        assert part.tolist() == counts[lo:hi].tolist() and start.tolist() == counts[:lo].sum(0).tolist()
+
+
+def test_taken_is_the_same_for_any_split_and_as_the_slots_say(spark):
+    """taken by document against the slots, word by word, over one partition and over seven, rows in any order."""
+    rnd = random.Random(12)
+    rows = [(i, rnd.choice(["a", "b", "c", None]), " ".join(f"w{i}" for _ in range(rnd.choice((0, 1, 7, 60, 500))))) for i in range(200)]
+    rows += [(300, "a", "x y z")] * 3 + [(None, "b", "q r")] * 2
+    taken = []
+    for n in (1, 7):
+        rnd.shuffle(rows)
+        out, slots = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(n), block=16, shard_slots=20)
+        got, slots = out.toPandas(), slots.toPandas()
+        taken.append(sorted((str(r.doc_id), str(r.source), int(r.taken)) for r in got.itertuples()))
+    assert taken[0] == taken[1]
+    for no, source in enumerate(["a", "b", "c", None]):
+        mine = got[got.source.isna() if source is None else got.source == source].sort_values(["place", "doc_id", "size", "row"])
+        times = np.zeros(int(mine["size"].sum()), int)
+        for x in slots[slots.source_no == no].itertuples():
+            times[x.block * 16 : x.block * 16 + x.words] += 1
+        ends = np.cumsum(mine["size"].to_numpy())
+        totals = sorted((str(i), int(times[e - n : e].sum())) for i, e, n in zip(mine["doc_id"], ends, mine["size"], strict=True))
+        assert totals == sorted((str(i), int(t)) for i, t in zip(mine["doc_id"], mine["taken"], strict=True))
+    ids = [sorted(r.doc_id or -1 for r in mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(n), block=16).select("doc_id").collect()) for n in (1, 7)]
+    assert ids[0] == ids[1]
 
 
 def test_mix(spark):
@@ -270,6 +309,54 @@ def test_mix(spark):
 # --- pipeline -------------------------------------------------------------------------------------------------
 
 
+def test_stages_over_awkward_rows(spark):
+    """Nulls in every column, empty texts, repeated rows, ties, clashing columns, empty tables: stage by stage, chained lazily."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept string, _row int, _kept_id int, taken long"
+    body = [(i, f"the cat number {i % 7} sat on the mat and the dog of house {i % 7} slept all day long", "en", "s", i, "k", i, i, i) for i in range(30)]
+    odd = [(100, None, "en", "s", None, None, None, None, None), (101, "", None, None, None, None, None, None, None), (102, " 12 \n", "en", None, 0, None, 0, 0, 0), (None, "the cat number 9 sat on the mat and the dog of house 9 slept all night long", "en", None, 1, None, 1, 1, 1), (None, None, None, None, None, None, None, None, None), (None, "the cat number 9 sat on the mat and the dog of house 9 slept all night long", "en", None, 1, None, 1, 1, 1), body[3], body[3]]
+    docs = spark.createDataFrame(body + odd, schema).repartition(3)
+    for rows in (docs, docs.limit(0)):
+        kept = rows
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            kept = stage(spark, kept, SF)
+            assert kept.columns == docs.columns, name
+        out = corpus_pipeline.STAGES[4][1](spark, kept, SF)
+        assert {"doc_id", "source", "lang", "ids", "n_tokens"} <= set(out.columns)
+        ids = sorted({-1 if r.doc_id is None else r.doc_id for r in out.collect()})
+        assert ids == ([-1, *range(7)] if rows is docs else [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, SF).count() >= 0 and stage(spark, docs.limit(0), SF).count() == 0, name
+
+
+def test_two_pipelines_do_not_remove_each_others_folders(spark):
+    import threading
+
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rows, threads = {}, []
+    for n in range(2):
+        threads.append(threading.Thread(target=lambda n=n: rows.update({n: sorted(r.doc_id for r in corpus_pipeline.run(spark, SF).collect())})))
+        threads[-1].start()
+    for t in threads:
+        t.join()
+    assert rows[0] == rows[1]
+
+
+def test_the_shared_folder_is_never_local_on_a_cluster():
+    from siltstone.sources import shared
+
+    class Session:
+        def __init__(self, master, named):
+            self.sparkContext = type("C", (), {"master": master, "applicationId": "a-test"})
+            self.conf = type("F", (), {"get": staticmethod(lambda name, default: named)})
+
+    assert shared.shared_dir(Session("spark://h:7077", "hdfs://n/c/")) == "hdfs://n/c"
+    assert shared.shared_dir(Session("local[4]", None)) == shared.shared_dir(Session("local[4]", "")) and shared.shared_dir(Session("local[4]", None)).startswith("file:")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="checkpoint"):
+            shared.shared_dir(Session(master, None))
+
+
 def test_pipeline(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -295,6 +382,7 @@ def test_pipeline(spark):
     left = {i for i in exact if part[i] == i}
     rows = corpus_pipeline.run(spark, SF).collect()
     assert {r.doc_id for r in rows} <= left and all(r.round_trip for r in rows)
+    assert {r.doc_id for r in rows} == {r.doc_id for r in kept.collect()} and len(rows) == kept.count()  # stages chained lazily give the same
     assert len(rows) > len(left)
     import sentencepiece
 

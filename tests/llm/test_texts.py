@@ -73,6 +73,20 @@ def test_exact_dedup(docs, empty):
     assert left.columns == docs.columns and left.count() == got.where("kept").count()
 
 
+def test_copies_in_many_batches_reach_their_owner_once_a_task(spark):
+    """Leads are put together by task and then by parts of the tasks; a text that a third of all rows hold is one lead a task."""
+    rows = spark.range(0, 60_000, 1, 6).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a b").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    made, saved = {}, exact_dedup.saved
+    try:
+        exact_dedup.saved = lambda df, path: made.setdefault(path.rsplit("/", 1)[1], saved(df, path))
+        got = exact_dedup.exact_dedup(rows)
+        assert got.where("group_size = 20000 and keep_id = 0").count() == 20_000 and got.where("group_size = 1 and kept").count() == 40_000
+    finally:
+        exact_dedup.saved = saved
+    assert made["segments"].where("n > 1").count() == 6 and made["segments"].where("n is not null").count() == 40_006
+    assert made["directory"].select("bucket").distinct().count() > 64
+
+
 def test_directory_doubles_only_where_buckets_are_full():
     counts = np.zeros(16, np.int64)
     counts[[0, 1, 2, 8]] = [5, 5, 1, 3]
@@ -90,26 +104,30 @@ def test_chains_compare_bytes():
     batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(7)], names=["bucket", "sha", "text", "n", "best_points", "best_id", "best_tag"])
     out = [r for b in exact_dedup._own([batch]) for r in b.to_pylist()]
     assert [(r["chain"], r["group_size"], r["best_id"]) for r in out] == [(0, 2, 7), (1, 5, 6)]
+    out = [r for b in exact_dedup._put_together([batch]) for r in b.to_pylist()]
+    assert [(r["text"], r["n"], r["best_id"]) for r in out] == [(b"one", 2, 7), (b"two", 5, 6)]
 
 
 # --- near dedup --------------------------------------------------------------------------------------
 
 
 def brute_near(rows):
+    """(sets, component) by doc_id: every pair is compared."""
     sets = {}
     for i, t in rows:
         w = words(t)
         if i is not None:
             sets.setdefault(i, []).append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
-    part = {i: i for i in sets}
-    while True:
-        before = dict(part)
-        for i in sets:
-            for j in sets:
-                if any(a and b and 100 * len(a & b) >= 80 * len(a | b) for a in sets[i] for b in sets[j]):
-                    part[i] = min(part[i], part[j])
-        if part == before:
-            return sets, part
+    flat = [(i, x) for i in sets for x in sets[i] if x]
+    links = [(i, j) for k, (i, a) in enumerate(flat) for j, b in flat[k + 1 :] if 5 * len(a) >= 4 * len(b) and 5 * len(b) >= 4 * len(a) and 9 * len(a & b) >= 4 * (len(a) + len(b))]
+    part, moved = {i: i for i in sets}, True
+    while moved:
+        moved = False
+        for i, j in links:
+            if part[i] != part[j]:
+                part[i] = part[j] = min(part[i], part[j])
+                moved = True
+    return sets, part
 
 
 def near_rows():
@@ -138,6 +156,28 @@ def test_ngram_join_against_brute_force(spark):
     assert got == part and len(set(part.values())) < len(rows)
 
 
+def test_large_groups_are_joined_block_by_block(spark):
+    """A family of more classes than two blocks hold, of which many pairs are no links, with the settings of production; what the tasks pass on
+    are links that join components, fewer than the family has classes."""
+    rnd = random.Random(9)
+    base, rows = [f"w{i}" for i in range(60)], []
+    for i in range(3 * ngram_join.BUCKET):
+        t = list(base)
+        for _ in range(rnd.choice((1, 1, 2, 3, 5))):
+            t[rnd.randrange(20, 60)] = f"x{rnd.randrange(10**9)}"
+        rows.append((i, " ".join(t)))
+    _, part = brute_near(rows)
+    made, saved = {}, ngram_join.saved
+    try:
+        ngram_join.saved = lambda df, path: made.setdefault(path.rsplit("/", 1)[1], saved(df, path))
+        got = {r.doc_id: r.component_id for r in ngram_join.near_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    finally:
+        ngram_join.saved = saved
+    assert got == part and 1 < len(set(part.values())) < len(rows)
+    assert made["buckets"].agg(F.max("block")).first()[0] >= 2
+    assert made["first-links"].count() < 20 * len(rows) and made["second-links"].count() < len(rows)
+
+
 def test_ngram_join_of_awkward_rows(docs, empty):
     sets, part = brute_near([(r.doc_id, r.text) for r in docs.collect()])
     got = ngram_join.near_texts(docs).collect()
@@ -158,9 +198,11 @@ def test_bounds_never_drop_a_link():
         b = np.unique(np.concatenate((a[: max(1, int(len(a) * rnd.random() * 1.2))], rnd.integers(0, 2**63, int(rnd.integers(0, 30))).astype(np.uint64))))
         linked = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
         others = [np.unique(rnd.integers(0, 2**63, int(rnd.integers(1, 90))).astype(np.uint64)) for _ in range(12)]
-        items = [(bytes([i]), len(s), ngram_join.bitmap(s), None) for i, s in enumerate([a, b, *others])]
-        pairs = {frozenset(p) for p in ngram_join.traverse(ngram_join.tree(items))}
-        assert not linked or frozenset((0, 1)) in pairs
+        assert ngram_join.linked(a, b) == ngram_join.linked(b, a) == linked
+        root = ngram_join.tree([(len(s), ngram_join.bitmap(s)) for s in [a, b, *others]])
+        assert not linked or frozenset((0, 1)) in {frozenset(p) for p in ngram_join.traverse(root, root)}
+        left, right = ngram_join.tree([(len(s), ngram_join.bitmap(s)) for s in [a, *others]]), ngram_join.tree([(len(s), ngram_join.bitmap(s)) for s in [*others, b]])
+        assert not linked or (0, len(others)) in set(ngram_join.traverse(left, right))
         p = len(np.intersect1d(a[: ngram_join.prefix_size(len(a))], b[: ngram_join.prefix_size(len(b))]))
         assert not linked or p
 
@@ -212,13 +254,64 @@ def test_language_model_is_a_distribution():
     assert np.allclose(np.exp(m.low).reshape(64 * 64, 64, 2).sum(1), 1, atol=1e-4)
     for context in {int(c) >> 6 for c in np.concatenate(codes)}:
         k = context << 6 | np.arange(64)
-        at = m.index()[k]
-        p = np.where((at >= 0)[:, None], m.full[at], m.back[context] + m.low[k & (64**3 - 1)])
-        assert np.allclose(np.exp(p).sum(0), 1, atol=1e-4)
-    h, _ = m.cross_entropies(["the hat", "die katze", "123", None], m.index())
+        assert np.allclose(np.exp(m.rows(k)).sum(0), 1, atol=1e-4)
+    h, _ = m.cross_entropies(["the hat", "die katze", "123", None])
     assert [m.langs[i] for i in h[:2].argmin(1)] == ["en", "de"]
 
 
+def brute_kneser_ney(texts, asked):
+    """Mean -log probability of each asked text's characters by interpolated Kneser-Ney, counted in dictionaries."""
+    kinds = language_id.classes()
+
+    def grams(t):
+        k = [int(kinds[ord(c)]) for c in t + " "]
+        k = [c for i, c in enumerate(k) if c or (i and k[i - 1])]
+        k = [0, 0, 0, *k]
+        return [tuple(k[i : i + 4]) for i in range(len(k) - 3)]
+
+    counts = [None, {}, {}, {}, Counter(g for t in texts for g in grams(t))]
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+
+    def p(g):
+        if not g:
+            return 1 / 64
+        c = counts[len(g)]
+        one, two = sum(v == 1 for v in c.values()), sum(v == 2 for v in c.values())
+        d = one / (one + 2 * two) if one and two else 0.5
+        mine = {x: v for x, v in c.items() if x[:-1] == g[:-1]}
+        total = sum(mine.values())
+        return p(g[1:]) if not total else max(mine.get(g, 0) - d, 0) / total + d * len(mine) / total * p(g[1:])
+
+    return [-np.mean([math.log(p(g)) for g in grams(t)]) for t in asked]
+
+
+def test_language_models_against_brute_force(spark):
+    train = {"en": ["the cat sat on the mat, the end", "then the hat", "a man and a dog ran", "the rat"], "de": ["der hund und die katze", "die hunde und der mann", "ein hut"]}
+    docs = spark.createDataFrame([(t, name) for name, ts in train.items() for t in ts], "text string, lang string")
+    asked = ["the hat  was wet", "die Hüte", "x y z", "der man the"]
+    h, _ = language_id.fit(docs, F.lit(True)).cross_entropies(asked)
+    for i, name in enumerate(sorted(train)):
+        assert np.allclose(h[:, i], brute_kneser_ney(train[name], asked), atol=1e-5)
+
+
+def test_long_texts_are_coded_piece_by_piece(monkeypatch):
+    rnd = random.Random(11)
+    text = "".join(rnd.choice("ab  ..é1Z\n") for _ in range(3000))
+    whole = language_id.encoded([text])[0].tolist()
+    for piece in (1, 2, 7, 1000, 2999, 3000, 4000):
+        monkeypatch.setattr(language_id, "PIECE", piece)
+        assert np.concatenate([c for c, _ in language_id._coded([text])]).tolist() == whole
+
+
+def test_nothing_learned_is_und(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, None, "en"), (3, "12", None), (None, "more", None)], "doc_id long, text string, lang string")
+    got = language_id.language_id(docs).collect()
+    assert len(got) == 4 and {(r.lang_pred, r.score, r.accepted) for r in got} == {("und", 0.0, False)}
+    assert language_id.known_language(docs).count() == 0
+    assert {r.lang_pred for r in language_id.language_id(docs.withColumn("text", F.lit(None).cast("string"))).collect()} == {"und"}
+
+
 def test_language_id_of_awkward_rows(docs, empty):
     got = language_id.language_id(docs).collect()
     assert len(got) == docs.count()
@@ -226,9 +319,17 @@ def test_language_id_of_awkward_rows(docs, empty):
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in t or "")) and r.accepted <= (r.lang_pred != "und")
     assert language_id.language_id(empty).count() == 0
     assert language_id.known_language(docs).columns == docs.columns
-    foreign = "щуй хцы ъёж " * 40
-    model = language_id.fit(docs.where("lang = 'en'"), F.lit(True))
-    assert not language_id.identify(docs.limit(1).withColumn("text", F.lit(foreign)), model).first().accepted
+
+
+def test_other_languages_are_rejected(spark):
+    """Own texts, however short, are accepted, strings of other letters are not from some length on."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs, F.lit(True))
+    asked = docs.select(F.lit(True).alias("own"), "text").union(docs.select(F.lit(True), F.substring("text", 1, 30)))
+    for foreign in ("щуй хцы ъёж " * 40, "xqz kvj wqx zzk " * 40, "漢字 仮名 交じり 文 " * 40):
+        asked = asked.union(spark.createDataFrame([(False, foreign)], "own boolean, text string"))
+    got = language_id.identify(asked, model).collect()
+    assert all(r.accepted == r.own for r in got if any(c.isalpha() for c in r.text)), [r for r in got if r.accepted != r.own]
 
 
 # --- quality -------------------------------------------------------------------------------------------
@@ -253,6 +354,66 @@ def test_labellers_are_estimated():
     assert ((q[back] > 0.5) == y).mean() > 0.95
 
 
+def brute_estimate(votes, rounds=200):
+    """Expectation-maximisation over documents one by one, in plain Python."""
+    q = [(v.count(1) + 1) / (v.count(1) + 2.0 * v.count(0) + 2) for v in votes]
+    for _ in range(rounds):
+        prior = (sum(q) + 1) / (len(q) + 2)
+        p = {}
+        for k in range(len(votes[0])):
+            for c in (0, 1):
+                n = [0.1, 0.1]
+                for v, x in zip(votes, q, strict=True):
+                    if v[k] < 2:
+                        n[v[k]] += x if c else 1 - x
+                p[k, c] = [n[0] / sum(n), n[1] / sum(n)]
+        q = []
+        for v in votes:
+            odds = [math.log(1 - prior), math.log(prior)]
+            for k, x in enumerate(v):
+                if x < 2:
+                    odds = [odds[c] + math.log(p[k, c][x]) for c in (0, 1)]
+            q.append(1 / (1 + math.exp(max(-60, min(60, odds[0] - odds[1])))))
+    return q
+
+
+def test_weak_labels_and_scores_against_brute_force(spark):
+    """The query's posteriors and its scorer's probabilities, from plain loops over documents, votes and features."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("doc_id < 120")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r for r in quality.quality(docs, keep=["doc_id"]).collect()}
+    x = quality.Words([t.encode() if t else None for _, t in rows])
+    weak = brute_estimate([v.tolist() for v in x.votes()])
+    for (i, _), q in zip(rows, weak, strict=True):
+        assert abs(got[i].weak_good - q) < 1e-6
+    f, w, bias = x.features(), np.zeros(quality.FEATURES), 0.0
+    m, v = np.zeros(quality.FEATURES + 1), np.zeros(quality.FEATURES + 1)
+    spans = list(zip(x.offsets[:-1].tolist(), x.offsets[1:].tolist(), strict=True))
+    for step in range(1, quality.ROUNDS + 1):
+        g = np.zeros(quality.FEATURES + 1)
+        for (a, b), y in zip(spans, weak, strict=True):
+            if b > a:
+                d = (1 / (1 + math.exp(-(w[f[a:b]].sum() / (b - a) + bias))) - y) / sum(q > p for p, q in spans)
+                np.add.at(g, f[a:b].ravel(), d / (b - a))
+                g[-1] += d
+        g[:-1] += 1e-7 * w
+        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+        move = 0.3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        w, bias = w - move[:-1], bias - move[-1]
+    for (i, _), (a, b) in zip(rows, spans, strict=True):
+        want = 1 / (1 + math.exp(-(w[f[a:b]].sum() / (b - a) + bias))) if b > a else 0
+        assert abs(got[i].quality - want) < 1e-3
+
+
+def test_the_sample_is_the_same_for_any_split_and_holds_other_texts_than_copies(spark):
+    """With more documents than the sample takes, half of them copies of one text; scores do not depend on partitions."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    copies = spark.range(1000, 1400).select(F.col("id").alias("doc_id"), F.lit("buy NOW !!! $$$ click").alias("text"))
+    both = docs.unionByName(copies)
+    runs = [{r.doc_id: r.quality for r in quality.quality(both.repartition(n), keep=["doc_id"], sample=60).collect()} for n in (1, 7)]
+    assert runs[0] == runs[1] and len({round(q, 3) for i, q in runs[0].items() if i < 1000}) > 20
+
+
 def test_quality_of_awkward_rows(docs, empty):
     got = quality.quality(docs)
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "weak_good", "quality", "kept"] and got.count() == docs.count()
@@ -291,24 +452,58 @@ def test_lm_learns_where_the_first_chunk_has_no_training_text(spark):
         assert got[5001] > got[5000] + 1
 
 
-def test_lm_start_chunk_has_training_words(spark):
-    chunks = spark.createDataFrame([(i, b"", i, b"", b"", b"", hmm_lm.ENOUGH if i == 7 else i) for i in range(16)], "chunk long, tokens binary, n_tokens long, sizes binary, held binary, vocabulary binary, train_tokens long")
-    assert [r["n_tokens"] for r in hmm_lm.start_chunk(chunks)] == [7]
-    assert hmm_lm.start_chunk(chunks.where("chunk <> 7")) == []
-
-
-def test_lm_likelihood_is_that_of_the_windows():
+def test_shares_with_too_few_training_words_are_the_whole(spark):
+    chunks = spark.range(256).select(F.col("id").alias("chunk"), F.lit(hmm_lm.ENOUGH // 20).cast("long").alias("train_tokens"))
+    got = hmm_lm.shares(chunks)
+    assert len(got) == sum(n for _, n in hmm_lm.GROWING) and got[0] == 1 and got[-1] == 2 and set(hmm_lm.shares(chunks.limit(0))) == {1}
+
+
+def plain_expected(h, k, sizes):
+    """Expected counts and log likelihood text by text, in double precision."""
+    n = len(h.start)
+    start, step, emit, total, at = np.zeros(n), np.zeros((n, n)), np.zeros(h.emit.shape), 0.0, 0
+    for size in sizes.tolist():
+        x = k[at : at + size]
+        at += size
+        alpha, scale = [h.start * h.emit[x[0]]], []
+        for c in x[1:]:
+            scale.append(alpha[-1].sum())
+            alpha[-1] = alpha[-1] / scale[-1]
+            alpha.append((alpha[-1] @ h.step) * h.emit[c])
+        scale.append(alpha[-1].sum())
+        alpha[-1] = alpha[-1] / scale[-1]
+        beta = np.ones(n)
+        for t in range(size - 1, -1, -1):
+            emit[x[t]] += alpha[t] * beta
+            if t:
+                step += alpha[t - 1][:, None] * h.step * (h.emit[x[t]] * beta / scale[t])
+                beta = h.step @ (h.emit[x[t]] * beta) / scale[t]
+        start += alpha[0] * beta
+        total += np.log(scale).sum()
+    return np.concatenate((start, step.ravel(), emit.ravel(), [total]))
+
+
+def trained(rnd, classes=1025):
+    h = hmm_lm.Hmm(np.zeros(0, np.uint64), np.full(classes, 1 / classes))
+    h.update(np.concatenate((rnd.random(hmm_lm.STATES), rnd.random(hmm_lm.STATES**2), rnd.random(classes * hmm_lm.STATES) * 50)))
+    return h
+
+
+@pytest.mark.parametrize("window", [1, 3, 8, 64, 1024])
+def test_expected_counts_are_those_of_whole_texts(window):
+    """However texts are cut into windows, no chain is broken."""
     rnd = np.random.default_rng(6)
-    h = hmm_lm.Hmm(np.zeros(0, np.uint64), np.full(1025, 1 / 1025))
-    sizes = np.array([1, 5, 60])  # a window each
+    h = trained(rnd)
+    sizes = np.array([1, 5, 3, 60, 1, 200, 64, 128])
     k = rnd.integers(0, 1025, sizes.sum())
-    assert abs(h.expected(k, sizes)[-1] - h.scores(k, sizes).sum() * math.log(10)) < 1e-3
+    got, want = h.expected(k, sizes, window), plain_expected(h, k, sizes)
+    assert np.allclose(got, want, rtol=1e-3, atol=1e-3)
+    assert abs(got[-1] - h.scores(k, sizes).sum() * math.log(10)) < 1e-2
 
 
 def test_forward_recursion_is_exact():
     rnd = np.random.default_rng(4)
-    h = hmm_lm.Hmm(np.zeros(0, np.uint64), np.full(1025, 1 / 1025))
-    h.update(np.concatenate((rnd.random(2 * hmm_lm.STATES), rnd.random(hmm_lm.STATES**2), rnd.random(1025 * hmm_lm.STATES) * 50)))
+    h = trained(rnd)
     sizes = np.array([1, 5, 3, 60])
     k = rnd.integers(0, 1025, sizes.sum())
     got, at = h.scores(k, sizes), 0
@@ -319,14 +514,54 @@ def test_forward_recursion_is_exact():
         at += n
         assert abs(math.log10(a.sum()) - s) < 1e-8
     assert np.allclose(h.emit.sum(0), 1) and np.allclose(h.step.sum(1), 1)
-    counts = h.counts(k, sizes)
-    assert abs(counts[2 * 8 + 64 :].sum() - sizes.sum()) < 0.01  # every word is in some state
     before = got.sum()
     for _ in range(5):
-        h.update(h.counts(k, sizes))
+        h.update(h.expected(k, sizes)[:-1])
     assert h.scores(k, sizes).sum() > before
 
 
+def test_lm_scores_against_brute_force(spark):
+    """The query's score, with the model trained again from plain loops: counts in dictionaries, whole texts one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").where("length(text) < 900 and doc_id < 60").coalesce(1)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = {r.doc_id: r.score for r in hmm_lm.lm_scores(docs).collect()}
+    word = lambda w: hashed_words([w], ends=True)
+    code = {}
+    for w in {w for _, t in rows for w in words(t)}:
+        h, _, tail = word(w)
+        code[w] = int((h & ~hmm_lm._BITS | hmm_lm.mix(tail.astype(np.uint64)) & hmm_lm._BITS)[0])
+    train = [[code[w] for w in words(t)] for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    c = Counter(w for t in train for w in t)
+    often = sorted(w for w, n in sorted(c.items(), key=lambda x: (-x[1], x[0] if x[0] < 1 << 63 else x[0] - (1 << 64)))[: hmm_lm.FREQUENT - 1] if n > 1)
+    suffix = lambda w: w & int(hmm_lm._BITS)
+    count, kinds = Counter(), Counter()
+    for w, n in c.items():
+        if w not in often:
+            count[suffix(w)] += n
+            kinds[suffix(w)] += 1
+    prior = np.array([*(count[i] + 0.5 for i in range(hmm_lm.SUFFIXES)), len(train) + 0.5, *(c[w] for w in often)])
+    h = hmm_lm.Hmm(np.array(often, np.uint64), prior / prior.sum())
+    place = {w: hmm_lm.SUFFIXES + 1 + i for i, w in enumerate(often)}
+    classes = lambda ws: [*(place.get(w, suffix(w)) for w in ws), hmm_lm._END]
+    k, sizes = np.array([x for t in train for x in classes(t)]), np.array([len(t) + 1 for t in train])
+    for _ in range(sum(n for _, n in hmm_lm.GROWING)):
+        h.update(plain_expected(h, k, sizes)[:-1])
+    before, gain = None, math.inf
+    while gain >= hmm_lm.SETTLED:
+        x = plain_expected(h, k, sizes)
+        h.update(x[:-1])
+        before, gain = x[-1], math.inf if before is None else (x[-1] - before) / sizes.sum()
+    for i, t in rows:
+        ws = [code[w] for w in words(t)]
+        a, want = h.start, 0.0
+        for n, x in enumerate(classes(ws)):
+            a = (a if not n else a @ h.step) * h.emit[x]
+            want += math.log10(a.sum())
+            a = a / a.sum()
+        want += sum(math.log10((c[w] + 0.5) / (count[suffix(w)] + 0.5 * (kinds[suffix(w)] + 1))) for w in ws if w not in place)
+        assert abs(got[i] - want) < 0.01 * abs(want)
+
+
 # --- token ids --------------------------------------------------------------------------------------------
 
 
@@ -348,6 +583,52 @@ def test_ids_equal_the_library(codec):
         assert p.decode(ids.tolist()) == t.replace("▁", " ")
 
 
+def model(pieces, kind):
+    """A serialised model of (piece, score), written by hand; nothing is trained."""
+    import struct
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def message(i, data):
+        return number(i << 3 | 2) + number(len(data)) + data
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256)), *((p, s, 1) for p, s in pieces)]
+    out = b"".join(message(1, message(1, p.encode()) + b"\x15" + struct.pack("<f", s) + b"\x18" + number(t)) for p, s, t in rows)
+    trainer = b"\x18" + number(kind) + b"\x20" + number(len(rows)) + number(35 << 3) + b"\x01"
+    return out + message(2, trainer) + message(3, message(1, b"identity") + b"\x18\x01" + b"\x20\x00" + b"\x28\x01")
+
+
+def test_unigram_ids_equal_the_library():
+    """A Viterbi search over scores, whose prefixes are shared, against the library's."""
+    import sentencepiece
+
+    rnd = random.Random(8)
+    letters = "abcdeé中"
+    pieces = {c: -rnd.uniform(3, 9) for c in letters + "▁"} | {"".join(rnd.choice(letters) for _ in range(rnd.randrange(2, 6))): -rnd.uniform(2, 14) for _ in range(150)}
+    pieces |= {"▁" + "".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 5))): -rnd.uniform(2, 12) for _ in range(80)}
+    data = model(pieces.items(), sentencepiece_codec.UNIGRAM)
+    assert sentencepiece_codec.model_type(data) == sentencepiece_codec.UNIGRAM and sentencepiece_codec.model_type(sentencepiece_codec.model_bytes()) == sentencepiece_codec.BPE
+    p, sp = sentencepiece_codec.Pieces(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["".join(rnd.choice(letters + "  xyß🎉") for _ in range(rnd.randrange(60))) for _ in range(2000)] + ["", " ", "a" * 500]
+    total = lambda ids: sum(sp.get_score(i) for i in ids)
+    differ = 0
+    for t, ids in zip(texts, p.encode(texts), strict=True):
+        want = sp.encode(t)
+        assert ids.tolist() == want or abs(total(ids.tolist()) - total(want)) < 1e-4, repr(t)  # a tie
+        assert p.decode(ids.tolist()) == t
+        differ += ids.tolist() != want
+    assert differ < 20
+
+
+def test_models_of_other_types_are_refused():
+    with pytest.raises(ValueError, match="neither"):
+        sentencepiece_codec.Pieces(model([("a", -1.0), ("▁", -2.0)], 4))
+
+
 def test_codec_over_tables(docs, empty):
     model = sentencepiece_codec.model_bytes()
     got = sentencepiece_codec.encode(docs, model, check=True)
