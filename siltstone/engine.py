@@ -94,12 +94,13 @@ class Engine:
 
     def ask(
         self, questions: DataFrame, generate: Callable | None = None, judge: Callable | None = None, gate: float = 0.0,
-        history: DataFrame | None = None, rewrite: Callable | None = None, label: Callable | None = None,
+        history: DataFrame | None = None, rewrite: Callable | None = None, label: Callable | None = None, reformulate: Callable | None = None,
     ) -> DataFrame:
         """(item_id, intent, query, retries, grade, answer, sources, invalid, latency_ms): cited answers of questions (item_id, session_id, text), each
         sent where its intent goes; what a node finds nothing for is retrieved and answered. Ports: generate takes (item_id, prompt or query,
         context) rows and gives (item_id, answer), without one answers are extracts; rewrite gives (item_id, query) of (item_id, query, history)
-        rows for questions with a history (item_id, history); label gives (item_id, label) of the questions whose keywords tell nothing."""
+        rows for questions with a history (item_id, history); label gives (item_id, label) of the questions whose keywords tell nothing;
+        reformulate: see answer.retried."""
         began, docs = time.time(), self.chunks()
         asked = self.screened(questions).where("refusal is null")
         if history is not None and rewrite is not None:
@@ -113,7 +114,7 @@ class Engine:
         asked = tables.cut(asked.withColumn("intent", tools.labelled(F.col("label"), F.col("text"))).withColumn("node", tools.route(F.col("intent"))))
         done = self._nodes(asked, docs, generate)
         rest = asked.join(done.select("item_id"), "item_id", "left_anti")
-        rows = self._answered(rest, docs, generate, judge, gate)
+        rows = self._answered(rest, docs, generate, judge, gate, reformulate)
         named = done.join(asked.select("item_id", "intent", F.col("text").alias("query")), "item_id").select("item_id", "intent", "query", F.lit(0).alias("retries"), "grade", "answer")
         return rows.unionByName(named, allowMissingColumns=True).withColumn("latency_ms", F.lit(int((time.time() - began) * 1000)).cast("long"))
 
@@ -132,9 +133,9 @@ class Engine:
             out = out.unionByName(ruled.select(F.col("sit_id").alias("item_id"), F.lit("rule").alias("grade"), "answer"))
         return tables.cut(out)
 
-    def _answered(self, rest: DataFrame, docs: DataFrame, generate: Callable | None, judge: Callable | None, gate: float) -> DataFrame:
+    def _answered(self, rest: DataFrame, docs: DataFrame, generate: Callable | None, judge: Callable | None, gate: float, reformulate: Callable | None) -> DataFrame:
         texts = docs.select("doc_id", "text")
-        tries = answer.retried(rest.select("item_id", "text"), texts, self.retrieve, gate, judge)
+        tries = answer.retried(rest.select("item_id", "text"), texts, self.retrieve, gate, judge, reformulate)
         found = tables.cut(answer.gated(self.retrieve(tries.select("item_id", F.col("query").alias("text")), texts), gate))
         shown = answer.context(found, texts)
         if generate is None:

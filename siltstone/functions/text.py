@@ -107,7 +107,8 @@ LINE_CUT = "…[cắt bớt]"
 
 def _nfc(text: Column) -> Column:
     def compose(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+        odd = s.notna()
+        return s.where(~odd, s[odd].map(lambda t: unicodedata.normalize("NFC", t))) if odd.any() else s
 
     return F.pandas_udf(compose, "string")(text)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,9 +62,24 @@ def cited(answers: DataFrame, found: DataFrame) -> DataFrame:
     return found.join(marks, ["item_id", "rank"], "left_semi")
 
 
-def retried(questions: DataFrame, docs: DataFrame, retrieve=retrieval.bm25, gate: float = GATE, judge=None) -> DataFrame:
+def judging(reply: Callable, retrieve: Callable, docs: DataFrame) -> Callable:
+    """A judge for `retried` of a port that gives (item_id, reply), a model's raw replies, for (item_id, query, excerpts) rows. A reply
+    that holds no JSON verdict, or none at all, counts as relevant."""
+
+    def judge(rows: DataFrame) -> DataFrame:
+        found = retrieve(rows.select("item_id", F.col("query").alias("text")), docs)
+        line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), "shown")
+        shown = joined(judge_excerpts(found, docs), line, "\n\n", "excerpts")
+        said = reply(rows.select("item_id", "query").join(shown, "item_id")).select("item_id", T.judge_reply(F.col("reply")).alias("j"))
+        return rows.select("item_id").join(said, "item_id", "left").select("item_id", F.coalesce("j.relevant", F.lit(True)).alias("relevant"))
+
+    return judge
+
+
+def retried(questions: DataFrame, docs: DataFrame, retrieve=retrieval.bm25, gate: float = GATE, judge=None, rewrite: Callable | None = None) -> DataFrame:
     """(item_id, query, retries, grade): irrelevant questions are rewritten and asked again, RETRIES times at most. judge tells of (item_id,
-    query) rows which are relevant; without one all that reach it are."""
+    query) rows which are relevant; without one all that reach it are. rewrite, a port, gives (item_id, query) for (item_id, query, tried)
+    rows; what it gives none for, or one that was tried, loses its stop words."""
     state = questions.select("item_id", F.col("text").alias("query"), F.array(F.col("text")).alias("tried"))
     out = None
     for turn in range(RETRIES + 1):
@@ -76,6 +93,11 @@ def retried(questions: DataFrame, docs: DataFrame, retrieve=retrieval.bm25, gate
         ended = graded if turn == RETRIES else graded.where("grade = 'relevant'")
         rows = ended.select("item_id", "query", F.lit(turn).alias("retries"), "grade")
         out = rows if out is None else out.unionByName(rows)
+        rest = graded.where("grade = 'irrelevant'")
         again = T.reformulated(F.col("query"), F.col("tried"))
-        state = graded.where("grade = 'irrelevant'").select("item_id", again.alias("query"), F.concat("tried", F.array(again)).alias("tried"))
+        if rewrite is not None and turn < RETRIES:
+            said = rewrite(rest.select("item_id", "query", "tried")).select("item_id", T.stripped(F.col("query")).alias("said"))
+            rest = rest.join(said, "item_id", "left")
+            again = F.when((F.col("said") != "") & ~F.array_contains("tried", F.col("said")), F.col("said")).otherwise(again)
+        state = rest.select("item_id", again.alias("query"), F.concat("tried", F.array(again)).alias("tried"))
     return out

@@ -25,14 +25,14 @@ def error_rate(events: DataFrame, minutes: int = 60, now=None) -> DataFrame:
     return rows.agg(errors.alias("errors"), queries.alias("queries"), F.when(queries > 0, F.round(errors / queries, 4)).otherwise(0.0).alias("error_rate"))
 
 
-def _recent(seconds: int, key: str):
-    """A key's rows in the last seconds up to a row (same times included)."""
-    return F.expr(f"count(*) OVER (PARTITION BY `{key}` ORDER BY ts RANGE BETWEEN INTERVAL '{seconds}' SECOND PRECEDING AND CURRENT ROW)")
-
-
 def rate_limited(events: DataFrame, most: int = 10, seconds: int = 60, key: str = "user_id") -> DataFrame:
-    """events with recent (a key's events in the last seconds) and limited (more than most)."""
-    return events.withColumn("recent", _recent(seconds, key)).withColumn("limited", F.col("recent") > most)
+    """events with recent (a key's events in the last seconds, those of the same time included) and limited (more than most). Time is cut into stretches
+    of that length and an event also counts in the one after its own, so a key with very many events is not one task's."""
+    stretch = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
+    rows = events.withColumn("_own", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("_part", stretch + F.when(F.col("_own"), 0).otherwise(1))
+    recent = F.expr(f"count(*) OVER (PARTITION BY `{key}`, _part ORDER BY ts RANGE BETWEEN INTERVAL '{seconds}' SECOND PRECEDING AND CURRENT ROW)")
+    counted = rows.withColumn("recent", recent).where("_own").drop("_own", "_part")
+    return counted.withColumn("limited", F.col("recent") > most)
 
 
 def admitted(events: DataFrame, most: int = 10, seconds: int = 61, failures: int = 3, key: str = "user_id", pairs: int = 1) -> DataFrame:

@@ -62,6 +62,18 @@ def test_retry_is_bounded(spark, docs, asked):
     assert set(got.values()) == {2}
 
 
+def test_judges_replies_and_rewriting(spark, docs, asked):
+    rows = retrieval.corpus(docs)
+    reply = lambda shown: shown.select("item_id", F.when(F.col("excerpts").contains("[1] blue"), '{"relevant": false, "reason": "x"}').otherwise("no json").alias("reply"))
+    one = asked.where("item_id = 1")
+    got = answer.retried(one, rows, gate=0.0, judge=answer.judging(reply, retrieval.bm25, rows)).first()
+    assert (got.retries, got.grade) == (2, "irrelevant")
+    assert answer.retried(one, rows, gate=0.0, judge=answer.judging(lambda shown: shown.select("item_id", F.lit("?").alias("reply")), retrieval.bm25, rows)).first().grade == "relevant"
+    port = lambda r: r.select("item_id", F.lit(" red fox ").alias("query"))
+    got = {r.item_id: (r["query"], r.retries, r.grade) for r in answer.retried(asked, rows, rewrite=port).collect()}
+    assert got[2] == ("red fox", 1, "relevant") and got[1][1] == 0
+
+
 def test_chunks(spark):
     long = "Điều 3. T" + "".join(f"\n{i}. " + "c" * 1500 for i in range(1, 5))
     text = "mở đầu Điều 1. " + "a" * 60 + "\n1. b\nĐiều 2. ngắn " + long

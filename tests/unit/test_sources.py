@@ -156,3 +156,26 @@ def test_sections_have_the_summary(spark):
 def test_progress_of_an_empty_list(spark, tmp_path, kind):
     crawl.save_progress(spark, str(tmp_path / kind), [], 0)
     assert crawl.progress(spark, str(tmp_path / kind)) == ([], 0)
+
+
+def test_tables_are_dropped_only_if_really_meant_and_logs_append(spark, tmp_path):
+    spark.range(1).createOrReplaceTempView("kept_table")
+    spark.range(1).createOrReplaceTempView("other_table")
+    try:
+        gone = sinks.dropped_tables(spark, {"kept_table"})
+        assert "other_table" in gone and "kept_table" not in gone and spark.table("other_table").count() == 1
+    finally:
+        for name in ("kept_table", "other_table"):
+            spark.catalog.dropTempView(name)
+    rows = spark.createDataFrame([("1", "q")], "ts string, query string")
+    for _ in range(2):
+        sinks.append_json(rows, str(tmp_path / "log"))
+    assert readers.chat_log(spark, str(tmp_path / "log")).count() == 2
+
+
+def test_counts_of_a_hot_key_do_not_depend_on_its_stretches(spark):
+    """recent against brute force, times at and around the window's edge."""
+    at = [0, 59, 60, 61, 120, 120, 121, 180, 181, 3600]
+    events = spark.createDataFrame([(i, t, 1) for i, t in enumerate(at)], "event_id long, t long, user_id long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {r.event_id: r.recent for r in logs.rate_limited(events, 3, 60).collect()}
+    assert got == {i: sum(t - 60 <= u <= t for u in at) for i, t in enumerate(at)}
