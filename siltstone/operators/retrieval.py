@@ -62,46 +62,130 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def bm25(questions: DataFrame, docs: DataFrame, k: int = POOL, index: DataFrame | None = None) -> DataFrame:
-    """Okapi scores over distinct question words. Words that no question has are dropped before anything is counted; of a stored index
-    (postings, best cut by term) only those words' rows are joined, and texts aren't read at all."""
+    """Okapi scores over distinct question words (rows without a number take part in the counts only). One scan counts the documents of those words, another scores whole documents where they lie: a
+    task keeps k rows a question, and only those are shuffled. Of a stored index (postings, best cut by term) only the rows of those words
+    are joined, and texts aren't read at all."""
     asked = questions.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     terms = asked.select("term").distinct()
     if index is None:
-        words = docs.select("doc_id", T.tokens(F.col("text")).alias("tokens")).withColumn("dl", F.size("tokens"))
-        sizes = words.select("dl")
-        found = words.select("doc_id", "dl", F.explode("tokens").alias("term")).join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    else:
-        sizes = index.groupBy("doc_id").agg(F.max("dl").alias("dl"))
-        found = index.join(terms, "term", "left_semi")
-    size = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+        return _bm25_scan(tables.cut(asked.where("item_id is not null")), docs, k)
+    found = index.join(terms, "term", "left_semi")
+    size = index.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     n, mean = size.select("n").scalar(), size.select("mean").scalar()
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
+    weight = idf(n, F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean))
     scored = found.join(df, "term").select("doc_id", "term", weight.alias("w")).join(asked, "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
     return top(scored, k)
 
 
+def idf(n: Column, df: Column) -> Column:
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def _bm25_scan(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.tokens(F.col("text")).alias("words"))
+    every = F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))  # null stands for the document itself
+    of = asked.select(F.col("term").alias("known")).union(asked.sparkSession.range(1).select(F.lit(None).cast("string"))).distinct()
+    counts = words.select(F.size("words").alias("dl"), F.explode(every).alias("term")).join(of, F.expr("term <=> known"), "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    counts = tables.cut(counts)
+    whole = counts.where("term is null").first()
+    n, mean = (whole["df"], whole["total"] / whole["df"] or 1.0) if whole else (0, 1.0)
+    weights = asked.join(counts, "term").select("item_id", "term", idf(F.lit(n), F.col("df")).alias("idf"))
+    kind, out = asked.schema["item_id"].dataType, None
+    blocks = max(1, -(-asked.count() * 64 // MATRIX_BYTES))  # bytes of a word, its weight and its question's number
+    for i in range(blocks):
+        rows = weights.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).orderBy("item_id", "term").toArrow()
+        found = words.mapInArrow(_okapi(rows, mean, k, words.sparkSession), "query long, id long, score double")
+        out = found if out is None else out.unionByName(found)
+    return top(out.select(F.col("query").cast(kind).alias("item_id"), F.col("id").alias("doc_id"), "score"), k)
+
+
+def _okapi(asked: pa.Table, mean: float, k: int, spark):
+    """Scores (doc_id, words) rows for asked (item_id, term, idf) rows; a task holds as many documents at a time as 32 MB of scores allow."""
+    items, item = np.unique(asked.column("item_id").to_numpy(), return_inverse=True)
+    term = asked.column("term").combine_chunks().dictionary_encode()
+    place = {w: i for i, w in enumerate(term.dictionary.to_pylist())}
+    codes = term.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    starts = np.append(0, np.cumsum(np.bincount(codes, minlength=len(place))))
+    idfs = np.zeros(len(place))
+    idfs[codes] = asked.column("idf").to_numpy()
+    shared = spark.sparkContext.broadcast((items, place, item[order], starts, idfs))  # MATRIX_BYTES, or one question's words
+
+    def run(batches):
+        items, place, item, starts, idfs = shared.value
+        kept, size = Best(len(items), k), max(1, min(ROWS, (1 << 22) // max(1, len(item))))
+        for batch in (b.slice(i, size) for b in batches for i in range(0, len(b), size)):
+            row, words = _rows_of(batch.column(1))
+            code = np.array([place.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
+            dl = np.bincount(row, minlength=len(batch))
+            pair, tf = np.unique((row * len(place) + code)[code >= 0], return_counts=True)
+            if not len(pair):
+                continue
+            row, code = pair // len(place), pair % len(place)
+            w = idfs[code] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl[row] / mean))
+            many = starts[code + 1] - starts[code]
+            which = np.repeat(starts[code] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            s = np.bincount(item[which] * len(batch) + np.repeat(row, many), np.repeat(w, many), len(items) * len(batch)).reshape(len(items), len(batch))
+            ids = batch.column(0)
+            s[:, ids.is_null().to_numpy(zero_copy_only=False)] = 0
+            kept.add(np.round(s, SCORE_DIGITS), ids.fill_null(0).to_numpy(), s > 0)
+        yield kept.batch(items)
+
+    return run
+
+
+def _rows_of(lists: pa.ListArray) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Of each word in lists its row; the words as codes."""
+    return np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten().dictionary_encode()
+
+
+class Best:
+    """The k best rows of each of n queries that a task has seen, ties to the smaller id."""
+
+    def __init__(self, n: int, k: int):
+        self.k, self.least = k, np.full(n, -np.inf)
+        self.q, self.ids, self.s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, s: np.ndarray, ids: np.ndarray, some: np.ndarray) -> None:
+        """s: scores of queries x rows; some: the pairs that count."""
+        q, d = np.nonzero((s >= self.least[:, None]) & some)
+        q, ids, s = np.append(self.q, q), np.append(self.ids, ids[d]), np.append(self.s, s[q, d])
+        order = np.lexsort((ids, -s, q))
+        q, ids, s = q[order], ids[order], s[order]
+        start = np.flatnonzero(np.diff(q, prepend=-1))
+        keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < self.k
+        self.q, self.ids, self.s = q[keep], ids[keep], s[keep]
+        full, count = np.unique(self.q, return_counts=True)
+        full = full[count == self.k]
+        self.least[full] = self.s[np.searchsorted(self.q, full, "right") - 1]
+
+    def batch(self, names: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names[self.q], pa.int64()), pa.array(self.ids), pa.array(self.s)], names=["query", "id", "score"])
+
+
 def embedded(rows: DataFrame, key: str) -> DataFrame:
     """(key, vector): unit vectors of a hashing embedder (bucket and sign of a word from its md5), null without words; the default of the
     embedding port. A task keeps the words it has seen, KNOWN at most."""
 
     def run(batches):
         known: dict[str, tuple[int, int]] = {}
-        for batch in batches:
-            out = []
-            for words in batch.column(1).to_pylist():
-                v = np.zeros(DIMENSIONS)
-                for w in words:
-                    if (at := known.get(w)) is None:
-                        digest = hashlib.md5(w.encode()).hexdigest()
-                        at = known[w] = (int(digest[:4], 16) % DIMENSIONS, 1 if int(digest[4], 16) < 8 else -1)
-                    v[at[0]] += at[1]
-                norm = np.sqrt(v @ v)
-                out.append(v / norm if norm else None)
-                if len(known) > KNOWN:
-                    known.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=[key, "vector"])
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            row, words = _rows_of(batch.column(1))
+            at = np.zeros((len(words.dictionary), 2), np.int64)
+            for i, w in enumerate(words.dictionary.to_pylist()):
+                if w not in known:
+                    digest = hashlib.md5(w.encode()).hexdigest()
+                    known[w] = int(digest[:4], 16) % DIMENSIONS, 1 if int(digest[4], 16) < 8 else -1
+                at[i] = known[w]
+            place, sign = at[words.indices.to_numpy()].T
+            v = np.bincount(row * DIMENSIONS + place, sign, len(batch) * DIMENSIONS).reshape(len(batch), DIMENSIONS)
+            norm = np.sqrt((v * v).sum(1))
+            v = v / np.where(norm, norm, 1)[:, None]  # counts of no words at all are whole numbers
+            starts = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * DIMENSIONS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, pa.array(v.ravel()), mask=pa.array(norm == 0))], names=[key, "vector"])
+            if len(known) > KNOWN:
+                known.clear()
 
     keyed = rows.select(F.col(key).cast("long").alias(key), T.tokens(F.col("text")).alias("words"))
     return keyed.mapInArrow(run, f"{key} long, vector array<double>")
@@ -123,44 +207,42 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int, own: bo
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "score")
 
 
+def _filled(ids: pa.Array, vectors: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and vectors, as rows of a matrix filled up with 0 or cut to width; those that are null, empty or hold a null are left out."""
+    starts, values = vectors.offsets.to_numpy(), vectors.values
+    sizes = np.diff(starts)
+    whole = ids.is_valid().to_numpy(zero_copy_only=False) & vectors.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
+    if values.null_count:
+        gaps = np.append(0, np.cumsum(values.is_null().to_numpy(zero_copy_only=False)))
+        whole &= gaps[starts[1:]] == gaps[starts[:-1]]
+    values, x = values.to_numpy(zero_copy_only=False), np.zeros((int(whole.sum()), width))
+    starts, sizes = starts[:-1][whole], np.minimum(sizes[whole], width)
+    row = np.repeat(np.arange(len(x)), sizes)
+    column = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x[row, column] = values[np.repeat(starts, sizes) + column]
+    return ids.filter(pa.array(whole)).to_numpy(zero_copy_only=False).astype(np.int64), x
+
+
 def _scan(queries: pa.Table, vectors: DataFrame, k: int, digits: int, own: bool) -> DataFrame:
-    numbers = queries.column("query").to_numpy()
-    width = max([0, *(len(v) for v in queries.column("vector").to_pylist())])
-    matrix = np.zeros((len(numbers), width))
-    for i, v in enumerate(queries.column("vector").to_pylist()):
-        matrix[i, : len(v)] = v
+    numbers, vector = (queries.column(c).combine_chunks() for c in ("query", "vector"))
+    numbers, matrix = _filled(numbers, vector, int(np.diff(vector.offsets.to_numpy()).max(initial=0)))
     shared = vectors.sparkSession.sparkContext.broadcast((numbers, matrix))  # MATRIX_BYTES, or one query's vector
 
-    def best(q, d, s, ids):
-        """The k first of each query among pairs of places, sorted."""
-        order = np.lexsort((ids, -s, q))
-        q, d, s, ids = q[order], d[order], s[order], ids[order]
-        start = np.flatnonzero(np.diff(q, prepend=-1))
-        keep = np.arange(len(q)) - np.repeat(start, np.diff(np.append(start, len(q)))) < k
-        return q[keep], d[keep], s[keep], ids[keep]
-
     def run(batches):
         names, m = shared.value
-        least = np.full(len(names), -np.inf)
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        kept = Best(len(names), k)
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
-            rows = [(i, v) for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if v and i is not None and None not in v]
-            if not rows or not len(names):
+            ids, x = _filled(batch.column(0), batch.column(1), m.shape[1])
+            if not len(ids) or not len(names):
                 continue
-            ids, x = np.array([i for i, _ in rows], np.int64), np.zeros((len(rows), m.shape[1]))
-            for j, (_, v) in enumerate(rows):
-                x[j, : len(v)] = v[: m.shape[1]]
             s = np.round(m @ x.T, digits)
-            q, d = np.nonzero(s >= least[:, None])
-            some = s[q, d] != 0
-            some[~some] = ((m[q[~some]] != 0) & (x[d[~some]] != 0)).any(1)
-            some &= own | (names[q] != ids[d])
-            q, d = q[some], d[some]
-            held = best(*(np.concatenate(p) for p in zip(held, (q, d, s[q, d], ids[d]), strict=True)))
-            full, count = np.unique(held[0], return_counts=True)
-            full = full[count == k]
-            least[full] = held[2][np.searchsorted(held[0], full, "right") - 1]
-        yield pa.RecordBatch.from_arrays([pa.array(names[held[0]], pa.int64()), pa.array(held[3]), pa.array(held[2])], names=["query", "id", "score"])
+            some = s != 0
+            if not some[kept.least <= 0].all():
+                some |= ((m != 0).astype(np.float32) @ (x != 0).astype(np.float32).T) > 0
+            if not own:
+                some &= names[:, None] != ids
+            kept.add(s, ids, some)
+        yield kept.batch(names)
 
     return vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query long, id long, score double")
 
