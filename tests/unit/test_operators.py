@@ -207,3 +207,16 @@ def test_streams(spark, tmp_path):
     spark.createDataFrame([(1, "a b a")], "doc_id long, text string").write.parquet(texts)
     replay.refresh_index(replay.source(spark, texts), str(tmp_path / "chunks"), str(tmp_path / "post"), str(tmp_path / "cp2")).awaitTermination()
     assert {(r.term, r.tf, r.dl) for r in spark.read.parquet(str(tmp_path / "post")).collect()} == {("a", 2, 3), ("b", 1, 3)}
+
+
+def test_bm25_by_scan_equals_bm25_by_postings(spark, monkeypatch):
+    rows = [(i, " ".join(f"w{(i * j) % 11}" for j in range(1, 2 + i % 7))) for i in range(40)] + [(None, "w1 w2"), (50, ""), (51, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    asked = spark.createDataFrame([(1, "w1 w2 w2"), (2, "w3"), (3, "none"), (4, None), (5, "w0 w5 w7")], "item_id int, text string")
+    whole = docs.where("doc_id < 40")
+    monkeypatch.setattr(retrieval, "MATRIX_BYTES", 200)  # several blocks
+    want = {tuple(r) for r in retrieval.bm25(asked, whole, 6, retrieval.postings(whole)).collect()}
+    assert {tuple(r) for r in retrieval.bm25(asked, whole, 6).collect()} == want and len(want) == 18
+    assert None not in {r.doc_id for r in retrieval.bm25(asked, docs, 50).collect()}
+    for q, d in ((asked, docs.limit(0)), (asked.limit(0), docs)):
+        assert retrieval.bm25(q, d).count() == 0
