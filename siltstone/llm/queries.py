@@ -71,7 +71,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op6_ngram_join, op7_language_id, op8_url_filter, op9_lm_scoring, op10_exact_dedup)}
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.html_extraction import main_texts
+
+    return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "consensus")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.divergence import divergences
+
+    return divergences(spark.read.parquet(f"{sf_dir}/documents.parquet").select("text", "lang", "source"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltstone.llm.conversation_repair import repair_audit
+
+    return repair_audit(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_embedding_dedup, op3_sentencepiece, op4_mixing, op5_warc, op6_ngram_join, op7_language_id, op8_url_filter, op9_lm_scoring, op10_exact_dedup, op11_html_extraction, op12_divergence, op13_conversation_repair)}
 
 _CLOSED = """reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, e.b FROM reach r JOIN edges e ON e.a = r.b), part AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
@@ -95,4 +113,16 @@ SQL = {
         WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT *, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id))
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op12_divergence": """
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS l, coalesce(source, '') AS s, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+        t AS (SELECT id, l, s, unnest(w) AS t FROM d), k AS (SELECT l, t FROM t GROUP BY l, t HAVING count(DISTINCT id) >= 30), g AS (SELECT DISTINCT l, s FROM d),
+        c AS (SELECT l, s, t, count(*) AS c FROM t JOIN k USING (l, t) GROUP BY l, s, t),
+        x AS (SELECT g.l, g.s, k.t, coalesce(c.c, 0)::HUGEINT AS c FROM g JOIN k ON k.l = g.l LEFT JOIN c ON c.l = g.l AND c.s = g.s AND c.t = k.t),
+        p AS (SELECT l, s, t, c, (1 + (1000000000 * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w))::BIGINT AS p FROM x WINDOW w AS (PARTITION BY l, s)),
+        y AS (SELECT l, t, sum(c) AS c FROM x GROUP BY l, t), q AS (SELECT l, t, (1 + (1000000000 * (c + 5)) // (sum(c) OVER w + 5 * count(*) OVER w))::BIGINT AS q FROM y WINDOW w AS (PARTITION BY l)),
+        pairs AS (SELECT a.l, a.s, b.s AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.l = b.l AND a.t = b.t AND a.s <> b.s GROUP BY a.l, a.s, b.s),
+        r AS (SELECT a.l AS lang, a.s AS source, 'pair' AS part, b.s AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON a.l = b.l AND a.s <> b.s LEFT JOIN pairs ON pairs.l = a.l AND pairs.s = a.s AND pairs.item = b.s
+              UNION ALL SELECT p.l, p.s, 'term', p.t, p.p - q.q FROM p JOIN q USING (l, t) WHERE p.c > 0 AND p.p > q.q),
+        z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+        SELECT lang, source, part, item, value, rank::INT AS rank FROM z WHERE part = 'pair' OR rank <= 50""",
 }
