@@ -34,6 +34,8 @@ LEAST, SCALE, SMOOTH, TOP = 30, 1_000_000_000, 5, 50
 #: Counts of a block, about; rows of a batch that a block gives.
 BLOCK = 250_000
 ROWS = 20_000
+#: Languages whose sizes are sent to all tasks; more are joined by language.
+LANGS = 1 << 16
 
 _TERM = np.ones(256, bool)
 _TERM[0x00:0x41] = _TERM[0x5B:0x61] = _TERM[0x7B:0x80] = False
@@ -243,7 +245,8 @@ def divergences(documents: DataFrame) -> DataFrame:
     every = Window.partitionBy("lang", "term")
     counts = term_counts(documents).withColumn("among", F.sum("docs").over(every)).withColumn("nth", F.row_number().over(every.orderBy("source")))
     kept = saved(counts.where(f"among >= {LEAST} or term = X''").select("lang", "source", F.nullif("term", F.lit(b"")).alias("term"), "n", "nth"), f"{path}/kept")
-    langs = kept.groupBy("lang").agg(F.count_if(F.expr("term is not null and nth = 1")).alias("kept"), F.sum("n").alias("all_n"), (1 + F.floor(F.count("term") / BLOCK)).alias("blocks"))
+    langs = saved(kept.groupBy("lang").agg(F.count_if(F.expr("term is not null and nth = 1")).alias("kept"), F.sum("n").alias("all_n"), (1 + F.floor(F.count("term") / BLOCK)).alias("blocks")), f"{path}/langs")
+    langs = F.broadcast(langs) if langs.count() <= LANGS else langs
     groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("n")).join(langs, "lang")
     heads = groups.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("binary").alias("term"), "n", "kept", "all_n")
     rows = kept.where("term is not null").join(langs, "lang").select("lang", F.pmod(F.xxhash64("term"), F.col("blocks")).alias("block"), "source", "term", "n", "kept", "all_n")
