@@ -7,6 +7,7 @@ import contextlib
 import contextvars
 import ctypes
 import functools
+import threading
 import uuid
 
 import numpy as np
@@ -59,16 +60,34 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_writing = threading.Lock()
+_writers: dict[str, tuple[int, str]] = {}
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Arrow batches of ROWS rows at most, while any thread writes here; the last one puts back what the first one found."""
+    conf, name, session = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch", spark._jsparkSession.sessionUUID()
+    with _writing:
+        n, before = _writers.get(session, (0, conf.get(name)))
+        _writers[session] = n + 1, before
+        conf.set(name, str(min(int(before), ROWS)) if int(before) > 0 else str(ROWS))
+    try:
+        yield
+    finally:
+        with _writing:
+            n, before = _writers.pop(session)
+            if n > 1:
+                _writers[session] = n - 1, before
+            else:
+                conf.set(name, before)
+
+
 def saved(df: DataFrame, path: str, large: bool = False) -> DataFrame:
     """Writes df as Parquet and reads it again: lineage ends there and a lost executor loses nothing. large: each row is megabytes, so that
     tasks may read them one by one."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(name)
-    conf.set(name, str(min(int(before), ROWS)) if int(before) > 0 else str(ROWS))
-    try:
+    with _small_batches(df.sparkSession):
         df.write.mode("overwrite").options(compression="zstd", **({"parquet.block.row.count.limit": "1"} if large else {})).parquet(path)
-    finally:
-        conf.set(name, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,14 +1,16 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
-Every task writes one archive of gzip members, a record each, to the shared folder (a temporary name first, then a rename, so a
-task that runs again leaves the same file). The reader streams an archive in blocks. A member that fails (bad deflate data or
+Every task writes one archive of gzip members, a record each, to the shared folder, under a name of its attempt; the manifest names the files of the attempts
+that counted. The reader streams an archive in blocks. A member that fails (bad deflate data or
 CRC, a bad header, a length that does not fit, a payload digest that does not match) is given up at its own start; from the next byte on the
 reader searches for the next gzip member, or the next `WARC/` version line where records are not compressed, that gives a valid
 record, and goes on there. What lies between is logged as a quarantined gap (file, first byte, byte after the last, reason), never dropped in silence.
+A record's length is believed only where a record ends after it, which is looked up in the file before anything is read, so a false one costs no memory.
 
 Nulls: null html is an empty payload, null url leaves the target out, a null page_id goes without its header and comes back null.
 Repeated page_ids are read back row by row; of equal payloads all rows with the smallest page_id are responses. Empty tables
-give no archives and no rows. Other columns are ignored.
+give no archives and no rows. Other columns are ignored. Payloads and urls of any length are held one at a time. Of a damaged header, lengths of other than 1 to 18 ASCII
+digits are a gap, and page ids beyond 64 bits are null.
 """
 
 from __future__ import annotations
@@ -80,20 +82,18 @@ def write_archives(pages: DataFrame, folder: str, least_bytes: int = 0, compress
     def write(batches):
         fs, root = opened(folder)
         fs.create_dir(root, recursive=True)
-        name = f"{root}/part-{TaskContext.get().partitionId():06d}.warc" + ".gz" * compressed
-        aside = f"{name}.{TaskContext.get().taskAttemptId()}.part"
+        name = f"{root}/part-{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}.warc" + ".gz" * compressed
         n = size = 0
         out = None
         for batch in batches:
             for page_id, url, payload, sha1, refers in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers")), strict=True):
                 data = record(page_id, url, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), refers)
                 data = member(data) if compressed else data
-                out = out or fs.open_output_stream(aside, compression=None)
+                out = out or fs.open_output_stream(name, compression=None)
                 out.write(data)
                 n, size = n + 1, size + len(data)
         if out:
             out.close()
-            fs.move(aside, name)
             yield pa.RecordBatch.from_pydict({"file": [name], "records": [n], "bytes": [size]})
 
     return rows.select("page_id", "url", "payload", "sha1", "refers").mapInArrow(write, "file string, records long, bytes long")
@@ -114,6 +114,20 @@ class Window:
         self.data += got
         return bool(got)
 
+    def peek(self, at: int, n: int) -> bytes:
+        """n bytes from `at` on, read past what lies between; fewer at the file's end."""
+        if at + n <= self.start + len(self.data):
+            return bytes(self.data[at - self.start : at - self.start + n])
+        here = self.file.tell()
+        try:
+            self.file.seek(0, 2)
+            if at > self.file.tell():
+                return b""
+            self.file.seek(at)
+            return self.file.read(n)
+        finally:
+            self.file.seek(here)
+
     def drop(self, to: int) -> None:
         if to - self.start >= self.block or to - self.start == len(self.data):
             del self.data[: to - self.start]
@@ -150,7 +164,7 @@ def _parse(data: bytes, exact: bool) -> tuple[dict, bytes, int]:
             raise Bad("bad header line")
         head[k.strip().lower().decode("latin-1")] = v.strip().decode("utf-8", "replace")
     size = head.get("content-length", "")
-    if not size.isdigit():
+    if not re.fullmatch("[0-9]{1,18}", size):
         raise Bad("no content length")
     past = end + 4 + int(size)
     if data[past : past + 4] != b"\r\n\r\n" or exact and len(data) != past + 4:
@@ -183,10 +197,12 @@ def _plain(w: Window, at: int) -> tuple[dict, bytes, int]:
         seen = max(seen, len(w.data) - 3)
         if not w.more():
             raise Bad("file ends within a header")
-    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", bytes(w.data[at - w.start : end + 4]))
+    m = re.search(rb"(?i)\r\ncontent-length:\s*(\d{1,18})\s*\r\n", bytes(w.data[at - w.start : end + 4]))
     if not m:
         raise Bad("no content length")
     need = end + 4 + int(m[1]) + 4
+    if w.peek(w.start + need - 4, 4) != b"\r\n\r\n":
+        raise Bad("length does not fit")
     while len(w.data) < need:
         if not w.more():
             raise Bad("file ends within a record")
@@ -233,7 +249,8 @@ def read_archive(file, block: int = BLOCK) -> Iterator[tuple]:
 
 
 def _number(head: dict, key: str) -> int | None:
-    return int(head[key]) if re.fullmatch(r"-?\d+", head.get(key, "")) else None
+    said = head.get(key, "")
+    return int(said) if re.fullmatch("-?[0-9]{1,19}", said) and -(1 << 63) <= int(said) < 1 << 63 else None
 
 
 def read_archives(files: DataFrame, gaps: bool = False, payloads: bool = True) -> DataFrame:
@@ -243,7 +260,7 @@ def read_archives(files: DataFrame, gaps: bool = False, payloads: bool = True) -
     def rows(names: list[str], out: list, most: int):
         for name in names:
             fs, path = opened(name)
-            with fs.open_input_stream(path, compression=None) as f:
+            with fs.open_input_file(path) as f:
                 size = 0
                 for kind, at, *x in read_archive(f):
                     if gaps:

@@ -85,6 +85,48 @@ def test_salvage(compressed, block):
     assert read(b"") == ([], [])
 
 
+@pytest.mark.parametrize("compressed", [True, False])
+@pytest.mark.parametrize("length", ["²", "9" * 5000, "1" * 19, "-1", "999999999", ""])
+def test_false_lengths_are_gaps(compressed, length):
+    """A length that is no number, too large or beyond the file costs its record alone."""
+    whole = [r for r, _ in records(6, False)]
+    whole[2] = whole[2].replace(b"Content-Length: ", f"Content-Length: {length}".encode() + b"\r\nX-Old: ")
+    data = [warc.member(r) if compressed else r for r in whole]
+    found = list(warc.read_archive(io.BytesIO(b"".join(data)), 512))
+    ends = np.cumsum([0, *map(len, data)]).tolist()
+    assert [f[2]["warc-page-id"] for f in found if f[0] == "record"] == ["0", "1", "3", "4", "5"]
+    assert [f[1:3] for f in found if f[0] == "gap"] == [(ends[2], ends[3])]
+
+
+def test_a_false_length_is_not_read_ahead():
+    """Nothing is buffered for it, however long the archive is."""
+    data = [r for r, _ in records(3, False)] * 700
+    size = sum(map(len, data))
+    data[0] = data[0].replace(b"Content-Length: ", f"Content-Length: {size - 5000}\r\nX-Old: ".encode())
+    most, more = 0, warc.Window.more
+
+    def watched(self):
+        nonlocal most
+        most = max(most, len(self.data))
+        return more(self)
+
+    try:
+        warc.Window.more = watched
+        found = list(warc.read_archive(io.BytesIO(b"".join(data)), 1 << 16))
+    finally:
+        warc.Window.more = more
+    assert sum(f[0] == "record" for f in found) == 2099 and most < 1 << 18 < size
+
+
+def test_ids_beyond_64_bits_are_null(spark):
+    folder = work_dir(spark, "test").removeprefix("file://")
+    os.makedirs(folder)
+    with open(f"{folder}/a.warc", "wb") as f:
+        f.write(warc.record("9" * 25, "u", b"x", warc.digest(b"x")) + warc.record(5, "u", b"x", warc.digest(b"x"), "1" * 30))
+    got = warc.read_archives(spark.createDataFrame([(f"{folder}/a.warc",)], "file string")).collect()
+    assert [(r.page_id, r.refers_to) for r in got] == [(None, None), (5, None)]
+
+
 @pytest.mark.parametrize("compressed", [True, False])
 def test_headers_of_any_length_are_read(spark, compressed):
     """A url of more than 1 MiB stands in its record's header."""
