@@ -2,8 +2,9 @@
 
 One scan writes segments: a row for every document with the SHA-256 of its text without white space, and leads: each distinct text with the
 number of its rows and the best of them. A task holds HELD bytes of distinct texts, compares every row with them by its bytes, and writes a
-lead for each when it lets go of them, so a group of copies is pre-aggregated before any shuffle. Leads of several rows are put together again in
-SALT parts of the tasks before their owner gets them, so no owner reads a text once for each task.
+lead for each when it lets go of them, so a group of copies is pre-aggregated before any shuffle. Leads of several rows, and those of texts that more than SALT leads and a
+share of 1 / HOT of all hold (HOT texts at most, so their hashes are sent to all tasks), are put together again in SALT parts of the tasks before their owner gets
+them, so no owner reads a text once for each task.
 
 The directory is built from counts of distinct keys by prefix: a bucket over capacity splits on its next bit, and the directory doubles when a
 split needs more bits than it has, up to 2**MOST_BITS slots; beyond four distinct keys for each slot and unit of capacity the capacity grows with the number of keys.
@@ -11,7 +12,7 @@ The directory is a table in the shared folder. Owner tasks get whole buckets (ke
 compare bytes, and write the index; the rows find their bucket in the directory and their group in the bucket's part of the index.
 
 Nulls: a null text counts as empty; a null doc_id stays only where all of its group's are null. Of repeated rows (equal
-doc_id and text) exactly one is kept. Empty tables give no rows. Other columns are ignored.
+doc_id and text) exactly one is kept. Texts of any length are held one at a time beside the HELD bytes; ties go by doc_id, then to the row read first. Empty tables give no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from siltstone.llm.common import saved, text_runs, trimmed, work_dir
 
 _WHITE = b" \t\n\x0b\x0c\r"
-#: Bytes of distinct texts that a task holds; parts that the leads of large groups are put together in first; bits of the directory.
+#: Bytes of distinct texts that a task holds; parts that the leads of large groups are put together in first; share of the leads from which a text counts as one; bits of the directory.
 HELD = 8 << 20
 SALT = 64
+HOT = 4096
 MOST_BITS = 18
 _SEGMENT = "sha binary, doc_id long, n_points long, mark long, tag long, text binary, n long, best_points long, best_id long, best_tag long"
 _LEAD = ("sha binary", "text binary", "n long", "best_points long", "best_id long", "best_tag long")
@@ -172,9 +174,13 @@ def build_index(docs: DataFrame, capacity: int = 512, most_bits: int = MOST_BITS
     placed = segments.withColumn("slot", slot(depth)).join(F.broadcast(table), "slot")  # 2**most_bits rows of two numbers at most
 
     names = [c.split()[0] for c in _LEAD]
-    leads = placed.where("n is not null").select("bucket", *names)
-    several = leads.where("n > 1").repartition("bucket", F.expr(f"pmod(shiftright(best_tag, 40), {SALT})")).sortWithinPartitions("sha")
-    leads = leads.where("n = 1").unionByName(several.mapInArrow(_put_together, "bucket int, " + ", ".join(_LEAD)))
+    every = segments.where("n is not null").groupBy("sha").agg(F.count("*").alias("n_leads"))
+    bar = max(SALT, every.agg(F.coalesce(F.sum("n_leads"), F.lit(0))).first()[0] // HOT)
+    hot = saved(every.where(F.col("n_leads") > bar).select("sha", F.lit(True).alias("hot")), f"{path}/hot")
+    leads = placed.where("n is not null").select("bucket", *names).join(F.broadcast(hot), "sha", "left")  # fewer than HOT hashes
+    alone = (F.col("n") == 1) & F.col("hot").isNull()
+    several = leads.where(~alone).drop("hot").repartition("bucket", F.expr(f"pmod(shiftright(best_tag, 40), {SALT})")).sortWithinPartitions("sha")
+    leads = leads.where(alone).drop("hot").select("bucket", *names).unionByName(several.select("bucket", *names).mapInArrow(_put_together, "bucket int, " + ", ".join(_LEAD)))
     index = leads.repartition("bucket").sortWithinPartitions("sha").mapInArrow(_own, _INDEX)
     return placed.where("n is null").select("bucket", "sha", "doc_id", "n_points", "mark", "tag"), saved(index, f"{path}/index")
 

@@ -87,6 +87,34 @@ def test_copies_in_many_batches_reach_their_owner_once_a_task(spark):
     assert made["directory"].select("bucket").distinct().count() > 64
 
 
+def test_a_text_once_in_every_task_is_salted_too(spark):
+    """One copy in each of 200 tasks gives its owner no more than SALT leads."""
+    rows = spark.range(0, 2000, 1, 200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10 == 0, "same text").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"))
+    seen, own = [], exact_dedup._own
+    folder = __import__("tempfile").mkdtemp()
+
+    def counted(batches):
+        import uuid as u
+
+        rows = [r for b in batches for r in b.to_pylist()]
+        with open(f"{folder}/{u.uuid4().hex}", "w") as f:
+            f.write(str(sum(r["text"] == b"sametext" for r in rows)))
+        import pyarrow as pa
+
+        yield from own(iter([pa.RecordBatch.from_pylist(rows)] if rows else []))
+
+    try:
+        exact_dedup._own = counted
+        got = exact_dedup.exact_dedup(rows)
+        assert got.where("group_size = 200 and keep_id = 0").count() == 200 and got.where("group_size = 1 and kept").count() == 1800
+    finally:
+        exact_dedup._own = own
+    import os
+
+    seen = [int(open(f"{folder}/{n}").read()) for n in os.listdir(folder)]
+    assert 0 < max(seen) <= exact_dedup.SALT
+
+
 def test_directory_doubles_only_where_buckets_are_full():
     counts = np.zeros(16, np.int64)
     counts[[0, 1, 2, 8]] = [5, 5, 1, 3]
