@@ -1,24 +1,23 @@
 """The engine as one object over a folder of tables: ingest, ask, report, evaluate, watch.
 
 Chunks are kept in `chunks` (chunk_id, doc_id: the chunk's number for retrieval, text, header, title, url, so_hieu, doc_type, source),
-their words in `postings` (cut by term), questions and answers in `query_log`, refused ones in `error_log`, uploads in `upload_log`. Models stay ports: give
+their words in `index` (operators.segments), questions and answers in `query_log`, refused ones in `error_log`, uploads in `upload_log`. Models stay ports: give
 `retrieve`, `embed`, `rerank`, `judge`, `label`, `rewrite`, `extract` or `generate` to replace the defaults.
 """
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators import answer, chunk, evaluate, logs, retrieval, rules, tables, tools
+from siltstone.operators import answer, chunk, evaluate, logs, retrieval, rules, segments, tables, tools
 from siltstone.sources import readers, sinks
 
-TERM_PARTS = 64
-
 
 class Engine:
     def __init__(
@@ -29,31 +28,55 @@ class Engine:
         where the other isn't to be had), reranked by `rerank` if that is given. extract: see rules.verdicts."""
         self.spark, self.root, self.criteria, self.embed, self.extract = spark, root.rstrip("/"), criteria, embed, extract
         self.retrieve = retrieve or self._stored
+        self.index = segments.Index(spark, f"{self.root}/index")
         self.rerank, self.mode = rerank, mode
 
     def _stored(self, questions: DataFrame, docs: DataFrame, k: int = retrieval.TOP) -> DataFrame:
-        there = sinks.exists(self.spark, f"{self.root}/postings")
-        options = {"embed": self.embed, "index": self.spark.read.parquet(f"{self.root}/postings") if there else None, "mode": self.mode}
+        options = {"embed": self.embed, "index": self.index if self.index.state().generations else None, "mode": self.mode}
         if self.rerank is None:
             return retrieval.hybrid(questions, docs, k, **options)
         return retrieval.hybrid_reranked(questions, docs, k, self.rerank, **options)
 
     # --- documents ---------------------------------------------------------------------------------
 
-    def ingest(self, documents: DataFrame) -> None:
-        """Chunks documents (title, content, url, doc_type, source, so_hieu, ngay_ban_hanh) and writes them by chunk_id; a second time changes nothing."""
+    def _chunked(self, documents: DataFrame) -> DataFrame:
         key = F.coalesce(F.nullif("so_hieu", F.lit("")), F.nullif("url", F.lit("")), "title")
         rows = documents.withColumn("key", key).withColumn("doc_id", F.xxhash64("key"))
         made = chunk.valid(chunk.chunks(rows.select("doc_id", F.col("content").alias("text"))))
         meta = rows.select("doc_id", "key", "title", "url", "doc_type", "source", "so_hieu", "ngay_ban_hanh").dropDuplicates(["doc_id"])
         made = chunk.with_ids(made.join(meta, "doc_id"), "key")
         out = made.select("chunk_id", F.xxhash64("chunk_id").alias("doc_id"), "key", "chunk_index", "text", "header", "clause_count", "char_count", "title", "url", "doc_type", "source", "so_hieu", "ngay_ban_hanh")
-        sinks.save_new(out.dropDuplicates(["chunk_id"]), f"{self.root}/chunks", "chunk_id")
-        known = self.spark.read.parquet(f"{self.root}/postings").select("doc_id").distinct() if sinks.exists(self.spark, f"{self.root}/postings") else None
-        fresh = self.chunks().select("doc_id", "text")
-        words = retrieval.postings(fresh.join(known, "doc_id", "left_anti") if known is not None else fresh)
-        part = F.pmod(F.xxhash64("term"), F.lit(TERM_PARTS)).cast("int")
-        words.withColumn("part", part).repartition("part").sortWithinPartitions("term").write.mode("append").partitionBy("part").parquet(f"{self.root}/postings")
+        return tables.cut(out.dropDuplicates(["chunk_id"]))
+
+    def ingest(self, documents: DataFrame, batch: str | None = None) -> None:
+        """Chunks documents (title, content, url, doc_type, source, so_hieu, ngay_ban_hanh) and writes them by chunk_id; a second time changes nothing. batch: a
+        name under which the index takes them once."""
+        made = self._chunked(documents)
+        sinks.save_new(made, f"{self.root}/chunks", "chunk_id")
+        self.index.apply(batch or uuid.uuid4().hex, made.select("doc_id", "text"), new_only=True)
+
+    def replace(self, documents: DataFrame, batch: str | None = None) -> None:
+        """Documents in the place of those with their keys: chunks that are no longer there go, from the index first, so that a call that broke off can be made again."""
+        made = self._chunked(documents)
+        keys = documents.select(F.coalesce(F.nullif("so_hieu", F.lit("")), F.nullif("url", F.lit("")), "title").alias("key")).distinct()
+        self._changed(self.chunks().join(keys, "key", "left_semi").join(made.select("chunk_id"), "chunk_id", "left_anti"), made, batch)
+
+    def delete(self, keys: DataFrame, batch: str | None = None) -> None:
+        """Takes the documents with these keys (key) out."""
+        self._changed(self.chunks().join(keys.select("key").distinct(), "key", "left_semi"), None, batch)
+
+    def _changed(self, gone: DataFrame, made: DataFrame | None, batch: str | None) -> None:
+        gone = tables.cut(gone.select("doc_id", "chunk_id"))
+        self.index.apply(batch or uuid.uuid4().hex, None if made is None else made.select("doc_id", "text"), gone.select("doc_id"))
+        rows = self.chunks().join(gone.select("chunk_id"), "chunk_id", "left_anti")
+        if made is not None:
+            rows = rows.unionByName(tables.new_rows(made, rows, "chunk_id"))
+        sinks.replaced(rows, f"{self.root}/chunks")
+
+    def follow(self, stream: DataFrame, checkpoint: str):
+        """Ingests the documents of a stream as they come, each batch once."""
+        put = lambda batch, number: self.ingest(batch, f"{checkpoint}:{number}")
+        return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
 
     def upload(self, files: DataFrame, most: int = readers.PDF_MOST) -> DataFrame:
         """Ingests PDF uploads (filename, mime, length, content) that are let in, logs all of them, and gives (filename, refusal)."""
@@ -81,7 +104,7 @@ class Engine:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         fs = p(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         fs.delete(p(f"{self.root}/chunks"), True)
-        fs.delete(p(f"{self.root}/postings"), True)
+        fs.delete(p(f"{self.root}/index"), True)
         fs.rename(p(f"{self.root}/chunks.empty"), p(f"{self.root}/chunks"))
 
     # --- questions -----------------------------------------------------------------------------------

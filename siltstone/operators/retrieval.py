@@ -3,8 +3,8 @@
 Questions are (item_id, text), the corpus (doc_id, text). Results are (item_id, doc_id, rank, score); texts are joined last, for the
 rows that are left. Scores are rounded to SCORE_DIGITS before ranking, so that equal texts tie, and ties go to the smaller doc_id.
 
-Models are ports: `embed` gives (key, vector) of (key, text) rows, `rerank` ranks candidates as `reranked` does. The index of words (`postings`) may be
-a stored table; without one it is made of the corpus.
+Models are ports: `embed` gives (key, vector) of (key, text) rows, `rerank` ranks candidates as `reranked` does. The index of words may be
+a stored one (operators.segments); without one the corpus is scanned.
 """
 
 from __future__ import annotations
@@ -61,10 +61,12 @@ def postings(docs: DataFrame) -> DataFrame:
     return words.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(questions: DataFrame, docs: DataFrame, k: int = POOL, index: DataFrame | None = None) -> DataFrame:
+def bm25(questions: DataFrame, docs: DataFrame, k: int = POOL, index=None) -> DataFrame:
     """Okapi scores over distinct question words (rows without a number take part in the counts only). One scan counts the documents of those words, another scores whole documents where they lie: a
-    task keeps k rows a question, and only those are shuffled. Of a stored index (postings, best cut by term) only the rows of those words
-    are joined, and texts aren't read at all."""
+    task keeps k rows a question, and only those are shuffled. index: a stored one (operators.segments.Index), which is asked instead and reads the parts of those
+    words only; or postings as rows, of which all are read."""
+    if index is not None and not isinstance(index, DataFrame):
+        return index.search(questions, k)
     asked = questions.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     terms = asked.select("term").distinct()
     if index is None:
@@ -284,7 +286,7 @@ def fused(lists: list[DataFrame], k: int = POOL) -> DataFrame:
     return top(both.groupBy("item_id", "doc_id").agg(F.sum(1.0 / (RRF + F.col("rank"))).alias("score")), k, 12)
 
 
-def hybrid(questions: DataFrame, docs: DataFrame, k: int = TOP, pool: int = POOL, embed: Callable = embedded, index: DataFrame | None = None, mode: str = "hybrid") -> DataFrame:
+def hybrid(questions: DataFrame, docs: DataFrame, k: int = TOP, pool: int = POOL, embed: Callable = embedded, index=None, mode: str = "hybrid") -> DataFrame:
     """mode: hybrid fuses both lists; dense and bm25 degrade to one of them, for a store without words or without vectors."""
     if mode == "dense":
         return dense(questions, docs, k, embed)

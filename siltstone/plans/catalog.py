@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -72,6 +71,20 @@ def bm25_top5(spark, d):
     return retrieval.bm25(*_asked(spark, d), 5)
 
 
+@query(_ranked("bm25", 5))
+def bm25_index_top5(spark, d):
+    """The same from a stored index that took in every document with other words first, and two of each, then the right ones, while the second ones went."""
+    from siltstone.operators.segments import Index
+    from siltstone.sources.shared import scratch
+
+    questions, docs = _asked(spark, d)
+    index = Index(spark, scratch(spark, "index"))
+    second = docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    index.apply("first", docs.select("doc_id", F.concat(F.lit("other "), "text").alias("text")).unionByName(second))
+    index.apply("second", docs.select("doc_id", "text"), second.select("doc_id"))
+    return index.search(questions, 5)
+
+
 @query(_ranked("dense", 5))
 def dense_top5(spark, d):
     return retrieval.dense(*_asked(spark, d), 5)
@@ -158,14 +171,13 @@ def metadata_top1(spark, d):
 
 @query()
 def knn_index_top5(spark, d):
-    """The same from the index of cells, approximately."""
+    """The same from the index of cells and codes, approximately."""
     from siltstone.operators import ann
-    from siltstone.sources.shared import shared_dir
+    from siltstone.sources.shared import scratch
 
     v = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    path = f"{shared_dir(spark)}/knn-index-{uuid.uuid4().hex}"
-    c = ann.build(v, path)
-    return ann.search(v.where("id % 100 = 0").withColumnRenamed("id", "query"), spark.read.parquet(path), c).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score", "rank")
+    index = ann.build(v, scratch(spark, "knn-index"))
+    return index.search(v.where("id % 100 = 0").withColumnRenamed("id", "query")).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "score", "rank")
 
 
 @query("""SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -20,3 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     if context.applicationId not in _own:
         _own[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="siltstone-")
     return _own[context.applicationId]
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one, removed when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(removed, spark, path)
+    return path
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder; one that stays because the JVM is gone does no harm."""
+    with contextlib.suppress(Exception):
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

@@ -30,7 +30,13 @@ def upsert(rows: DataFrame, path: str, key: str, version: str) -> None:
     spark = rows.sparkSession
     recover(spark, path)
     base = spark.read.parquet(path) if exists(spark, path) else rows.limit(0)
-    tables.upserted(base, rows, key, version).write.mode("overwrite").parquet(path + ".next")
+    replaced(tables.upserted(base, rows, key, version), path)
+
+
+def replaced(rows: DataFrame, path: str) -> None:
+    """Writes rows, which may be made of the table itself, in its place; a crash between leaves one of both whole (recover)."""
+    spark = rows.sparkSession
+    rows.write.mode("overwrite").parquet(path + ".next")
     if exists(spark, path):
         _move(spark, path, path + ".old")
     _move(spark, path + ".next", path)

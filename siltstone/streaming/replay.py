@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siltstone.sources.shared import shared_dir
+from siltstone.sources.shared import scratch
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """A new folder for a stream's state below the shared one."""
-    return f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+def stateful(spark: SparkSession, by_events: bool = False) -> SparkSession:
+    """A session with the same settings, but that its streams keep their state in RocksDB, as transformWithState needs; the settings of spark stay as they are.
+    Streams by the machine's time run batches with rows only (they would never end otherwise, as a timer may always be due); those by the time of events run one more for the timers."""
+    session = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(by_events).lower())
+    return session
 
 
 def source(spark: SparkSession, path: str, files: int = 16) -> DataFrame:
@@ -26,8 +29,8 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
 
 
 def replayed(spark: SparkSession, path: str, plan: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
-    """plan over the stream of a stored table, to its end. complete: the last result; append: all rows that came out."""
-    folder = checkpoint_dir(spark)
+    """plan over the stream of a stored table, to its end. complete: the last result; append: all rows that came out. What it writes is removed when the driver ends."""
+    folder = scratch(spark, "stream")
     out = f"{folder}/out"
     stream = plan(source(spark, path))
 
@@ -44,12 +47,15 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
 
 
-def refresh_index(stream: DataFrame, chunks_path: str, postings_path: str, checkpoint: str):
-    """Appends new chunks and their postings as documents come in; statistics are aggregates over postings."""
-    from siltstone.operators.retrieval import postings
+def refresh_index(stream: DataFrame, path: str, checkpoint: str):
+    """Takes the documents (doc_id, text) of a stream into the stored index at path as they come (operators.segments). A row with deleted, if there is such a column,
+    takes its document out. A batch that runs again after a crash changes nothing: its name, of the checkpoint and its number, is in the index's ledger."""
+    from siltstone.operators.segments import Index
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{chunks_path}/batch={number}")
-        postings(batch).write.mode("overwrite").parquet(f"{postings_path}/batch={number}")
+        index, gone = Index(batch.sparkSession, path), None
+        if "deleted" in batch.columns:
+            gone, batch = batch.where("deleted").select("doc_id"), batch.where("not coalesce(deleted, false)")
+        index.apply(f"{checkpoint}:{number}", batch.select("doc_id", "text"), gone)
 
     return stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
