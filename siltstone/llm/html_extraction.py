@@ -3,7 +3,7 @@
 Three passes over pages, none of which moves their html: every page scores its containers (text without links, a share of what is nested, more for elements that
 say they hold an article) and gives its best one's path a vote; votes are added up by host and path, and a path that at least SHARE of a host's pages and two
 of them vote for wins; then each page is read again and its text taken from the most voted winning path that it has, in all places where it has it,
-or from its own best container where it has none. A path is the tags from the body down, those of containers alone, with their classes, digits made 0,
+or from its own best container where it has none (the whole body, which every page has, counts only where it is that). A path is the tags from the body down, those of containers alone, with their classes, digits made 0,
 so pages of one template share it. A host has at most 1 / SHARE winning paths, kept as 64-bit keys; the table of winners is measured, sent to all tasks
 up to BROADCAST bytes and joined by host beyond that, each host in SALT parts.
 
@@ -48,12 +48,14 @@ HIDDEN_ROLES = frozenset("navigation banner contentinfo complementary search for
 #: Words of classes and ids that name what is no article, as the first or last word of a name.
 OTHER = frozenset(
     """ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promoted promotion banner banners outbrain taboola
-    cookie cookies consent gdpr notice notices alert alerts popup modal overlay newsletter subscribe subscription signup login paywall
+    cookie cookies consent gdpr notice notices notification notifications announcement alert alerts popup modal overlay toast copyright newsletter subscribe subscription signup login paywall
     sidebar sidebars aside rail menu menus nav navbar navigation breadcrumb breadcrumbs crumbs pagination pager toolbar topbar skip search
     header masthead footer colophon comment comments disqus respond replies reply share sharing social follow related recommended recommendations widget widgets trending""".split()
 )
 #: Words that turn it round: the name tells how a page is laid out.
 LAYOUT_FIRST, LAYOUT_LAST = frozenset("no has with without".split()), frozenset("layout fixed open closed enabled page wrapper".split())
+#: The same for names written in one word.
+JOINED = re.compile(r"(?:cookie|advert|newsletter|sponsor|sidebar)[a-z]+|[a-z]+(?:nav|menu|footer|sidebar|banner|comments)|ads?(?:box|slot|unit|block|space|frame|wrap)")
 ARTICLE = frozenset("article content post entry story main body text".split())
 _ENDS = {"li": ("li", "ul ol menu".split()), "dd": ("dd dt", ["dl"]), "dt": ("dd dt", ["dl"]), "tr": ("tr", ["table"]), "td": ("td th", "tr table".split()), "th": ("td th", "tr table".split()), "option": ("option", ["select"])}
 ENDS = {k: (frozenset(a.split()), frozenset(b)) for k, (a, b) in _ENDS.items()}
@@ -76,7 +78,7 @@ def _is_other(names: list[str]) -> bool:
     """Whether any class or id names what is no article."""
     for name in names:
         words = [w.lower() for w in _WORD.findall(name)]
-        if words and words[0] not in LAYOUT_FIRST and words[-1] not in LAYOUT_LAST and (words[0] in OTHER or words[-1] in OTHER):
+        if words and words[0] not in LAYOUT_FIRST and words[-1] not in LAYOUT_LAST and (words[0] in OTHER or words[-1] in OTHER or any(JOINED.fullmatch(w) for w in words)):
             return True
     return False
 
@@ -271,7 +273,7 @@ class Page:
         own = self.best()
         if own is None:
             return "", False
-        there = {k - (1 << 63) for k in self.keys}
+        there = {k - (1 << 63) for k in (self.keys if own == 0 else self.keys[1:])}  # every page has a body
         for key in winners:
             if key in there and (text := self.text(key)):
                 return text, True
