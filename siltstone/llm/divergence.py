@@ -4,7 +4,7 @@ Terms are found at the level of bytes: a lookup table over the concatenated UTF-
 the terms' ends. Slices are grouped by their xxHash, and every slice is compared with the first of its group byte by byte (those that differ get
 a group by their bytes). A slice gives one row for each (lang, source, term), which Spark adds up, map side first.
 
-Kept terms and their counts are written to the shared folder. Each language is cut into blocks of terms, about BLOCK counts each, by a hash of the term; a block
+Kept terms and their counts are written to the shared folder. Each language is cut into blocks of terms, about BLOCK counts each (LARGE at most where it has many sources), by a hash of the term; a block
 holds all sources' counts of its terms as a CSR matrix, and the numbers of all sources. A block's part of a pair's divergence is a sum over the counts of one source's row (reduceat),
 set against the other's as a dense vector, plus what the terms cost that the one lacks, from sorted shares and their running sums; Spark adds the parts of all blocks.
 No pair of sources is joined, and one source, language or term that holds most rows is many tasks' work. Shares are found by long division in steps of
@@ -31,8 +31,9 @@ from siltstone.llm.common import SLICE, saved, text_places, trimmed, work_dir
 
 #: Documents that a term needs in its language, scale and smoothing of shares, terms of a group that are reported.
 LEAST, SCALE, SMOOTH, TOP = 30, 1_000_000_000, 5, 50
-#: Counts of a block, about; rows of a batch that a block gives.
-BLOCK = 250_000
+#: Counts of a block, about, and of a block of a language with very many sources: as many as pairs of sources, so that the parts of pairs are no more than the counts; rows of a batch
+#: that a block gives.
+BLOCK, LARGE = 32_768, 1 << 20
 ROWS = 20_000
 #: Languages whose sizes are sent to all tasks; more are joined by language.
 LANGS = 1 << 16
@@ -245,7 +246,9 @@ def divergences(documents: DataFrame) -> DataFrame:
     every = Window.partitionBy("lang", "term")
     counts = term_counts(documents).withColumn("among", F.sum("docs").over(every)).withColumn("nth", F.row_number().over(every.orderBy("source")))
     kept = saved(counts.where(f"among >= {LEAST} or term = X''").select("lang", "source", F.nullif("term", F.lit(b"")).alias("term"), "n", "nth"), f"{path}/kept")
-    langs = saved(kept.groupBy("lang").agg(F.count_if(F.expr("term is not null and nth = 1")).alias("kept"), F.sum("n").alias("all_n"), (1 + F.floor(F.count("term") / BLOCK)).alias("blocks")), f"{path}/langs")
+    sources = F.count_if(F.col("term").isNull())
+    blocks = 1 + F.floor(F.count("term") / F.least(F.greatest(F.lit(BLOCK), sources * sources), F.lit(LARGE)))
+    langs = saved(kept.groupBy("lang").agg(F.count_if(F.expr("term is not null and nth = 1")).alias("kept"), F.sum("n").alias("all_n"), blocks.alias("blocks")), f"{path}/langs")
     langs = F.broadcast(langs) if langs.count() <= LANGS else langs
     groups = kept.groupBy("lang", "source").agg(F.sum("n").alias("n")).join(langs, "lang")
     heads = groups.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.lit(None).cast("binary").alias("term"), "n", "kept", "all_n")

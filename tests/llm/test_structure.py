@@ -28,6 +28,7 @@ RICH_TEXT = ["Title & more", "First bold text line", "Second <p> link here.", "o
     [
         (RICH, "\n\n".join(RICH_TEXT)), ("", ""), ("plain &eacute; text", "plain é text"), ("<p", ""), ("a < b", "a < b"), ("<!-- x", ""), ("<div><p>x", "x"), ("</br><main><p>first</p></br><p>second</p></main>", "first\n\nsecond"),
         ("<article><header><h1>A</h1>by</header><p>t</article>", "A\n\nt"), ("<form><p>only</p></form>", "only"), ('<a href="a>b">q</a> r', "q r"), ("<p>a<!-->b</p>", "ab"), ("<script>x", ""), ("<ul><li><a>m</a><li><a>n</a></ul><p>t</p>", "t"), ("<p>&#x1F600;&amp;amp;</p>", "😀&amp;"),
+        ("<div class='topnav'>n</div><p>t</p><div class='adBox'>x</div><div class='adslot'>y</div><p class='cookiebar'>z", "t"), ("<P CLASS='no-sidebar'>a<DIV class=commentary>b", "a\n\nb"), ("<div hidden>x</div><p style='Display: None'>y<p role=alert>z<p>t", "t"),
     ],
 )
 def test_text_of_a_page(html, text):
@@ -61,6 +62,13 @@ def test_a_hosts_pages_agree(spark, monkeypatch):
     assert [(r.path, r.votes) for r in html_extraction.host_paths(pages).collect()] == [("body>div.x", 9)]
 
 
+def test_a_body_that_wins_is_not_every_pages(spark):
+    """Pages of a host that are one column vote for the body; a page with a content column keeps to that."""
+    rows = [(i, f"http://h/{i}", "<body><p>plain text</p></body>") for i in range(5)] + [(5, "http://h/5", "<div class=content><p>long content text</p></div><div class=x><p>aside</p></div>")]
+    got = {r.page_id: (r.text, r.consensus) for r in html_extraction.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("plain text", True) and got[5] == ("long content text", False)
+
+
 def test_given_pages(spark):
     """The article of the given pages, by plain patterns."""
     from html import unescape
@@ -114,7 +122,8 @@ def test_divergences_against_brute_force(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "text string, lang string, source string, value int")
     want = brute_divergences(rows)
     assert {tuple(r) for r in divergence.divergences(docs).collect()} == want
-    monkeypatch.setattr(divergence, "BLOCK", 40)  # many blocks of terms
+    monkeypatch.setattr(divergence, "BLOCK", 1)  # many blocks of terms
+    monkeypatch.setattr(divergence, "LARGE", 40)
     got = divergence.divergences(docs.repartition(3)).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
     assert divergence.divergences(docs.limit(0)).count() == 0
