@@ -30,6 +30,7 @@ from siltstone.llm.common import Links, components, saved, work_dir
 THRESHOLD = 0.93
 BLOCK = 1024
 LEADING = 8
+FANIN = 16
 LEAF = 128
 FANOUT_BITS = 3
 TILE_BITS = 2
@@ -56,7 +57,7 @@ def _prepared(batches):
 
 
 def _moments(batches):
-    """Second moments by dimension (d * d numbers), of the vectors or of other moments: tasks' sums, added up again in one task."""
+    """Second moments by dimension (d * d numbers), of the vectors or of other moments: tasks' sums."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         dims = np.array(batch.column("dim").to_pylist())
@@ -72,9 +73,12 @@ def _moments(batches):
 
 
 def principal(classes: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension the rotation whose first columns are the leading principal directions."""
-    kind = "dim int, moments binary"
-    total = classes.select("dim", "unit").mapInArrow(_moments, kind).repartition(1).mapInArrow(_moments, kind)
+    """For each dimension the rotation whose first columns are the leading principal directions. Tasks' moments are added up in levels, FANIN of them in a task."""
+    kind, rows = "dim int, moments binary", classes.select("dim", "unit")
+    total, n = rows.mapInArrow(_moments, kind), rows.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // FANIN)
+        total = total.repartition(n).mapInArrow(_moments, kind)
     out = {}
     for r in total.collect():  # d * d numbers a dimension
         d = r["dim"]
