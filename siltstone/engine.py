@@ -201,9 +201,10 @@ class Engine:
 
     # --- quality and health ---------------------------------------------------------------------------
 
-    def evaluate(self, items: DataFrame, strategies=tuple(retrieval.STRATEGIES), generate: Callable | None = None, cache: str | None = None) -> DataFrame:
+    def evaluate(self, items: DataFrame, strategies=tuple(retrieval.STRATEGIES), generate: Callable | None = None, cache: str | None = None, judge: Callable | None = None) -> DataFrame:
         """(strategy, n_items, hit_rate, mrr, avg_chunks, items_with_context) of items (item_id, question, truth); those outside the corpus don't count. With
-        generate also token_f1 and semantic of its answers, which are kept in the folder cache and taken from there when the same questions come again."""
+        generate also token_f1 and semantic of its answers, which are kept in the folder cache and taken from there when the same questions come again. With judge, a port that
+        gives evaluate.JUDGED of (item_id, question, answer, contexts, truth) rows with any context, also their means over the rows scored, and passed: whether the targets are reached."""
         docs = self.chunks().select("doc_id", "text")
         kept = items.where(~T.is_out_of_corpus(F.col("truth")))
         q = kept.select("item_id", F.col("question").alias("text"))
@@ -221,6 +222,8 @@ class Engine:
                 if cache:
                     sinks.cache_answers(answers, cache, name, q)
             row = evaluate.correctness(answers.join(kept.select("item_id", "truth"), "item_id"), self.embed).select(F.lit(name).alias("strategy"), "token_f1", "semantic")
+            if judge is not None:
+                row = row.join(sinks.judge_report(evaluate.judged(answers, kept, found.where(F.col("strategy") == name), docs, judge)).withColumn("strategy", F.lit(name)), "strategy")
             scores = row if scores is None else scores.unionByName(row)
         return out.join(scores, "strategy")
 

@@ -362,6 +362,21 @@ def short_timestamp(stamp: Column) -> Column:
     return F.regexp_replace(F.substring(stamp, 1, 19), r"(?s)^([^T-]*)-([^T-]*)-([^T-]*)T([^T]*)\z", "$3/$2 $4")
 
 
+def shown_lines(text: Column, width: int = 90) -> Column:
+    """An answer's lines as the history shows them: blank ones left out, each filled with its words up to width; a word that is longer goes in pieces of width."""
+    pieces = lambda w: F.filter(F.split(F.regexp_replace(w, f"(?s)(.{{{width}}})", "$1\n"), "\n"), lambda x: x != "")
+
+    def filled(line: Column) -> Column:
+        words = F.flatten(F.transform(F.filter(F.split(line, "(?U)\\s+"), lambda w: w != ""), pieces))
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("line"))
+        fits = lambda a, w: F.length(a["line"]) + 1 + F.length(w) <= width
+        put = lambda a, w: F.when(a["line"] == "", F.struct(a["done"].alias("done"), w.alias("line"))).when(fits(a, w), F.struct(a["done"].alias("done"), F.concat(a["line"], F.lit(" "), w).alias("line"))).otherwise(F.struct(F.array_append(a["done"], a["line"]).alias("done"), w.alias("line")))
+        return F.aggregate(words, start, put, lambda a: F.array_append(a["done"], a["line"]))
+
+    lines = F.filter(F.split(text, r"\r\n|[\n\r\u000B\u000C\u001C-\u001E\u0085\u2028\u2029]"), lambda x: x.rlike(r"(?U)\S"))
+    return F.flatten(F.transform(lines, filled))
+
+
 def public_metadata(metadata: Column, internal=()) -> Column:
     """A map without keys that begin with an underscore and those in internal; null counts as empty."""
     kept = F.map_filter(metadata, lambda k, v: ~k.startswith("_") & ~k.isin(*internal))

@@ -11,6 +11,8 @@ from siltstone.functions import text as T
 from siltstone.operators.retrieval import cosine, embedded
 
 RELEVANT = 0.15
+#: What a judge scores an answer by.
+JUDGED = ("faithfulness", "answer_relevancy", "context_recall", "context_precision")
 #: (name, from, to): deltas that the report holds.
 DELTAS = (("dense_vs_bm25", "bm25_only", "dense_only"), ("hybrid_vs_dense", "dense_only", "hybrid"), ("rerank_vs_hybrid", "hybrid", "hybrid_rerank"), ("rerank_vs_dense", "dense_only", "hybrid_rerank"))
 
@@ -44,6 +46,14 @@ def judge_means(judged: DataFrame, metrics: list[str]) -> DataFrame:
     return judged.agg(*(F.coalesce(F.round(F.avg(scored(m)), 4), F.lit(float("nan"))).alias(m) for m in metrics))
 
 
+def judged(answers: DataFrame, items: DataFrame, found: DataFrame, docs: DataFrame, judge: Callable) -> DataFrame:
+    """judge_means of what a judge says of (item_id, answer) rows: it gets (item_id, question, answer, contexts, truth) of those with any context, contexts in the order of
+    their ranks (TOP of them at most), and gives (item_id, JUDGED...), null or NaN where it has no score."""
+    texts = found.join(docs.select("doc_id", "text"), "doc_id").groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))
+    rows = answers.select("item_id", "answer").join(items.select("item_id", "question", "truth"), "item_id").join(texts, "item_id", "left")
+    return judge_means(judge(with_context(rows.select("item_id", "question", "answer", "contexts", "truth"))), list(JUDGED))
+
+
 def deltas(metrics: DataFrame, value: str, by: str = "strategy") -> DataFrame:
     """(delta, pct): percent from one strategy to another; null where either is missing or 0."""
     at = lambda s: F.max(F.when(F.col(by) == s, F.col(value)))

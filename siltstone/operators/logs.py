@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.operators import tables
+
 ERROR = "error"
 
 
@@ -35,33 +39,122 @@ def rate_limited(events: DataFrame, most: int = 10, seconds: int = 60, key: str
     return counted.withColumn("limited", F.col("recent") > most)
 
 
-def admitted(events: DataFrame, most: int = 10, seconds: int = 61, failures: int = 3, key: str = "user_id", pairs: int = 1) -> DataFrame:
+class _Calls:
+    """Where the calls of a key stand: each pair's times let through within the window, its failed calls on end, and whose turn it is."""
+
+    def __init__(self, most: int, seconds: int, failures: int, state: tuple):
+        self.most, self.width, self.failures = most, seconds * 1_000_000, failures
+        self.failed, self.cursor = list(state[:-1]), state[-1]
+        self.windows: list[list[int]] = [[] for _ in self.failed]
+
+    def state(self) -> tuple:
+        """What outlives a gap of the window's length."""
+        return (*self.failed, self.cursor)
+
+    def call(self, at: int, bad: bool) -> tuple:
+        """(pair, recent, failed_run) of a call."""
+        live = [p for p, n in enumerate(self.failed) if n < self.failures]
+        for p in (live[(self.cursor + i) % len(live)] for i in range(len(live))):
+            window = self.windows[p] = [t for t in self.windows[p] if t > at - self.width]
+            if len(window) < self.most:
+                window.append(at)
+                self.cursor = (live.index(p) + 1) % len(live)
+                self.failed[p] = self.failed[p] + 1 if bad else 0
+                return p, len(window), self.failed[p]
+        return None, None, None
+
+
+def _chunks(rows: DataFrame, seconds: int, size: int) -> DataFrame:
+    """(k, bin, chunk, chunks): chunks of about `size` calls that begin where no call was for `seconds`. Calls are counted by bins of that length first, so a key is as many rows as there are bins in its time."""
+    bins = rows.groupBy("k", "bin").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    order = Window.partitionBy("k").orderBy("bin")
+    starts = F.coalesce(F.col("first") - F.lag("last").over(order) >= seconds * 1_000_000, F.lit(True))
+    counted = bins.withColumn("starts", starts).withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    begun = F.max(F.when(F.col("starts"), F.col("before"))).over(order)  # calls before the stretch that a bin is in
+    return counted.select("k", "bin", F.floor(begun / size).alias("chunk")).withColumn("chunks", F.max("chunk").over(Window.partitionBy("k")) + 1)
+
+
+def admitted(events: DataFrame, most: int = 10, seconds: int = 61, failures: int = 3, key: str = "user_id", pairs: int = 1, chunk: int = 100_000, states: int = 256) -> DataFrame:
     """(event_id, pair, recent, failed_run): calls let through by a round robin over `pairs` of a key, in the order of ts and event_id. A pair takes
     a call when it isn't dead and has fewer than `most` calls let through in the last seconds; pair is its number, null where none takes it (a
     refused call fills no window). recent counts the window's calls with this one, failed_run a pair's failed calls on end; from
-    `failures` on it is dead. The rows of a key come to one task in order, which holds `most` times for each pair and no rows."""
+    `failures` on it is dead.
+
+    A key's calls are cut where none came for `seconds`, as no window outlives that, into chunks of about `chunk` calls, each a task's work. What does outlive it are few states (failed calls of each pair, whose
+    turn): a first pass runs the chunks of keys that have several from every such state, which soon fall together; the states are handed on from chunk to chunk; a second pass runs all chunks from the right one. A task
+    holds `most` times for each pair and state, and no rows. Keys are counted first: where all are small, one pass is enough. Where pairs have more than `states` states, or calls leave no such gap, a key's calls are one chunk."""
+    start = (*[0] * pairs, 0)
+    every = list(itertools.product(*[range(failures + 1)] * pairs, range(pairs))) if (failures + 1) ** pairs * pairs <= states else []
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = events.select(F.col(key).alias("k"), F.col("event_id").cast("long").alias("event_id"), at.alias("at"), F.coalesce(F.col("event_type") == ERROR, F.lit(False)).alias("bad"), F.floor(at / (seconds * 1_000_000)).alias("bin"))
+    kind = rows.schema["k"].dataType.simpleString()
+    if every and (rows.groupBy("k").count().agg(F.max("count")).first()[0] or 0) <= chunk:
+        every = []  # no key has several chunks
+    if every:
+        rows = tables.cut(rows.alias("r").join(_chunks(rows, seconds, chunk).alias("c"), F.expr("r.k <=> c.k and r.bin <=> c.bin")).select("r.k", "event_id", "at", "bad", "chunk", "chunks"))
+    else:
+        rows = rows.select("k", "event_id", "at", "bad", F.lit(0).cast("long").alias("chunk"), F.lit(1).cast("long").alias("chunks"))
+
+    def passed(batches):
+        """From each state that a chunk may begin in, the one it ends in."""
+        last, runs, before = None, [], None
+
+        def ended():
+            to = [0] * len(every)
+            for calls, starts in runs:
+                for i in starts:
+                    to[i] = every.index(calls.state())
+            return pa.RecordBatch.from_arrays([pa.array([last[0]], type_), pa.array([last[1]], pa.int64()), pa.array([to], pa.list_(pa.int32()))], names=["k", "chunk", "to"])
+
+        for batch in batches:
+            type_ = batch.schema.field("k").type
+            for k, n, t, bad in zip(*(batch.column(c).to_pylist() for c in ("k", "chunk", "at", "bad")), strict=True):
+                if (k, n) != last:
+                    if runs:
+                        yield ended()
+                    last, before, runs = (k, n), None, [(_Calls(most, seconds, failures, s), [i]) for i, s in enumerate(every)]
+                if before is not None and t - before >= seconds * 1_000_000 and len(runs) > 1:
+                    alike: dict[tuple, tuple] = {}
+                    for calls, starts in runs:
+                        alike.setdefault(calls.state(), (calls, []))[1].extend(starts)
+                    runs = list(alike.values())
+                for calls, _ in runs:
+                    calls.call(t, bad)
+                before = t
+        if runs:
+            yield ended()
+
+    def handed_on(batches):
+        last, state = None, start
+        for batch in batches:
+            out = []
+            for k, n, to in zip(*(batch.column(c).to_pylist() for c in ("k", "chunk", "to")), strict=True):
+                state = start if (k,) != last else state
+                last = (k,)
+                out.append(list(state))
+                state = every[to[every.index(tuple(state))]]
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("chunk"), pa.array(out, pa.list_(pa.int32()))], names=["k", "chunk", "state"])
 
     def run(batches):
-        last, windows, failed, cursor = object(), [], [], 0
+        last, calls = None, None
         for batch in batches:
             out = []
-            for k, event, at, bad in zip(*(batch.column(c).to_pylist() for c in ("k", "event_id", "at", "bad")), strict=True):
-                if k != last:
-                    last, windows, failed, cursor = k, [[] for _ in range(pairs)], [0] * pairs, 0
-                live, taken = [p for p in range(pairs) if failed[p] < failures], None
-                for p in (live[(cursor + i) % len(live)] for i in range(len(live))):
-                    windows[p] = [t for t in windows[p] if t > at - seconds * 1_000_000]
-                    if len(windows[p]) < most:
-                        windows[p].append(at)
-                        cursor, taken = (live.index(p) + 1) % len(live), p
-                        failed[p] = failed[p] + 1 if bad else 0
-                        break
-                out.append((event, taken, None if taken is None else len(windows[taken]), None if taken is None else failed[taken]))
+            for k, n, event, t, bad, state in zip(*(batch.column(c).to_pylist() for c in ("k", "chunk", "event_id", "at", "bad", "state")), strict=True):
+                if (k, n) != last:
+                    last, calls = (k, n), _Calls(most, seconds, failures, tuple(state or start))
+                if state is None:
+                    out.append((event, *calls.call(t, bad)))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names=["event_id", "pair", "recent", "failed_run"])
 
-    rows = events.select(F.col(key).alias("k"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("event_type") == ERROR).alias("bad"))
-    return rows.repartition("k").sortWithinPartitions("k", "at", "event_id").mapInArrow(run, "event_id long, pair int, recent int, failed_run int")
+    none = F.lit(None).cast("array<int>")
+    all_rows = rows.select("k", "chunk", F.lit(1).alias("kind"), "event_id", "at", "bad", none.alias("state"))
+    if every:
+        many = rows.where("chunks > 1").select("k", "chunk", "event_id", "at", "bad").repartition("k", "chunk").sortWithinPartitions("k", "chunk", "at", "event_id")
+        ends = many.mapInArrow(passed, f"k {kind}, chunk long, to array<int>")
+        starts = ends.repartition("k").sortWithinPartitions("k", "chunk").mapInArrow(handed_on, f"k {kind}, chunk long, state array<int>")
+        all_rows = all_rows.unionByName(starts.select("k", "chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("long").alias("at"), F.lit(False).alias("bad"), "state"))
+    return all_rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "kind", "at", "event_id").mapInArrow(run, "event_id long, pair int, recent int, failed_run int")
 
 
 def error_windows(events: DataFrame, width: str = "60 minutes", slide: str = "30 minutes") -> DataFrame:

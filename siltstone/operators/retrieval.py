@@ -26,8 +26,10 @@ RRF = 60
 POOL, TOP, SINGLE = 20, 8, 5
 DIMENSIONS = 384
 SCORE_DIGITS = 8
-#: Question vectors that are sent to all tasks at once, as 64-bit numbers; more questions go in blocks of so many.
+#: Question vectors that are sent to all tasks at once, as 64-bit numbers, and rows of a tile where there are more; blocks of questions' words in one plan.
 MATRIX_BYTES = 32 << 20
+TILE_BYTES = 128 << 20
+AT_ONCE = 4
 #: Words whose places a task keeps, and rows that a task multiplies at once.
 KNOWN = 1 << 20
 ROWS = 1024
@@ -98,6 +100,7 @@ def _bm25_scan(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     for i in range(blocks):
         rows = weights.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).orderBy("item_id", "term").toArrow()
         found = words.mapInArrow(_okapi(rows, mean, k, words.sparkSession), "query long, id long, score double")
+        found = found if blocks <= AT_ONCE else tables.cut(found)  # so that the plan stays small
         out = found if out is None else out.unionByName(found)
     return top(out.select(F.col("query").cast(kind).alias("item_id"), F.col("id").alias("doc_id"), "score"), k)
 
@@ -195,20 +198,66 @@ def embedded(rows: DataFrame, key: str) -> DataFrame:
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, digits: int, own: bool = True) -> DataFrame:
     """(query, id, score): of (query, vector) rows each one's k highest dot products with (id, vector) rows, rounded, ties to the smaller id; only
-    pairs that share a dimension other than 0. Query vectors go to all tasks as a matrix, in blocks of MATRIX_BYTES, each block over one
-    scan; a task keeps k rows a query, and those of all tasks are merged. own=False leaves a vector out that has the query's number."""
+    pairs that share a dimension other than 0. Query vectors of MATRIX_BYTES go to all tasks as a matrix, over one scan; more of them meet the rows in tiles (_tiled), so the plan has the
+    same size for any number. A task keeps k rows a query, and those of all tasks are merged. own=False leaves a vector out that has the query's number."""
     queries = tables.cut(queries.where("vector is not null"))
-    n, width = queries.agg(F.count("*"), F.max(F.size("vector"))).first()
-    blocks = max(1, -(-n * 8 * (width or 1) // MATRIX_BYTES))
-    out = None
-    for i in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i).orderBy("query").toArrow() if n else queries.limit(0).toArrow()
-        found = _scan(rows, vectors, k, digits, own)
-        out = found if out is None else out.unionByName(found)
+    n, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    if n * 8 * width <= MATRIX_BYTES:
+        rows = queries.orderBy("query").toArrow() if n else queries.limit(0).toArrow()
+        out = _scan(rows, vectors, k, digits, own)
+    else:
+        out = _tiled(queries, vectors, k, digits, own, width)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "id", "score")
 
 
+def _tiled(queries: DataFrame, vectors: DataFrame, k: int, digits: int, own: bool, width: int) -> DataFrame:
+    """The k best of each query in each tile. A tile is about TILE_BYTES of rows, by a hash of their ids, and all queries in turn: the rows come first and are held as a matrix, the
+    queries pass them ROWS at a time."""
+    rows = vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).where("id is not null and vector is not null")
+    tiles = max(1, -(-rows.count() * 8 * width // TILE_BYTES))
+    left = rows.select(F.pmod(F.xxhash64("id"), F.lit(tiles)).alias("tile"), F.lit(0).alias("kind"), "id", "vector")
+    right = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))).alias("tile"), F.lit(1).alias("kind"), F.col("query").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+
+    def run(batches):
+        at, held, ids, x = None, [], None, None
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            tile, kind = batch.column("tile").to_numpy(), batch.column("kind").to_numpy()
+            starts = np.append(0, np.flatnonzero((np.diff(tile) != 0) | (np.diff(kind) != 0)) + 1)
+            for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(batch)], strict=True):
+                part = batch.slice(a, b - a)
+                if tile[a] != at:
+                    at, held, x = tile[a], [], None
+                names, m = _filled(part.column("id"), part.column("vector"), width)
+                if kind[a] == 0:
+                    held.append((names, m))
+                    continue
+                if x is None and held:
+                    ids, x = np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held])
+                    held = []
+                if x is None or not len(names):
+                    continue
+                order = np.argsort(names)
+                kept = Best(len(names), k)
+                for i in range(0, len(ids), 4 * ROWS):
+                    _add(kept, names[order], m[order], ids[i : i + 4 * ROWS], x[i : i + 4 * ROWS], digits, own)
+                yield kept.batch(names[order])
+
+    met = left.unionByName(right).repartition("tile").sortWithinPartitions("tile", "kind")
+    return met.mapInArrow(run, "query long, id long, score double")
+
+
+def _add(kept: Best, names: np.ndarray, m: np.ndarray, ids: np.ndarray, x: np.ndarray, digits: int, own: bool) -> None:
+    """What the queries (names, m) find in the rows (ids, x)."""
+    s = np.round(m @ x.T, digits)
+    some = s != 0
+    if not some[kept.least <= 0].all():
+        some |= ((m != 0).astype(np.float32) @ (x != 0).astype(np.float32).T) > 0
+    if not own:
+        some &= names[:, None] != ids
+    kept.add(s, ids, some)
+
+
 def _filled(ids: pa.Array, vectors: pa.ListArray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and vectors, as rows of a matrix filled up with 0 or cut to width; those that are null, empty or hold a null are left out."""
     starts, values = vectors.offsets.to_numpy(), vectors.values
@@ -237,13 +286,7 @@ def _scan(queries: pa.Table, vectors: DataFrame, k: int, digits: int, own: bool)
             ids, x = _filled(batch.column(0), batch.column(1), m.shape[1])
             if not len(ids) or not len(names):
                 continue
-            s = np.round(m @ x.T, digits)
-            some = s != 0
-            if not some[kept.least <= 0].all():
-                some |= ((m != 0).astype(np.float32) @ (x != 0).astype(np.float32).T) > 0
-            if not own:
-                some &= names[:, None] != ids
-            kept.add(s, ids, some)
+            _add(kept, names, m, ids, x, digits, own)
         yield kept.batch(names)
 
     return vectors.select(F.col("id").cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector")).mapInArrow(run, "query long, id long, score double")

@@ -29,14 +29,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
-from siltstone.operators.retrieval import K1, POOL, SCORE_DIGITS, B, idf, top
+from siltstone.operators.retrieval import K1, POOL, ROWS, SCORE_DIGITS, B, _rows_of, idf, top
 from siltstone.operators.tables import cut
 
 #: Parts that terms are cut into, documents of a range, and ranges that are scored first.
 PARTS = 64
 RANGE = 256
 LEADERS = 4
-_MADE = "kind string, part int, term string, range long, most int, least int, n long, ids array<long>, tfs array<int>, dls array<int>, doc_id long, dl int, terms array<string>"
+#: Terms of a range's documents, about, where they have very many.
+WORDS = 1 << 20
 _DOCS, _BLOCKS, _TERMS, _DEAD = "doc_id long, dl int, terms array<string>, tfs array<int>", "term string, range long, most int, least int, n long, ids array<long>, tfs array<int>, dls array<int>, part int", "term string, df long, part int", "doc_id long, held long"
 
 
@@ -53,60 +54,45 @@ def _part(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(PARTS)).cast("int")
 
 
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    """values as lists of these sizes."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), values)
+
+
 def _forward(docs: DataFrame) -> DataFrame:
     """(doc_id, dl, terms, tfs) of (doc_id, text)."""
-    words = docs.select("doc_id", T.tokens(F.col("text")).alias("words"))
+    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(T.tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
 
     def run(batches):
-        for batch in batches:
-            terms, tfs, dls = [], [], []
-            for words in batch.column("words").to_pylist():
-                known: dict[str, int] = {}
-                for w in words or ():
-                    known[w] = known.get(w, 0) + 1
-                terms.append(list(known))
-                tfs.append(list(known.values()))
-                dls.append(len(words or ()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(dls, pa.int32()), pa.array(terms, pa.list_(pa.string())), pa.array(tfs, pa.list_(pa.int32()))], names=["doc_id", "dl", "terms", "tfs"])
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            row, said = _rows_of(batch.column("words"))
+            pair, n = np.unique(row * max(1, len(said.dictionary)) + said.indices.to_numpy(), return_counts=True)
+            sizes, kinds = np.bincount(pair // max(1, len(said.dictionary)), minlength=len(batch)), pa.array(pair % max(1, len(said.dictionary)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.bincount(row, minlength=len(batch)).astype(np.int32)), _lists(sizes, said.dictionary.take(kinds)), _lists(sizes, pa.array(n.astype(np.int32)))], names=["doc_id", "dl", "terms", "tfs"])
 
-    return words.select(F.col("doc_id").cast("long").alias("doc_id"), "words").mapInArrow(run, _DOCS)
+    return words.mapInArrow(run, _DOCS)
 
 
 def _ranges(batches):
-    """Blocks of the ranges of a task's documents (doc_id, dl, terms, tfs). A range holds RANGE documents, or fewer with very many words."""
-    base, held, words = TaskContext.get().partitionId() << 32, [], 0
-    names = [x.split()[0] for x in _BLOCKS.split(", ")][:-1]
-
-    def made():
-        nonlocal base
-        ids = np.array([d if d is not None else 0 for d, *_ in held], np.int64)
-        dls = np.array([dl for _, dl, *_ in held], np.int32)
-        flat = pa.array([t for *_, terms, _ in held for t in terms], pa.string()).dictionary_encode()
-        tfs = np.array([n for *_, ns in held for n in ns], np.int32)
-        row = np.repeat(np.arange(len(held)), [len(terms) for *_, terms, _ in held])
-        known = np.array([d is not None for d, *_ in held], bool)
-        code = flat.indices.to_numpy()
-        order = np.argsort(code, kind="stable")
-        order = order[known[row[order]]]  # documents without a number are counted, never found
-        code, row, tfs = code[order], row[order], tfs[order]
-        first = np.flatnonzero(np.diff(code, prepend=-1))
-        ends = pa.array(np.append(first, len(code)).astype(np.int32))
-        lists = lambda values: pa.ListArray.from_arrays(ends, pa.array(values))
-        reduced = (np.maximum.reduceat(tfs, first), np.minimum.reduceat(dls[row], first)) if len(first) else (tfs, tfs)
-        batch = pa.RecordBatch.from_arrays([flat.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), base)), pa.array(reduced[0]), pa.array(reduced[1]), pa.array(np.diff(np.append(first, len(code)))), lists(ids[row]), lists(tfs), lists(dls[row])], names=names)
-        base += 1
-        held.clear()
-        return batch
-
+    """Blocks of the ranges of a task's documents (doc_id, dl, terms, tfs). A range holds RANGE documents of a batch, or fewer with more than WORDS terms. Documents
+    without a number are counted elsewhere, and never found."""
+    base, names = TaskContext.get().partitionId() << 32, [x.split()[0] for x in _BLOCKS.split(", ")][:-1]
     for batch in batches:
-        for d in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dl", "terms", "tfs")), strict=True):
-            held.append(d)
-            words += len(d[2])
-            if len(held) >= RANGE or words > 1 << 20:
-                yield made()
-                words = 0
-    if held:
-        yield made()
+        ends, a = batch.column("terms").offsets.to_numpy(), 0
+        while a < len(batch):
+            b = min(a + RANGE, len(batch), max(a + 1, int(np.searchsorted(ends, ends[a] + WORDS, "right")) - 1))
+            part = batch.slice(a, b - a)
+            row, said = _rows_of(part.column("terms"))
+            tfs, dls, ids = part.column("tfs").flatten().to_numpy(), part.column("dl").to_numpy(), part.column("doc_id")
+            order = np.argsort(said.indices.to_numpy(), kind="stable")
+            order = order[ids.is_valid().to_numpy(zero_copy_only=False)[row[order]]]
+            code, row, tfs = said.indices.to_numpy()[order], row[order], tfs[order]
+            first = np.flatnonzero(np.diff(code, prepend=-1))
+            sizes = np.diff(np.append(first, len(code)))
+            most, least = (np.maximum.reduceat(tfs, first), np.minimum.reduceat(dls[row], first)) if len(first) else (tfs, tfs)
+            lists = (_lists(sizes, pa.array(x)) for x in (ids.fill_null(0).to_numpy()[row], tfs, dls[row]))
+            yield pa.RecordBatch.from_arrays([said.dictionary.take(pa.array(code[first])), pa.array(np.full(len(first), base)), pa.array(most), pa.array(least), pa.array(sizes), *lists], names=names)
+            base, a = base + 1, b
 
 
 class Index:

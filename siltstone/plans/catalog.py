@@ -299,13 +299,12 @@ def html_links_allowlisted(spark, d):
 
 @query(f"""WITH {X.ANCHORS_SQL}, l AS (SELECT page_id % 4 AS type_no, page_id // 4 + 1 AS page, page_id FROM pages), n AS (SELECT type_no, page, l.page_id, pos, url FROM l JOIN anchors a ON a.page_id = l.page_id AND l.page_id % 11 <> 0),
 e AS (SELECT type_no, min(page) AS stop FROM (SELECT l.type_no, l.page, count(n.url) AS links FROM l LEFT JOIN n ON n.page_id = l.page_id WHERE l.page <= 5 GROUP BY ALL) WHERE links = 0 GROUP BY type_no)
-SELECT row_number() OVER (ORDER BY n.type_no, page, pos) AS place, url FROM n LEFT JOIN e USING (type_no) WHERE page <= 5 AND page < coalesce(stop, 6) AND length(url) % 3 <> 0 ORDER BY n.type_no, page, pos LIMIT 100""")
+SELECT row_number() OVER (ORDER BY n.type_no, page, pos) AS place, url FROM n LEFT JOIN e USING (type_no) WHERE page <= 5 AND page < coalesce(stop, 6) ORDER BY n.type_no, page, pos LIMIT 100""")
 def crawl_plan(spark, d):
-    """A crawl over captured pages, of which some links can't be fetched; it stops at 100 documents."""
+    """The documents that a crawl over captured pages keeps; it stops at 100."""
     from siltstone.sources import crawl, html
 
-    brought = html.anchors(X.table(spark, d, "pages")).where(F.length("url") % 3 != 0)
-    return crawl.crawled(X.listings(spark, d), brought)
+    return crawl.crawled(X.listings(spark, d), html.anchors(X.table(spark, d, "pages")))
 
 
 @query(f"""WITH {X.ANCHORS_SQL}, h AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS r FROM (SELECT page_id, pos, 'https://h.example' || regexp_replace(url, '^https?://[^/]*', '') AS url, CASE WHEN pos % 4 = 0 THEN '' ELSE text END AS text FROM anchors))
@@ -328,13 +327,16 @@ def discovered_urls(spark, d):
     return crawl.discovered(rows, 50).select("category", "url", "place")
 
 
-@query("SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN d.doc_id % 7 = 0 THEN 'failed' WHEN length(text) < 100 THEN 'short' ELSE 'saved' END AS status, count(*) AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY ALL")
+@query("""SELECT status, count(*) AS n FROM (SELECT CASE WHEN l.doc_id IS NOT NULL THEN 'skipped' WHEN text IS NULL THEN 'failed' WHEN length(text) < 100 THEN 'short' ELSE 'saved' END AS status
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) UNION ALL SELECT 'failed' FROM benchmark) GROUP BY status""")
 def crawl_counters(spark, d):
+    """Documents as what a crawl brought, those with labels as known before, and a link for each benchmark item that brought nothing."""
     from siltstone.sources import crawl
 
     known = X.table(spark, d, "labels").select("doc_id").distinct().withColumn("known", F.lit(True))
-    rows = X.table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("content")).join(known, "doc_id", "left")
-    return crawl.counters(rows.withColumn("known", F.coalesce("known", F.lit(False))))
+    rows = X.table(spark, d, "documents").select("doc_id", F.col("text").alias("content")).join(known, "doc_id", "left").select("content", F.coalesce("known", F.lit(False)).alias("known"))
+    nothing = X.table(spark, d, "benchmark").select(F.lit(None).cast("string").alias("content"), F.lit(False).alias("known"))
+    return crawl.counters(rows.unionByName(nothing))
 
 
 _TEXT = "regexp_replace(html, '(?is)<(script|style|nav|header|footer)\\b.*?</(script|style|nav|header|footer)>', '', 'g')"
@@ -687,6 +689,16 @@ def short_timestamps(spark, d):
     return rows.select("event_id", T.short_timestamp(F.col("stamp")).alias("shown"))
 
 
+@query("""WITH l AS (SELECT conv_id, coalesce(list(text ORDER BY turn) FILTER (role = 'user'), []) AS q, coalesce(list(text ORDER BY turn) FILTER (role = 'assistant'), []) AS a, list(text ORDER BY turn) AS t FROM conversations GROUP BY conv_id),
+n AS (SELECT *, unnest(range(1, least(len(q), len(a), len(t)) + 1)) AS pos FROM l) SELECT conv_id, pos::INT AS pos, q[pos] AS question, a[pos] AS answer, t[pos] AS truth FROM n""")
+def zipped_lists(spark, d):
+    """Parallel lists of a conversation put together by position, as long as the shortest; a conversation's lists are rows of its own."""
+    texts = lambda role: F.transform(F.array_sort(F.collect_list(F.when(F.lit(True) if role is None else F.col("role") == role, F.struct("turn", "text")))), lambda x: x["text"])
+    lists = X.table(spark, d, "conversations").groupBy("conv_id").agg(texts("user").alias("q"), texts("assistant").alias("a"), texts(None).alias("t"))
+    rows = lists.select("conv_id", F.posexplode(evaluate.zipped(F.col("q"), F.col("a"), F.col("t"))).alias("pos", "z"))
+    return rows.select("conv_id", (F.col("pos") + 1).alias("pos"), F.col("z.question"), F.col("z.answer"), F.col("z.truth"))
+
+
 @query("SELECT count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type <> 'error') AS queries, CASE WHEN count(*) FILTER (event_type <> 'error') > 0 THEN round(count(*) FILTER (event_type = 'error')::DOUBLE / count(*) FILTER (event_type <> 'error'), 4) ELSE 0.0 END AS error_rate FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 60 MINUTE")
 def error_rate_trailing(spark, d):
     return logs.error_rate(X.table(spark, d, "events"))

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Elements whose text is not shown, and those without an end tag.
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = ("script", "style", "nav", "header", "footer")
 
 
@@ -54,6 +56,8 @@ class Reader(HTMLParser):
         self.containers, self.hidden, self.inside, self.title, self.parts, self.all, self.cells, self.row, self.pairs, self.stack, self.links, self.anchor = containers, 0, 0, "", [], [], None, [], {}, [], [], None
 
     def handle_starttag(self, tag, attrs):
+        if tag in VOID:
+            return
         marks = {tag, *(f".{c}" for k, v in attrs if k == "class" for c in (v or "").split()), *(f"#{v}" for k, v in attrs if k == "id")}
         self.stack.append((tag, bool(marks & set(self.containers))))
         self.hidden += tag in HIDDEN
@@ -66,7 +70,7 @@ class Reader(HTMLParser):
             self.cells = []
 
     def handle_endtag(self, tag):
-        while self.stack:
+        while any(t == tag for t, _ in self.stack):  # a stray end tag closes nothing
             t, container = self.stack.pop()
             self.hidden -= t in HIDDEN
             self.inside -= container

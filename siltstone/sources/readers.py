@@ -113,29 +113,52 @@ def is_download(name):
     return F.coalesce(name, F.lit("")).rlike(r"^[a-zA-Z0-9_-]+\.pdf\z")
 
 
+def _unicode_map(body: bytes) -> dict[bytes, str]:
+    """Codes, as hexadecimal digits, to text of a map to Unicode."""
+    maps = {}
+    for block in re.findall(rb"beginbfchar(.*?)endbfchar", body, re.S):
+        maps |= {a.lower(): bytes.fromhex(b.decode()).decode("utf-16-be", "replace") for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
+    for block in re.findall(rb"beginbfrange(.*?)endbfrange", body, re.S):
+        for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
+            maps |= {b"%0*x" % (len(a), int(a, 16) + i): chr(int(c, 16) + i) for i in range(min(int(b, 16) - int(a, 16) + 1, 65536))}
+    return maps
+
+
+def _page_fonts(data: bytes, maps: dict[int, dict]) -> dict[int, dict[bytes, dict]]:
+    """By the object number of a content stream, the maps of the fonts that its page names. maps: by the object number of the map."""
+    objects = {int(n): head for n, head in re.findall(rb"(\d+)\s+\d+\s+obj\b(.{0,4096}?)(?:\bstream\b|\bendobj\b)", data, re.S)}
+    named = lambda key, d: objects.get(int(m[1]), b"") if (m := re.search(rb"/%s\s+(\d+)\s+\d+\s+R" % key, d)) else d
+    out: dict[int, dict[bytes, dict]] = {}
+    for page in objects.values():
+        if m := re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", page):
+            fonts = re.search(rb"/Font\s*<<(.*?)>>", named(b"Resources", page), re.S) or re.search(rb"()", b"")
+            listed = fonts[1] or named(b"Font", named(b"Resources", page))
+            of = {name: maps.get(int(u[1]), {}) for name, n in re.findall(rb"/([^\s/]+)\s+(\d+)\s+\d+\s+R", listed) if (u := re.search(rb"/ToUnicode\s+(\d+)", objects.get(int(n), b"")))}
+            for n in re.findall(rb"(\d+)\s+\d+\s+R", m[1]):
+                out.setdefault(int(n), {}).update(of)
+    return out
+
+
 def pdf_text(data: bytes) -> str:
-    """Text of a PDF's content streams in the order of the file, a line for each text line; fonts with a map to Unicode are read by it, others as
-    Latin-1. Encrypted files and compressed object tables that hold fonts give what can be read without them."""
-    streams, maps = [], {}
-    for m in re.finditer(rb"<<(.{0,4096}?)>>\s*stream\r?\n", data, re.S):
+    """Text of a PDF's content streams in the order of the file, a line for each text line; a font with a map to Unicode is read by it, as its page names it (where none
+    is named, by all maps together), others as Latin-1. Encrypted files and compressed object tables that hold fonts give what can be read without them."""
+    streams, found = [], {}
+    for m in re.finditer(rb"(?:(\d+)\s+\d+\s+obj\s*)?<<((?:(?!endobj).){0,4096}?)>>\s*stream\r?\n", data, re.S):
         end = data.find(b"endstream", m.end())
-        body = data[m.end() : end if end >= 0 else len(data)]
-        if b"FlateDecode" in m.group(1):
+        body, number = data[m.end() : end if end >= 0 else len(data)], int(m[1] or -1 - m.start())
+        if b"FlateDecode" in m[2]:
             try:
                 body = zlib.decompressobj().decompress(body)
             except zlib.error:
                 continue
         if b"begincmap" in body:
-            for block in re.findall(rb"beginbfchar(.*?)endbfchar", body, re.S):
-                maps |= {a.lower(): bytes.fromhex(b.decode()).decode("utf-16-be", "replace") for a, b in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block)}
-            for block in re.findall(rb"beginbfrange(.*?)endbfrange", body, re.S):
-                for a, b, c in re.findall(rb"<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>\s*<([0-9A-Fa-f]+)>", block):
-                    maps |= {b"%0*x" % (len(a), int(a, 16) + i): chr(int(c, 16) + i) for i in range(min(int(b, 16) - int(a, 16) + 1, 65536))}
+            found[number] = _unicode_map(body)
         elif re.search(rb"\bBT\b", body):
-            streams.append(body)
-    width = max(map(len, maps), default=2)
+            streams.append((number, body))
+    fonts, every = _page_fonts(data, found), {k: v for one in found.values() for k, v in one.items()}
 
-    def shown(token: bytes) -> str:
+    def shown(token: bytes, maps: dict[bytes, str]) -> str:
+        width = max(map(len, maps), default=2)
         if token.startswith(b"<"):
             digits = re.sub(rb"\s", b"", token[1:-1]).lower()
             digits += b"0" * (-len(digits) % 2)
@@ -145,12 +168,14 @@ def pdf_text(data: bytes) -> str:
         return plain.decode("utf-16-be", "replace")[1:] if plain.startswith(b"\xfe\xff") else plain.decode("latin-1")
 
     out = []
-    for body in streams:
-        line, operands = "", []
-        for m in re.finditer(rb"\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+.\d]+|[A-Za-z'\"*]+", body, re.S):
+    for number, body in streams:
+        line, operands, maps = "", [], every
+        for m in re.finditer(rb"/[^\s/<>\[\]()]+|\((?:\\.|[^\\()]|\((?:\\.|[^\\()])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|[-+.\d]+|[A-Za-z'\"*]+", body, re.S):
             token = m.group()
-            if token[:1] in b"(<":
-                operands.append(shown(token))
+            if token[:1] == b"/":
+                maps = fonts.get(number, {}).get(token[1:], every) if re.match(rb"\s+[-+.\d]+\s+Tf\b", body[m.end() : m.end() + 40]) else maps
+            elif token[:1] in b"(<":
+                operands.append(shown(token, maps))
             elif re.fullmatch(rb"[-+.\d]+", token):
                 operands.append(" " if token.startswith(b"-") and len(token) > 3 and operands and isinstance(operands[-1], str) else 0)
             elif token in (b"Tj", b"TJ", b"'", b'"'):

@@ -222,3 +222,50 @@ def test_bm25_by_scan_equals_bm25_by_postings(spark, monkeypatch):
     assert None not in {r.doc_id for r in retrieval.bm25(asked, docs, 50).collect()}
     for q, d in ((asked, docs.limit(0)), (asked.limit(0), docs)):
         assert retrieval.bm25(q, d).count() == 0
+
+
+def looped(rows, most, seconds, failures, pairs):
+    """The plain loop over each key's calls in order."""
+    out, of = {}, {}
+    for k, at, event, bad in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        windows, failed, turn = of.setdefault(k, ([[] for _ in range(pairs)], [0] * pairs, [0]))
+        live = [p for p in range(pairs) if failed[p] < failures]
+        out[event] = (None, None, None)
+        for i in range(len(live)):
+            p = live[(turn[0] + i) % len(live)]
+            windows[p] = [t for t in windows[p] if t > at - seconds]
+            if len(windows[p]) < most:
+                windows[p].append(at)
+                turn[0] = (live.index(p) + 1) % len(live)
+                failed[p] = failed[p] + 1 if bad else 0
+                out[event] = (p, len(windows[p]), failed[p])
+                break
+    return out
+
+
+@pytest.mark.parametrize(("pairs", "states"), [(1, 256), (2, 256), (3, 256), (2, 1)])
+def test_admission_in_chunks_equals_the_loop(spark, pairs, states):
+    """A key's calls are cut at gaps and put in many chunks; pairs die, times tie, and states are handed on."""
+    import random
+
+    rnd, rows, at = random.Random(pairs), [], 0
+    for i in range(4000):
+        at += rnd.choice([0, 0, 1, 1, 2, 3, 7, 10, 11, 40]) if i % 90 else 500
+        rows.append((rnd.choice([1, 1, 1, 2, None]), at, i, rnd.random() < (0.62 if i > 2500 else 0.3)))
+    events = spark.createDataFrame(rows, "user_id long, s long, event_id long, bad boolean").select("user_id", F.timestamp_seconds("s").alias("ts"), "event_id", F.when(F.col("bad"), "error").otherwise("ok").alias("event_type"))
+    got = {r.event_id: (r.pair, r.recent, r.failed_run) for r in logs.admitted(events.repartition(5), 3, 10, 4, pairs=pairs, chunk=50, states=states).collect()}
+    assert got == looped(rows, 3, 10, 4, pairs)
+    assert logs.admitted(events.limit(0)).count() == 0
+
+
+def test_one_key_is_several_tasks(spark):
+    """Calls of one key come in bursts; no task gets more than a few chunks."""
+    rows = spark.range(0, 200_000, 1, 8).select(F.col("id").alias("event_id"), F.lit(7).alias("user_id"), F.timestamp_seconds(F.floor(F.col("id") / 1000) * 100 + F.col("id") % 7).alias("ts"), F.lit("ok").alias("event_type"))
+    chunks = logs._chunks(rows.select(F.col("user_id").alias("k"), F.unix_micros("ts").alias("at"), F.floor(F.unix_micros("ts") / 61_000_000).alias("bin")), 61, 10_000)
+    assert sorted({(r.chunk, r.chunks) for r in chunks.collect()}) == [(i, 20) for i in range(20)]
+    got = logs.admitted(rows, chunk=10_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        assert got.where("pair = 0").count() == 2000 and got.withColumn("p", F.spark_partition_id()).groupBy("p").count().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -77,6 +77,21 @@ def pdf(content: bytes, extra: bytes = b"", flate=True) -> bytes:
     return b"%PDF-1.4\n1 0 obj\n" + head + b"\nstream\n" + body + b"\nendstream\nendobj\n" + extra + b"%%EOF"
 
 
+def test_fonts_of_a_pdf_are_told_apart():
+    """Two subset fonts use the same code for different letters."""
+    cmap = lambda n, c: b"%d 0 obj << >>\nstream\n1 begincmap 1 beginbfchar <01> <%04X> endbfchar endcmap\nendstream endobj\n" % (n, ord(c))
+    head = b"%PDF-1.4\n1 0 obj << /Type /Page /Contents 2 0 R /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >> endobj\n"
+    fonts = b"3 0 obj << /Type /Font /ToUnicode 5 0 R >> endobj\n4 0 obj << /Type /Font /ToUnicode 6 0 R >> endobj\n"
+    body = b"2 0 obj << >>\nstream\nBT /F1 12 Tf <01> Tj T* /F2 12 Tf <01> Tj ET\nendstream endobj\n"
+    assert readers.pdf_text(head + fonts + body + cmap(5, "A") + cmap(6, "B")) == "A\nB"
+
+
+def test_text_after_a_stray_end_tag_is_kept(spark):
+    page = "<main><p>first</p></br></div><img src=x><p>second</p></main>"
+    rows = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert html.parsed(rows, shortest=1).first().text == "first\nsecond"
+
+
 def test_pdf_text(spark, tmp_path):
     content = b"BT /F1 12 Tf 72 700 Td (Hello \\(PDF\\) world) Tj 0 -14 Td [(sec) -20 (ond) -300 (line \\351)] TJ T* (th\\\nird) Tj ET"
     for flate in (True, False):

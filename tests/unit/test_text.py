@@ -106,3 +106,17 @@ def test_articles_are_parts_of_the_text(of, text):
 
     want = [m.group(1) for m in re.finditer(r"(Điều\s+\d+[a-z]?[.:]\s+.*?)(?=Điều\s+\d+[a-z]?[.:]|\Z)", text, re.DOTALL)]
     assert of(T.articles, text) == want
+
+
+def test_lines_of_the_history():
+    import random
+    import textwrap
+
+    from pyspark.sql import SparkSession
+
+    spark, rnd = SparkSession.getActiveSession(), random.Random(1)
+    texts = ["\n\n".join(" ".join("é" * rnd.randrange(1, 14) for _ in range(rnd.randrange(40))) for _ in range(rnd.randrange(4))) for _ in range(30)] + ["", " \t\n", "a\r\nb c", "x" * 200 + " y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", T.shown_lines(F.col("t")).alias("lines"), T.shown_lines(F.col("t"), 20).alias("narrow")).orderBy("i").collect()
+    wrap = lambda t, n: [x for line in t.splitlines() if line.strip() for x in textwrap.wrap(line, n)]
+    assert [r.lines for r in rows] == [wrap(t, 90) for t in texts[:-1]] + [["x" * 90, "x" * 90, "x" * 20 + " y"]]
+    assert [r.narrow for r in rows[:-1]] == [wrap(t, 20) for t in texts[:-1]]

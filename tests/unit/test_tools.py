@@ -75,7 +75,14 @@ def test_nearest_against_brute_force(spark, monkeypatch):
     v = spark.createDataFrame(rows, "id long, vector array<double>").repartition(5)
     q = v.where("id % 10 = 0").withColumnRenamed("id", "query")
     monkeypatch.setattr(retrieval, "MATRIX_BYTES", 200)  # several blocks
-    got = {(r["query"], r["id"], r["score"]) for r in retrieval.nearest(q, v, 4, 8, own=False).collect()}
+    found = lambda: {(r["query"], r["id"], r["score"]) for r in retrieval.nearest(q, v, 4, 8, own=False).collect()}
+    got = found()  # more queries than go to all tasks: one tile
+    monkeypatch.setattr(retrieval, "TILE_BYTES", 900)
+    monkeypatch.setattr(retrieval, "ROWS", 5)
+    assert found() == got  # several tiles, and batches that end within them
+    monkeypatch.setattr(retrieval, "MATRIX_BYTES", 1 << 20)
+    assert found() == got  # a matrix
+    assert retrieval.nearest(q.limit(0), v, 4, 8).count() == 0
     want = set()
     for i, x in rows:
         if i % 10 == 0 and x:
@@ -153,6 +160,14 @@ def test_engine_sends_questions_where_their_intents_go(spark, tmp_path):
         assert {r.strategy for r in got} == {"bm25_only", "hybrid"} and all(r.hit_rate == 1.0 and r.token_f1 > 0 and r.semantic > 0 for r in got)
     assert len(calls) == 2
 
+    def judge(rows):
+        assert rows.columns == ["item_id", "question", "answer", "contexts", "truth"] and rows.where("size(contexts) = 0").isEmpty()
+        scored = F.when(F.col("item_id") == 1, 0.9).otherwise(F.lit(float("nan")))
+        return rows.select("item_id", *(scored.alias(m) for m in ("faithfulness", "answer_relevancy", "context_recall")), F.lit(None).cast("double").alias("context_precision"))
+
+    got = e.evaluate(items, ("bm25_only",), generate, str(tmp_path / "cache"), judge).first()
+    assert (got.faithfulness, got.context_recall, got.passed) == (0.9, 0.9, True) and got.context_precision != got.context_precision and got.hit_rate == 1.0
+
 
 def test_index_has_every_row_and_finds_most(spark):
     """Recall of the index against brute force on the embeddings."""
