@@ -11,7 +11,7 @@ that broke off is written over. compact() makes one generation of all, without t
 
 A question reads the parts of its words only. Bounds come first, from (most, least, range) without the postings: a range's bound for a question is the sum of its
 words' best possible weights there. The LEADERS ranges with the highest bounds of each question are scored, which gives the question's threshold (its k-th
-best score so far), and of all other ranges only those whose bound reaches it are read. Results equal those of retrieval.bm25 over the documents that are there.
+best score so far), and of all other ranges only those whose bound reaches it are read; where all documents are some thousand, all ranges are scored at once. Results equal those of retrieval.bm25 over the documents that are there.
 
 Cases: a null doc_id counts in the statistics and is never found, and can be neither changed nor deleted. Of several rows of a batch with one doc_id the first text by its order stays. Documents
 without words count too; a null text takes its document out. Deleting what isn't there changes nothing. An empty index finds nothing.
@@ -115,7 +115,11 @@ class Index:
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
         if not names:
             return State()
-        said = self.spark.read.text(f"{self.root}/ledger/{names[-1]}", wholetext=True).first()[0]
+        file = fs.open(self._fs(f"{self.root}/ledger/{names[-1]}")[1])
+        try:
+            said = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(file, "UTF-8")
+        finally:
+            file.close()
         return State(**json.loads(said))
 
     def _commit(self, state: State) -> None:
@@ -208,22 +212,30 @@ class Index:
         n, total = sum(g["n"] for g in state.generations), sum(g["total"] for g in state.generations)
         mean = total / n if total else 1.0
         asked = questions.where("item_id is not null").select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term")).distinct()
-        asked = cut(asked.withColumn("part", _part(F.col("term"))))
+        few = n <= 4 * LEADERS * RANGE  # bounds would cost more than they save
+        asked = asked.withColumn("part", _part(F.col("term")))
+        asked = asked if few else cut(asked)
         parts = [r[0] for r in asked.select("part").distinct().collect()]  # PARTS numbers at most
         known = self._read("terms", _TERMS, numbers).where(F.col("part").isin(parts)).join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.sum("df").alias("df"))
-        asked = cut(asked.join(known, "term").select("item_id", "term", idf(F.lit(n), F.col("df")).alias("idf")))
+        asked = asked.join(known, "term").select("item_id", "term", idf(F.lit(n), F.col("df")).alias("idf"))
+        asked = asked if few else cut(asked)
         blocks = self._read("blocks", _BLOCKS, numbers).where(F.col("part").isin(parts))
         weight = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+        dead = self._read("dead", _DEAD, numbers).select("doc_id", F.col("held").alias("gen"))
+
+        def summed(rows: DataFrame) -> DataFrame:
+            rows = rows.select("item_id", "gen", "idf", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("item_id", "gen", F.col("p.ids").alias("doc_id"), (F.col("idf") * weight(F.col("p.tfs"), F.col("p.dls"))).alias("w"))
+            return rows.join(dead, ["doc_id", "gen"], "left_anti").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
+
+        if few:
+            return top(summed(blocks.join(asked, "term")), k)
         bounds = blocks.select("term", "gen", "range", "most", "least").join(asked, "term")  # bounds alone: no postings are read
         bounds = bounds.groupBy("item_id", "gen", "range").agg(F.sum(F.col("idf") * weight(F.col("most"), F.col("least"))).alias("bound"))
         order = Window.partitionBy("item_id").orderBy(F.desc("bound"), "gen", "range")
         bounds = cut(bounds.withColumn("place", F.row_number().over(order)))
-        dead = self._read("dead", _DEAD, numbers).select("doc_id", F.col("held").alias("gen"))
 
         def scored(wanted: DataFrame) -> DataFrame:
-            rows = blocks.join(wanted.select("gen", "range").distinct(), ["gen", "range"], "left_semi").join(asked, "term").join(wanted.select("item_id", "gen", "range"), ["item_id", "gen", "range"], "left_semi")
-            rows = rows.select("item_id", "gen", "idf", F.explode(F.arrays_zip("ids", "tfs", "dls")).alias("p")).select("item_id", "gen", F.col("p.ids").alias("doc_id"), (F.col("idf") * weight(F.col("p.tfs"), F.col("p.dls"))).alias("w"))
-            return rows.join(dead, ["doc_id", "gen"], "left_anti").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
+            return summed(blocks.join(wanted.select("gen", "range").distinct(), ["gen", "range"], "left_semi").join(asked, "term").join(wanted.select("item_id", "gen", "range"), ["item_id", "gen", "range"], "left_semi"))
 
         leaders = cut(top(scored(bounds.where(F.col("place") <= LEADERS)), k))
         least = leaders.groupBy("item_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
