@@ -480,6 +480,43 @@ def test_lm_learns_where_the_first_chunk_has_no_training_text(spark):
         assert got[5001] > got[5000] + 1
 
 
+@pytest.mark.parametrize("merged", [64, 1 << 20])
+def test_totals_of_words_come_back_to_every_chunk(monkeypatch, merged):
+    """Counts that are added up piece by piece, and answers that stream by: a word of all chunks, words that are held out alone, owners without any total."""
+    import types
+
+    monkeypatch.setattr(hmm_lm, "MERGED", merged)
+    rnd, bits = np.random.default_rng(8), 3
+    vocabularies = [np.unique(np.append(rnd.integers(1 << 61, 1 << 63, 200, dtype=np.uint64) // np.uint64(1 << 54) * np.uint64(1 << 54), np.uint64(1 << 62))) for _ in range(40)]
+    counts = [rnd.integers(0, 3, len(v)) for v in vocabularies]
+    total = Counter()
+    for v, c in zip(vocabularies, counts, strict=True):
+        total.update(dict(zip(v.tolist(), c.tolist(), strict=True)))
+    chunks = [{"chunk": i, "vocabulary": v.tobytes(), "counts": hmm_lm._packed(c), "n_words": len(v)} for i, (v, c) in enumerate(zip(vocabularies, counts, strict=True))]
+    chunks.append({"chunk": 40, "vocabulary": np.arange(5, dtype=np.uint64).tobytes(), "counts": hmm_lm._packed(np.zeros(5, np.int64)), "n_words": 5})
+    chunks.append({"chunk": 41, "vocabulary": b"", "counts": b"", "n_words": 0})
+    batches = lambda rows, n=7: [pa.RecordBatch.from_pylist(rows[i : i + n]) for i in range(0, len(rows), n)]
+    rows = lambda found: [r for b in found for r in b.to_pylist()]
+    sent = [r for part in (chunks[:15], chunks[15:]) for r in rows(hmm_lm._task_counts(bits)(batches(part)))]
+    if merged > 64:  # each task sends an owner one row
+        assert len(sent) == len({(r["owner"], i) for i, part in enumerate((chunks[:15], chunks[15:])) for r in rows(hmm_lm._task_counts(bits)(batches(part)))})
+    totals = rows(hmm_lm._totals(batches(sorted(sent, key=lambda r: r["owner"]))))
+    want = {w: n for w, n in total.items() if n}
+    assert sum(r["c"] for r in totals if r["kind"] == 1) == len(want) and sum(r["b"] for r in totals if r["kind"] == 1) == sum(want.values())
+    often = [(r["a"], r["b"]) for r in totals if r["kind"] == 2]
+    assert often == sorted(((w, n) for w, n in want.items() if n > 1), key=lambda x: (-x[1], x[0]))[: hmm_lm.FREQUENT - 1]
+    frequent = np.sort(np.array([w for w, _ in often[:20]], np.uint64))
+    asked = rows(hmm_lm._questions(types.SimpleNamespace(value=frequent), bits)(batches([{k: c[k] for k in ("chunk", "vocabulary")} for c in chunks])))
+    both = [{**r, "chunk": None} for r in totals if r["kind"] == 0] + [{**r, "counts": None, "n": None} for r in asked]
+    both = [{k: r[k] for k in ("owner", "chunk", "words", "counts", "n")} for r in sorted(both, key=lambda r: (r["owner"], -1 if r["chunk"] is None else r["chunk"]))]
+    table = pa.Table.from_pylist(both, pa.schema([("owner", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("n", pa.int64())]))
+    got = rows(hmm_lm._answers(table.to_batches(7)))
+    for c in chunks:
+        mine = [hmm_lm._unpacked(r["data"], np.int64, r["n"]) for r in sorted((r for r in got if r["chunk"] == c["chunk"]), key=lambda r: r["owner"])]
+        words = [w for w in np.frombuffer(c["vocabulary"], np.uint64).tolist() if w not in set(frequent.tolist())]
+        assert [int(n) for x in mine for n in x] == [want.get(w, 0) for w in words]
+
+
 def test_shares_with_too_few_training_words_are_the_whole(spark):
     chunks = spark.range(256).select(F.col("id").alias("chunk"), F.lit(hmm_lm.ENOUGH // 20).cast("long").alias("train_tokens"))
     got = hmm_lm.shares(chunks)
@@ -601,6 +638,22 @@ def codec():
     return sentencepiece_codec.Pieces(model), sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
+def test_known_words_are_bounded_in_bytes(codec, monkeypatch):
+    """Texts without blanks are one word each; ids stay right while words are forgotten."""
+    p, sp = codec
+    monkeypatch.setattr(sentencepiece_codec, "CACHED", 20_000)
+    p.known.clear()
+    p.held = 0
+    for i in range(6):
+        texts = [f"{'word' * 300}{i}", "a few short words", f"again{i} and again"]
+        assert [x.tolist() for x in p.encode(texts)] == sp.encode(texts)
+        assert p.held <= 20_000 and sum(sentencepiece_codec.WORD + sentencepiece_codec.LETTER * len(w) for w in p.known) == p.held
+    assert [x.tolist() for x in p.encode(["long" * 3000])] == sp.encode(["long" * 3000]) and not p.known
+    monkeypatch.undo()
+    p.known.clear()
+    p.held = 0
+
+
 def test_ids_equal_the_library(codec):
     p, sp = codec
     rnd = random.Random(7)
