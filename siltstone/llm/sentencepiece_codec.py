@@ -12,7 +12,7 @@ sentencepiece library (for a Unigram model up to paths of equal scores, between
 is refused. Characters outside the vocabulary become byte pieces. Decoding joins the pieces, decodes
 bytes as UTF-8 and takes the first mark away.
 
-A worker keeps at most CACHED words between runs of texts; each text is encoded whole, in runs of about a slice.
+A worker keeps words of about CACHED bytes at most between runs of texts, however long the words are; each text is encoded whole, in runs of about a slice.
 
 Nulls and cases: null text gives null ids and null text back; empty text gives no ids. A mark (U+2581) in a text reads as a blank, as in the library; all
 other texts come back exactly. Repeated rows are encoded alike. Empty tables give no rows. Other columns are kept unless their
@@ -34,7 +34,9 @@ from siltstone.llm.common import SLICE, trimmed
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-CACHED = 250_000
+#: Bytes of known words and their ids, reckoned at WORD for each and LETTER for each of its characters.
+CACHED = 64 << 20
+WORD, LETTER = 216, 8
 _UNITS = re.compile(f"{MARK}+[^{MARK}\n]*|\n[^{MARK}\n]*")
 
 
@@ -114,6 +116,7 @@ class Pieces:
         self.runs: dict[str, tuple] = {}
         self.fits: dict[int, bool] = {}
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def run(self, piece: str) -> tuple:
         """How merging builds a piece from its characters: ranks of the merges in their order, first and last parts before each
@@ -244,12 +247,19 @@ class Pieces:
         units = [None if t is None else self.units(t) for t in texts]
         known = self.known
         new = set().union(*(us for us in units if us)) - known.keys()
-        if len(known) + len(new) > CACHED:
+        cost = WORD * len(new) + LETTER * sum(map(len, new))
+        if self.held + cost > CACHED:
             known.clear()
             new = set().union(*(us for us in units if us))
+            self.held, cost = 0, WORD * len(new) + LETTER * sum(map(len, new))
         known.update(self.search(sorted(new)))
+        self.held += cost
         of = known.__getitem__
-        return [None if us is None else np.frombuffer(b"".join(map(of, us)), np.int32) for us in units]
+        out = [None if us is None else np.frombuffer(b"".join(map(of, us)), np.int32) for us in units]
+        if self.held > CACHED:  # this run's words alone are too many to keep
+            known.clear()
+            self.held = 0
+        return out
 
     @staticmethod
     def units(t: str) -> list[str]:
