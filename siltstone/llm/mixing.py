@@ -14,7 +14,8 @@ sums by bins of the hash first (about BIN rows each) and then within the bins, s
 
 Nulls: a null source is a source of its own, ordered last; null text has no words. Documents without words are taken 0 times.
 Repeated rows are rows of their own: which of them comes first is not determined, what they are taken together is. Empty tables
-give no rows. Other columns are ignored by `mix` and kept by `mixed`.
+give no rows. Other columns are ignored by `mix` and kept by `mixed`. A text of any length is counted whole: it is one row that may cover many blocks, and is never
+itself moved with them.
 """
 
 from __future__ import annotations

@@ -11,7 +11,8 @@ grams of the URLs to be scored get their values from the shortest order up, so n
 only the last one, which brings the values to the URLs, has common keys, and AQE can split those.
 
 Nulls and cases: a null URL, or one without `://`, has an empty host and path and fits no rule; a null or empty URL, and any URL where the
-rules label no URL of one class, is allowed by default. Repeated rows are judged alike. Empty tables give no rows. Other columns
+rules label no URL of one class, is allowed by default, as is a score equal to the cut. URLs of any length are scored whole, each character once. The cut is
+fitted on the URLs that train the models; none are held out for it. Repeated rows are judged alike. Empty tables give no rows. Other columns
 are passed on by `url_filter` unless their names are those of its results, which win.
 """
 
