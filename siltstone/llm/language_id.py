@@ -9,8 +9,8 @@ codes and 64**3 contexts a language at most, however large the corpus, so it may
 
 A text gets the language of the lowest cross-entropy per character. It is rejected (accepted = false) where that cross-entropy is more than
 DEVIATIONS standard deviations above the mean of that language's own texts of about its length (powers of two of its characters), where it has no letter, or
-where nothing was learned. Means and variances between texts are calibrated on about SAMPLE of the texts that are learned from, drawn by a hash of doc_id and
-text; a length with fewer than ENOUGH of a language's texts takes those of all its lengths. To the variance between texts comes that of a mean of as many
+where nothing was learned. Means and variances between texts are calibrated on all texts that are learned from; a length with fewer than ENOUGH of a language's texts takes those
+of all its lengths. To the variance between texts comes that of a mean of as many
 characters as the text has, so little is said of short texts.
 
 The score is the posterior of the language at even priors, of a text of at most 200 characters: a longer one counts as 200 characters of its cross-entropy, since neighbouring
@@ -35,8 +35,7 @@ from siltstone.llm.common import text_places, trimmed
 CLASSES = 64
 ORDER = 4
 PIECE = 1 << 19
-#: Texts that rejection is calibrated on, about (a hash of the row draws them).
-SAMPLE = 20_000
+#: Texts of a language and length that a calibration of their own takes.
 ENOUGH = 50
 #: Whatever the distribution, fewer than one in 144 of its values lie as far from the mean (Chebyshev).
 DEVIATIONS = 12.0
@@ -244,7 +243,8 @@ def bins(chars: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(chars, 1)).astype(np.int64), BINS - 1)
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Model:
+    """Models of the languages of all rows for which learn holds, calibrated on all of them."""
     found = count(docs, learn, text, lang).toPandas()  # 64**4 rows a language at most
     model = Model(found["lang"].to_numpy(object), found["code"].to_numpy(np.int64), found["n"].to_numpy(np.int64))
     rows = docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -264,10 +264,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
                 yield pa.RecordBatch.from_arrays([pa.array([m.langs[k // BINS] for k in kinds], pa.string()), pa.array(kinds % BINS, pa.int32()), *(pa.array(x, pa.float64()) for x in sums)], names=["lang", "size", "n", "total", "squares"])
 
     if model.langs:
-        share = min(1.0, sample / max(1, rows.count()))
-        key = [F.col(c) for c in docs.columns if c.lower() in ("doc_id", text.lower())]
-        drawn = rows.where(F.pmod(F.xxhash64(*key, F.lit(5)), F.lit(1 << 30)) < int(share * (1 << 30))).select(F.col(text).cast("string"), F.col(lang).cast("string"))
-        sums = drawn.mapInArrow(trimmed(measured), "lang string, size int, n double, total double, squares double").groupBy("lang", "size").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).toPandas()  # BINS rows a language at most
+        sums = rows.select(F.col(text).cast("string"), F.col(lang).cast("string")).mapInArrow(trimmed(measured), "lang string, size int, n double, total double, squares double").groupBy("lang", "size").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("squares").alias("squares")).toPandas()  # BINS rows a language at most
         model.calibrate(sums["lang"].to_numpy(object), sums["size"].to_numpy(np.int64), *(sums[c].to_numpy(float) for c in ("n", "total", "squares")))
     shared.destroy()
     return model

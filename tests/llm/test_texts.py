@@ -349,6 +349,15 @@ def test_language_id_of_awkward_rows(docs, empty):
     assert language_id.known_language(docs).columns == docs.columns
 
 
+def test_all_training_texts_calibrate(spark, monkeypatch):
+    """More texts than any sample of them: each is one of those that means and variances are of."""
+    sums, calibrate = [], language_id.Model.calibrate
+    monkeypatch.setattr(language_id.Model, "calibrate", lambda self, *a: (sums.append(a), calibrate(self, *a)))
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    language_id.fit(docs, F.lit(True))
+    assert sums[0][2].sum() == 30_000
+
+
 def test_other_languages_are_rejected(spark):
     """Own texts, however short, are accepted, strings of other letters are not from some length on."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
