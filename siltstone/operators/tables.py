@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.sources.shared import shared_dir
+from siltstone.sources.shared import shared_dir, small_batches
 
 
 def cut(rows: DataFrame) -> DataFrame:
@@ -13,7 +13,8 @@ def cut(rows: DataFrame) -> DataFrame:
     context = rows.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(rows.sparkSession))
-    return rows.checkpoint()
+    with small_batches(rows.sparkSession):
+        return rows.checkpoint()
 
 
 def new_rows(rows: DataFrame, existing: DataFrame, key: str | list[str]) -> DataFrame:

@@ -269,3 +269,32 @@ def test_one_key_is_several_tasks(spark):
         assert got.where("pair = 0").count() == 2000 and got.withColumn("p", F.spark_partition_id()).groupBy("p").count().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scans_for_questions_hold_little(spark):
+    """Vectors are met in small Arrow batches, and the weights of words that all questions ask for are added up some documents at a time."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    def embed(rows, key):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([[float(len(b)) if key == "doc_id" else 1.0]] * len(b))], names=[key, "vector"])
+
+        return rows.select(key, "text").mapInArrow(run, f"{key} long, vector array<double>")
+
+    docs = spark.range(6000).coalesce(1).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"))
+    got = retrieval.dense(spark.createDataFrame([(1, "w")], "item_id long, text string"), docs, 3, embed).collect()
+    assert len(got) == 3 and max(r.score for r in got) <= 2048
+
+    terms = [f"t{i}" for i in range(20)]
+    asked = pa.table({"item_id": [i for i in range(200) for _ in terms], "term": terms * 200, "idf": [1.0] * 4000})
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1024)), pa.array([terms] * 1024)], names=["doc_id", "words"])
+    run = retrieval._okapi(asked, 20.0, 5, SimpleNamespace(sparkContext=SimpleNamespace(broadcast=lambda x: SimpleNamespace(value=x))))
+    tracemalloc.start()
+    found = list(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0].column("id").to_pylist() == [0, 1, 2, 3, 4] * 200 and peak < 64 << 20
