@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.operators import retrieval
-from siltstone.operators.retrieval import Best, _filled
+from siltstone.operators.retrieval import ROWS, Best, _filled
 from siltstone.operators.tables import cut
+from siltstone.sources.shared import small_batches, trimmed
 
 #: Rows of the sample for each cell, rows that one group is fitted on at most, rounds of fitting.
 PER_CELL, FIT, ROUNDS = 64, 65_536, 6
@@ -35,8 +36,10 @@ PER_CELL, FIT, ROUNDS = 64, 65_536, 6
 SLICE, WORDS, BUCKETS = 4, 256, 64
 #: Rows that recall is measured with, neighbours of each, and what is added to the target when probes are chosen.
 MEASURED, NEIGHBOURS, MARGIN = 200, 5, 0.02
-#: Rows of a cell that a task compares with queries, and queries at once.
+#: Rows of a cell that a task gets, and queries that it compares at once with ROWS of them.
 PART_ROWS, AT_ONCE = 1 << 18, 256
+#: Numbers of the centres that a task writes beside rows at once.
+NUMBERS = 1 << 20
 SHORTLIST = 50
 _VECTOR = "vector array<double>"
 
@@ -146,16 +149,19 @@ def _routed(rows: DataFrame, key: str, centres: DataFrame, tops: np.ndarray, bea
     def run(batches):
         cells, c = np.zeros(0, np.int64), np.zeros((0, width))
         for (_, _, kind), new, batch in _groups(batches, ("top", "slice", "kind")):
-            x, numbers = _matrix(batch, width), batch.column("number").to_numpy()
             if kind == 0:
+                x, numbers = _matrix(batch, width), batch.column("number").to_numpy()
                 cells, c = (numbers, x) if new else (np.append(cells, numbers), np.concatenate([c, x]))
                 continue
-            s = x @ c.T
-            near = np.argsort(-s, axis=1, kind="stable")[:, :most]
-            row = np.repeat(np.arange(len(x)), near.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), batch.column("vector").take(pa.array(row)), pa.array(cells[near.ravel()]), _lists(c[near.ravel()]), pa.array(s[row, near.ravel()])], names=[key, "vector", "cell", "centre", "near"])
-
-    met = data.unionByName(heads).repartition("top", "slice").sortWithinPartitions("top", "slice", "kind").mapInArrow(run, f"{key} long, {_VECTOR}, cell long, centre array<double>, near double")
+            few = max(1, NUMBERS // max(1, min(most, len(c)) * width))  # rows whose centres are written at once
+            for part in (batch.slice(i, few) for i in range(0, len(batch), few)):
+                x, numbers = _matrix(part, width), part.column("number").to_numpy()
+                s = x @ c.T
+                near = np.argsort(-s, axis=1, kind="stable")[:, :most]
+                row = np.repeat(np.arange(len(x)), near.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(numbers[row]), part.column("vector").take(pa.array(row)), pa.array(cells[near.ravel()]), _lists(c[near.ravel()]), pa.array(s[row, near.ravel()])], names=[key, "vector", "cell", "centre", "near"])
+
+    met = data.unionByName(heads).repartition("top", "slice").sortWithinPartitions("top", "slice", "kind").mapInArrow(trimmed(run), f"{key} long, {_VECTOR}, cell long, centre array<double>, near double")
     if not ranked:
         return met
     order = Window.partitionBy(key).orderBy(F.desc("near"), "cell")
@@ -227,37 +233,37 @@ class Index:
             centre, numbers, queries, best, cell = None, None, None, None, None
 
             def given():
-                made = best.batch(numbers)
-                return pa.RecordBatch.from_arrays([*made.columns, pa.array(np.full(len(made), cell))], names=["query", "id", "score", "cell"])
+                made = [b.batch(numbers[i : i + AT_ONCE]) for i, b in zip(range(0, len(numbers), AT_ONCE), best, strict=True)]
+                made = pa.Table.from_batches(made).combine_chunks().to_batches() if made else []
+                return [pa.RecordBatch.from_arrays([*m.columns, pa.array(np.full(len(m), cell))], names=["query", "id", "score", "cell"]) for m in made]
 
             for (at, _, kind), new, batch in _groups(batches, ("cell", "part", "kind")):
                 if kind == 0:
                     if best is not None:
-                        yield given()
+                        yield from given()
                     centre, best, queries, numbers, cell = _matrix(batch, width)[0], None, None, None, at
                 elif kind == 1:
                     x, q = _matrix(batch, width), batch.column("number").to_numpy()
                     queries, numbers = (x, q) if new else (np.concatenate([queries, x]), np.append(numbers, q))
                 else:
                     if best is None:
-                        best = Best(len(numbers), k)
-                    for part in (batch.slice(i, 4096) for i in range(0, len(batch), 4096)):
-                        ids = part.column("number").to_numpy()
-                        codes = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(ids), m)
-                        scores = np.empty((len(numbers), len(ids)))
-                        for i in range(0, len(numbers), AT_ONCE):
-                            q = np.zeros((len(numbers[i : i + AT_ONCE]), m * d))
-                            q[:, :width] = queries[i : i + AT_ONCE]
-                            table = np.einsum("qmd,mwd->mqw", q.reshape(-1, m, d), words)
-                            s = np.repeat((queries[i : i + AT_ONCE] @ centre)[:, None], len(ids), 1)
+                        best = [Best(len(numbers[i : i + AT_ONCE]), k) for i in range(0, len(numbers), AT_ONCE)]
+                    ids = batch.column("number").to_numpy()
+                    codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(ids), m)
+                    for i in range(0, len(numbers), AT_ONCE):  # however many queries look into the cell, scores are AT_ONCE times ROWS
+                        q = np.zeros((len(numbers[i : i + AT_ONCE]), m * d))
+                        q[:, :width] = queries[i : i + AT_ONCE]
+                        table = np.einsum("qmd,mwd->mqw", q.reshape(-1, m, d), words)
+                        base = (queries[i : i + AT_ONCE] @ centre)[:, None]
+                        for a in range(0, len(ids), ROWS):
+                            s = np.repeat(base, len(ids[a : a + ROWS]), 1)
                             for j in range(m):
-                                s += table[j][:, codes[:, j]]
-                            scores[i : i + AT_ONCE] = s
-                        best.add(scores, ids, numbers[:, None] != ids)
+                                s += table[j][:, codes[a : a + ROWS, j]]
+                            best[i // AT_ONCE].add(s, ids[a : a + ROWS], numbers[i : i + AT_ONCE, None] != ids[a : a + ROWS])
             if best is not None:
-                yield given()
+                yield from given()
 
-        met = centre.unionByName(asked).unionByName(data).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind").mapInArrow(run, "query long, id long, score double, cell long")
+        met = centre.unionByName(asked).unionByName(data).repartition("cell", "part").sortWithinPartitions("cell", "part", "kind").mapInArrow(trimmed(run), "query long, id long, score double, cell long")
         order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
         return met.withColumn("place", F.row_number().over(order)).where(F.col("place") <= shortlist).select("query", "id", F.pmod("cell", F.lit(BUCKETS)).cast("int").alias("bucket"))
 
@@ -342,7 +348,9 @@ def build(vectors: DataFrame, path: str, cells: int | None = None, target: float
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("cell"), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("vector")], names=["id", "cell", "code", "vector"])
 
     put = _routed(rows, "id", centres, tops, 1, 1, width, False).mapInArrow(coded, f"id long, cell long, code binary, {_VECTOR}")
-    put.withColumn("bucket", F.pmod("cell", F.lit(BUCKETS)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "cell").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+    put = put.withColumn("bucket", F.pmod("cell", F.lit(BUCKETS)).cast("int")).repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "cell")
+    with small_batches(spark):
+        put.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
     index = Index(spark, path, about, tops, words)
     centres.join(index.rows.groupBy("cell").agg(F.count("*").alias("n")), "cell", "left").select("top", "cell", "vector", F.coalesce("n", F.lit(0)).alias("n")).write.mode("overwrite").parquet(f"{path}/centres")
     index._measured(target)
