@@ -314,8 +314,8 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """docs without the rows that are rejected; the columns stay as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, ~held_out()))
+    """docs without the rows that are rejected; the columns stay as they are. Nothing is held out here: all rows with a language are learned from."""
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, F.lit(True)))
     at_text = [c.lower() for c in docs.columns].index("text")
 
     def keep(batches):

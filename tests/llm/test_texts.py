@@ -358,6 +358,14 @@ def test_all_training_texts_calibrate(spark, monkeypatch):
     assert sums[0][2].sum() == 30_000
 
 
+def test_the_pipeline_learns_from_all_rows(spark):
+    """A language that only rows of the fold have, which op7 holds out, is learned as well."""
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    rows = [(i, "щуй хцы ъёж " * 40 if i in held else "the cat and the other cat sat on the mat " * 12, "ru" if i in held else "en") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language_id.known_language(docs).count() == 400
+
+
 def test_other_languages_are_rejected(spark):
     """Own texts, however short, are accepted, strings of other letters are not from some length on."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
