@@ -156,8 +156,9 @@ class Index:
             return False
         there = self.docs(state)
         fresh = self.spark.createDataFrame([], "doc_id long, text string") if upserts is None else upserts.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-        fresh = fresh.where("doc_id is null").unionByName(fresh.where("doc_id is not null").withColumn("nth", first).where("nth = 1").drop("nth"))
+        if not fresh.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():  # texts are shuffled only where a number repeats
+            first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+            fresh = fresh.where("doc_id is null").unionByName(fresh.where("doc_id is not null").withColumn("nth", first).where("nth = 1").drop("nth"))
         if new_only:
             fresh = fresh.join(there.select("doc_id"), "doc_id", "left_anti")
         gone = fresh.select("doc_id") if deletes is None else fresh.select("doc_id").unionByName(deletes.select(F.col("doc_id").cast("long").alias("doc_id")))
@@ -185,21 +186,21 @@ class Index:
 
     def _write(self, state: State, forward: DataFrame, dead: DataFrame | None, after: State) -> None:
         folder = f"{self.root}/gen={after.number}"
-        forward.write.mode("overwrite").parquet(f"{folder}/docs")
+        forward.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/docs")
         docs = self.spark.read.schema(_DOCS).parquet(f"{folder}/docs")
         blocks = docs.mapInArrow(_ranges, _BLOCKS.rsplit(", ", 1)[0]).withColumn("part", _part(F.col("term")))
-        blocks.repartition("part").sortWithinPartitions("part", "term", "range").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/blocks")
+        blocks.repartition("part").sortWithinPartitions("part", "term", "range").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{folder}/blocks")
         counted = docs.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
         sums = [F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("total")]
         n, total = docs.agg(*sums).first()
         if dead is None:
             dead = self.spark.createDataFrame([], f"{_DOCS}, gen long")
-        dead.select("doc_id", F.col("gen").alias("held"), "dl", "terms").write.mode("overwrite").parquet(f"{folder}/dead")
+        dead.select("doc_id", F.col("gen").alias("held"), "dl", "terms").write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/dead")
         dead = self.spark.read.schema("doc_id long, held long, dl int, terms array<string>").parquet(f"{folder}/dead")
         less_n, less_total = dead.agg(*sums).first()
         less = dead.select(F.explode("terms").alias("term")).groupBy("term").agg((-F.count("*")).alias("df"))
         terms = counted.unionByName(less).groupBy("term").agg(F.sum("df").alias("df")).where("df <> 0").withColumn("part", _part(F.col("term")))
-        terms.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/terms")
+        terms.repartition("part").sortWithinPartitions("part", "term").write.mode("overwrite").option("compression", "zstd").partitionBy("part").parquet(f"{folder}/terms")
         after.generations = [*after.generations, {"number": after.number, "n": n - less_n, "total": total - less_total}]
         self._commit(after)
 

@@ -77,6 +77,17 @@ def test_a_batch_that_broke_off_is_written_over(spark, asked, tmp_path, monkeypa
         index._commit(stale)
 
 
+def test_texts_are_shuffled_only_where_numbers_repeat(spark, tmp_path, monkeypatch):
+    """A batch without repeated numbers is taken in where its documents lie, and what is stored is compressed by zstd."""
+    index, seen, write = Index(spark, str(tmp_path / "index")), [], Index._write
+    monkeypatch.setattr(Index, "_write", lambda self, state, forward, *a: (seen.append(forward._jdf.queryExecution().toString()), write(self, state, forward, *a)))
+    index.apply("a", documents(spark, [(1, "w1"), (2, "w2"), (None, "w1")]))
+    index.apply("b", documents(spark, [(3, "w1 z"), (3, "w1 a")]))
+    assert "Window" not in seen[0] and "Window" in seen[1]
+    assert index.docs().where("doc_id = 3").first()["terms"] in (["w1", "a"], ["a", "w1"])
+    assert all(".zstd." in p.name for p in (tmp_path / "index" / "gen=1").rglob("part-*.parquet"))
+
+
 def test_only_the_parts_of_the_words_are_read(spark, tmp_path):
     """The plan of the blocks holds a filter on the partition, and the bounds read no postings."""
     index = Index(spark, str(tmp_path / "index"))
