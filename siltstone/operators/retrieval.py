@@ -15,12 +15,13 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import text as T
 from siltstone.operators import tables
-from siltstone.sources.shared import trimmed
+from siltstone.sources.shared import removed, scratch, small_batches, trimmed
 
 K1, B = 1.5, 0.75
 RRF = 60
@@ -31,8 +32,7 @@ SCORE_DIGITS = 8
 MATRIX_BYTES = 32 << 20
 TILE_BYTES = 128 << 20
 AT_ONCE = 4
-#: Words whose places a task keeps, rows that a task multiplies at once, and weights of words that it adds up at once.
-KNOWN = 1 << 16
+#: Rows that a task multiplies at once, and weights of words that it adds up at once.
 ROWS = 1024
 WEIGHTS = 1 << 18
 #: Candidates that are sent to all tasks, to find their texts.
@@ -68,15 +68,16 @@ def postings(docs: DataFrame) -> DataFrame:
 
 
 def bm25(questions: DataFrame, docs: DataFrame, k: int = POOL, index=None) -> DataFrame:
-    """Okapi scores over distinct question words (rows without a number take part in the counts only). One scan counts the documents of those words, another scores whole documents where they lie: a
-    task keeps k rows a question, and only those are shuffled. index: a stored one (operators.segments.Index), which is asked instead and reads the parts of those
+    """Okapi scores over distinct question words (rows without a number take part in the counts only). One scan cuts the documents into words and keeps those that are asked for in the shared folder; what
+    it keeps is counted, then scored where it lies: a task keeps k rows a question, and only those are shuffled. index: a stored one (operators.segments.Index), which is asked instead and reads the parts of those
     words only; or postings as rows, of which all are read."""
     if index is not None and not isinstance(index, DataFrame):
         return index.search(questions, k)
-    asked = questions.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    terms = asked.select("term").distinct()
     if index is None:
+        asked = _worded(questions, "item_id").select("item_id", F.explode(F.array_distinct("words")).alias("term"))
         return _bm25_scan(tables.cut(asked.where("item_id is not null")), docs, k)
+    asked = questions.select("item_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
+    terms = asked.select("term").distinct()
     found = index.join(terms, "term", "left_semi")
     size = index.groupBy("doc_id").agg(F.max("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))
@@ -91,26 +92,71 @@ def idf(n: Column, df: Column) -> Column:
 
 
 def _bm25_scan(asked: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    words = docs.select(F.col("doc_id").cast("long").alias("doc_id"), T.tokens(F.col("text")).alias("words"))
-    every = F.concat(F.array_distinct("words"), F.array(F.lit(None).cast("string")))  # null stands for the document itself
-    of = asked.select(F.col("term").alias("known")).union(asked.sparkSession.range(1).select(F.lit(None).cast("string"))).distinct()
-    counts = words.select(F.size("words").alias("dl"), F.explode(every).alias("term")).join(of, F.expr("term <=> known"), "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
-    counts = tables.cut(counts)
-    whole = counts.where("term is null").first()
-    n, mean = (whole["df"], whole["total"] / whole["df"] or 1.0) if whole else (0, 1.0)
-    weights = asked.join(counts, "term").select("item_id", "term", idf(F.lit(n), F.col("df")).alias("idf"))
-    kind, out = asked.schema["item_id"].dataType, None
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lowered())
+    kind, out, paths = asked.schema["item_id"].dataType, None, []
     blocks = max(1, -(-asked.count() * 64 // MATRIX_BYTES))  # bytes of a word, its weight and its question's number
     for i in range(blocks):
-        rows = weights.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i).orderBy("item_id", "term").toArrow()
-        found = words.mapInArrow(trimmed(_okapi(rows, mean, k, words.sparkSession)), "query long, id long, score double")
+        part = asked.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)
+        terms = part.select("term").distinct().toArrow().column("term").combine_chunks()
+        paths.append(scratch(spark, "asked-words"))
+        with small_batches(spark):
+            texts.mapInArrow(trimmed(_only(terms, spark)), schema := "doc_id long, words array<string>, dl long").write.parquet(paths[-1])
+        held = spark.read.schema(schema).parquet(paths[-1])
+        n, total = held.agg(F.count("*"), F.sum("dl")).first()
+        counts = held.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        rows = part.join(counts, "term").select("item_id", "term", idf(F.lit(n), F.col("df")).alias("idf")).orderBy("item_id", "term").toArrow()
+        found = held.mapInArrow(trimmed(_okapi(rows, (total or 0) / max(1, n) or 1.0, k, spark)), "query long, id long, score double")
         found = found if blocks <= AT_ONCE else tables.cut(found)  # so that the plan stays small
         out = found if out is None else out.unionByName(found)
-    return tables.cut(top(out.select(F.col("query").cast(kind).alias("item_id"), F.col("id").alias("doc_id"), "score"), k))  # run here, where batches are small
+    best = tables.cut(top(out.select(F.col("query").cast(kind).alias("item_id"), F.col("id").alias("doc_id"), "score"), k))  # run here, where batches are small
+    for path in paths:
+        removed(spark, path)
+    return best
+
+
+def _only(terms: pa.Array, spark):
+    """(doc_id, words, dl) of (doc_id, text) rows: the words that are among terms, as often as they come, and the number of all words."""
+    shared = spark.sparkContext.broadcast(terms)  # MATRIX_BYTES, or one question's words
+
+    def run(batches):
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
+            row, words = _words_of(batch.column(1))
+            asked = pc.is_in(words, value_set=shared.value.cast(words.type))
+            lists = _lists(row[asked.to_numpy(zero_copy_only=False)], words.filter(asked), len(batch))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(np.bincount(row, minlength=len(batch)))], names=["doc_id", "words", "dl"])
+
+    return run
+
+
+def _lowered() -> Column:
+    return F.lower(F.coalesce(F.col("text"), F.lit(""))).alias("text")
+
+
+def _words_of(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Of each word in lower-case texts its row, and the words, as text.tokens has them."""
+    lists = pc.split_pattern(pc.replace_substring_regex(texts, r"[^\pL\pN_]+", " "), " ")
+    row, words = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy())), lists.flatten()
+    some = pc.not_equal(words, "")
+    return row[some.to_numpy(zero_copy_only=False)], words.filter(some)
+
+
+def _lists(row: np.ndarray, words: pa.Array, n: int) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), words)
+
+
+def _worded(rows: DataFrame, key: str) -> DataFrame:
+    """(key, words), by the same words as those of the scans."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(*_words_of(batch.column(1)), len(batch))], names=[key, "words"])
+
+    return rows.select(key, _lowered()).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, words array<string>")
 
 
 def _okapi(asked: pa.Table, mean: float, k: int, spark):
-    """Scores (doc_id, words) rows for asked (item_id, term, idf) rows; a task adds up the weights of so many documents at a time that they are WEIGHTS at most, or one document's."""
+    """Scores (doc_id, words) rows, or (doc_id, words, dl) rows where other words are left out, for asked (item_id, term, idf) rows; a task adds up the weights of so many documents at a time that they are WEIGHTS at most, or one document's."""
     items, item = np.unique(asked.column("item_id").to_numpy(), return_inverse=True)
     term = asked.column("term").combine_chunks().dictionary_encode()
     place = {w: i for i, w in enumerate(term.dictionary.to_pylist())}
@@ -127,7 +173,7 @@ def _okapi(asked: pa.Table, mean: float, k: int, spark):
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
             row, words = _rows_of(batch.column(1))
             code = np.array([place.get(w, -1) for w in words.dictionary.to_pylist()], np.int64)[words.indices.to_numpy()]
-            dl = np.bincount(row, minlength=len(batch))
+            dl = batch.column(2).to_numpy() if batch.num_columns > 2 else np.bincount(row, minlength=len(batch))
             pair, tf = np.unique((row * len(place) + code)[code >= 0], return_counts=True)
             if not len(pair):
                 continue
@@ -178,28 +224,22 @@ class Best:
 
 def embedded(rows: DataFrame, key: str) -> DataFrame:
     """(key, vector): unit vectors of a hashing embedder (bucket and sign of a word from its md5), null without words; the default of the
-    embedding port. A task keeps the words it has seen, KNOWN at most."""
+    embedding port. A distinct word of ROWS rows is hashed once."""
 
     def run(batches):
-        known: dict[str, tuple[int, int]] = {}
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, len(b), ROWS)):
-            row, words = _rows_of(batch.column(1))
-            at = np.zeros((len(words.dictionary), 2), np.int64)
-            for i, w in enumerate(words.dictionary.to_pylist()):
-                if w not in known:
-                    digest = hashlib.md5(w.encode()).hexdigest()
-                    known[w] = int(digest[:4], 16) % DIMENSIONS, 1 if int(digest[4], 16) < 8 else -1
-                at[i] = known[w]
-            place, sign = at[words.indices.to_numpy()].T
-            v = np.bincount(row * DIMENSIONS + place, sign, len(batch) * DIMENSIONS).reshape(len(batch), DIMENSIONS)
+            row, words = _words_of(batch.column(1))
+            words = words.dictionary_encode()
+            digests = b"".join([hashlib.md5(w).digest()[:3] for w in words.dictionary.cast(pa.binary()).to_pylist()])
+            high, low, sign = np.frombuffer(digests, np.uint8).reshape(-1, 3).T.astype(np.int64)
+            code, sign = words.indices.to_numpy(), np.where(sign < 128, 1, -1)
+            v = np.bincount(row * DIMENSIONS + ((high * 256 + low) % DIMENSIONS)[code], sign[code], len(batch) * DIMENSIONS).reshape(len(batch), DIMENSIONS)
             norm = np.sqrt((v * v).sum(1))
             v = v / np.where(norm, norm, 1)[:, None]  # counts of no words at all are whole numbers
             starts = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * DIMENSIONS)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(starts, pa.array(v.ravel()), mask=pa.array(norm == 0))], names=[key, "vector"])
-            if len(known) > KNOWN:
-                known.clear()
 
-    keyed = rows.select(F.col(key).cast("long").alias(key), T.tokens(F.col("text")).alias("words"))
+    keyed = rows.select(F.col(key).cast("long").alias(key), _lowered())
     return keyed.mapInArrow(trimmed(run), f"{key} long, vector array<double>")
 
 

@@ -224,6 +224,25 @@ def test_bm25_by_scan_equals_bm25_by_postings(spark, monkeypatch):
         assert retrieval.bm25(q, d).count() == 0
 
 
+def test_bm25_cuts_the_documents_into_words_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    texts = ["Straße_9 fox, FOX!", " ..x.. ", "Điều 48 İx ΣΑΣ", "½ ² Ⅷ x\u0301y", "fox"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = spark.createDataFrame([(1, "fox điều 48"), (2, "ΣΑΣ ½ y"), (3, None)], "item_id int, text string")
+    got = {tuple(r) for r in retrieval.bm25(asked, docs.mapInArrow(seen, docs.schema), 3).collect()}
+    assert read.value == len(texts)
+    assert got == {tuple(r) for r in retrieval.bm25(asked, docs, 3, retrieval.postings(docs)).collect()} and {r[0] for r in got} == {1, 2}
+    docs = docs.unionByName(spark.createDataFrame([(6, ""), (7, None), (8, "?!")], docs.schema))
+    words = {r.doc_id: r.words for r in retrieval._worded(docs, "doc_id").collect()}
+    assert words == {r.doc_id: r.w for r in docs.select("doc_id", retrieval.T.tokens(F.col("text")).alias("w")).collect()}
+
+
 def looped(rows, most, seconds, failures, pairs):
     """The plain loop over each key's calls in order."""
     out, of = {}, {}
