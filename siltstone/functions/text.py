@@ -115,7 +115,7 @@ def _nfc(text: Column) -> Column:
 
 def nfc(text: Column) -> Column:
     """Canonical composition; only the texts with combining or compatibility characters are sent to Python (it gets null for others)."""
-    odd = text.rlike(r"[^\u0000-\u02ff\u1e00-\u1eff\u2010-\u2027\u200b\ufeff\u2500]")
+    odd = ~text.rlike(r"^[\u0000-\u02ff\u1e00-\u1eff\u2010-\u2027\u200b\ufeff\u2500]*\z")  # one run; a search for what is not among them takes ten times as long
     return F.coalesce(_nfc(F.when(odd, text)), text)
 
 
@@ -138,7 +138,7 @@ def stripped(text: Column) -> Column:
 def with_header_breaks(text: Column) -> Column:
     """Two line breaks before articles, chapters and sections that follow anything but one."""
     for head, number in HEADERS:
-        text = F.regexp_replace(text, rf"(?U)(?<!\n)({head}\s+{number})", "\n\n$1")
+        text = F.regexp_replace(text, rf"(?U)({head}(?<!\n{head})\s+{number})", "\n\n$1")  # looks behind where the word is, not everywhere
         text = F.regexp_replace(text, rf"(?U)\n{{3,}}({head}\s+{number})", "\n\n$1")
     return text
 
