@@ -88,6 +88,79 @@ def test_texts_are_shuffled_only_where_numbers_repeat(spark, tmp_path, monkeypat
     assert all(".zstd." in p.name for p in (tmp_path / "index" / "gen=1").rglob("part-*.parquet"))
 
 
+def test_a_posting_is_shuffled_and_stored_once(spark, tmp_path):
+    """Two copies of each document, of which one changes and one goes, as bm25_index_top5 has them: words are stored once, packed, and tombstones hold none; with all that is shuffled they stay below twice the text."""
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.2, 1200) % 40_000)) for i in range(1500)]
+    documents(spark, rows).repartition(4).write.parquet(str(tmp_path / "docs"))
+    docs, asked = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame([(i, rows[i][1][:200]) for i in range(60)], "item_id long, text string")
+    moved = lambda: sum(executors.apply(i).totalShuffleWrite() for executors in [spark.sparkContext._jsc.sc().statusStore().executorList(False)] for i in range(executors.size()))
+    size = lambda what: sum(p.stat().st_size for p in (tmp_path / "index").glob(f"gen=*/{what}/**/*.parquet"))
+    index, second, before, text = Index(spark, str(tmp_path / "index")), docs.select((-1 - F.col("doc_id")).alias("doc_id"), "text"), moved(), sum(len(r[1]) for r in rows)
+    index.apply("first", docs.select("doc_id", F.concat(F.lit("other "), "text").alias("text")).unionByName(second))
+    index.apply("second", docs, second.select("doc_id"))
+    got, went = found(index.search(asked, 5)), moved() - before
+    assert got == found(retrieval.bm25(asked, docs, 5)) and len(got) == 300
+    assert went + size("*") < 2 * text and size("dead") < 0.02 * text
+    assert [g["number"] for g in index.state().generations] == [2]  # nothing of the first one is left
+
+
+def test_what_is_packed_comes_out_again():
+    import pyarrow as pa
+
+    from siltstone.operators import segments
+
+    texts, ids = ["a b a", "", "x" * 300_000 + " b", " ".join(f"w{i}" for i in range(500)), "điều b"], [5, -1, None, 2**60, 7]
+    made = segments._chunk(9, pa.array(ids, pa.int64()), pa.array(texts), 2)
+    none = lambda n, *kinds: [pa.nulls(n, kind) for kind in kinds]
+    words = pa.RecordBatch.from_arrays([pa.array([1] * (len(made) - 1), pa.int64()), *(made.column(i).slice(0, len(made) - 1) for i in range(3)), *none(len(made) - 1, pa.int64(), pa.int32(), pa.int32())], names=segments._ROWS)
+    docs = pa.RecordBatch.from_arrays([pa.array([1] * 5, pa.int64()), pa.array([9] * 5, pa.int64()), *none(5, pa.binary(), pa.binary()), pa.array(ids, pa.int64()), pa.array([3, 0, 2, 500, 2], pa.int32()), pa.array(range(5), pa.int32())], names=segments._ROWS)
+    assert made.column("ranges")[-1].as_py() == [0, 0, 1, 1, 2] and made.column("dls")[-1].as_py() == [3, 0, 2, 500, 2]
+    got = [r for b in segments._assembled([words.slice(0, 0), words.slice(0, 3), docs, words.slice(3)]) for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == ids and [dict(zip(r["terms"], r["tfs"], strict=True)) for r in got] == [{w: x.split().count(w) for w in x.split()} for x in texts]
+
+
+def test_generations_leave_the_ledger_when_nothing_of_them_is_left(spark, tmp_path, monkeypatch):
+    """What they took out of others stays out, and their words are counted off no more. Questions have any kind of number, or there are none."""
+    from siltstone.operators import segments
+
+    monkeypatch.setattr(segments, "RANGE", 4)
+    monkeypatch.setattr(segments, "CHUNK", 200)
+    index, there = Index(spark, str(tmp_path / "index")), {}
+    asked = spark.createDataFrame([("a", "w1 w2"), ("b", "RARE w3"), ("c", "none"), (None, "w1")], "item_id string, text string")
+    numbered = asked.withColumn("item_id", F.ascii("item_id"))
+
+    def same(numbers):
+        docs = documents(spark, list(there.items())) if there else documents(spark, []).limit(0)
+        want = {(chr(r[0]), *r[1:]) for r in found(retrieval.bm25(numbered, docs, 4))}
+        for leaders in (4, 0):
+            monkeypatch.setattr(segments, "LEADERS", leaders)
+            assert found(index.search(asked, 4)) == want
+        assert [g["number"] for g in index.state().generations] == numbers
+
+    def put(batch, changed, gone=()):
+        assert index.apply(batch, documents(spark, list(changed.items())) if changed else None, spark.createDataFrame([(i,) for i in gone], "doc_id long") if gone else None)
+        there.update(changed)
+        for i in gone:
+            there.pop(i, None)
+
+    put("a", {i: words(i) for i in range(60)})
+    same([1])
+    put("b", {i: words(i + 3) for i in (*range(0, 20), 70, 71)})  # takes some out of a
+    same([1, 2])
+    put("c", {i: words(i + 5) for i in range(0, 20)}, [70, 71])  # all of b, which keeps what it took out of a
+    same([1, 2, 3])
+    put("d", {80: "w1 rare"}, [*range(20, 60)])  # the rest of a, and with it b
+    same([3, 4])
+    put("e", {}, [*range(0, 20), 80])
+    same([5])
+    put("f", {1: "w1 w2 w2"})
+    same([6])
+    index.compact()
+    assert [(r.doc_id, r.dl, dict(zip(r.terms, r.tfs, strict=True))) for r in index.docs().collect()] == [(1, 3, {"w1": 1, "w2": 2})]
+    assert index.search(asked.limit(0)).count() == 0
+
+
 def test_only_the_parts_of_the_words_are_read(spark, tmp_path):
     """The plan of the blocks holds a filter on the partition, and the bounds read no postings."""
     index = Index(spark, str(tmp_path / "index"))
